@@ -127,3 +127,31 @@ def q_latest_price(spark, sf):
     from coffer.operators.prices import latest_price
 
     return latest_price(TD.prices_events(spark, sf))
+
+
+# --- ledger normalisation ----------------------------------------------------------
+from coffer.operators import ledger as LG  # noqa: E402
+
+LEDGER_AS_OF = "2026-01-01 00:00:00"  # stands in for the clock on unparseable dates
+RAW_COLUMNS = [
+    "_seq", "Operation Date", "Currency Ticker", "Operation Type", "Operation Amount",
+    "Operation Fees", "Operation Hash", "Countervalue Ticker", "Countervalue at Operation Date",
+]
+_NORM_SQL = O.ledger_normalize(TD.SQL_LEDGER_RAW, LEDGER_AS_OF)
+
+
+@register("ledger_normalize", _NORM_SQL, "A1 B1 B2 B3 B4 B5 B6 B7 B8 B9 B10 B11 B12 B16")
+def q_ledger_normalize(spark, sf):
+    return LG.normalize_ledger(TD.ledger_raw(spark, sf), LEDGER_AS_OF)
+
+
+@register("ledger_import_distinct", O.ledger_import_distinct(_NORM_SQL), "B11 I6")
+def q_ledger_import_distinct(spark, sf):
+    norm = LG.normalize_ledger(TD.ledger_raw(spark, sf), LEDGER_AS_OF)
+    d = LG.last_write_wins(norm.select("_seq", "dedup_hash", "date_utc", "symbol", "note"), ["dedup_hash"])
+    return d.select("dedup_hash", "date_utc", "symbol", "note", "_seq", "n_rows")
+
+
+@register("infer_column_types", O.infer_types_raw(TD.SQL_LEDGER_RAW, RAW_COLUMNS), "Q1 H5")
+def q_infer_column_types(spark, sf):
+    return LG.infer_column_types(TD.ledger_raw(spark, sf))

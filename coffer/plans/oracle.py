@@ -209,3 +209,110 @@ SELECT CAST(sum(investi) AS DECIMAL(28,8)) AS total_investi,
        CAST(sum(pnl) AS DECIMAL(28,8)) AS total_pnl,
        count(*) AS n_symbols
 FROM ({holdings_sql})"""
+
+
+# --- ledger -------------------------------------------------------------------
+
+FLOAT_RE = r"[+-]?(?:\d(?:_?\d)*(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?"
+
+
+def to_float(expr: str, default: str = "0.0") -> str:
+    s = f"regexp_replace(coalesce(CAST({expr} AS VARCHAR), ''), '^\\s+|\\s+$', '', 'g')"
+    return f"""coalesce(CASE
+      WHEN regexp_full_match({s}, '{FLOAT_RE}') THEN TRY_CAST(replace({s}, '_', '') AS DOUBLE)
+      WHEN regexp_full_match({s}, '(?i)[+-]?nan') THEN CAST('nan' AS DOUBLE)
+      WHEN regexp_full_match({s}, '(?i)[+]?inf(?:inity)?') THEN CAST('inf' AS DOUBLE)
+      WHEN regexp_full_match({s}, '(?i)-inf(?:inity)?') THEN CAST('-inf' AS DOUBLE) END, {default})"""
+
+
+def parse_dt(expr: str) -> str:
+    s = f"replace(regexp_replace(coalesce(CAST({expr} AS VARCHAR), ''), '^\\s+|\\s+$', '', 'g'), 'Z', '')"
+    n2 = r"(\d{1,2})"
+    fmts = [
+        (rf"(?i)(\d{{4}})-{n2}-{n2}T{n2}:{n2}:{n2}", (1, 2, 3, 4, 5, 6)),
+        (rf"(\d{{4}})-{n2}-{n2}\s+{n2}:{n2}:{n2}", (1, 2, 3, 4, 5, 6)),
+        (rf"{n2}/{n2}/(\d{{4}})\s+{n2}:{n2}", (3, 2, 1, 4, 5, None)),
+        (rf"{n2}/{n2}/(\d{{4}})\s+{n2}:{n2}:{n2}", (3, 2, 1, 4, 5, 6)),
+    ]
+    cands = []
+    for pat, g in fmts:
+        def e(i, pat=pat):
+            return "0" if i is None else f"CAST(regexp_extract({s}, '{pat}', {i}) AS INTEGER)"
+        y, mo, d, h, mi, sec = (e(i) for i in g)
+        cands.append(
+            f"CASE WHEN regexp_full_match({s}, '{pat}') AND {h} < 24 AND {mi} < 60 AND {sec} < 60 "
+            f"THEN try(make_timestamp({y}, {mo}, {d}, {h}, {mi}, {sec})) END"
+        )
+    # ISO fallback (no offset in the test data): DuckDB's own ISO cast.
+    cands.append(
+        f"CASE WHEN regexp_full_match({s}, '\\d{{4}}-\\d{{2}}-\\d{{2}}(?:[Tt ]\\d{{2}}(?::\\d{{2}}(?::\\d{{2}}(?:[.,]\\d+)?)?)?)?') "
+        f"THEN TRY_CAST({s} AS TIMESTAMP) END"
+    )
+    return "coalesce(" + ", ".join(cands) + ")"
+
+
+def _fixed8(x: str) -> str:
+    return f"CASE WHEN NOT isnan({x}) AND abs({x}) < 9.2e10 THEN CAST(floor({x} * 1e8 + 0.5) AS BIGINT) END"
+
+
+def ledger_normalize(raw_sql: str, as_of: str) -> str:
+    """Hard-wired to the raw adapter's headers (the Spark side resolves them)."""
+    return f"""
+WITH r AS ({raw_sql}),
+a AS (
+  SELECT _seq, {parse_dt('"Operation Date"')} AS parsed,
+    lower(trim(coalesce("Currency Ticker", ''))) AS symbol,
+    lower(trim(coalesce("Operation Type", ''))) AS op,
+    {to_float('"Operation Amount"')} AS q0,
+    upper(trim(coalesce("Countervalue Ticker", ''))) AS ticker,
+    {to_float('"Countervalue at Operation Date"')} AS cv,
+    {to_float('"Operation Fees"')} AS fee_asset,
+    coalesce("Operation Hash", '') AS note
+  FROM r),
+b AS (
+  SELECT *, coalesce(parsed, TIMESTAMP '{as_of}') AS dt,
+    CASE WHEN op IN ('out', 'send', 'withdrawal', 'withdraw', 'sell') THEN -abs(q0)
+         WHEN op IN ('in', 'receive', 'deposit', 'buy') THEN abs(q0) ELSE q0 END AS qty
+  FROM a),
+c AS (
+  SELECT *, CASE WHEN ticker = 'EUR' AND qty <> 0 THEN abs(cv) / abs(qty) ELSE 0.0 END AS p0 FROM b),
+d AS (SELECT *, CASE WHEN p0 = 0.0 THEN 0.0 ELSE p0 END AS price_eur FROM c),
+e AS (SELECT *, CASE WHEN price_eur <> 0.0 THEN fee_asset * price_eur ELSE 0.0 END AS fee_eur FROM d)
+SELECT _seq, date_trunc('second', dt) AS date_utc, symbol, qty, price_eur, fee_eur,
+  'ledger' AS exchange, note,
+  sha1(concat_ws('|',
+    strftime(dt, '%Y-%m-%dT%H:%M:%S')
+      || CASE WHEN microsecond(dt) % 1000000 <> 0
+              THEN '.' || lpad(CAST(microsecond(dt) % 1000000 AS VARCHAR), 6, '0') ELSE '' END
+      || '+00:00',
+    symbol,
+    coalesce(CAST({_fixed8('qty')} AS VARCHAR), ''),
+    coalesce(CAST({_fixed8('price_eur')} AS VARCHAR), ''),
+    coalesce(CAST({_fixed8('fee_eur')} AS VARCHAR), ''),
+    note)) AS dedup_hash,
+  parsed IS NULL AS date_defaulted
+FROM e"""
+
+
+def ledger_import_distinct(norm_sql: str) -> str:
+    return f"""
+SELECT dedup_hash, arg_max(date_utc, _seq) AS date_utc, arg_max(symbol, _seq) AS symbol,
+       arg_max(note, _seq) AS note, max(_seq) AS _seq, count(*) AS n_rows
+FROM ({norm_sql}) GROUP BY dedup_hash"""
+
+
+def infer_types_raw(raw_sql: str, columns: Sequence[str]) -> str:
+    parts = []
+    for i, c in enumerate(columns):
+        q = _q(c)
+        if c.strip().lower() == "date":
+            t = "'DATE'"
+        else:
+            s = f"regexp_replace(CAST({q} AS VARCHAR), '^\\s+|\\s+$', '', 'g')"
+            ok = (
+                f"({q} IS NULL OR regexp_full_match({s}, '{FLOAT_RE}') "
+                f"OR regexp_full_match({s}, '(?i)[+-]?(?:nan|inf|infinity)'))"
+            )
+            t = f"CASE WHEN coalesce(bool_and({ok}), true) THEN 'DECIMAL(20,2)' ELSE 'NVARCHAR(255)' END"
+        parts.append(f"SELECT {i} AS position, '{c}' AS column_name, (SELECT {t} FROM r) AS inferred_type")
+    return f"WITH r AS ({raw_sql})\n" + "\nUNION ALL\n".join(parts)
