@@ -53,20 +53,48 @@ def daily_close_local(prices: DataFrame, tz: str = SHEET_TZ) -> DataFrame:
     )
 
 
-def daily_close_utc(prices: DataFrame, seq: str | None = None) -> DataFrame:
+def daily_close_utc(prices: DataFrame, order: list[str] | None = None) -> DataFrame:
     """F8 (+B15): one point per (symbol, UTC day), the last in arrival order.
 
-    ``seq`` names the arrival-order column (payload order); without it the
-    arrival order is the time order. Returns ``symbol, date, ts, price_eur``.
+    ``order`` names the arrival-order columns (e.g. payload sequence, then
+    position inside the payload); without it the arrival order is the time
+    order. Returns ``symbol, date, ts, price_eur``.
     """
     p = prices.filter(F.col("price_eur").isNotNull())
-    order = [F.col(seq)] if seq else [F.col("ts")]
-    best = F.max(F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)], "ts", "price_eur"))
+    keys = [F.col(c) for c in (order or ["ts"])]
+    best = F.max(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], "ts", "price_eur"))
     return p.groupBy(_lower_symbol(p), utc_day("ts").alias("date")).agg(best.alias("b")).select(
         "symbol", "date", F.col("b.ts").alias("ts"), F.col("b.price_eur").cast(MONEY).alias("price_eur")
     )
 
 
+def backfill_window(tx: DataFrame, prices: DataFrame | None, as_of=None) -> tuple[Column, Column]:
+    """the backfill's UTC day range as scalar-subquery columns.
+
+    start = UTC day of the first transaction; end = ``as_of``, or the last UTC
+    day seen in transactions or quotes.
+    """
+    start = tx.agg(F.min(utc_day("date_utc"))).scalar()
+    if as_of is not None:
+        return start, F.lit(str(as_of)).cast("date")
+    last_tx = tx.agg(F.max(utc_day("date_utc"))).scalar()
+    if prices is None:
+        return start, last_tx
+    last_px = prices.agg(F.max(utc_day("ts"))).scalar()
+    return start, F.greatest(last_tx, F.coalesce(last_px, last_tx))
+
+
+def tx_span(tx: DataFrame) -> DataFrame:
+    """first and last transaction instant."""
+    return tx.agg(F.min("date_utc").alias("first_date_utc"), F.max("date_utc").alias("last_date_utc"))
+
+
+def symbol_universe(tx: DataFrame) -> DataFrame:
+    """F1 (+D1): distinct lower-cased non-empty symbols."""
+    s = F.lower(F.col("symbol"))
+    return tx.select(s.alias("symbol")).filter(F.length("symbol") > 0).distinct()
+
+
 def days_present(prices: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
     """F4 (+D4): distinct UTC days with at least one quote, per symbol.
 
@@ -129,10 +157,10 @@ def gap_report(symbols: DataFrame, gaps: DataFrame) -> DataFrame:
     )
 
 
-def backfill_points(fetched: DataFrame, gaps: DataFrame, seq: str | None = None) -> DataFrame:
+def backfill_points(fetched: DataFrame, gaps: DataFrame, order: list[str] | None = None) -> DataFrame:
     """F8 then E6: one point per fetched (symbol, UTC day), kept only for
     days that are missing. Returns ``symbol, date, ts, price_eur``."""
-    daily = daily_close_utc(fetched, seq)
+    daily = daily_close_utc(fetched, order)
     return daily.join(gaps.select("symbol", "date"), ["symbol", "date"], "left_semi")
 
 

@@ -155,3 +155,116 @@ def q_ledger_import_distinct(spark, sf):
 @register("infer_column_types", O.infer_types_raw(TD.SQL_LEDGER_RAW, RAW_COLUMNS), "Q1 H5")
 def q_infer_column_types(spark, sf):
     return LG.infer_column_types(TD.ledger_raw(spark, sf))
+
+
+# --- prices, gaps, payloads, mapping ------------------------------------------------
+from coffer.operators import prices as PX  # noqa: E402
+from coffer.schemas import COINS_MAP_DEFAULT  # noqa: E402
+from coffer.sources import payloads as PL  # noqa: E402
+
+_POINTS_U = O.chart_points(TD.SYMBOL_SQL["u"])
+_POINTS_C = O.chart_points(TD.SYMBOL_SQL["coins"])
+_GAPS_L = O.gaps(TX_L, PR_L)
+_GAPS_E = O.gaps(TX_E, PR_E)
+_QUOTES_C = O.simple_quotes(TD.SYMBOL_SQL["coins"], COINS_MAP_DEFAULT)
+
+
+def _gaps(tx, pr):
+    start, end = PX.backfill_window(tx, pr)
+    return PX.price_gaps(PX.symbol_universe(tx), pr, start, end)
+
+
+@register("daily_close_paris", O.daily_close_paris(PR_E), "F7 B14 D3")
+def q_daily_close_paris(spark, sf):
+    return PX.daily_close_local(TD.prices_events(spark, sf))
+
+
+@register("daily_close_utc", O.daily_close_utc(_POINTS_C), "F8 B15 A4")
+def q_daily_close_utc(spark, sf):
+    pts = PL.parse_market_chart(TD.market_chart_payloads(spark, sf, "coins"))
+    return PX.daily_close_utc(pts, ["_seq", "pos"])
+
+
+@register("market_chart_points", O.market_chart_summary(_POINTS_C), "A4 F11")
+def q_market_chart_points(spark, sf):
+    from pyspark.sql import functions as F
+
+    pts = PL.parse_market_chart(TD.market_chart_payloads(spark, sf, "coins"))
+    return pts.groupBy(F.lower("symbol").alias("symbol")).agg(
+        F.count(F.lit(1)).alias("n_points"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+
+
+@register("price_gaps", _GAPS_L, "E5 H6 H7 F4 D4 F2 E9")
+def q_price_gaps(spark, sf):
+    return _gaps(TD.tx_lineitem(spark, sf), TD.prices_lineitem(spark, sf))
+
+
+@register("gap_ranges", O.gap_ranges(_GAPS_L), "H9")
+def q_gap_ranges(spark, sf):
+    return PX.gap_ranges(_gaps(TD.tx_lineitem(spark, sf), TD.prices_lineitem(spark, sf)))
+
+
+@register("gap_report", O.gap_report(TX_L, _GAPS_L), "Q8")
+def q_gap_report(spark, sf):
+    tx = TD.tx_lineitem(spark, sf)
+    return PX.gap_report(PX.symbol_universe(tx), _gaps(tx, TD.prices_lineitem(spark, sf)))
+
+
+@register("backfill_points_kept", O.backfill_kept(_POINTS_U, _GAPS_E), "E6 F8 A4")
+def q_backfill_points_kept(spark, sf):
+    gaps = _gaps(TD.tx_events(spark, sf), TD.prices_events(spark, sf))
+    pts = PL.parse_market_chart(TD.market_chart_payloads(spark, sf, "u"))
+    return PX.backfill_points(pts, gaps, ["_seq", "pos"])
+
+
+@register("symbol_universe", O.symbol_universe(TX_C), "F1 D1")
+def q_symbol_universe(spark, sf):
+    return PX.symbol_universe(TD.tx_events(spark, sf, "coins"))
+
+
+@register("tx_span", O.tx_span(TX_L), "F2")
+def q_tx_span(spark, sf):
+    return PX.tx_span(TD.tx_lineitem(spark, sf))
+
+
+@register("last_price_day", O.last_price_day(PR_L), "F3")
+def q_last_price_day(spark, sf):
+    return PX.last_price_day(TD.prices_lineitem(spark, sf))
+
+
+@register("mapped_symbols", O.mapped_symbols(TX_C, COINS_MAP_DEFAULT), "A6 D2")
+def q_mapped_symbols(spark, sf):
+    return PL.mapped_symbols(PX.symbol_universe(TD.tx_events(spark, sf, "coins")), PL.parse_mapping(spark))
+
+
+@register("unmapped_symbols", O.unmapped_symbols(TX_C, COINS_MAP_DEFAULT), "E8 A6")
+def q_unmapped_symbols(spark, sf):
+    return PL.unmapped_symbols(PX.symbol_universe(TD.tx_events(spark, sf, "coins")), PL.parse_mapping(spark))
+
+
+def _latest_quotes(spark, sf):
+    from pyspark.sql import functions as F
+
+    q = PL.parse_simple_price(TD.simple_price_payloads(spark, sf))
+    best = F.max(F.struct("fetched_at", "_seq", "price_eur"))
+    return q.groupBy("coin_id").agg(best.alias("b")).select(
+        "coin_id",
+        F.date_trunc("second", F.col("b.fetched_at")).cast("timestamp_ntz").alias("ts"),
+        F.col("b.price_eur").alias("price_eur"),
+    )
+
+
+@register("quotes_joined", O.quotes_joined(TX_C, _QUOTES_C, COINS_MAP_DEFAULT), "A5 D6 E7 B16")
+def q_quotes_joined(spark, sf):
+    syms = PX.symbol_universe(TD.tx_events(spark, sf, "coins"))
+    return PL.quotes_for_symbols(syms, PL.parse_mapping(spark), _latest_quotes(spark, sf)).select(
+        "symbol", "coin_id", "ts", "price_eur"
+    )
+
+
+@register("ids_without_quote", O.ids_without_quote(TX_C, _QUOTES_C, COINS_MAP_DEFAULT), "E8 A5")
+def q_ids_without_quote(spark, sf):
+    syms = PX.symbol_universe(TD.tx_events(spark, sf, "coins"))
+    quotes = PL.parse_simple_price(TD.simple_price_payloads(spark, sf))
+    return PL.ids_without_quote(syms, PL.parse_mapping(spark), quotes)

@@ -316,3 +316,133 @@ def infer_types_raw(raw_sql: str, columns: Sequence[str]) -> str:
             t = f"CASE WHEN coalesce(bool_and({ok}), true) THEN 'DECIMAL(20,2)' ELSE 'NVARCHAR(255)' END"
         parts.append(f"SELECT {i} AS position, '{c}' AS column_name, (SELECT {t} FROM r) AS inferred_type")
     return f"WITH r AS ({raw_sql})\n" + "\nUNION ALL\n".join(parts)
+
+
+# --- prices, gaps, payloads ---------------------------------------------------------
+
+
+def daily_close_paris(pr_sql: str) -> str:
+    return f"""
+SELECT symbol, date, CAST(price_eur AS DECIMAL(18,8)) AS price_eur FROM (
+  SELECT lower(symbol) AS symbol, {local_day('ts')} AS date, price_eur,
+         row_number() OVER (PARTITION BY lower(symbol), {local_day('ts')}
+                            ORDER BY ts DESC, price_eur DESC) AS rn
+  FROM ({pr_sql}) WHERE price_eur IS NOT NULL) WHERE rn = 1"""
+
+
+def chart_points(scheme_symbol_sql: str) -> str:
+    """Market-chart points of the click payloads, derived without JSON."""
+    return f"""
+SELECT {scheme_symbol_sql} AS symbol, event_id AS _seq, 0 AS pos,
+       make_timestamp((epoch_us(ts) // 1000) * 1000) AS ts,
+       CAST(value AS DECIMAL(18,8)) AS price_eur
+FROM events WHERE event_type = 'click'"""
+
+
+def daily_close_utc(points_sql: str) -> str:
+    return f"""
+SELECT symbol, date, ts, price_eur FROM (
+  SELECT lower(symbol) AS symbol, CAST(ts AS DATE) AS date, ts, price_eur,
+         row_number() OVER (PARTITION BY lower(symbol), CAST(ts AS DATE)
+                            ORDER BY _seq DESC, pos DESC) AS rn
+  FROM ({points_sql}) WHERE price_eur IS NOT NULL) WHERE rn = 1"""
+
+
+def market_chart_summary(points_sql: str) -> str:
+    return f"""
+SELECT lower(symbol) AS symbol, count(*) AS n_points, min(ts) AS first_ts, max(ts) AS last_ts
+FROM ({points_sql}) GROUP BY lower(symbol)"""
+
+
+def gaps(tx_sql: str, pr_sql: str) -> str:
+    """Missing UTC price days per transaction symbol, first tx day .. last day seen."""
+    return f"""
+WITH t AS (SELECT lower(symbol) AS symbol, CAST(date_utc AS DATE) AS date FROM ({tx_sql})),
+q AS (SELECT lower(symbol) AS symbol, ts FROM ({pr_sql})),
+bounds AS (SELECT (SELECT min(date) FROM t) AS start_d,
+                  greatest((SELECT max(date) FROM t),
+                           coalesce((SELECT max(CAST(ts AS DATE)) FROM q), (SELECT max(date) FROM t))) AS end_d),
+{spine_cte('(SELECT DISTINCT symbol FROM t)')},
+have AS (SELECT DISTINCT q.symbol, CAST(q.ts AS DATE) AS date FROM q, bounds b
+         WHERE q.ts >= CAST(b.start_d AS TIMESTAMP) AND q.ts < CAST(b.end_d + 1 AS TIMESTAMP))
+SELECT sp.symbol, sp.date FROM spine sp
+WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.symbol = sp.symbol AND h.date = sp.date)"""
+
+
+def gap_ranges(gaps_sql: str) -> str:
+    return f"""
+SELECT symbol, min(date) AS from_day, CAST(max(date) + 1 AS DATE) AS to_day_excl, count(*) AS n_missing
+FROM ({gaps_sql}) GROUP BY symbol"""
+
+
+def gap_report(tx_sql: str, gaps_sql: str) -> str:
+    return f"""
+WITH s AS (SELECT DISTINCT lower(symbol) AS symbol FROM ({tx_sql})),
+r AS ({gap_ranges(gaps_sql)})
+SELECT s.symbol, CAST(coalesce(r.n_missing, 0) AS BIGINT) AS n_missing, r.from_day, r.to_day_excl,
+       CASE WHEN r.n_missing IS NULL THEN 'complete' ELSE 'missing' END AS status
+FROM s LEFT JOIN r ON s.symbol = r.symbol"""
+
+
+def backfill_kept(points_sql: str, gaps_sql: str) -> str:
+    return f"""
+SELECT d.* FROM ({daily_close_utc(points_sql)}) d
+WHERE EXISTS (SELECT 1 FROM ({gaps_sql}) g WHERE g.symbol = d.symbol AND g.date = d.date)"""
+
+
+def symbol_universe(tx_sql: str) -> str:
+    return f"SELECT DISTINCT lower(symbol) AS symbol FROM ({tx_sql}) WHERE length(lower(symbol)) > 0"
+
+
+def tx_span(tx_sql: str) -> str:
+    return f"SELECT min(date_utc) AS first_date_utc, max(date_utc) AS last_date_utc FROM ({tx_sql})"
+
+
+def last_price_day(pr_sql: str) -> str:
+    return f"SELECT lower(symbol) AS symbol, max(CAST(ts AS DATE)) AS last_day FROM ({pr_sql}) GROUP BY 1"
+
+
+def mapping(mapping_str: str) -> str:
+    return f"""
+SELECT symbol, arg_max(coin_id, pos) AS coin_id FROM (
+  SELECT trim(split_part(pair, ':', 1)) AS symbol,
+         trim(substr(pair, strpos(pair, ':') + 1)) AS coin_id, pos
+  FROM (SELECT unnest(string_split('{mapping_str}', ',')) AS pair,
+               generate_subscripts(string_split('{mapping_str}', ','), 1) AS pos)
+  WHERE strpos(pair, ':') > 0) GROUP BY symbol"""
+
+
+def mapped_symbols(tx_sql: str, mapping_str: str) -> str:
+    return f"""
+SELECT s.symbol, m.coin_id FROM ({symbol_universe(tx_sql)}) s JOIN ({mapping(mapping_str)}) m
+ON s.symbol = m.symbol"""
+
+
+def unmapped_symbols(tx_sql: str, mapping_str: str) -> str:
+    return f"""
+SELECT s.symbol FROM ({symbol_universe(tx_sql)}) s
+WHERE NOT EXISTS (SELECT 1 FROM ({mapping(mapping_str)}) m WHERE m.symbol = s.symbol)"""
+
+
+def simple_quotes(scheme_symbol_sql: str, mapping_str: str) -> str:
+    """Current-price quotes of the view payloads, derived without JSON."""
+    return f"""
+SELECT event_id AS _seq, ts AS fetched_at, m.coin_id, CAST(value AS DECIMAL(18,8)) AS price_eur
+FROM events e JOIN ({mapping(mapping_str)}) m ON m.symbol = {scheme_symbol_sql}
+WHERE event_type = 'view'"""
+
+
+def quotes_joined(tx_sql: str, quotes_sql: str, mapping_str: str) -> str:
+    return f"""
+WITH lq AS (
+  SELECT coin_id, price_eur, date_trunc('second', fetched_at) AS ts FROM (
+    SELECT *, row_number() OVER (PARTITION BY coin_id ORDER BY fetched_at DESC, _seq DESC) AS rn
+    FROM ({quotes_sql})) WHERE rn = 1)
+SELECT ms.symbol, ms.coin_id, lq.ts, lq.price_eur
+FROM ({mapped_symbols(tx_sql, mapping_str)}) ms JOIN lq ON lq.coin_id = ms.coin_id"""
+
+
+def ids_without_quote(tx_sql: str, quotes_sql: str, mapping_str: str) -> str:
+    return f"""
+SELECT DISTINCT coin_id FROM ({mapped_symbols(tx_sql, mapping_str)}) ms
+WHERE NOT EXISTS (SELECT 1 FROM ({quotes_sql}) q WHERE q.coin_id = ms.coin_id)"""

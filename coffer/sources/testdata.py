@@ -145,8 +145,8 @@ def market_chart_payloads(spark: SparkSession, sf_dir: str, scheme: str = "coins
     ``_seq`` is the landing order.
     """
     ev = table(spark, sf_dir, "events").filter(F.col("event_type") == "click")
-    ms = F.unix_micros(F.col("ts").cast(T.TimestampType())) / 1000
-    point = F.array(ms.cast("double"), F.col("value"))
+    micros = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), F.col("ts"))
+    point = F.array(F.floor(micros / 1000).cast("double"), F.col("value"))
     return ev.select(
         _event_symbol(scheme).alias("symbol"),
         F.col("event_id").alias("_seq"),
