@@ -13,34 +13,54 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Whitespace as Python's ``str.strip`` sees it (Unicode-aware).
-_WS_EDGES = r"(?U)^\s+|\s+$"
+# FIXED VALUE — the characters Python's ``str.strip()`` removes
+# (``str.isspace``), in code-point order.
+PY_WHITESPACE = (
+    "\u0009\u000a\u000b\u000c\u000d\u001c\u001d\u001e\u001f\u0020\u0085\u00a0"
+    "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Decimal literal with optional underscores between digits and exponent.
 _DIGITS = r"\d(?:_?\d)*"
 _FLOAT_RE = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
-_NAN_RE = r"(?i)^[+-]?nan$"
-_INF_RE = r"(?i)^[+]?inf(?:inity)?$"
-_NEG_INF_RE = r"(?i)^-inf(?:inity)?$"
+_NUM_CHARS = "0123456789+-.eE"
 
 
 def strip_ws(c: Column) -> Column:
-    """Remove leading and trailing whitespace (Unicode), like ``str.strip``."""
-    return F.regexp_replace(c, _WS_EDGES, "")
+    """Remove leading and trailing whitespace as ``str.strip`` does.
+
+    A character-set trim (no regular expression).
+    """
+    return F.btrim(c, F.lit(PY_WHITESPACE))
 
 
 def parse_float(c: Column) -> Column:
     """Float syntax of the ledger (B4): NULL when the text is not a number.
 
     Accepts surrounding whitespace, sign, underscores between digits,
-    exponents, ``nan`` and ``inf``/``infinity`` in any case.
+    exponents, ``nan`` and ``inf``/``infinity`` in any case; rejects what
+    Spark's cast alone would also take (``1.0d``, hex floats).
+
+    Fast path: text made only of digits, sign, point and exponent letters is
+    cast directly; the regular expression only runs for text with
+    underscores.
     """
-    s = strip_ws(c.cast(T.StringType()))
+    return parse_float_text(strip_ws(c.cast(T.StringType())))
+
+
+def parse_float_text(s: Column) -> Column:
+    """``parse_float`` of text that is already stripped (pass an attribute:
+    the text is referenced by several branches and is not re-derived)."""
+    only_num = (F.length(s) > 0) & (F.translate(s, _NUM_CHARS, "") == "")
+    with_us = (F.length(s) > 0) & (F.translate(s, _NUM_CHARS + "_", "") == "")
+    low = F.lower(s)
     return (
-        F.when(s.rlike(_FLOAT_RE), F.regexp_replace(s, "_", "").try_cast(T.DoubleType()))
-        .when(s.rlike(_NAN_RE), F.lit(float("nan")))
-        .when(s.rlike(_INF_RE), F.lit(float("inf")))
-        .when(s.rlike(_NEG_INF_RE), F.lit(float("-inf")))
+        F.when(only_num, s.try_cast(T.DoubleType()))
+        .when(with_us & s.rlike(_FLOAT_RE), F.replace(s, F.lit("_"), F.lit("")).cast(T.DoubleType()))
+        .when(low.isin("nan", "+nan", "-nan"), F.lit(float("nan")))
+        .when(low.isin("inf", "+inf", "infinity", "+infinity"), F.lit(float("inf")))
+        .when(low.isin("-inf", "-infinity"), F.lit(float("-inf")))
     )
 
 
@@ -73,21 +93,25 @@ def try_date(c: Column) -> Column:
 
 
 # --- B5 date ladder ---------------------------------------------------------
-# Each fixed format of the ledger is a regular expression with numbered
-# groups (year, month, day, hour, minute[, second]) so that the digit widths
-# the format accepts (one or two digits for every field but the year) are the
-# ones matched; the calendar check is done by ``try_make_timestamp_ntz``.
+# Each fixed format of the ledger is a regular expression whose groups are
+# rewritten into one canonical, space-separated form
+#     "year month day hour minute second fraction sign off_hours off_minutes"
+# (empty fields allowed). Digit widths are the ones the format accepts (one
+# or two digits for every field but the year); the calendar check is done by
+# ``try_make_timestamp_ntz``. Formats are mutually exclusive patterns, so a
+# CASE picks the first that matches, as the ordered ladder does.
 _Y = r"(\d{4})"
 _N2 = r"(\d{1,2})"
+_WS = r"(?U)\s+"
 _FORMAT_RES = [
     # %Y-%m-%dT%H:%M:%S
-    (rf"(?i)^{_Y}-{_N2}-{_N2}T{_N2}:{_N2}:{_N2}$", (1, 2, 3, 4, 5, 6)),
+    (rf"(?i)^{_Y}-{_N2}-{_N2}T{_N2}:{_N2}:{_N2}$", "$1 $2 $3 $4 $5 $6    "),
     # %Y-%m-%d %H:%M:%S
-    (rf"^{_Y}-{_N2}-{_N2}(?U)\s+{_N2}:{_N2}:{_N2}$", (1, 2, 3, 4, 5, 6)),
+    (rf"^{_Y}-{_N2}-{_N2}{_WS}{_N2}:{_N2}:{_N2}$", "$1 $2 $3 $4 $5 $6    "),
     # %d/%m/%Y %H:%M
-    (rf"^{_N2}/{_N2}/{_Y}(?U)\s+{_N2}:{_N2}$", (3, 2, 1, 4, 5, None)),
+    (rf"^{_N2}/{_N2}/{_Y}{_WS}{_N2}:{_N2}$", "$3 $2 $1 $4 $5 0    "),
     # %d/%m/%Y %H:%M:%S
-    (rf"^{_N2}/{_N2}/{_Y}(?U)\s+{_N2}:{_N2}:{_N2}$", (3, 2, 1, 4, 5, 6)),
+    (rf"^{_N2}/{_N2}/{_Y}{_WS}{_N2}:{_N2}:{_N2}$", "$3 $2 $1 $4 $5 $6    "),
 ]
 
 # ISO-8601 fallback: extended or basic date, optional time with fraction,
@@ -97,38 +121,64 @@ _ISO_RE = (
     r"(?:[Tt ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?"
     r"(?:([+-])(\d{2})(?::?(\d{2}))?)?)?$"
 )
+_ISO_OUT = "$1 $2 $3 $4 $5 $6 $7 $8 $9 $10"
 
 
-def _ymdhms(s: Column, pattern: str, groups: tuple) -> Column:
-    def g(i):
-        if i is None:
-            return F.lit(0)
-        return F.regexp_extract(s, pattern, i).cast(T.IntegerType())
+def ledger_datetime_fields(c: Column) -> Column:
+    """The canonical field array of a ledger date text (NULL if no format
+    matches). Every ``Z`` is removed first (upper case only).
+
+    The text's shape picks the candidates (slash formats or dash formats),
+    so a row runs at most three pattern matches.
+    """
+    return ledger_datetime_fields_text(ledger_date_text(c))
 
-    y, mo, d, h, mi, sec = (g(i) for i in groups)
-    ok = s.rlike(pattern) & (h < 24) & (mi < 60) & (sec < 60)
-    return F.when(ok, F.try_make_timestamp_ntz(y, mo, d, h, mi, sec.cast("decimal(8,6)")))
 
+def ledger_date_text(c: Column) -> Column:
+    """Stripped date text with every upper-case ``Z`` removed."""
+    return F.replace(strip_ws(c.cast(T.StringType())), F.lit("Z"), F.lit(""))
 
-def _iso(s: Column) -> Column:
-    p = _ISO_RE
 
-    def g(i):
-        return F.regexp_extract(s, p, i)
+def ledger_datetime_fields_text(s: Column) -> Column:
+    """``ledger_datetime_fields`` of text already passed through
+    ``ledger_date_text`` (pass an attribute)."""
+    slash = [(p, o) for p, o in _FORMAT_RES if "/" in p]
+    dash = [(p, o) for p, o in _FORMAT_RES if "/" not in p] + [(_ISO_RE, _ISO_OUT)]
+
+    def ladder(cands):
+        out = None
+        for pat, rep in cands:
+            out = (F.when if out is None else out.when)(s.rlike(pat), F.regexp_replace(s, pat, rep))
+        return out
+
+    canon = F.when(F.contains(s, F.lit("/")), ladder(slash)).otherwise(ladder(dash))
+    return F.split(canon, " ")
+
+
+def datetime_from_fields(parts: Column) -> Column:
+    """UTC NTZ instant from ``ledger_datetime_fields``; NULL if not a valid
+    calendar time. A UTC offset is subtracted.
+
+    The fields are digit strings or empty (the regexes guarantee it), so a
+    plain cast guarded on emptiness is used: ``try_cast`` of an empty string
+    is an order of magnitude slower.
+    """
 
     def num(i):
-        v = g(i)
-        return F.when(v == "", F.lit(0)).otherwise(v.cast(T.IntegerType()))
+        x = F.element_at(parts, i)
+        return F.when(x == "", F.lit(0)).otherwise(x.cast(T.IntegerType()))
 
-    frac = F.rpad(F.substring(g(7), 1, 6), 6, "0")
-    secs = num(6).cast("decimal(8,6)") + F.when(g(7) == "", F.lit(0)).otherwise(
-        frac.cast(T.IntegerType())
-    ).cast("decimal(8,6)") / F.lit(1000000)
-    h, mi, sec = num(4), num(5), num(6)
-    ok = s.rlike(p) & (h < 24) & (mi < 60) & (sec < 60) & (num(9) < 24) & (num(10) < 60)
-    local = F.try_make_timestamp_ntz(num(1), num(2), num(3), h, mi, secs.cast("decimal(8,6)"))
-    offset_min = F.when(g(8) == "-", F.lit(-1)).otherwise(F.lit(1)) * (num(9) * 60 + num(10))
-    return F.when(ok, F.timestamp_add("MINUTE", -offset_min, local))
+    y, mo, d, h, mi, sec = (num(i) for i in range(1, 7))
+    frac_txt = F.element_at(parts, 7)
+    micros = F.when(frac_txt == "", F.lit(0)).otherwise(
+        F.rpad(F.substring(frac_txt, 1, 6), 6, "0").cast(T.IntegerType())
+    )
+    oh, om = num(9), num(10)
+    ok = (h < 24) & (mi < 60) & (sec < 60) & (oh < 24) & (om < 60)
+    local = F.try_make_timestamp_ntz(y, mo, d, h, mi, sec.cast("decimal(8,6)"))
+    sign = F.when(F.element_at(parts, 8) == "-", F.lit(-60000000)).otherwise(F.lit(60000000))
+    shift = micros.cast("long") - sign.cast("long") * (oh * 60 + om).cast("long")
+    return F.when(parts.isNotNull() & ok, F.timestamp_add("MICROSECOND", shift, local))
 
 
 def parse_ledger_datetime(c: Column) -> Column:
@@ -137,7 +187,7 @@ def parse_ledger_datetime(c: Column) -> Column:
     Every ``Z`` is removed first (upper case only), then the fixed formats are
     tried in order, then the ISO fallback, whose offset is honoured. Callers
     substitute their ``as_of`` for NULL (the original substituted "now").
+    For wide projections compute ``ledger_datetime_fields`` in one select and
+    ``datetime_from_fields`` in the next, so the split is evaluated once.
     """
-    s = F.replace(strip_ws(c.cast(T.StringType())), F.lit("Z"), F.lit(""))
-    candidates = [_ymdhms(s, p, g) for p, g in _FORMAT_RES] + [_iso(s)]
-    return F.coalesce(*candidates)
+    return datetime_from_fields(ledger_datetime_fields(c))

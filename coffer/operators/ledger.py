@@ -16,7 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coffer.functions.names import column_or_null, normalize_headers, resolve_like
-from coffer.functions.parse import parse_float, parse_ledger_datetime, strip_ws, to_float
+from coffer.functions.parse import (
+    datetime_from_fields,
+    ledger_date_text,
+    ledger_datetime_fields_text,
+    parse_float,
+    parse_float_text,
+    strip_ws,
+)
 from coffer.functions.timecols import to_second
 from coffer.schemas import (
     EUR_TICKER,
@@ -97,15 +104,20 @@ def fee_eur(fee_asset: Column, price: Column) -> Column:
 
 def iso_utc(ts: Column) -> Column:
     """ISO-8601 text of a UTC instant with ``+00:00``; microseconds only when
-    non-zero (the ``isoformat`` convention)."""
-    sec = F.extract(F.lit("SECOND"), ts)
-    micros = (sec * 1000000).cast("long") % 1000000
-    base = F.format_string(
-        "%04d-%02d-%02dT%02d:%02d:%02d",
-        F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts), F.floor(sec).cast("int"),
+    non-zero (the ``isoformat`` convention).
+
+    Built from the NTZ string cast (zone-independent, no formatter call):
+    ``yyyy-MM-dd HH:mm:ss[.f…]`` with the fraction padded to six digits.
+    """
+    txt = ts.cast(T.StringType())
+    frac = F.substring(txt, 21, 6)
+    return F.concat(
+        F.substring(txt, 1, 10),
+        F.lit("T"),
+        F.substring(txt, 12, 8),
+        F.when(frac == "", F.lit("")).otherwise(F.concat(F.lit("."), F.rpad(frac, 6, "0"))),
+        F.lit("+00:00"),
     )
-    frac = F.when(micros != 0, F.format_string(".%06d", micros)).otherwise(F.lit(""))
-    return F.concat(base, frac, F.lit("+00:00"))
 
 
 def fixed8(x: Column) -> Column:
@@ -134,35 +146,69 @@ def normalize_ledger(raw: DataFrame, as_of: _dt.datetime | str) -> DataFrame:
     flagged in ``date_defaulted``. Price and fee stay DOUBLE here (they come
     from a division); ``to_store`` casts to the stored decimals. A ``_seq``
     column, if present, is passed through for last-write-wins de-duplication.
+
+    The rules are layered in successive projections (texts and parsed
+    numbers, then signed quantity, then price, then fee, then the hash) so
+    every sub-expression is generated once in the fused code.
     """
     df = normalize_headers(raw)
     f = resolve_fields(df.columns)
     col = {k: column_or_null(v) for k, v in f.items()}
+    seq = [F.col(SEQ)] if SEQ in df.columns else []
+
+    # Texts are stripped once here; the parsers below reference attributes,
+    # since conditional branches are not shared by subexpression elimination.
+    p0 = df.select(
+        *seq,
+        ledger_date_text(col["date"]).alias("__d"),
+        strip_ws(_text(col["currency"])).alias("__sym"),
+        strip_ws(_text(col["op_type"])).alias("__op"),
+        strip_ws(col["amount"]).alias("__amount"),
+        strip_ws(_text(col["countervalue_ticker"])).alias("__ticker"),
+        strip_ws(col["countervalue"]).alias("__cv"),
+        strip_ws(col["price"]).alias("__px"),
+        strip_ws(col["fee"]).alias("__fee"),
+        F.when(_text(col["note"]) == "", F.lit("")).otherwise(col["note"]).alias("note"),
+    )
 
-    parsed = parse_ledger_datetime(col["date"])
-    as_of_col = F.lit(str(as_of)).cast(T.TimestampNTZType())
-    dt = F.coalesce(parsed, as_of_col)
-
-    symbol = F.lower(strip_ws(_text(col["currency"])))
-    op = F.lower(strip_ws(_text(col["op_type"])))
-    qty = signed_qty(to_float(col["amount"]), op)
-    ticker = F.upper(strip_ws(_text(col["countervalue_ticker"])))
-    price = unit_price(qty, ticker, to_float(col["countervalue"]), to_float(col["price"]))
-    fee = fee_eur(to_float(col["fee"]), price)
-    note = F.when(_text(col["note"]) == "", F.lit("")).otherwise(col["note"])
-
-    stage = df.select(
-        *([F.col(SEQ)] if SEQ in df.columns else []),
-        dt.alias("__dt"),
-        parsed.isNull().alias("date_defaulted"),
-        symbol.alias("symbol"),
-        qty.alias("qty"),
-        price.alias("price_eur"),
-        fee.alias("fee_eur"),
-        note.alias("note"),
+    def num(name):
+        return F.coalesce(parse_float_text(F.col(name)), F.lit(0.0))
+
+    p1 = p0.select(
+        *seq,
+        ledger_datetime_fields_text(F.col("__d")).alias("__dp"),
+        F.lower("__sym").alias("symbol"),
+        F.lower("__op").alias("__op"),
+        num("__amount").alias("__amount"),
+        F.upper("__ticker").alias("__ticker"),
+        num("__cv").alias("__cv"),
+        num("__px").alias("__px"),
+        num("__fee").alias("__fee"),
+        "note",
+    )
+    parsed = datetime_from_fields(F.col("__dp"))
+    p2 = p1.select(
+        *seq,
+        parsed.alias("__parsed"),
+        "symbol",
+        # + 0.0: a signed zero (-abs(0.0)) becomes 0.0, as in a stored decimal.
+        (signed_qty(F.col("__amount"), F.col("__op")) + F.lit(0.0)).alias("qty"),
+        "__ticker", "__cv", "__px", "__fee", "note",
+    )
+    p3 = p2.select(
+        *seq,
+        F.coalesce(F.col("__parsed"), F.lit(str(as_of)).cast(T.TimestampNTZType())).alias("__dt"),
+        F.col("__parsed").isNull().alias("date_defaulted"),
+        "symbol", "qty",
+        unit_price(F.col("qty"), F.col("__ticker"), F.col("__cv"), F.col("__px")).alias("price_eur"),
+        "__fee", "note",
+    )
+    p4 = p3.select(
+        *seq, "__dt", "date_defaulted", "symbol", "qty", "price_eur",
+        fee_eur(F.col("__fee"), F.col("price_eur")).alias("fee_eur"), "note",
     )
-    out = stage.select(
-        *([F.col(SEQ)] if SEQ in df.columns else []),
+    return p4.select(
+        *seq,
         to_second(F.col("__dt")).alias("date_utc"),
         "symbol",
         "qty",
@@ -176,7 +222,6 @@ def normalize_ledger(raw: DataFrame, as_of: _dt.datetime | str) -> DataFrame:
         ).alias("dedup_hash"),
         "date_defaulted",
     )
-    return out
 
 
 def to_store(tx: DataFrame) -> DataFrame:

@@ -268,3 +268,209 @@ def q_ids_without_quote(spark, sf):
     syms = PX.symbol_universe(TD.tx_events(spark, sf, "coins"))
     quotes = PL.parse_simple_price(TD.simple_price_payloads(spark, sf))
     return PL.ids_without_quote(syms, PL.parse_mapping(spark), quotes)
+
+
+# --- upserts --------------------------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from coffer.operators import quality as QA  # noqa: E402
+from coffer.operators import upsert as UP  # noqa: E402
+from coffer.schemas import (  # noqa: E402
+    LEN_DEDUP_HASH, LEN_EXCHANGE, LEN_NOTE, LEN_SYMBOL, MONEY, PORTFOLIO_KEY, PORTFOLIO_UPDATE,
+    PRICE_KEY, PRICE_UPDATE, TRANSACTIONS_KEY, TRANSACTIONS_UPDATE, sheet_columns,
+)
+
+RUN_TS = "2026-01-01 00:00:00"  # one run timestamp, as the report stamps every row
+_TX_COLS = ["date_utc", "symbol", "qty", "price_eur", "fee_eur", "exchange", "note", "dedup_hash", "created_at"]
+# Existing table = an earlier export, incoming batch = a later overlapping export.
+_L_OLD, _L_NEW = "1998-01-01", "1997-01-01"
+_E_OLD, _E_NEW = "2024-01-20", "2024-01-10"
+
+_TX_TARGET_SQL = (
+    f"SELECT date_utc, symbol, qty, price_eur, fee_eur, exchange, note, dedup_hash, date_utc AS created_at "
+    f"FROM ({_NORM_SQL}) WHERE date_utc < TIMESTAMP '{_L_OLD}'"
+)
+_TX_SOURCE_SQL = f"SELECT * FROM ({_NORM_SQL}) WHERE date_utc >= TIMESTAMP '{_L_NEW}'"
+
+
+@register(
+    "upsert_transactions",
+    O.upsert(_TX_TARGET_SQL, _TX_SOURCE_SQL, TRANSACTIONS_KEY, TRANSACTIONS_UPDATE, _TX_COLS, "_seq", LEDGER_AS_OF),
+    "I1 I2 I6 I10",
+)
+def q_upsert_transactions(spark, sf):
+    norm = LG.normalize_ledger(TD.ledger_raw(spark, sf), LEDGER_AS_OF)
+    target = norm.filter(F.col("date_utc") < F.lit(_L_OLD).cast("timestamp_ntz")).select(
+        *_TX_COLS[:-1], F.col("date_utc").alias("created_at")
+    )
+    source = norm.filter(F.col("date_utc") >= F.lit(_L_NEW).cast("timestamp_ntz"))
+    return UP.upsert(target, source, TRANSACTIONS_KEY, TRANSACTIONS_UPDATE, seq="_seq", now=LEDGER_AS_OF)
+
+
+_PR_TARGET_SQL = f"SELECT ts, symbol, price_eur, ts AS created_at FROM ({PR_E}) WHERE ts < TIMESTAMP '{_E_OLD}'"
+_PR_SOURCE_SQL = (
+    f"SELECT ts, symbol, price_eur, event_id AS _seq FROM ({PR_E}) WHERE ts >= TIMESTAMP '{_E_NEW}' "
+    f"UNION ALL SELECT ts, symbol, price_eur, -1 AS _seq FROM ({O.backfill_kept(_POINTS_U, _GAPS_E)})"
+)
+
+
+@register(
+    "upsert_prices",
+    O.upsert(_PR_TARGET_SQL, _PR_SOURCE_SQL, PRICE_KEY, PRICE_UPDATE, ["ts", "symbol", "price_eur", "created_at"],
+             "_seq", RUN_TS),
+    "I1 I3 I6 I10 E6",
+)
+def q_upsert_prices(spark, sf):
+    pr = TD.prices_events(spark, sf)
+    target = pr.filter(F.col("ts") < F.lit(_E_OLD).cast("timestamp_ntz")).select(
+        "ts", "symbol", "price_eur", F.col("ts").alias("created_at")
+    )
+    fresh = pr.filter(F.col("ts") >= F.lit(_E_NEW).cast("timestamp_ntz")).select(
+        "ts", "symbol", "price_eur", F.col("event_id").alias("_seq")
+    )
+    backfill = q_backfill_points_kept(spark, sf).select("ts", "symbol", "price_eur", F.lit(-1).cast("long").alias("_seq"))
+    return UP.upsert(target, fresh.unionByName(backfill), PRICE_KEY, PRICE_UPDATE, seq="_seq", now=RUN_TS)
+
+
+_TX_L_OLD = f"SELECT * FROM ({TX_L}) WHERE date_utc < TIMESTAMP '{_L_OLD}'"
+_SNAP_COLS = ["ts", "symbol", "qty", "investi", "price_eur", "valeur_actuelle", "pnl_eur", "pnl_pct", "created_at"]
+
+
+def _snapshot_sql(holdings_sql: str, created: bool) -> str:
+    c = ", TIMESTAMP '{t}' AS created_at".format(t=RUN_TS) if created else ""
+    return f"""SELECT TIMESTAMP '{RUN_TS}' AS ts, symbol,
+      TRY_CAST(qty AS DECIMAL(18,8)) AS qty, TRY_CAST(investi AS DECIMAL(18,8)) AS investi,
+      TRY_CAST(price_eur AS DECIMAL(18,8)) AS price_eur,
+      TRY_CAST(valeur_actuelle AS DECIMAL(18,8)) AS valeur_actuelle,
+      TRY_CAST(pnl AS DECIMAL(18,8)) AS pnl_eur, TRY_CAST(pnl_pct AS DECIMAL(10,4)) AS pnl_pct{c}
+    FROM ({holdings_sql})"""
+
+
+@register(
+    "upsert_snapshot",
+    O.upsert(_snapshot_sql(O.holdings(_TX_L_OLD, PR_L), True), _snapshot_sql(O.holdings(TX_L, PR_L), False),
+             PORTFOLIO_KEY, PORTFOLIO_UPDATE, _SNAP_COLS, None, RUN_TS),
+    "I1 I4 I10 C5",
+)
+def q_upsert_snapshot(spark, sf):
+    tx = TD.tx_lineitem(spark, sf)
+    pr = TD.prices_lineitem(spark, sf)
+    old = H.holdings_report(tx.filter(F.col("date_utc") < F.lit(_L_OLD).cast("timestamp_ntz")), pr)
+    target = H.portfolio_snapshot(old, RUN_TS).withColumn("created_at", F.lit(RUN_TS).cast("timestamp_ntz"))
+    source = H.portfolio_snapshot(H.holdings_report(tx, pr), RUN_TS)
+    return UP.upsert(target, source, PORTFOLIO_KEY, PORTFOLIO_UPDATE, now=RUN_TS)
+
+
+_SHEET_COLS = sheet_columns(COINS)
+_WIDE_OLD_SQL = O.daily_wide(O.daily_long(TX_C, PR_C, COINS, as_of="2024-01-20"), COINS)
+_WIDE_NEW_SQL = O.daily_wide(_LONG_C, COINS)
+
+
+@register(
+    "upsert_sheet",
+    O.upsert(_WIDE_OLD_SQL, _WIDE_NEW_SQL, ["date"], _SHEET_COLS[1:], _SHEET_COLS, None, None, None),
+    "I1 I5 F10",
+)
+def q_upsert_sheet(spark, sf):
+    tx = TD.tx_events(spark, sf, "coins")
+    pr = TD.prices_events(spark, sf, "coins")
+    old = V.daily_valuation_wide(V.daily_valuation_long(tx, pr, coins=COINS, as_of="2024-01-20"), COINS)
+    new = V.daily_valuation_wide(V.daily_valuation_long(tx, pr, coins=COINS), COINS)
+    merged = UP.upsert(old, new, ["date"], _SHEET_COLS[1:], created_col=None)
+    return UP.fill_numeric_nulls(merged, _SHEET_COLS[1:])
+
+
+# --- quality ----------------------------------------------------------------------------
+
+
+@register("key_violations", O.key_violations(TX_L, ["date_utc", "symbol"]), "Q2")
+def q_key_violations(spark, sf):
+    return QA.key_violations(TD.tx_lineitem(spark, sf), ["date_utc", "symbol"])
+
+
+def _ledger_rules():
+    return QA.domain_rules(
+        not_null=["date_utc", "symbol", "dedup_hash"],
+        max_len={"symbol": LEN_SYMBOL, "exchange": LEN_EXCHANGE, "note": LEN_NOTE, "dedup_hash": LEN_DEDUP_HASH},
+        decimals={"qty": MONEY, "price_eur": MONEY, "fee_eur": MONEY},
+    )
+
+
+def _domain_audit_sql() -> str:
+    parts = []
+    for c in ["date_utc", "symbol", "dedup_hash"]:
+        parts.append((f"null:{c}", f"{c} IS NULL"))
+    for c, n in [("symbol", LEN_SYMBOL), ("exchange", LEN_EXCHANGE), ("note", LEN_NOTE), ("dedup_hash", LEN_DEDUP_HASH)]:
+        parts.append((f"length:{c}>{n}", f"length({c}) > {n}"))
+    for c in ["qty", "price_eur", "fee_eur"]:
+        parts.append((f"decimal:{c}", f"{c} IS NOT NULL AND TRY_CAST({c} AS DECIMAL(18,8)) IS NULL"))
+    sel = " UNION ALL ".join(
+        f"SELECT '{r}' AS reason, count(*) FILTER (WHERE coalesce({p}, false)) AS n_rejected, count(*) AS n_rows FROM n"
+        for r, p in parts
+    )
+    return f"WITH n AS ({_NORM_SQL}) {sel}"
+
+
+@register("domain_audit", _domain_audit_sql(), "Q3")
+def q_domain_audit(spark, sf):
+    return QA.domain_audit(LG.normalize_ledger(TD.ledger_raw(spark, sf), LEDGER_AS_OF), _ledger_rules())
+
+
+@register("null_audit", O.null_audit(O.positions_long(TX_L, PR_L), "qty"), "Q4 H4 D5")
+def q_null_audit(spark, sf):
+    return QA.null_audit(P.positions_asof(TD.tx_lineitem(spark, sf), TD.prices_lineitem(spark, sf)), "qty")
+
+
+_POS_WIDE_C = O.positions_wide(O.positions_long(TX_C, PR_C, COINS), COINS)
+
+
+@register(
+    "null_fill",
+    "SELECT date, " + ", ".join(f"CAST(coalesce(qty_{c}, 0) AS DECIMAL(28,8)) AS qty_{c}" for c in COINS)
+    + f" FROM ({_POS_WIDE_C})",
+    "Q5",
+)
+def q_null_fill(spark, sf):
+    return QA.fill_nulls(q_positions_wide(spark, sf), [f"qty_{c}" for c in COINS])
+
+
+@register(
+    "series_tail",
+    f'SELECT date, "btc valeur" FROM ({O.coin_view(O.daily_wide(_LONG_C, COINS), "btc")}) ORDER BY date DESC LIMIT 10',
+    "H3 H2 Q6",
+)
+def q_series_tail(spark, sf):
+    from coffer.functions.names import find_value_column
+
+    view = q_coin_view(spark, sf)
+    return V.series_tail(view, find_value_column(view.columns, "btc"), 10)
+
+
+# --- names --------------------------------------------------------------------------------
+from coffer.functions import names as NM  # noqa: E402
+
+
+@register(
+    "normalized_names",
+    f"SELECT p_partkey, {O.normalize_name('p_name')} AS name_norm, {O.normalize_name('p_type')} AS type_norm FROM part",
+    "B17",
+)
+def q_normalized_names(spark, sf):
+    part = TD.table(spark, sf, "part")
+    return part.select(
+        "p_partkey",
+        NM.normalize_name_col(F.col("p_name")).alias("name_norm"),
+        NM.normalize_name_col(F.col("p_type")).alias("type_norm"),
+    )
+
+
+@register(
+    "safe_names",
+    f"""SELECT p_partkey, CASE WHEN rn = 1 THEN base ELSE base || '_' || CAST(rn AS VARCHAR) END AS safe_name
+    FROM (SELECT p_partkey, {O.safe_base('p_brand')} AS base,
+                 row_number() OVER (PARTITION BY {O.safe_base('p_brand')} ORDER BY p_partkey) AS rn FROM part)""",
+    "B18",
+)
+def q_safe_names(spark, sf):
+    part = TD.table(spark, sf, "part").select("p_partkey", "p_brand")
+    return NM.safe_names_col(part, "p_brand", "p_partkey").select("p_partkey", "safe_name")

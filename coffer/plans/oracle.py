@@ -22,10 +22,12 @@ def _in_list(values: Sequence[str]) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-def bounds_ctes(tx: str = "t", pr: str | None = "q") -> str:
+def bounds_ctes(tx: str = "t", pr: str | None = "q", as_of: str | None = None) -> str:
     """CTE ``bounds(start_d, end_d)``: first local tx day, last local day seen."""
     end = "(SELECT max(date) FROM {tx})".format(tx=tx)
-    if pr:
+    if as_of:
+        end = f"DATE '{as_of}'"
+    elif pr:
         end = f"greatest({end}, coalesce((SELECT max(date) FROM {pr}), {end}))"
     return f"bounds AS (SELECT (SELECT min(date) FROM {tx}) AS start_d, {end} AS end_d)"
 
@@ -37,7 +39,7 @@ def spine_cte(syms: str) -> str:
       FROM {syms} s, bounds b)"""
 
 
-def daily_long(tx_sql: str, pr_sql: str, coins: Sequence[str] | None = None) -> str:
+def daily_long(tx_sql: str, pr_sql: str, coins: Sequence[str] | None = None, as_of: str | None = None) -> str:
     """Long daily valuation over transactions ``tx_sql`` and quotes ``pr_sql``."""
     coin_tx = f"WHERE symbol IN {_in_list(coins)}" if coins else ""
     syms = (
@@ -54,7 +56,7 @@ t AS (
 q0 AS ({pr_sql}),
 q AS (SELECT lower(symbol) AS symbol, ts, price_eur, {local_day('ts')} AS date
       FROM q0 WHERE price_eur IS NOT NULL),
-{bounds_ctes('t', 'q')},
+{bounds_ctes('t', 'q', as_of)},
 {spine_cte(syms)},
 fl AS (
   SELECT symbol, date,
@@ -272,7 +274,7 @@ a AS (
 b AS (
   SELECT *, coalesce(parsed, TIMESTAMP '{as_of}') AS dt,
     CASE WHEN op IN ('out', 'send', 'withdrawal', 'withdraw', 'sell') THEN -abs(q0)
-         WHEN op IN ('in', 'receive', 'deposit', 'buy') THEN abs(q0) ELSE q0 END AS qty
+         WHEN op IN ('in', 'receive', 'deposit', 'buy') THEN abs(q0) ELSE q0 END + 0.0 AS qty
   FROM a),
 c AS (
   SELECT *, CASE WHEN ticker = 'EUR' AND qty <> 0 THEN abs(cv) / abs(qty) ELSE 0.0 END AS p0 FROM b),
@@ -446,3 +448,80 @@ def ids_without_quote(tx_sql: str, quotes_sql: str, mapping_str: str) -> str:
     return f"""
 SELECT DISTINCT coin_id FROM ({mapped_symbols(tx_sql, mapping_str)}) ms
 WHERE NOT EXISTS (SELECT 1 FROM ({quotes_sql}) q WHERE q.coin_id = ms.coin_id)"""
+
+
+# --- upserts, quality, names ----------------------------------------------------------
+
+
+def upsert(
+    target_sql: str,
+    source_sql: str,
+    keys: Sequence[str],
+    update_cols: Sequence[str],
+    columns: Sequence[str],
+    seq: str | None = None,
+    now: str | None = None,
+    created_col: str | None = "created_at",
+) -> str:
+    part = ", ".join(_q(k) for k in keys)
+    src = f"SELECT * FROM ({source_sql})"
+    if seq:
+        src = f"""SELECT * EXCLUDE (__rn) FROM (
+      SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY {_q(seq)} DESC) AS __rn
+      FROM ({source_sql})) WHERE __rn = 1"""
+    on = " AND ".join(f"t.{_q(k)} = s.{_q(k)}" for k in keys)
+    sel = []
+    for c in columns:
+        qc = _q(c)
+        if c in keys:
+            e = f"CASE WHEN t.__thit THEN t.{qc} ELSE s.{qc} END"
+        elif c in update_cols:
+            e = f"CASE WHEN s.__shit THEN s.{qc} ELSE t.{qc} END"
+        elif created_col and c == created_col and now:
+            e = f"CASE WHEN t.__thit THEN t.{qc} ELSE TIMESTAMP '{now}' END"
+        else:
+            e = f"CASE WHEN t.__thit THEN t.{qc} ELSE s.{qc} END"
+        sel.append(f"{e} AS {qc}")
+    sel.append(
+        "CASE WHEN t.__thit AND s.__shit THEN 'updated' WHEN t.__thit THEN 'kept' ELSE 'inserted' END AS _action"
+    )
+    return f"""
+WITH t AS (SELECT *, true AS __thit FROM ({target_sql})),
+s AS (SELECT *, true AS __shit FROM ({src}))
+SELECT {", ".join(sel)}
+FROM t FULL OUTER JOIN s ON {on}"""
+
+
+def key_violations(sql: str, keys: Sequence[str]) -> str:
+    k = ", ".join(keys)
+    return f"SELECT {k}, count(*) AS n FROM ({sql}) GROUP BY {k} HAVING count(*) > 1"
+
+
+def null_audit(sql: str, value_col: str, group_col: str = "symbol", sample: int = 5) -> str:
+    return f"""
+WITH d AS (SELECT * FROM ({sql})),
+c AS (SELECT {group_col}, count(*) FILTER (WHERE {value_col} IS NULL) AS n_null FROM d GROUP BY {group_col}),
+s AS (SELECT {group_col}, string_agg(CAST(date AS VARCHAR), ', ' ORDER BY date) AS sample_dates FROM (
+        SELECT {group_col}, date, row_number() OVER (PARTITION BY {group_col} ORDER BY date) AS rn
+        FROM d WHERE {value_col} IS NULL) WHERE rn <= {sample} GROUP BY {group_col})
+SELECT c.{group_col}, c.n_null, coalesce(s.sample_dates, '') AS sample_dates
+FROM c LEFT JOIN s ON c.{group_col} = s.{group_col}"""
+
+
+def normalize_name(expr: str) -> str:
+    s = f"lower(regexp_replace({expr}, '^\\s+|\\s+$', '', 'g'))"
+    for a, b in [("é", "e"), ("è", "e"), ("ê", "e"), ("à", "a"), ("ù", "u"), ("ç", "c"), ("œ", "oe"), ("avx", "avax")]:
+        s = f"replace({s}, '{a}', '{b}')"
+    s = f"regexp_replace({s}, '[\\s\\-/]+', '_', 'g')"
+    s = f"regexp_replace({s}, '[^a-z0-9_]', '', 'g')"
+    s = f"trim(regexp_replace({s}, '_+', '_', 'g'), '_')"
+    s = f"CASE WHEN {s} = '' THEN 'col' ELSE {s} END"
+    return f"CASE WHEN regexp_matches({s}, '^[0-9]') THEN 'c_' || {s} ELSE {s} END"
+
+
+def safe_base(expr: str) -> str:
+    s = f"lower(regexp_replace({expr}, '^\\s+|\\s+$', '', 'g'))"
+    s = f"regexp_replace({s}, '[\\s\\-/]+', '_', 'g')"
+    s = f"regexp_replace({s}, '[^a-z0-9_]+', '', 'g')"
+    s = f"trim(regexp_replace({s}, '_+', '_', 'g'), '_')"
+    return f"CASE WHEN {s} = '' THEN 'sheet' ELSE {s} END"

@@ -122,7 +122,13 @@ def ledger_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     amount = F.when(F.col("l_orderkey") % 97 == 0, F.lit("n/a")).otherwise(
         F.col("l_quantity").cast("string")
     )
-    return li.join(pa, F.col("l_partkey") == F.col("p_partkey")).select(
+    # The test tables are single-row-group files, which one task reads; a
+    # real export arrives as many splits. Spread the stand-in rows the same
+    # way (layout only: ``_seq`` carries the line order).
+    joined = li.join(pa, F.col("l_partkey") == F.col("p_partkey")).repartition(
+        spark.sparkContext.defaultParallelism
+    )
+    return joined.select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("_seq"),
         date_s.alias("Operation Date"),
         F.upper("p_brand").alias("Currency Ticker"),
