@@ -20,8 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coffer.functions.timecols import day_spine, local_day
-from coffer.operators.valuation import _literal_symbols, sheet_bounds
+from coffer.functions.timecols import local_day
+from coffer.operators.valuation import _literal_symbols, sheet_calendar
 from coffer.schemas import MONEY, MONEY_SUM, SHEET_TZ
 
 
@@ -32,8 +32,8 @@ def sheet_dates(
     tz: str = SHEET_TZ,
 ) -> DataFrame:
     """The sheet's dates as a one-column DataFrame (H8)."""
-    start, end = sheet_bounds(tx, prices, as_of, tz)
-    return tx.sparkSession.range(1).select(F.explode(day_spine(start, end)).alias("date"))
+    days = sheet_calendar(tx, prices, as_of, tz)
+    return tx.sparkSession.range(1).select(F.explode(days).alias("date"))
 
 
 def positions_asof(
@@ -45,7 +45,7 @@ def positions_asof(
 ) -> DataFrame:
     """Long as-of positions: ``date, symbol, qty`` (NULL before first trade)."""
     t = tx.select(F.lower("symbol").alias("symbol"), "date_utc", F.col("qty").cast(MONEY).alias("qty"))
-    start, end = sheet_bounds(t, prices, as_of, tz)
+    days = sheet_calendar(t, prices, as_of, tz)
     if coins:
         symbols = _literal_symbols(tx.sparkSession, coins)
         t = t.filter(F.col("symbol").isin(list(coins)))
@@ -53,7 +53,7 @@ def positions_asof(
         symbols = t.select("symbol").distinct()
     spine = symbols.select(
         "symbol",
-        F.explode(day_spine(start, end)).alias("date"),
+        F.explode(days).alias("date"),
         F.lit(1).alias("on_spine"),
         F.lit(None).cast(MONEY).alias("qty"),
     )
@@ -62,7 +62,7 @@ def positions_asof(
         local_day("date_utc", tz).alias("date"),
         F.lit(0).alias("on_spine"),
         F.coalesce(F.col("qty"), F.lit(0).cast(MONEY)).alias("qty"),
-    ).filter(F.col("date") <= end)
+    )
     daily = (
         spine.unionByName(flows)
         .groupBy("symbol", "date")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coffer.functions.timecols import day_spine, local_day, utc_day
+from coffer.functions.timecols import local_day, utc_day
 from coffer.schemas import MONEY, SHEET_TZ
 
 
@@ -68,20 +68,13 @@ def daily_close_utc(prices: DataFrame, order: list[str] | None = None) -> DataFr
     )
 
 
-def backfill_window(tx: DataFrame, prices: DataFrame | None, as_of=None) -> tuple[Column, Column]:
-    """the backfill's UTC day range as scalar-subquery columns.
+def backfill_calendar(tx: DataFrame, prices: DataFrame | None, as_of=None) -> Column:
+    """F2 + H7: the backfill's UTC calendar, first transaction day to
+    ``as_of`` (or the last UTC day seen in transactions or quotes), as one
+    scalar subquery returning ``array<date>``."""
+    from coffer.operators.valuation import calendar
 
-    start = UTC day of the first transaction; end = ``as_of``, or the last UTC
-    day seen in transactions or quotes.
-    """
-    start = tx.agg(F.min(utc_day("date_utc"))).scalar()
-    if as_of is not None:
-        return start, F.lit(str(as_of)).cast("date")
-    last_tx = tx.agg(F.max(utc_day("date_utc"))).scalar()
-    if prices is None:
-        return start, last_tx
-    last_px = prices.agg(F.max(utc_day("ts"))).scalar()
-    return start, F.greatest(last_tx, F.coalesce(last_px, last_tx))
+    return calendar(utc_day("date_utc"), tx, prices, None if prices is None else utc_day("ts"), as_of)
 
 
 def tx_span(tx: DataFrame) -> DataFrame:
@@ -114,23 +107,24 @@ def last_price_day(prices: DataFrame) -> DataFrame:
     return prices.groupBy(_lower_symbol(prices)).agg(F.max(utc_day("ts")).alias("last_day"))
 
 
-def expected_days(symbols: DataFrame, start: Column, end: Column) -> DataFrame:
-    """H7 × symbols (E9): every UTC day of ``[start, end]`` for every symbol.
+def expected_days(symbols: DataFrame, days: Column) -> DataFrame:
+    """H7 × symbols (E9): every calendar day for every symbol.
 
     A per-symbol generator, not a cross join: each symbol row expands into
     its own days, so the work is spread with the symbol partitions.
     """
-    return symbols.select("symbol", F.explode(day_spine(start, end)).alias("date"))
+    return symbols.select("symbol", F.explode(days).alias("date"))
 
 
-def price_gaps(symbols: DataFrame, prices: DataFrame, start: Column, end: Column) -> DataFrame:
-    """E5/H6: (symbol, day) pairs of ``[start, end]`` with no quote.
+def price_gaps(symbols: DataFrame, prices: DataFrame, days: Column) -> DataFrame:
+    """E5/H6: (symbol, day) pairs of the calendar ``days`` with no quote.
 
-    ``days_present`` is a distinct aggregate already hash-partitioned on
-    (symbol, date), so the anti join reuses that exchange on its side.
+    ``days_present`` is a distinct aggregate hash-partitioned on
+    (symbol, date) — combined map-side, so a symbol with a huge history ships
+    one row per task and day — and the anti join reuses that partitioning.
     """
-    have = days_present(prices, start, end)
-    return expected_days(symbols, start, end).join(have, ["symbol", "date"], "left_anti")
+    have = days_present(prices)
+    return expected_days(symbols, days).join(have, ["symbol", "date"], "left_anti")
 
 
 def gap_ranges(gaps: DataFrame) -> DataFrame:

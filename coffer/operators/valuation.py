@@ -13,8 +13,9 @@ Plan shape of ``daily_valuation_long`` (one job, two shuffles):
    and the forward/backward price fill. A window partition holds one row per
    day of the calendar, whatever the symbol's raw volume.
 
-The spine's bounds are scalar subqueries (min transaction day over all
-symbols, as-of day), evaluated once and inlined — no cross join, no collect.
+The calendar is one scalar subquery (first transaction day over all symbols
+to the as-of day, as an array of dates), evaluated once and exploded per
+symbol — no cross join, no collect.
 """
 
 from __future__ import annotations
@@ -46,26 +47,44 @@ def _literal_symbols(spark, coins: Sequence[str]) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in coins])).alias("symbol"))
 
 
-def sheet_bounds(
-    tx: DataFrame, prices: DataFrame | None, as_of: _dt.date | str | None, tz: str = SHEET_TZ
-) -> tuple[Column, Column]:
-    """(start, end) of the sheet calendar as scalar-subquery columns.
-
-    start = first local transaction day over all symbols (H8). end = as_of,
-    or, when not given, the last local day seen in transactions or quotes
-    (the data's "today").
+def calendar(
+    tx_days: Column,
+    tx: DataFrame,
+    prices: DataFrame | None,
+    price_days: Column | None,
+    as_of: _dt.date | str | None,
+) -> Column:
+    """The calendar ``[first transaction day, end]`` as ONE scalar subquery
+    returning ``array<date>`` (H7/H8).
+
+    end = ``as_of`` if given, else the last day seen in transactions or
+    quotes. Transaction and quote days are unioned and reduced by a single
+    global aggregate (partial per task, one row after the exchange). The
+    array's size is bounded by the calendar span (36,525 dates per century),
+    not by the data; it reaches every task as the subquery's literal result.
+    Callers reference the returned column once (``explode``), so the
+    subquery runs once.
     """
-    start = tx.agg(F.min(local_day("date_utc", tz))).scalar()
+    days = tx.select(tx_days.alias("d"), F.lit(True).alias("is_tx"))
+    if as_of is None and prices is not None:
+        days = days.unionByName(prices.select(price_days.alias("d"), F.lit(False).alias("is_tx")))
+    b = days.agg(
+        F.min(F.when(F.col("is_tx"), F.col("d"))).alias("start"),
+        F.max("d").alias("end"),
+    )
     if as_of is not None:
-        end = F.lit(str(as_of)).cast(T.DateType())
-    else:
-        last_tx = tx.agg(F.max(local_day("date_utc", tz))).scalar()
-        if prices is None:
-            end = last_tx
-        else:
-            last_px = prices.agg(F.max(local_day("ts", tz))).scalar()
-            end = F.greatest(last_tx, F.coalesce(last_px, last_tx))
-    return start, end
+        b = b.select("start", F.lit(str(as_of)).cast(T.DateType()).alias("end"))
+    return b.select(day_spine(F.col("start"), F.col("end")).alias("days")).scalar()
+
+
+def sheet_calendar(
+    tx: DataFrame, prices: DataFrame | None, as_of: _dt.date | str | None, tz: str = SHEET_TZ
+) -> Column:
+    """The sheet's calendar (H8): first local transaction day over all
+    symbols to ``as_of`` or the last local day seen (the data's "today")."""
+    return calendar(
+        local_day("date_utc", tz), tx, prices, None if prices is None else local_day("ts", tz), as_of
+    )
 
 
 def daily_facts(
@@ -87,7 +106,7 @@ def daily_facts(
         nz(F.col("price_eur")).alias("price_eur"),
         nz(F.col("fee_eur")).alias("fee_eur"),
     )
-    start, end = sheet_bounds(t, prices, as_of, tz)
+    days = sheet_calendar(t, prices, as_of, tz)
     if coins:
         symbols = _literal_symbols(spark, coins)
         t = t.filter(F.col("symbol").isin(list(coins)))
@@ -99,7 +118,7 @@ def daily_facts(
 
     spine = symbols.select(
         "symbol",
-        F.explode(day_spine(start, end)).alias("date"),
+        F.explode(days).alias("date"),
         F.lit(1).alias("on_spine"),
         null_dec.cast("decimal(38,16)").alias("buy"),
         null_dec.alias("qty"),
@@ -126,10 +145,9 @@ def daily_facts(
         null_dec.alias("qty"),
         F.struct(F.col("ts"), F.col("price_eur")).alias("close"),
     )
-    # Trap: quotes before the first spine day are cut, not carried forward.
-    quotes = quotes.filter((F.col("date") >= start) & (F.col("date") <= end))
-    flows = flows.filter(F.col("date") <= end)
-
+    # Rows off the calendar (quotes before the first day — which must not be
+    # carried forward — and anything after the end) are dropped by the spine
+    # flag right after the aggregate, before the window sees them.
     return (
         spine.unionByName(flows)
         .unionByName(quotes)

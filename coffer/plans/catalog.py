@@ -170,8 +170,7 @@ _QUOTES_C = O.simple_quotes(TD.SYMBOL_SQL["coins"], COINS_MAP_DEFAULT)
 
 
 def _gaps(tx, pr):
-    start, end = PX.backfill_window(tx, pr)
-    return PX.price_gaps(PX.symbol_universe(tx), pr, start, end)
+    return PX.price_gaps(PX.symbol_universe(tx), pr, PX.backfill_calendar(tx, pr))
 
 
 @register("daily_close_paris", O.daily_close_paris(PR_E), "F7 B14 D3")

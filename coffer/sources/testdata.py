@@ -29,7 +29,17 @@ COIN_SYMBOLS = COINS_DEFAULT + ["matic", "link"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One driver table. A scan with fewer splits than the default
+    parallelism (the test files are single-row-group parquet files, read by
+    one task) is spread round-robin over that many partitions; a table with
+    enough splits — any table at cluster scale — is returned as scanned.
+    Only the columns a query uses reach the exchange (pruning passes it).
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
+    return df
 
 
 def _event_symbol(scheme: str) -> Column:
@@ -122,12 +132,7 @@ def ledger_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     amount = F.when(F.col("l_orderkey") % 97 == 0, F.lit("n/a")).otherwise(
         F.col("l_quantity").cast("string")
     )
-    # The test tables are single-row-group files, which one task reads; a
-    # real export arrives as many splits. Spread the stand-in rows the same
-    # way (layout only: ``_seq`` carries the line order).
-    joined = li.join(pa, F.col("l_partkey") == F.col("p_partkey")).repartition(
-        spark.sparkContext.defaultParallelism
-    )
+    joined = li.join(pa, F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("_seq"),
         date_s.alias("Operation Date"),
