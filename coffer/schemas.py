@@ -168,8 +168,9 @@ PORTFOLIO_SNAPSHOT = T.StructType(
 PORTFOLIO_KEY = ["ts", "symbol"]
 PORTFOLIO_UPDATE = ["qty", "investi", "price_eur", "valeur_actuelle", "pnl_eur", "pnl_pct"]
 
-# Market-chart payload: {"prices": [[epoch_ms, price], ...]}
-MARKET_CHART_JSON = "prices array<array<double>>"
+# Market-chart payload: {"prices": [[epoch_ms, price], ...]}. Points are read
+# as text so that one malformed point does not null the whole array.
+MARKET_CHART_JSON = "prices array<array<string>>"
 # Current-price payload: {"<provider id>": {"eur": price}, ...}
 SIMPLE_PRICE_JSON = "map<string, map<string, double>>"
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coffer.functions.parse import parse_float_text
 from coffer.schemas import COINS_MAP_DEFAULT, MARKET_CHART_JSON, MONEY, SIMPLE_PRICE_JSON
 
 EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
@@ -54,13 +55,18 @@ def parse_market_chart(payloads: DataFrame, json_col: str = "json") -> DataFrame
     keep = [c for c in payloads.columns if c != json_col]
     parsed = payloads.select(*keep, F.from_json(F.col(json_col), MARKET_CHART_JSON).alias("__p"))
     pts = parsed.select(*keep, F.posexplode_outer("__p.prices").alias("pos", "__pt"))
-    ok = (F.size("__pt") == 2) & F.col("__pt")[0].isNotNull() & F.col("__pt")[1].isNotNull()
-    micros = F.round(F.col("__pt")[0] * 1000).cast("long")
-    return pts.filter(ok).select(
+    pair = pts.filter(F.size("__pt") == 2).select(
+        *keep,
+        "pos",
+        parse_float_text(F.col("__pt")[0]).alias("__ms"),
+        parse_float_text(F.col("__pt")[1]).alias("__px"),
+    )
+    micros = F.round(F.col("__ms") * 1000).cast("long")
+    return pair.filter(F.col("__ms").isNotNull() & ~F.isnan("__ms")).select(
         *keep,
         "pos",
         F.timestamp_add("MICROSECOND", micros, F.expr(EPOCH)).alias("ts"),
-        F.col("__pt")[1].try_cast(MONEY).alias("price_eur"),
+        F.col("__px").try_cast(MONEY).alias("price_eur"),
     ).filter(F.col("price_eur").isNotNull())
 
 
