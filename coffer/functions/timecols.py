@@ -58,3 +58,20 @@ def day_spine(start: Column, end: Column) -> Column:
     return F.when(
         end >= start, F.sequence(start, end, F.expr("INTERVAL 1 DAY"))
     ).otherwise(F.array().cast("array<date>"))
+
+
+_EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def utc_ntz_to_instant(ts: Column | str) -> Column:
+    """The absolute instant (session-zoned ``TIMESTAMP``) of a UTC NTZ time —
+    what watermarks and event-time windows require. Zone-independent: built
+    from epoch microseconds."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), ts))
+
+
+def instant_to_utc_ntz(ts: Column | str) -> Column:
+    """UTC wall-clock NTZ time of an absolute instant (zone-independent)."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), F.expr(_EPOCH_NTZ))

@@ -124,8 +124,9 @@ def write_upsert(
     else:
         merged = upsert(touched, source, keys, update_cols, seq=seq, now=now)
     stage = f"{ensure_checkpoint_dir(spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
-    merged.drop(ACTION).write.mode("overwrite").partitionBy(partition_col).parquet(stage)
-    staged = spark.read.parquet(stage)
+    merged = merged.drop(ACTION)
+    merged.write.mode("overwrite").partitionBy(partition_col).parquet(stage)
+    staged = spark.read.schema(merged.schema).parquet(stage)
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
