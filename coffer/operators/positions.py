@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coffer.functions.timecols import local_day
-from coffer.operators.valuation import _literal_symbols, sheet_calendar
+from coffer.operators.valuation import _literal_symbols, sheet_calendar, spread_symbols
 from coffer.schemas import MONEY, MONEY_SUM, SHEET_TZ
 
 
@@ -50,7 +50,7 @@ def positions_asof(
         symbols = _literal_symbols(tx.sparkSession, coins)
         t = t.filter(F.col("symbol").isin(list(coins)))
     else:
-        symbols = t.select("symbol").distinct()
+        symbols = spread_symbols(t.select("symbol").distinct())
     spine = symbols.select(
         "symbol",
         F.explode(days).alias("date"),

@@ -113,7 +113,9 @@ def expected_days(symbols: DataFrame, days: Column) -> DataFrame:
     A per-symbol generator, not a cross join: each symbol row expands into
     its own days, so the work is spread with the symbol partitions.
     """
-    return symbols.select("symbol", F.explode(days).alias("date"))
+    from coffer.operators.valuation import spread_symbols
+
+    return spread_symbols(symbols).select("symbol", F.explode(days).alias("date"))
 
 
 def price_gaps(symbols: DataFrame, prices: DataFrame, days: Column) -> DataFrame:

@@ -47,6 +47,15 @@ def _literal_symbols(spark, coins: Sequence[str]) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in coins])).alias("symbol"))
 
 
+def spread_symbols(symbols: DataFrame) -> DataFrame:
+    """Hash-spread a (small) symbol list before it generates the dense
+    calendar: the list itself is tiny, so AQE would coalesce it into one
+    partition and one task would emit all symbols x days rows. An explicit
+    partition count (``spark.sql.shuffle.partitions``) is kept by AQE."""
+    n = int(symbols.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return symbols.repartition(n, "symbol")
+
+
 def calendar(
     tx_days: Column,
     tx: DataFrame,
@@ -111,7 +120,7 @@ def daily_facts(
         symbols = _literal_symbols(spark, coins)
         t = t.filter(F.col("symbol").isin(list(coins)))
     else:
-        symbols = t.select("symbol").distinct()
+        symbols = spread_symbols(t.select("symbol").distinct())
 
     null_dec = F.lit(None).cast(MONEY)
     null_close = F.lit(None).cast("struct<ts:timestamp_ntz,price_eur:decimal(18,8)>")
