@@ -1,10 +1,10 @@
 """Price history operators.
 
 Price tables have columns ``ts`` (UTC NTZ), ``symbol``, ``price_eur`` and
-optionally an arrival-order column. Every "last point" pick is an
-aggregate (``max`` of a struct whose first field is the ordering key), never a
-self-join or a window over raw points: the aggregate is combined map-side,
-so a symbol with a huge history costs one partial row per task and day.
+optionally arrival-order columns. Every "last point" pick is an aggregate
+(``max_by`` on the ordering key, see ``last_by``), never a self-join or a
+window over raw points: the aggregate is combined map-side, so a symbol with
+a huge history costs one partial row per task and day.
 """
 
 from __future__ import annotations
@@ -17,11 +17,17 @@ from coffer.schemas import MONEY, SHEET_TZ
 
 
 def last_by(value: Column, *order: Column) -> Column:
-    """Aggregate: ``value`` of the row with the greatest ``order`` tuple.
-
-    ``max(struct(order..., value))`` is deterministic on ties of ``order``
-    (the greater value wins) unlike ``max_by``.
+    """Aggregate: ``value`` of the row with the greatest ``order``.
+
+    One order column: ``max_by`` — fixed-width buffers, so the aggregate
+    stays a hash aggregate with map-side combine (a struct ``max`` would
+    force a sort-based aggregate, i.e. a sort of every map partition). The
+    pick is unique when the order value is unique in the group, as ``ts`` is
+    for a (symbol) price table keyed on (ts, symbol). Several order columns:
+    ``max(struct(order..., value))``, deterministic on ties.
     """
+    if len(order) == 1:
+        return F.max_by(value, order[0])
     fields = [o.alias(f"k{i}") for i, o in enumerate(order)] + [value.alias("v")]
     return F.max(F.struct(*fields))["v"]
 
@@ -39,9 +45,8 @@ def latest_price(prices: DataFrame) -> DataFrame:
     p = prices.filter(F.col("price_eur").isNotNull()).select(
         _lower_symbol(prices), "ts", "price_eur"
     )
-    best = F.max(F.struct("ts", "price_eur"))
-    return p.groupBy("symbol").agg(best.alias("b")).select(
-        "symbol", F.col("b.ts").alias("ts"), F.col("b.price_eur").cast(MONEY).alias("price_eur")
+    return p.groupBy("symbol").agg(
+        F.max("ts").alias("ts"), last_by(F.col("price_eur"), F.col("ts")).cast(MONEY).alias("price_eur")
     )
 
 
@@ -61,9 +66,14 @@ def daily_close_utc(prices: DataFrame, order: list[str] | None = None) -> DataFr
     order. Returns ``symbol, date, ts, price_eur``.
     """
     p = prices.filter(F.col("price_eur").isNotNull())
-    keys = [F.col(c) for c in (order or ["ts"])]
+    g = p.groupBy(_lower_symbol(p), utc_day("ts").alias("date"))
+    if not order:
+        return g.agg(
+            F.max("ts").alias("ts"), last_by(F.col("price_eur"), F.col("ts")).cast(MONEY).alias("price_eur")
+        )
+    keys = [F.col(c) for c in order]
     best = F.max(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], "ts", "price_eur"))
-    return p.groupBy(_lower_symbol(p), utc_day("ts").alias("date")).agg(best.alias("b")).select(
+    return g.agg(best.alias("b")).select(
         "symbol", "date", F.col("b.ts").alias("ts"), F.col("b.price_eur").cast(MONEY).alias("price_eur")
     )
 

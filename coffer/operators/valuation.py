@@ -5,7 +5,7 @@ Plan shape of ``daily_valuation_long`` (one job, two shuffles):
 1. three inputs in one union keyed by (symbol, local day):
    the dense spine (one generated row per symbol and day), the
    transactions (daily buy amount and quantity) and the quotes (last point
-   of the day as ``max(struct(ts, price))``);
+   of the day as ``max_by(price, ts)``, a fixed-width hash-aggregate buffer);
 2. one ``groupBy(symbol, date)`` — partial aggregation runs before the
    shuffle, so a symbol with a third of all transactions ships at most one
    partial row per task and day; the spine flag keeps only spine days;
@@ -48,12 +48,14 @@ def _literal_symbols(spark, coins: Sequence[str]) -> DataFrame:
 
 
 def spread_symbols(symbols: DataFrame) -> DataFrame:
-    """Hash-spread a (small) symbol list before it generates the dense
-    calendar: the list itself is tiny, so AQE would coalesce it into one
-    partition and one task would emit all symbols x days rows. An explicit
-    partition count (``spark.sql.shuffle.partitions``) is kept by AQE."""
+    """Spread a (small) symbol list before it generates the dense calendar:
+    the list itself is tiny, so AQE would coalesce it into one partition and
+    one task would emit all symbols x days rows. A round-robin repartition to
+    an explicit count (``spark.sql.shuffle.partitions``) is kept by AQE and,
+    unlike a hash repartition on ``symbol``, is not merged into the distinct's
+    own (coalescible) exchange."""
     n = int(symbols.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return symbols.repartition(n, "symbol")
+    return symbols.repartition(n)
 
 
 def calendar(
@@ -123,7 +125,7 @@ def daily_facts(
         symbols = spread_symbols(t.select("symbol").distinct())
 
     null_dec = F.lit(None).cast(MONEY)
-    null_close = F.lit(None).cast("struct<ts:timestamp_ntz,price_eur:decimal(18,8)>")
+    null_ts = F.lit(None).cast("timestamp_ntz")
 
     spine = symbols.select(
         "symbol",
@@ -131,7 +133,8 @@ def daily_facts(
         F.lit(1).alias("on_spine"),
         null_dec.cast("decimal(38,16)").alias("buy"),
         null_dec.alias("qty"),
-        null_close.alias("close"),
+        null_ts.alias("q_ts"),
+        null_dec.alias("q_price"),
     )
     flows = t.select(
         "symbol",
@@ -139,7 +142,8 @@ def daily_facts(
         F.lit(0).alias("on_spine"),
         daily_buy(F.col("qty"), F.col("price_eur"), F.col("fee_eur")).cast("decimal(38,16)").alias("buy"),
         F.col("qty").cast(MONEY).alias("qty"),
-        null_close.alias("close"),
+        null_ts.alias("q_ts"),
+        null_dec.alias("q_price"),
     )
     q = prices.filter(F.col("price_eur").isNotNull()).select(
         F.lower("symbol").alias("symbol"), "ts", F.col("price_eur").cast(MONEY).alias("price_eur")
@@ -152,7 +156,8 @@ def daily_facts(
         F.lit(0).alias("on_spine"),
         null_dec.cast("decimal(38,16)").alias("buy"),
         null_dec.alias("qty"),
-        F.struct(F.col("ts"), F.col("price_eur")).alias("close"),
+        F.col("ts").alias("q_ts"),
+        F.col("price_eur").alias("q_price"),
     )
     # Rows off the calendar (quotes before the first day — which must not be
     # carried forward — and anything after the end) are dropped by the spine
@@ -165,7 +170,8 @@ def daily_facts(
             F.max("on_spine").alias("on_spine"),
             F.sum("buy").alias("buy_day"),
             F.sum("qty").alias("qty_day"),
-            F.max("close")["price_eur"].alias("close"),
+            # last quote of the day; max_by ignores the NULL-ts spine/flow rows
+            F.max_by("q_price", "q_ts").alias("close"),
         )
         .filter(F.col("on_spine") == 1)
         .drop("on_spine")
