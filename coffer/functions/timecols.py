@@ -45,9 +45,14 @@ def utc_day(ts: Column | str) -> Column:
 
 
 def to_second(ts: Column | str) -> Column:
-    """Instant truncated to whole seconds."""
+    """UTC NTZ instant truncated to whole seconds.
+
+    NTZ arithmetic only: ``date_trunc`` would round-trip through the session
+    zone and move wall-clock times that fall in a DST gap there.
+    """
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.date_trunc("second", ts).cast(T.TimestampNTZType())
+    micros = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), ts)
+    return F.timestamp_add("MICROSECOND", -F.pmod(micros, F.lit(1000000)), ts)
 
 
 def day_spine(start: Column, end: Column) -> Column:

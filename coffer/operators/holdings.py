@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from coffer.functions.money import gross_cost, nz, value
 from coffer.functions.parse import scrub_number
+from coffer.functions.timecols import to_second
 from coffer.operators.prices import latest_price
 from coffer.schemas import MONEY, MONEY_SUM, PCT
 
@@ -82,7 +83,7 @@ def portfolio_snapshot(report: DataFrame, ts) -> DataFrame:
     """
     ts_col = ts if not isinstance(ts, (str,)) and hasattr(ts, "_jc") else F.lit(str(ts))
     return report.select(
-        F.date_trunc("second", ts_col.cast("timestamp_ntz")).cast("timestamp_ntz").alias("ts"),
+        to_second(ts_col.cast("timestamp_ntz")).alias("ts"),
         "symbol",
         F.col("qty").try_cast(MONEY).alias("qty"),
         F.col("investi").try_cast(MONEY).alias("investi"),

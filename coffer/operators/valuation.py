@@ -302,3 +302,22 @@ def series_tail(view: DataFrame, value_col: str, n: int, as_of_col: Column | Non
     if n and n > 0:
         v = v.orderBy(F.col("date").desc()).limit(n)
     return v.orderBy("date")
+
+
+def to_storage(wide: DataFrame) -> DataFrame:
+    """The wide sheet under storage-safe column names (B17 applied to every
+    label, e.g. ``btc acheté cumul`` -> ``btc_achete_cumul``)."""
+    from coffer.functions.names import normalize_name
+
+    return wide.select(*[F.col(f"`{c}`").alias(normalize_name(c)) for c in wide.columns])
+
+
+def main_view(stored: DataFrame, display_columns: Sequence[str]) -> DataFrame:
+    """The stored sheet under its display labels, in display order; the
+    labels whose storage column is absent are skipped."""
+    from coffer.functions.names import normalize_name
+
+    present = set(stored.columns)
+    return stored.select(
+        *[F.col(normalize_name(c)).alias(c) for c in display_columns if normalize_name(c) in present]
+    )

@@ -245,11 +245,13 @@ def q_unmapped_symbols(spark, sf):
 def _latest_quotes(spark, sf):
     from pyspark.sql import functions as F
 
+    from coffer.functions.timecols import to_second
+
     q = PL.parse_simple_price(TD.simple_price_payloads(spark, sf))
     best = F.max(F.struct("fetched_at", "_seq", "price_eur"))
     return q.groupBy("coin_id").agg(best.alias("b")).select(
         "coin_id",
-        F.date_trunc("second", F.col("b.fetched_at")).cast("timestamp_ntz").alias("ts"),
+        to_second(F.col("b.fetched_at")).alias("ts"),
         F.col("b.price_eur").alias("price_eur"),
     )
 

@@ -117,12 +117,16 @@ def ledger_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = table(spark, sf_dir, "lineitem")
     pa = table(spark, sf_dir, "part")
-    d = F.col("l_shipdate")
+    # NTZ -> text without the session zone: the string cast of an NTZ value
+    # is "yyyy-MM-dd HH:mm:ss" (ship dates carry no fraction).
+    txt = F.col("l_shipdate").cast("string")
+    ymd, hms = F.substring(txt, 1, 10), F.substring(txt, 12, 8)
+    dmy = F.concat(F.substring(txt, 9, 2), F.lit("/"), F.substring(txt, 6, 2), F.lit("/"), F.substring(txt, 1, 4))
     date_s = (
-        F.when(F.col("l_linenumber") % 4 == 0, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss'.000Z'"))
-        .when(F.col("l_linenumber") % 4 == 1, F.date_format(d, "yyyy-MM-dd HH:mm:ss"))
-        .when(F.col("l_linenumber") % 4 == 2, F.date_format(d, "dd/MM/yyyy HH:mm"))
-        .otherwise(F.date_format(d, "yyyy-MM-dd"))
+        F.when(F.col("l_linenumber") % 4 == 0, F.concat(ymd, F.lit("T"), hms, F.lit(".000Z")))
+        .when(F.col("l_linenumber") % 4 == 1, F.concat(ymd, F.lit(" "), hms))
+        .when(F.col("l_linenumber") % 4 == 2, F.concat(dmy, F.lit(" "), F.substring(txt, 12, 5)))
+        .otherwise(ymd)
     )
     op = (
         F.when(F.col("l_returnflag") == "R", "OUT")

@@ -49,11 +49,7 @@ def chart_point_stream(spark: SparkSession, landing_dir: str, max_files_per_trig
     )
     files = raw.select(
         F.regexp_extract(F.col("_metadata.file_path"), r"symbol=([^/]+)/", 1).alias("symbol"),
-        F.timestamp_diff(
-            "MICROSECOND",
-            F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"),
-            F.col("_metadata.file_modification_time").cast("timestamp_ntz"),
-        ).alias("_seq"),
+        F.unix_micros(F.col("_metadata.file_modification_time")).alias("_seq"),
         F.col("value").alias("json"),
     )
     return parse_market_chart(files).select(

@@ -130,3 +130,23 @@ def test_symbol_outside_coin_list_sets_start_but_not_totals(spark, tx, pr):
     long = V.daily_valuation_long(tx.unionByName(extra), pr, coins=["btc", "eth"], as_of=AS_OF)
     dates = sorted({r.date for r in long.collect()})
     assert dates[0] == d("2023-12-30") and set(r.symbol for r in long.collect()) == {"btc", "eth"}
+
+
+def test_storage_names_and_main_view(tx, pr):
+    from coffer.schemas import sheet_columns
+
+    coins = ["btc", "eth"]
+    wide = V.daily_valuation_wide(V.daily_valuation_long(tx, pr, coins=coins, as_of=AS_OF), coins)
+    stored = V.to_storage(wide)
+    assert "btc_achete_cumul" in stored.columns and "total_gain_perte" in stored.columns
+    view = V.main_view(stored, sheet_columns(coins))
+    assert view.columns == wide.columns
+    assert sorted(view.collect()) == sorted(wide.collect())
+
+
+def test_try_date(spark):
+    from coffer.functions.parse import try_date
+
+    df = spark.createDataFrame([("2024-01-05",), ("2024-01-05 10:00:00",), ("nope",), (None,)], "v string")
+    got = [r.d for r in df.select(try_date(F.col("v")).alias("d")).collect()]
+    assert got == [d("2024-01-05"), d("2024-01-05"), None, None]
