@@ -171,5 +171,8 @@ def backfill_points(fetched: DataFrame, gaps: DataFrame, order: list[str] | None
 
 
 def points_per_symbol(points: DataFrame) -> DataFrame:
-    """number of points per symbol (the upsert count)."""
-    return points.groupBy(_lower_symbol(points)).agg(F.count(F.lit(1)).alias("n_points"))
+    """number of points per symbol (the upsert count), with the first
+    and last point time."""
+    return points.groupBy(_lower_symbol(points)).agg(
+        F.count(F.lit(1)).alias("n_points"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )

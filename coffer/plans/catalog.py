@@ -186,12 +186,7 @@ def q_daily_close_utc(spark, sf):
 
 @register("market_chart_points", O.market_chart_summary(_POINTS_C), "A4 F11")
 def q_market_chart_points(spark, sf):
-    from pyspark.sql import functions as F
-
-    pts = PL.parse_market_chart(TD.market_chart_payloads(spark, sf, "coins"))
-    return pts.groupBy(F.lower("symbol").alias("symbol")).agg(
-        F.count(F.lit(1)).alias("n_points"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
-    )
+    return PX.points_per_symbol(PL.parse_market_chart(TD.market_chart_payloads(spark, sf, "coins")))
 
 
 @register("price_gaps", _GAPS_L, "E5 H6 H7 F4 D4 F2 E9")

@@ -36,10 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     Only the columns a query uses reach the exchange (pruning passes it).
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        df = df.repartition(want)
-    return df
+    try:
+        want = spark.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 — no RDD API (e.g. a Connect session): scan as is
+        return df
+    return df.repartition(want) if splits < want else df
 
 
 def _event_symbol(scheme: str) -> Column:

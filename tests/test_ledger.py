@@ -172,3 +172,24 @@ def test_csv_reader(spark, tmp_path):
     out = {r.symbol: r for r in LG.normalize_ledger(raw, AS_OF).collect()}
     assert out["btc"].qty == 0.0 and out["btc"].note == "multi\nline"  # "1,5" is not a float
     assert out["eth"].qty == -2.0
+
+
+def test_readers_stored_tables(spark, tmp_path):
+    from coffer.sources.readers import read_prices, read_transactions
+
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Paris")
+    try:
+        df = spark.createDataFrame([("2024-01-01 00:30:00", "BTC", 1.0, 2.0, 0.0)],
+                                   "d string, symbol string, qty double, price_eur double, fee_eur double")
+        # a session-zoned TIMESTAMP column written by a Paris session: 23:30 UTC the day before
+        df.select(F.col("d").cast("timestamp").alias("date_utc"), "symbol", "qty", "price_eur", "fee_eur") \
+            .write.parquet(str(tmp_path / "tx"))
+        got = read_transactions(spark, str(tmp_path / "tx")).first()
+        assert (got.symbol, got.date_utc) == ("btc", dt.datetime(2023, 12, 31, 23, 30))
+        spark.createDataFrame([("2024-01-01 10:00:00", "ETH", 5.0)], "ts string, symbol string, price_eur double") \
+            .select(F.col("ts").cast("timestamp_ntz").alias("ts"), "symbol", "price_eur").write.parquet(str(tmp_path / "px"))
+        p = read_prices(spark, str(tmp_path / "px")).first()
+        assert (p.symbol, p.ts) == ("eth", dt.datetime(2024, 1, 1, 10, 0))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)
