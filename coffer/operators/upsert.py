@@ -111,6 +111,8 @@ def write_upsert(
     Returns the staging path.
     """
     spark = source.sparkSession
+    if seq is not None:  # last write wins inside the batch, on every path
+        source = last_write_wins(source, list(keys), seq).drop("n_rows", seq)
     parts = source.select(partition_col).distinct()
     try:
         target = spark.read.parquet(target_path)
@@ -122,7 +124,7 @@ def write_upsert(
         if now is not None and "created_at" not in merged.columns:
             merged = merged.withColumn("created_at", F.lit(str(now)).cast("timestamp_ntz"))
     else:
-        merged = upsert(touched, source, keys, update_cols, seq=seq, now=now)
+        merged = upsert(touched, source, keys, update_cols, now=now)
     stage = f"{ensure_checkpoint_dir(spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
     merged = merged.drop(ACTION)
     merged.write.mode("overwrite").partitionBy(partition_col).parquet(stage)
