@@ -1,15 +1,16 @@
 """Data-quality audits and repairs.
 
 All audits are aggregates: counts per key or per symbol, with bounded
-samples. Nothing collects a group; a sample of offending dates is taken
-per symbol from a calendar-bounded set (one row per day).
+samples. The only list built per group is the NULL audit's list of dates,
+whose input is a calendar (one row per symbol and day), so it is bounded by
+the calendar span.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,21 +80,19 @@ def null_audit(
     """Q4 (+H4, D5): per group, how many dates (``<= as_of``) have a NULL
     value, and the first ``sample`` of those dates as ``YYYY-MM-DD, …``.
 
-    The input has one row per (group, date) — a calendar — so ranking the
-    NULL dates inside a group handles at most one row per day.
+    One aggregate over the input (which is consumed once): the count and the
+    list of NULL dates, sorted and cut to the sample. The input is a calendar
+    (one row per group and day), so a group's list is bounded by the number
+    of calendar days, not by data volume.
     """
     d = df if as_of is None else df.filter(F.col("date") <= as_of)
-    nulls = d.filter(F.col(value_col).isNull()).select(group_col, "date")
-    w = Window.partitionBy(group_col).orderBy("date")
-    first = nulls.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= sample)
-    samples = first.groupBy(group_col).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list("date")), lambda x: x.cast("string")), ", ").alias(
-            "sample_dates"
-        )
-    )
-    counts = d.groupBy(group_col).agg(F.count_if(F.col(value_col).isNull()).alias("n_null"))
-    return counts.join(samples, group_col, "left").select(
-        group_col, "n_null", F.coalesce(F.col("sample_dates"), F.lit("")).alias("sample_dates")
+    is_null = F.col(value_col).isNull()
+    dates = F.collect_list(F.when(is_null, F.col("date")))  # NULLs (non-null values) are skipped
+    return d.groupBy(group_col).agg(
+        F.count_if(is_null).alias("n_null"),
+        F.array_join(
+            F.transform(F.slice(F.array_sort(dates), 1, sample), lambda x: x.cast("string")), ", "
+        ).alias("sample_dates"),
     )
 
 
