@@ -105,7 +105,9 @@ def write_upsert(
 
     The source must carry ``partition_col`` (derived from a key, so a key
     never moves between partitions). Only partitions present in the source
-    are read from the target; the merged partitions are first written to a
+    are read from the target (their values are listed first, so the read is
+    pruned to those partition directories); the merged partitions are first
+    written to a
     staging directory under ``spark.checkpoint.dir`` (cutting the lineage to
     the target files), then swapped in with dynamic partition overwrite.
     Returns the staging path.
@@ -113,12 +115,15 @@ def write_upsert(
     spark = source.sparkSession
     if seq is not None:  # last write wins inside the batch, on every path
         source = last_write_wins(source, list(keys), seq).drop("n_rows", seq)
-    parts = source.select(partition_col).distinct()
+    # The partition values a batch touches: a short list (a batch spans a
+    # bounded range of days or months), fetched once so the target read is
+    # pruned at file listing instead of scanned whole.
+    touched_values = [r[0] for r in source.select(partition_col).distinct().collect()]
     try:
         target = spark.read.parquet(target_path)
-        touched = target.join(parts, partition_col, "left_semi")
     except Exception:  # noqa: BLE001 — first write: no target yet
-        touched = None
+        target = None
+    touched = None if target is None else target.filter(F.col(partition_col).isin(touched_values))
     if touched is None:
         merged = source.withColumn(ACTION, F.lit("inserted"))
         if now is not None and "created_at" not in merged.columns:

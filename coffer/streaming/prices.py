@@ -107,8 +107,13 @@ class BackfillSink:
         daily = batch.groupBy("symbol", utc_day("ts").alias("day")).agg(best.alias("b")).select(
             "symbol", "day", F.col("b.ts").alias("ts"), F.col("b.price_eur").alias("price_eur")
         )
+        days = [r[0] for r in daily.select("day").distinct().collect()]  # a batch's days: a short list
         try:
-            existing = spark.read.parquet(self.table_path).select("symbol", "day", "ts")
+            existing = (
+                spark.read.parquet(self.table_path)
+                .filter(F.col("day").isin(days))  # partition pruning: only the batch's days are read
+                .select("symbol", "day", "ts")
+            )
         except Exception:  # noqa: BLE001 — first batch: no table yet
             existing = None
         if existing is not None:
