@@ -1,6 +1,7 @@
 """Daily valuation sheet.
 
-Plan shape of ``daily_valuation_long`` (one job, two shuffles):
+Plan shape of ``daily_valuation_long`` — two data-sized shuffles, plus small
+exchanges for the symbol list and the one-row calendar subquery:
 
 1. three inputs in one union keyed by (symbol, local day):
    the dense spine (one generated row per symbol and day), the
