@@ -1,9 +1,11 @@
 """coffer — portfolio ledger, price history and valuation on Spark.
 
-Every public operator is a function from DataFrames to a DataFrame. Nothing
-here triggers an action, reads the wall clock or registers a Python UDF: the
+Every public operator is a function from DataFrames to a DataFrame: it
+triggers no action, reads no wall clock and registers no Python UDF; the
 plans are declared with ``pyspark.sql.functions`` / ``Window`` and handed to
-Catalyst as they are.
+Catalyst as they are. Writers (``operators.upsert.write_upsert``,
+``operators.export``), the batch ``jobs`` and the streaming sink are the
+places that run jobs.
 
 Canonical column conventions (see ``coffer.schemas``):
 

@@ -1,10 +1,10 @@
 """Ledger export normalisation.
 
 ``normalize_ledger`` turns an all-string export with unknown headers into
-canonical signed transactions in one ``select``. Headers are resolved once
-per input at plan time (they are metadata); every row-level rule is a native
-expression, so the projection is whole-stage code-generated and runs where
-the file splits are read, with no shuffle.
+canonical signed transactions with a chain of projections. Headers are
+resolved once per input at plan time (they are metadata); every row-level
+rule is a native expression, so the projections are whole-stage
+code-generated and run where the file splits are read, with no shuffle.
 """
 
 from __future__ import annotations
