@@ -134,10 +134,12 @@ def write_upsert(
     merged = merged.drop(ACTION)
     merged.write.mode("overwrite").partitionBy(partition_col).parquet(stage)
     staged = spark.read.schema(merged.schema).parquet(stage)
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        staged.write.mode("overwrite").partitionBy(partition_col).parquet(target_path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    # Per-write option (not the session conf): only the staged partitions are
+    # replaced, and concurrent jobs on the session are unaffected.
+    (
+        staged.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(partition_col)
+        .parquet(target_path)
+    )
     return stage
