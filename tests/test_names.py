@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from coffer.functions import names as NM
 
-NAMES = ["btc acheté", "Valeur BTC", "total gain perte", "AVX prix", "  9 lives ", "---", "çà et là / œuvre",
+NAMES = ["btc acheté", "\x1cx\x1fy\x1c", "a\u00a0b\u2028c", "Valeur BTC", "total gain perte", "AVX prix", "  9 lives ", "---", "çà et là / œuvre",
          "a\tb-c/d", "", "déjà_vu__x"]
 
 
