@@ -1,10 +1,11 @@
 """Safe parsing of untyped ledger values.
 
-All parsers are native expressions guarded by regular expressions, so bad
-input becomes NULL (or a default) instead of an ANSI cast error, and the
-accepted syntax is the one of the system being replaced rather than Spark's
-more lenient casts (for example Spark reads ``1.0d`` as a double and rejects
-``1_000``; the ledger semantics are the reverse).
+All parsers are native expressions guarded by character-class checks and
+regular expressions, so bad input becomes NULL (or a default) instead of an
+ANSI cast error, and the accepted syntax is the one of the system being
+replaced rather than Spark's more lenient casts (for example Spark reads
+``1.0d`` as a double and rejects ``1_000``; the ledger semantics are the
+reverse).
 """
 
 from __future__ import annotations

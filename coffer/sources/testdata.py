@@ -3,8 +3,9 @@
 The test tables hold no portfolio data. These functions only map their rows
 into the schemas the operators expect (transactions, price points, a raw
 all-string ledger export, JSON price payloads); they do none of the
-operators' work. Each Spark adapter has a DuckDB twin in ``SQL`` so the
-oracle queries read exactly the same rows.
+operators' work. Each Spark adapter has a DuckDB twin (the ``sql_*``
+functions and ``SQL_*`` strings below) so the oracle queries read exactly the
+same rows.
 
 Adapters
   * E  — ``events``: transactions from purchase/signup/error events, price
