@@ -139,7 +139,11 @@ def keep_good(docs: DataFrame) -> DataFrame:
     bad = F.lit(False)
     for r in RULES:
         bad = bad | _failed(r, p)
-    return with_measures(docs, p).filter(~bad).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # a filter on a generated column stays above the projections; pushed below
+    # them it would repeat their expressions at each use
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    judged = with_measures(docs, p).select(*cols, F.explode(F.array(~bad)).alias(p + "kept"))
+    return judged.filter(F.col(p + "kept")).select(*cols)
 
 
 def oracle_sql() -> str:
