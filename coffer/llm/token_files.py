@@ -23,16 +23,18 @@ committed manifest names count, so a retried or duplicated task does no harm.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -45,9 +47,11 @@ DOC_MAGIC, SEEK_MAGIC, END_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FRAME_IDS = 1 << 16
 END_ID = 2
 #: Texts of these characters only are split before encoding; others are encoded whole.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*+")
-CACHED_PIECES = 500_000
-SEGMENT = 1 << 20
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]*")
+#: The byte-level pre-splitting rule, as it reads for such characters.
+BYTE_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+CACHED_PIECES = 200_000
+SEGMENT = 1 << 18
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -56,56 +60,114 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
+def segments(text: str) -> Iterator[str]:
+    """The text in parts of about SEGMENT characters, cut only where a piece starts:
+    at a space between two characters that are no white space."""
+    at = 0
+    while len(text) - at > SEGMENT:
+        end = at + SEGMENT
+        while end < len(text) and not (
+            text[end] == " " and not text[end - 1].isspace() and not text[end + 1 : end + 2].isspace()
+        ):
+            end += 1
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+class _Known(dict):
+    """Ids by piece; what isn't kept is looked up in those of the current group."""
+
+    rest: dict[str, bytes]
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.rest[piece]
+
+
 class Encoder:
-    """``encode_batch`` of the tokenizers library, with repeated pieces encoded once.
+    """The tokenizers library, with frequent pieces encoded once.
 
-    ``pattern`` is the tokenizer's own pre-splitting rule: no merge crosses
-    its pieces, so a text's ids are its pieces' ids joined. Texts with
-    characters outside ``PLAIN`` are encoded whole, since Unicode tables of
-    two regex engines may differ there.
+    No merge crosses the pieces of a byte-level tokenizer's pre-splitting
+    rule, so a text's ids are its pieces' ids joined. Only texts of ``PLAIN``
+    characters are split here; others, where Unicode tables of two regex
+    engines may differ, and texts for other tokenizers are encoded whole.
     """
 
-    def __init__(self, tokenizer_file: str, pattern: str | None):
+    def __init__(self, tokenizer_file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(pattern).findall if pattern else None
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        with open(tokenizer_file, encoding="utf-8") as f:
+            spec = json.load(f)
+        rule = spec.get("pre_tokenizer") or {}
+        self.splits = (
+            rule.get("type") == "ByteLevel"
+            and rule.get("use_regex", True)
+            and not rule.get("add_prefix_space", True)
+            and not spec.get("normalizer")
+        )
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that start with a space
+        for token, i in self.tokenizer.get_vocab().items():
+            self.opens[i] = token.startswith("\u0120")
+        self.known = _Known()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in got]
 
-    def __call__(self, text: str) -> Iterator[bytes]:
-        """Little-endian uint32 ids of the text, in parts."""
-        if not self.split or not PLAIN.fullmatch(text):
-            yield from self._encode([text])
-            return
-        at = 0
-        while at < len(text):
-            end = at + SEGMENT
-            # a piece starts at a space between two characters that are no white space
-            while end < len(text) and not (text[end] == " " and not text[end - 1].isspace() and not text[end + 1 : end + 2].isspace()):
-                end += 1
-            pieces = self.split(text[at:end])
-            if len(self.known) > CACHED_PIECES:
-                self.known.clear()
-            if new := list({x for x in pieces if x not in self.known}):
-                self.known.update(zip(new, self._encode(new), strict=True))
-            yield b"".join(map(self.known.__getitem__, pieces))
-            at = end
-
-
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
-def _encoder(tokenizer_file: str, pattern: str | None) -> Encoder:
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of distinct pieces. Those of a space and letters are encoded as one
+        text: each starts a piece there too, and at a token that starts with a space."""
+        spaced = [x for x in pieces if x[0] == " " and x[1:].isalpha()]
+        rest = [x for x in pieces if not (x[0] == " " and x[1:].isalpha())]
+        out = dict(zip(rest, self._whole(rest), strict=True)) if rest else {}
+        for k in range(0, len(spaced), 5000):
+            part = spaced[k : k + 5000]
+            ids = np.frombuffer(self._whole(["".join(part)])[0], "<u4")
+            data = ids.tobytes()
+            cuts = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), len(data)]
+            out.update(zip(part, (data[s:e] for s, e in pairwise(cuts)), strict=True))
+        return out
+
+    def _group(self, group: list[tuple[int, str, bool]]) -> Iterator[tuple[int, bytes, bool]]:
+        split = [BYTE_LEVEL.findall(x) if self.splits and PLAIN.fullmatch(x) else None for _, x, _ in group]
+        new = set(chain.from_iterable(x for x in split if x)).difference(self.known)
+        ids = self._pieces(list(new))
+        if len(self.known) < CACHED_PIECES:  # full of early ones, the frequent among them
+            self.known.update(ids)
+        self.known.rest = ids
+        get = self.known.__getitem__
+        for (k, text, last), pieces in zip(group, split, strict=True):
+            yield k, b"".join(map(get, pieces)) if pieces is not None else self._whole([text])[0], last
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[int, bytes, bool]]:
+        """(place of the text, little-endian uint32 ids, whether they are its last) in order."""
+        group, size = [], 0
+        for k, text in enumerate(texts):
+            parts = segments(text) if self.splits and PLAIN.fullmatch(text) else [text]
+            parts = iter(parts)
+            part = next(parts)
+            while part is not None:
+                after = next(parts, None)
+                group.append((k, part, after is None))
+                size += len(part)
+                part = after
+                if size >= SEGMENT:
+                    yield from self._group(group)
+                    group, size = [], 0
+        yield from self._group(group)
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(tokenizer_file: str) -> Encoder:
     """One encoder per Python worker, so that its pieces serve later tasks too."""
-    key = (tokenizer_file, pattern)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(tokenizer_file, pattern)
-    return _ENCODERS[key]
+    if tokenizer_file not in _ENCODERS:
+        _ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
+    return _ENCODERS[tokenizer_file]
 
 
 class Writer:
@@ -199,7 +261,6 @@ def write_tokens(
     docs: DataFrame,
     folder: str,
     tokenizer_file: str,
-    pattern: str | None = None,
     end_id: int = END_ID,
     frame_ids: int = FRAME_IDS,
 ) -> DataFrame:
@@ -216,20 +277,21 @@ def write_tokens(
 
     def write(batches):
         writer = stream = path = None
-        encode = _encoder(tokenizer_file, pattern)
+        encoder = _encoder(tokenizer_file)
         part = TaskContext.get().partitionId()
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if writer is None:
-                    path = f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex}.bin"
-                    fs, name = filesystem(path)
-                    fs.create_dir(name.rpartition("/")[0], recursive=True)
-                    stream = fs.open_output_stream(name)
-                    writer = Writer(stream, frame_ids)
-                for ids in encode(text or ""):
-                    writer.add(ids)
-                writer.add(end)
-                writer.end_document(doc_id)
+            if writer is None and b.num_rows:
+                path = f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex}.bin"
+                fs, name = filesystem(path)
+                fs.create_dir(name.rpartition("/")[0], recursive=True)
+                stream = fs.open_output_stream(name)
+                writer = Writer(stream, frame_ids)
+            doc_ids = b.column("doc_id").to_pylist()
+            for k, ids, last in encoder.encode([x or "" for x in b.column("text").to_pylist()]):
+                writer.add(ids)
+                if last:
+                    writer.add(end)
+                    writer.end_document(doc_ids[k])
         if writer is not None:
             writer.close()
             stream.close()
@@ -277,7 +339,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     return listed.repartition(max(1, len(files))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_output(docs: DataFrame, tokenizer_file: str, pattern: str | None = None, end_id: int = END_ID) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> DataFrame:
     """Writes the documents' token files to the shared folder and reads them back."""
     folder = shared_path(docs.sparkSession, "tokens")
-    return read_tokens(write_tokens(docs, folder, tokenizer_file, pattern, end_id))
+    return read_tokens(write_tokens(docs, folder, tokenizer_file, end_id))

@@ -25,16 +25,22 @@ def whole():
 
 def test_encoder_equals_whole_text_encoding(whole, monkeypatch):
     monkeypatch.setattr(T, "SEGMENT", 50)
-    enc = T.Encoder(FILE, public_tokenizers.PATTERN)
-    for t in TEXTS:
-        assert np.frombuffer(b"".join(enc(t or "")), "<u4").tolist() == whole(t)
+    monkeypatch.setattr(T, "CACHED_PIECES", 20)
+    enc = T.Encoder(FILE)
+    assert enc.splits
+    texts = [t or "" for t in TEXTS] * 2 + ["a_b __c d'll x² ½ ªº µ×÷ \xa0 y\r\n z"]
+    got = [b""] * len(texts)
+    for k, ids, _ in enc.encode(texts):
+        got[k] += ids
+    for t, g in zip(texts, got):
+        assert np.frombuffer(g, "<u4").tolist() == whole(t)
 
 
 def test_round_trip(spark, whole):
     rows = [(100 - k, t, "clash") for k, t in enumerate(TEXTS)] + [(None, "null id", "x"), (5, "twice", "x"), (5, "twice", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(3)
     folder = shared_path(spark, "tok-test")
-    manifest = T.write_tokens(docs, folder, FILE, public_tokenizers.PATTERN, frame_ids=1000)
+    manifest = T.write_tokens(docs, folder, FILE, frame_ids=1000)
     got = sorted((tuple(r) for r in T.read_tokens(manifest).collect()), key=lambda r: r[1])
     start = 0
     for (doc_id, text, _), g in zip(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)), got, strict=True):
