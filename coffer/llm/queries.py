@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coffer.llm import decontamination, minhash, pii, quality, secret_scan, sharding, suffix_dedup, token_files
+from coffer.llm import (
+    decontamination,
+    minhash,
+    pieces,
+    pii,
+    quality,
+    secret_scan,
+    sharding,
+    suffix_dedup,
+    token_files,
+    toxicity,
+)
 from coffer.llm.common import documents
 
 
@@ -22,6 +33,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(documents(spark, sf_dir), 24)
 
@@ -40,6 +57,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
@@ -58,7 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_suffix_dedup,
         op2_quality_rules,
         op3_near_duplicates,
+        op4_toxicity,
         op5_pii,
+        op6_pieces,
         op7_sharding,
         op8_secret_scan,
         op9_decontamination,
