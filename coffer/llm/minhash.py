@@ -1,14 +1,15 @@
 """Near-duplicate detection with b-bit MinHash.
 
-1. Sketch: each document's set of 5-word shingles gives 250 minima. Their
-   bands of 5 generate candidates; of each minimum the 2 lowest bits (after
+1. Sketch: each document's set of 5-word shingles gives 144 minima. Their
+   bands of 4 generate candidates; of each minimum the 2 lowest bits (after
    mixing) are kept and packed into bit planes. At a similarity of 0.75 a pair
-   shares none of the 50 bands with probability (1 - 0.75**5)**50 = 1.3e-6.
+   shares none of the 36 bands with probability (1 - 0.75**4)**36 = 1.2e-6.
 2. Documents with equal sets are one class from here on.
-3. Stars: each class of a bucket is paired with the bucket's smallest class
-   only, so a bucket of any size gives a linear number of pairs.
+3. Stars: of the smallest classes of its buckets, each class is paired with
+   the smallest, so that a bucket of any size gives a linear number of pairs;
+   a second round does so from the other end where buckets are still apart.
 4. Estimate: bit counts of the planes' differences give the share of equal
-   bits, corrected for chance collisions; pairs below 0.55 (six standard
+   bits, corrected for chance collisions; pairs below 0.49 (six standard
    deviations under 0.75) go.
 5. Confirm: the full shingle sets of the remaining pairs are intersected.
 6. Components of the confirmed links. Then classes that share a bucket but are
@@ -33,12 +34,12 @@ from coffer.llm.components import components
 from coffer.llm.shingles import mix, shingle_set, word_hashes
 
 SHINGLE_WORDS = 5
-BANDS, ROWS = 50, 5
+BANDS, ROWS = 36, 4
 BITS = 2
 LONGS = -(-BANDS * ROWS // 64)
 #: Links have 100 * intersection >= LEAST * union.
 LEAST = 75
-MIN_ESTIMATE = 0.55
+MIN_ESTIMATE = 0.49
 
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype="u8"))
 _MUL = (_SEEDS[: BANDS * ROWS] >> np.uint64(32)).astype("u4") | np.uint32(1)
@@ -46,7 +47,7 @@ _ADD = (_SEEDS[BANDS * ROWS :] >> np.uint64(32)).astype("u4")
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
-    """The minimum of each of the 250 permutations over a non-empty set."""
+    """The minimum of each of the permutations over a non-empty set."""
     h = (shingles >> np.uint64(32)).astype("u4")
     out = np.full(BANDS * ROWS, 0xFFFFFFFF, "u4")
     for at in range(0, len(h), 512):
@@ -123,16 +124,10 @@ def _plausible(x: str, y: str, nx: str, ny: str) -> Column:
     return (small * 100 >= large * LEAST) & (_estimate(x, y) >= MIN_ESTIMATE)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs(a, b) of class ids whose full shingle sets are similar enough."""
-    pairs = saved(pairs.distinct(), "minhash-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = docs.select(F.col("doc_id").alias("id"), utf8().alias("text")).join(ids, "id", "left_semi")
-    sets = saved(sets.mapInArrow(_sets, "id long, shingles binary"), "minhash-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b"
+def _labelled(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    return buckets.join(found.withColumnRenamed("node", "id"), "id", "left").select(
+        "id", "hash", F.coalesce("component", "id").alias("label")
     )
-    return saved(both.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long"), "minhash-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -157,31 +152,51 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         linked.join(ids.withColumnRenamed("id", "doc_id"), ["key", "doc_id"]).dropDuplicates(["key"]).withColumnRenamed("doc_id", "id"),
         "minhash-classes",
     )
-    rows = classes.select("id", F.posexplode("bands").alias("band", "hash"))
-    centres = rows.groupBy("band", "hash").agg(F.min("id").alias("a"), F.max("id").alias("_last")).filter("a <> _last")
-    buckets = saved(rows.join(centres.select("band", "hash", "a"), ["band", "hash"]), "minhash-buckets")
+    rows = classes.select("id", F.explode("bands").alias("hash"))
+    shared = rows.groupBy("hash").agg(F.min("id").alias("a"), F.max("id").alias("_last")).filter("a <> _last")
+    buckets = saved(rows.join(shared.select("hash", "a"), "hash"), "minhash-buckets")
+    ids = buckets.select("id").distinct()
+    texts = cols.select(F.col("doc_id").alias("id"), utf8().alias("text")).join(ids.hint("merge"), "id", "left_semi")
+    sets = saved(texts.mapInArrow(_sets, "id long, shingles binary"), "minhash-sets")
     sketch = classes.select("id", "n_shingles", "planes")
-    side = lambda s: sketch.select(F.col("id").alias(s), F.col("n_shingles").alias("n" + s), F.col("planes").alias("p" + s))
 
-    stars = buckets.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    stars = stars.join(side("a"), "a").join(side("b"), "b").filter(_plausible("pa", "pb", "na", "nb"))
-    links = _confirmed(stars.select("a", "b"), cols, classes)
+    def side(s: str) -> DataFrame:
+        return sketch.select(F.col("id").alias(s), F.col("n_shingles").alias("n" + s), F.col("planes").alias("p" + s))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = saved(pairs.select("a", "b").distinct(), "minhash-pairs")
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(
+            sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b"
+        )
+        return saved(both.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long"), "minhash-links")
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        return pairs.join(side("a"), "a").join(side("b"), "b").filter(_plausible("pa", "pb", "na", "nb"))
+
+    stars = buckets.filter("id <> a").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a"))
+    links = confirmed(plausible(stars))
     found = components(links)
 
-    # classes of one bucket that are still apart
-    label = F.coalesce("component", "id").alias("label")
-    left = buckets.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "band", "hash", label)
-    apart = left.groupBy("band", "hash").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi")
-    open_rows = left.join(apart.select("band", "hash"), ["band", "hash"]).join(sketch, "id")
-    open_rows = saved(open_rows, "minhash-open")
-    s = lambda k: open_rows.select("band", "hash", *[F.col(c).alias(c + k) for c in ("id", "label", "n_shingles", "planes")])
-    rest = (
-        s("_x")
-        .join(s("_y"), ["band", "hash"])
-        .filter((F.col("label_x") < F.col("label_y")) & _plausible("planes_x", "planes_y", "n_shingles_x", "n_shingles_y"))
+    # buckets that are still apart: a star round from the other end
+    left = _labelled(buckets, found)
+    ends = left.groupBy("hash").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max_by("id", "label").alias("a"))
+    apart = left.join(ends.filter("_lo <> _hi"), "hash").filter("label <> _hi")
+    links = links.unionByName(confirmed(plausible(apart.groupBy(F.col("id").alias("b")).agg(F.max("a").alias("a")))))
+    found = components(links)
+
+    # classes of one bucket that are apart even now
+    left = _labelled(buckets, found)
+    ends = left.groupBy("hash").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi")
+    open_rows = saved(left.join(ends.select("hash"), "hash").join(sketch, "id"), "minhash-open")
+
+    def half(k: str) -> DataFrame:
+        return open_rows.select("hash", *[F.col(c).alias(c + k) for c in ("id", "label", "n_shingles", "planes")])
+
+    rest = half("_x").join(half("_y"), "hash").filter(
+        (F.col("label_x") < F.col("label_y")) & _plausible("planes_x", "planes_y", "n_shingles_x", "n_shingles_y")
     )
-    more = _confirmed(rest.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")), cols, classes)
-    found = components(links.unionByName(more))
+    links = links.unionByName(confirmed(rest.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))))
+    found = components(links)
 
     by_key = classes.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "key", F.coalesce("component", "id").alias("component")
