@@ -50,3 +50,36 @@ def test_find_value_column():
     assert NM.find_value_column(["date", "btc valeur", "btc valeur cumul"], "btc") == "btc valeur"
     assert NM.find_value_column(["date", "BTC Valeur Cumul"], "btc") == "BTC Valeur Cumul"
     assert NM.find_value_column(["date", "Valeur BTC"], "btc") is None
+
+
+def test_ranks_without_exchange_reuse(spark):
+    from pyspark.sql import Window
+
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        n = 400_000
+        df = spark.range(0, n).select(
+            (F.col("id") % 7).alias("g"), ((F.col("id") * 7919) % n).alias("o"), F.col("id").cast("string").alias("extra")
+        )
+        got = NM.rank_within_group(df, "g", "o", "r")
+        per = got.groupBy("g").agg(F.count("*").alias("n"), F.countDistinct("r").alias("d"), F.max("r").alias("m")).collect()
+        assert len(per) == 7 and all(r.n == r.d == r.m for r in per)
+        ref = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("o")))
+        assert got.exceptAll(ref).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_ranks_with_null_groups_and_orders(spark):
+    df = spark.createDataFrame([(None, "b"), (None, None), ("x", "c"), ("x", "a")], "g string, o string")
+    got = sorted((tuple(r) for r in NM.rank_within_group(df, "g", "o", "r").collect()), key=str)
+    assert got == sorted([(None, None, 1), (None, "b", 2), ("x", "a", 1), ("x", "c", 2)], key=str)
+
+
+def test_resolver_order():
+    cols = ["op date", "amount", "", "fee total"]
+    assert NM.resolve_like(cols, ["fees", "amount"]) == "amount"  # an exact match of a later candidate first
+    assert NM.resolve_like(cols[:2] + cols[3:], ["fee"]) == "fee total"
+    assert NM.resolve_like(cols, ["nothing"]) == ""  # an empty header fits anything
+    assert NM.resolve_like(["abc"], ["x"], ["^a.c$"]) == "abc"
+    assert NM.resolve_like(["abc"], ["x"]) is None
