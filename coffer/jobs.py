@@ -16,10 +16,12 @@ Tables (parquet directories):
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from coffer.operators import holdings as H
 from coffer.operators import ledger as LG
@@ -42,15 +44,16 @@ from coffer.schemas import (
     TRANSACTIONS_KEY,
     TRANSACTIONS_UPDATE,
 )
+from coffer.session import ensure_checkpoint_dir
 from coffer.sources.payloads import parse_market_chart
-from coffer.sources.readers import read_ledger_csv
+from coffer.sources.readers import read_ledger_csv, read_prices, read_transactions, stored
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 — table not created yet
-        return None
+def _prices(spark: SparkSession, path: str) -> DataFrame:
+    """The price table, or an empty one before the first backfill."""
+    if stored(spark, path) is None:
+        return spark.createDataFrame([], "ts timestamp_ntz, symbol string, price_eur decimal(18,8)")
+    return read_prices(spark, path)
 
 
 def import_ledger(
@@ -58,21 +61,29 @@ def import_ledger(
 ) -> DataFrame:
     """Ledger export -> ``transactions``.
 
-    Rows violating the stored constraints are written to ``rejects_path``
-    (with a ``reason``) instead of stopping the batch. Returns the rejected
-    rows' DataFrame (lazy).
+    Rows violating the stored constraints are written to ``rejects_path`` with
+    their values as read, a ``reason``, and partitioned by the file they came
+    from: importing a file again replaces its rejects. Both outputs read one
+    staged copy of the normalised batch. Returns the rejected rows' DataFrame
+    (lazy; its staged input stays in the shared folder until that is cleared).
     """
     raw = read_ledger_csv(spark, csv_path)
-    stored = LG.to_store(LG.normalize_ledger(raw, as_of))
+    batch = LG.normalize_ledger(raw, as_of)
+    stage = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    batch.write.parquet(stage)
+    batch = spark.read.schema(batch.schema).parquet(stage)
+    money = T.DecimalType(18, 8)
     rules = QA.domain_rules(
         not_null=["date_utc", "symbol", "qty", "price_eur", "fee_eur", "dedup_hash"],
         max_len={"symbol": LEN_SYMBOL, "exchange": LEN_EXCHANGE, "note": LEN_NOTE, "dedup_hash": LEN_DEDUP_HASH},
+        decimals={"qty": money, "price_eur": money, "fee_eur": money},
     )
-    valid, rejected = QA.domain_split(stored, rules)
-    src = valid.withColumn("month", F.trunc(F.to_date("date_utc"), "month"))
+    valid, rejected = QA.domain_split(batch, rules)
+    src = LG.to_store(valid).withColumn("month", F.trunc(F.to_date("date_utc"), "month"))
     UP.write_upsert(src, transactions_path, TRANSACTIONS_KEY, TRANSACTIONS_UPDATE, "month", seq="_seq", now=as_of)
     if rejects_path:
-        rejected.write.mode("append").parquet(rejects_path)
+        out = rejected.withColumn("source", F.md5(F.col("_seq.file").cast("binary")))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(rejects_path)
     return rejected
 
 
@@ -85,13 +96,8 @@ def backfill_prices(
     ``landing_path`` holds one JSON payload per file under ``symbol=<sym>/``.
     Returns the gap report (Q8) computed before the fill (lazy).
     """
-    tx = spark.read.parquet(transactions_path)
-    prices = _read(spark, prices_path)
-    symbols = PX.symbol_universe(tx)
-    days = PX.backfill_calendar(tx, prices, as_of)
-    if prices is None:
-        prices = spark.createDataFrame([], "ts timestamp_ntz, symbol string, price_eur decimal(18,8)")
-    gaps = PX.price_gaps(symbols, prices, days)
+    tx = read_transactions(spark, transactions_path)
+    symbols, gaps = PX.price_gaps(tx, _prices(spark, prices_path), as_of)
     files = spark.read.option("wholetext", True).text(landing_path).select(
         F.lower(F.regexp_extract(F.col("_metadata.file_path"), r"symbol=([^/]+)/", 1)).alias("symbol"),
         F.unix_micros(F.col("_metadata.file_modification_time")).alias("_seq"),
@@ -113,16 +119,24 @@ def snapshot_report(
     snapshots_path: str,
     run_ts: str,
     csv_path: str | None = None,
+    rejects_path: str | None = None,
 ) -> DataFrame:
     """Holdings report -> ``snapshots`` (upsert on ``ts, symbol``) and the CSV
-    report (E1, E2, F5, C1–C5, I4, I7). Returns the report (lazy)."""
-    tx = spark.read.parquet(transactions_path)
-    prices = _read(spark, prices_path)
-    if prices is None:
-        prices = spark.createDataFrame([], "ts timestamp_ntz, symbol string, price_eur decimal(18,8)")
+    report (E1, E2, F5, C1–C5, I4, I7). Returns the report (lazy).
+
+    Snapshot rows that the table cannot hold go to ``rejects_path`` with a
+    ``reason``, one folder per run day that a re-run replaces; without a path
+    such a row is an error, raised before anything is written."""
+    tx = read_transactions(spark, transactions_path)
+    prices = _prices(spark, prices_path)
     report = H.holdings_report(tx, prices)
     snap = H.portfolio_snapshot(report, run_ts)
-    valid, _ = QA.domain_split(snap, QA.domain_rules(not_null=list(snap.columns)))
+    valid, rejected = QA.domain_split(snap, QA.domain_rules(not_null=list(snap.columns)))
+    if rejects_path:
+        out = rejected.withColumn("run_day", F.lit(run_ts).cast("timestamp_ntz").cast("date"))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_day").parquet(rejects_path)
+    elif bad := rejected.head(1):
+        raise ValueError(f"snapshot row cannot be stored: {bad[0].asDict()}")
     UP.write_upsert(
         valid.withColumn("run_day", F.to_date("ts")), snapshots_path, PORTFOLIO_KEY, PORTFOLIO_UPDATE,
         "run_day", now=run_ts,
@@ -143,10 +157,8 @@ def build_sheet(
     """Daily valuation (long form) -> ``sheet`` (upsert on ``date, symbol``,
     NULL numbers stored as 0; old days are never deleted) (F6–F10, G1–G5,
     C2, C6–C8, I5, Q5)."""
-    tx = spark.read.parquet(transactions_path)
-    prices = _read(spark, prices_path)
-    if prices is None:
-        prices = spark.createDataFrame([], "ts timestamp_ntz, symbol string, price_eur decimal(18,8)")
+    tx = read_transactions(spark, transactions_path)
+    prices = _prices(spark, prices_path)
     long = V.daily_valuation_long(tx, prices, coins=list(coins), as_of=as_of)
     numeric = ["bought", "bought_cum", "qty_cum", "price_eur", "value", "gain"]
     src = QA.fill_nulls(long, numeric).withColumn("month", F.trunc("date", "month"))

@@ -120,22 +120,45 @@ def iso_utc(ts: Column) -> Column:
     )
 
 
-def fixed8(x: Column) -> Column:
-    """Engine-independent integer form of a double at 1e-8 resolution:
-    ``floor(x * 1e8 + 0.5)``; NULL for NaN, infinities and |x| >= 9.2e10."""
-    ok = ~F.isnan(x) & (F.abs(x) < F.lit(9.2e10))
-    return F.when(ok, F.floor(x * F.lit(1e8) + F.lit(0.5)).cast("long"))
+def double_text(x: Column) -> Column:
+    """A text of its own for every double, the same in every engine.
+
+    ``<53-bit mantissa>p<exponent>`` from exact scaling by powers of two (the
+    rounded logarithm is corrected by comparison, and the scaling is done in
+    two halves so that no factor overflows); ``0`` for both zeros, ``nan``,
+    ``inf`` and ``-inf``. NULL stays NULL.
+    """
+    mag = F.abs(x)
+    finite = ~F.isnan(x) & (mag < F.lit(float("inf"))) & (mag > 0)
+    guess = F.floor(F.log2(F.when(finite, mag))).cast("int")
+    two = F.lit(2.0)
+
+    def scaled(e: Column) -> Column:
+        h = F.lit(52) - e
+        low = F.floor(h / 2).cast("int")
+        return mag * F.pow(two, low) * F.pow(two, h - low)
+
+    e = F.when(scaled(guess) >= 2.0**53, guess + 1).when(scaled(guess) < 2.0**52, guess - 1).otherwise(guess)
+    digits = F.concat(
+        F.when(x < 0, F.lit("-")).otherwise(F.lit("")), scaled(e).cast("long").cast("string"), F.lit("p"), e.cast("string")
+    )
+    return (
+        F.when(F.isnan(x), F.lit("nan"))
+        .when(x == float("inf"), F.lit("inf"))
+        .when(x == float("-inf"), F.lit("-inf"))
+        .when(x == 0, F.lit("0"))
+        .otherwise(digits)
+    )
 
 
 def dedup_hash(iso: Column, symbol: Column, qty: Column, price: Column, fee: Column, note: Column) -> Column:
     """SHA-1 hex over ``iso|symbol|qty|price|fee|note``.
 
-    Numbers enter as ``fixed8`` integers so that every engine hashes the
-    same bytes (float-to-text rendering differs between engines); a missing
-    part is the empty string.
+    Numbers enter as ``double_text``, so that different numbers never hash
+    alike and every engine hashes the same bytes (float-to-text rendering
+    differs between engines); a missing part is the empty string.
     """
-    parts = [iso, symbol, fixed8(qty).cast("string"), fixed8(price).cast("string"),
-             fixed8(fee).cast("string"), note]
+    parts = [iso, symbol, double_text(qty), double_text(price), double_text(fee), note]
     return F.sha1(F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]))
 
 
@@ -148,8 +171,10 @@ def normalize_ledger(raw: DataFrame, as_of: _dt.datetime | str) -> DataFrame:
     column, if present, is passed through for last-write-wins de-duplication.
 
     The rules are layered in successive projections (texts and parsed
-    numbers, then signed quantity, then price, then fee, then the hash) so
-    every sub-expression is generated once in the fused code.
+    numbers, then signed quantity, then price, then fee, then the hash). The
+    row leaves as one struct through ``inline``: a filter on the result stays
+    above that generator, so it is never pushed down as a copy of the parsing
+    expressions.
     """
     df = normalize_headers(raw)
     f = resolve_fields(df.columns)
@@ -207,7 +232,7 @@ def normalize_ledger(raw: DataFrame, as_of: _dt.datetime | str) -> DataFrame:
         *seq, "__dt", "date_defaulted", "symbol", "qty", "price_eur",
         fee_eur(F.col("__fee"), F.col("price_eur")).alias("fee_eur"), "note",
     )
-    return p4.select(
+    row = p4.select(
         *seq,
         to_second(F.col("__dt")).alias("date_utc"),
         "symbol",
@@ -222,6 +247,7 @@ def normalize_ledger(raw: DataFrame, as_of: _dt.datetime | str) -> DataFrame:
         ).alias("dedup_hash"),
         "date_defaulted",
     )
+    return row.select(F.inline(F.array(F.struct(*[F.col(c) for c in row.columns]))))
 
 
 def to_store(tx: DataFrame) -> DataFrame:

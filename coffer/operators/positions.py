@@ -20,20 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coffer.functions.timecols import local_day
-from coffer.operators.valuation import _literal_symbols, sheet_calendar, spread_symbols
-from coffer.schemas import MONEY, MONEY_SUM, SHEET_TZ
-
-
-def sheet_dates(
-    tx: DataFrame,
-    prices: DataFrame | None = None,
-    as_of: _dt.date | str | None = None,
-    tz: str = SHEET_TZ,
-) -> DataFrame:
-    """The sheet's dates as a one-column DataFrame (H8)."""
-    days = sheet_calendar(tx, prices, as_of, tz)
-    return tx.sparkSession.range(1).select(F.explode(days).alias("date"))
+from coffer.operators.valuation import daily_facts
+from coffer.schemas import MONEY_SUM, SHEET_TZ
 
 
 def positions_asof(
@@ -44,30 +32,7 @@ def positions_asof(
     tz: str = SHEET_TZ,
 ) -> DataFrame:
     """Long as-of positions: ``date, symbol, qty`` (NULL before first trade)."""
-    t = tx.select(F.lower("symbol").alias("symbol"), "date_utc", F.col("qty").cast(MONEY).alias("qty"))
-    days = sheet_calendar(t, prices, as_of, tz)
-    if coins:
-        symbols = _literal_symbols(tx.sparkSession, coins)
-        t = t.filter(F.col("symbol").isin(list(coins)))
-    else:
-        symbols = spread_symbols(t.select("symbol").distinct())
-    spine = symbols.select(
-        "symbol",
-        F.explode(days).alias("date"),
-        F.lit(1).alias("on_spine"),
-        F.lit(None).cast(MONEY).alias("qty"),
-    )
-    flows = t.select(
-        "symbol",
-        local_day("date_utc", tz).alias("date"),
-        F.lit(0).alias("on_spine"),
-        F.coalesce(F.col("qty"), F.lit(0).cast(MONEY)).alias("qty"),
-    )
-    daily = (
-        spine.unionByName(flows)
-        .groupBy("symbol", "date")
-        .agg(F.max("on_spine").alias("on_spine"), F.sum("qty").alias("qty_day"))
-    )
+    daily = daily_facts(tx, prices, coins, as_of, tz)
     w = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return (
         daily.withColumn("qty", F.sum("qty_day").over(w).cast(MONEY_SUM))

@@ -2,7 +2,7 @@
 
 Price tables have columns ``ts`` (UTC NTZ), ``symbol``, ``price_eur`` and
 optionally arrival-order columns. Every "last point" pick is an aggregate
-(``max_by`` on the ordering key, see ``last_by``), never a self-join or a
+(``max_by`` on one ordering key, see ``quote_order``), never a self-join or a
 window over raw points: the aggregate is combined map-side, so a symbol with
 a huge history costs one partial row per task and day.
 """
@@ -14,24 +14,31 @@ from pyspark.sql import functions as F
 
 from coffer.functions.timecols import local_day, utc_day
 from coffer.schemas import MONEY, SHEET_TZ
+from coffer.session import ensure_checkpoint_dir
 
 
 def last_by(value: Column, *order: Column) -> Column:
-    """Aggregate: ``value`` of the row with the greatest ``order``.
-
-    One order column: ``max_by`` — fixed-width buffers, so the aggregate
-    stays a hash aggregate with map-side combine (a struct ``max`` would
-    force a sort-based aggregate, i.e. a sort of every map partition). The
-    pick is unique when the order value is unique in the group, as ``ts`` is
-    for a (symbol) price table keyed on (ts, symbol). Several order columns:
-    ``max(struct(order..., value))``, deterministic on ties.
-    """
-    if len(order) == 1:
-        return F.max_by(value, order[0])
+    """Aggregate: ``value`` of the row with the greatest ``order``; equal
+    orders are settled by the value, the greater wins."""
     fields = [o.alias(f"k{i}") for i, o in enumerate(order)] + [value.alias("v")]
     return F.max(F.struct(*fields))["v"]
 
 
+def quote_order(ts: Column, price: Column) -> Column:
+    """Time, then price, as one number: microseconds times 10**18 plus the
+    price in units of 1e-8; NULL without a price. A fixed-width order key keeps
+    ``max_by`` a hash aggregate with map-side combine (a struct ``max`` would
+    sort every map partition) and makes the pick unique on equal times."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    units = (price.cast(MONEY).cast("decimal(38,8)") * F.lit(10**8).cast("decimal(9,0)")).cast("decimal(38,0)")
+    return (micros.cast("decimal(18,0)") * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(38,0)") + units
+
+
+def last_quote(price: str = "price_eur", ts: str = "ts") -> Column:
+    """Aggregate: the price of the latest quote, the greatest one on equal times."""
+    return F.max_by(price, quote_order(F.col(ts), F.col(price))).cast(MONEY)
+
+
 def _lower_symbol(df: DataFrame) -> Column:
     return F.lower(F.col("symbol")).alias("symbol")
 
@@ -46,7 +53,7 @@ def latest_price(prices: DataFrame) -> DataFrame:
         _lower_symbol(prices), "ts", "price_eur"
     )
     return p.groupBy("symbol").agg(
-        F.max("ts").alias("ts"), last_by(F.col("price_eur"), F.col("ts")).cast(MONEY).alias("price_eur")
+        F.max("ts").alias("ts"), last_quote().alias("price_eur")
     )
 
 
@@ -54,7 +61,7 @@ def daily_close_local(prices: DataFrame, tz: str = SHEET_TZ) -> DataFrame:
     """F7 (+D3, B14): last non-null price by ``ts`` per (symbol, local day)."""
     p = prices.filter(F.col("price_eur").isNotNull())
     return p.groupBy(_lower_symbol(p), local_day("ts", tz).alias("date")).agg(
-        last_by(F.col("price_eur"), F.col("ts")).cast(MONEY).alias("price_eur")
+        last_quote().alias("price_eur")
     )
 
 
@@ -69,7 +76,7 @@ def daily_close_utc(prices: DataFrame, order: list[str] | None = None) -> DataFr
     g = p.groupBy(_lower_symbol(p), utc_day("ts").alias("date"))
     if not order:
         return g.agg(
-            F.max("ts").alias("ts"), last_by(F.col("price_eur"), F.col("ts")).cast(MONEY).alias("price_eur")
+            F.max("ts").alias("ts"), last_quote().alias("price_eur")
         )
     keys = [F.col(c) for c in order]
     best = F.max(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], "ts", "price_eur"))
@@ -78,15 +85,6 @@ def daily_close_utc(prices: DataFrame, order: list[str] | None = None) -> DataFr
     )
 
 
-def backfill_calendar(tx: DataFrame, prices: DataFrame | None, as_of=None) -> Column:
-    """F2 + H7: the backfill's UTC calendar, first transaction day to
-    ``as_of`` (or the last UTC day seen in transactions or quotes), as one
-    scalar subquery returning ``array<date>``."""
-    from coffer.operators.valuation import calendar
-
-    return calendar(utc_day("date_utc"), tx, prices, None if prices is None else utc_day("ts"), as_of)
-
-
 def tx_span(tx: DataFrame) -> DataFrame:
     """first and last transaction instant."""
     return tx.agg(F.min("date_utc").alias("first_date_utc"), F.max("date_utc").alias("last_date_utc"))
@@ -128,15 +126,34 @@ def expected_days(symbols: DataFrame, days: Column) -> DataFrame:
     return spread_symbols(symbols).select("symbol", F.explode(days).alias("date"))
 
 
-def price_gaps(symbols: DataFrame, prices: DataFrame, days: Column) -> DataFrame:
-    """E5/H6: (symbol, day) pairs of the calendar ``days`` with no quote.
+def price_gaps(tx: DataFrame, prices: DataFrame, as_of=None) -> tuple[DataFrame, DataFrame]:
+    """E5/H6 (+F2, H7, D4): ``symbols`` and their (symbol, day) pairs without a quote.
 
-    ``days_present`` is a distinct aggregate hash-partitioned on
-    (symbol, date) — combined map-side, so a symbol with a huge history ships
-    one row per task and day — and the anti join reuses that partitioning.
+    The calendar is the UTC days from the first transaction to ``as_of`` (or
+    the last day seen in transactions or quotes). Each input is read once:
+    transactions are reduced to their distinct (symbol, day) pairs, whose
+    first day bounds the read of the quotes (a range on ``ts`` that reaches
+    the scan), and those are reduced likewise. Both reductions are combined
+    map-side, so a symbol with a huge history ships one row per task and day;
+    what is left (symbols x days at most) is checkpointed, and everything else
+    derives from it.
     """
-    have = days_present(prices)
-    return expected_days(symbols, days).join(have, ["symbol", "date"], "left_anti")
+    spark = tx.sparkSession
+    ensure_checkpoint_dir(spark)
+    tx_days = tx.select(_lower_symbol(tx), utc_day("date_utc").alias("date")).distinct().checkpoint()
+    symbols = symbol_universe(tx_days)
+    first, last = tx_days.agg(F.min("date"), F.max("date")).first()
+    if first is None:
+        return symbols, symbols.select("symbol", F.lit(None).cast("date").alias("date")).limit(0)
+    end = None if as_of is None else F.lit(str(as_of)).cast("date")
+    have = days_present(prices, F.lit(first), end).checkpoint()
+    if end is None:
+        seen = have.agg(F.max("date")).first()[0]
+        end = F.lit(last if seen is None else max(last, seen))
+    wanted = expected_days(symbols, F.sequence(F.lit(first), F.greatest(F.lit(first), end)))
+    if as_of is not None:
+        wanted = wanted.filter(F.col("date") <= end)
+    return symbols, wanted.join(have, ["symbol", "date"], "left_anti")
 
 
 def gap_ranges(gaps: DataFrame) -> DataFrame:

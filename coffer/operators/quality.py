@@ -1,16 +1,14 @@
 """Data-quality audits and repairs.
 
-All audits are aggregates: counts per key or per symbol, with bounded
-samples. The only list built per group is the NULL audit's list of dates,
-whose input is a calendar (one row per symbol and day), so it is bounded by
-the calendar span.
+All audits are aggregates: counts per key or per symbol, with samples of a
+fixed size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,19 +78,20 @@ def null_audit(
     """Q4 (+H4, D5): per group, how many dates (``<= as_of``) have a NULL
     value, and the first ``sample`` of those dates as ``YYYY-MM-DD, …``.
 
-    One aggregate over the input (which is consumed once): the count and the
-    list of NULL dates, sorted and cut to the sample. The input is a calendar
-    (one row per group and day), so a group's list is bounded by the number
-    of calendar days, not by data volume.
+    The count is an aggregate; the dates are the first ``sample`` NULL rows of
+    each group (a window whose rank limit Spark applies before its shuffle),
+    so no list grows with the data. Groups without NULLs have an empty text.
     """
     d = df if as_of is None else df.filter(F.col("date") <= as_of)
     is_null = F.col(value_col).isNull()
-    dates = F.collect_list(F.when(is_null, F.col("date")))  # NULLs (non-null values) are skipped
-    return d.groupBy(group_col).agg(
-        F.count_if(is_null).alias("n_null"),
-        F.array_join(
-            F.transform(F.slice(F.array_sort(dates), 1, sample), lambda x: x.cast("string")), ", "
-        ).alias("sample_dates"),
+    counts = d.groupBy(group_col).agg(F.count_if(is_null).alias("n_null"))
+    by_date = Window.partitionBy(group_col).orderBy("date")
+    first = d.filter(is_null).select(group_col, "date").withColumn("__k", F.row_number().over(by_date)).filter(F.col("__k") <= sample)
+    texts = first.groupBy(group_col).agg(F.array_sort(F.collect_list("date")).alias("__dates"))  # ``sample`` dates at most
+    return counts.join(texts, group_col, "left").select(
+        group_col,
+        "n_null",
+        F.coalesce(F.array_join(F.transform("__dates", lambda x: x.cast("string")), ", "), F.lit("")).alias("sample_dates"),
     )
 
 

@@ -18,11 +18,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coffer.operators.ledger import last_write_wins
 from coffer.session import ensure_checkpoint_dir
+from coffer.sources.readers import stored
 
 ACTION = "_action"
 
@@ -100,46 +101,51 @@ def write_upsert(
     partition_col: str,
     seq: str | None = None,
     now: Column | str | None = None,
-) -> str:
+) -> None:
     """Apply an upsert to a parquet table partitioned by ``partition_col``.
 
     The source must carry ``partition_col`` (derived from a key, so a key
-    never moves between partitions). Only partitions present in the source
-    are read from the target (their values are listed first, so the read is
-    pruned to those partition directories); the merged partitions are first
-    written to a
-    staging directory under ``spark.checkpoint.dir`` (cutting the lineage to
-    the target files), then swapped in with dynamic partition overwrite.
-    Returns the staging path.
+    never moves between partitions). The batch is written once to a staging
+    folder under ``spark.checkpoint.dir`` and read from there, so its plan
+    runs once. Only partitions present in it are read from the target (their
+    values, one per directory the batch touches, prune the file listing). The
+    merged partitions are staged too, which cuts the lineage to the target's
+    files, then swapped in with dynamic partition overwrite; the staging
+    folder is removed at the end.
+
+    Only a missing target path means a first write. Any failure to read the
+    target raises before anything in it is replaced.
     """
     spark = source.sparkSession
     if seq is not None:  # last write wins inside the batch, on every path
         source = last_write_wins(source, list(keys), seq).drop("n_rows", seq)
-    # The partition values a batch touches: a short list (a batch spans a
-    # bounded range of days or months), fetched once so the target read is
-    # pruned at file listing instead of scanned whole.
-    touched_values = [r[0] for r in source.select(partition_col).distinct().collect()]
-    try:
-        target = spark.read.parquet(target_path)
-    except Exception:  # noqa: BLE001 — first write: no target yet
-        target = None
-    touched = None if target is None else target.filter(F.col(partition_col).isin(touched_values))
-    if touched is None:
-        merged = source.withColumn(ACTION, F.lit("inserted"))
-        if now is not None and "created_at" not in merged.columns:
-            merged = merged.withColumn("created_at", F.lit(str(now)).cast("timestamp_ntz"))
-    else:
-        merged = upsert(touched, source, keys, update_cols, now=now)
     stage = f"{ensure_checkpoint_dir(spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
-    merged = merged.drop(ACTION)
-    merged.write.mode("overwrite").partitionBy(partition_col).parquet(stage)
-    staged = spark.read.schema(merged.schema).parquet(stage)
-    # Per-write option (not the session conf): only the staged partitions are
-    # replaced, and concurrent jobs on the session are unaffected.
-    (
-        staged.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition_col)
-        .parquet(target_path)
-    )
-    return stage
+    source.write.parquet(f"{stage}/batch")
+    batch = spark.read.schema(source.schema).parquet(f"{stage}/batch")
+    values = [r[0] for r in batch.select(partition_col).distinct().collect()]
+    if values:
+        target = stored(spark, target_path)
+        if target is None:
+            merged = batch
+            if now is not None and "created_at" not in merged.columns:
+                merged = merged.withColumn("created_at", F.lit(str(now)).cast("timestamp_ntz"))
+        else:
+            merged = upsert(target.filter(F.col(partition_col).isin(values)), batch, keys, update_cols, now=now).drop(ACTION)
+        merged.write.partitionBy(partition_col).parquet(f"{stage}/merged")
+        # Per-write option (not the session conf): only the staged partitions are
+        # replaced, and concurrent jobs on the session are unaffected.
+        (
+            spark.read.schema(merged.schema)
+            .parquet(f"{stage}/merged")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(partition_col)
+            .parquet(target_path)
+        )
+    remove_folder(spark, stage)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this library made, on whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -1,22 +1,17 @@
 """Daily valuation sheet.
 
-Plan shape of ``daily_valuation_long`` — two data-sized shuffles, plus small
-exchanges for the symbol list and the one-row calendar subquery:
-
-1. three inputs in one union keyed by (symbol, local day):
-   the dense spine (one generated row per symbol and day), the
-   transactions (daily buy amount and quantity) and the quotes (last point
-   of the day as ``max_by(price, ts)``, a fixed-width hash-aggregate buffer);
-2. one ``groupBy(symbol, date)`` — partial aggregation runs before the
+Plan shape of ``daily_valuation_long``:
+
+1. transactions and quotes, each read once, in one union keyed by (symbol,
+   local day) and one hash aggregate (buys and quantities summed, the day's
+   last quote by a fixed-width order key); partial aggregation runs before the
    shuffle, so a symbol with a third of all transactions ships at most one
-   partial row per task and day; the spine flag keeps only spine days;
+   partial row per task and day. The result is checkpointed;
+2. from it: the calendar (a scalar subquery, exploded per symbol; no cross
+   join), the symbol list, and the dense spine joined by union and aggregate;
 3. one window partitioned by symbol, ordered by date, for the running sums
    and the forward/backward price fill. A window partition holds one row per
    day of the calendar, whatever the symbol's raw volume.
-
-The calendar is one scalar subquery (first transaction day over all symbols
-to the as-of day, as an array of dates), evaluated once and exploded per
-symbol — no cross join, no collect.
 """
 
 from __future__ import annotations
@@ -30,6 +25,7 @@ from pyspark.sql import types as T
 
 from coffer.functions.money import daily_buy, nz, value
 from coffer.functions.timecols import day_spine, local_day
+from coffer.operators.prices import last_quote
 from coffer.schemas import (
     MONEY,
     MONEY_SUM,
@@ -40,6 +36,7 @@ from coffer.schemas import (
     SHEET_TZ,
     sheet_columns,
 )
+from coffer.session import ensure_checkpoint_dir
 
 LONG_COLUMNS = ["date", "symbol", "bought", "bought_cum", "qty_cum", "price_eur", "value", "gain"]
 
@@ -59,123 +56,91 @@ def spread_symbols(symbols: DataFrame) -> DataFrame:
     return symbols.repartition(n)
 
 
-def calendar(
-    tx_days: Column,
-    tx: DataFrame,
-    prices: DataFrame | None,
-    price_days: Column | None,
-    as_of: _dt.date | str | None,
-) -> Column:
-    """The calendar ``[first transaction day, end]`` as ONE scalar subquery
-    returning ``array<date>`` (H7/H8).
-
-    end = ``as_of`` if given, else the last day seen in transactions or
-    quotes. Transaction and quote days are unioned and reduced by a single
-    global aggregate (partial per task, one row after the exchange). The
-    array's size is bounded by the calendar span (36,525 dates per century),
-    not by the data; it reaches every task as the subquery's literal result.
-    Callers reference the returned column once (``explode``), so the
-    subquery runs once.
+def daily_activity(tx: DataFrame, prices: DataFrame | None, tz: str = SHEET_TZ) -> DataFrame:
+    """One row per (symbol, local day) with a transaction or a quote:
+    symbol, date, traded, buy_day, qty_day, close (NULL without a quote).
+
+    Each input is read once, and both go through one hash aggregate that is
+    combined map-side, so a symbol holding a third of all rows ships a
+    row per task and day.
     """
-    days = tx.select(tx_days.alias("d"), F.lit(True).alias("is_tx"))
-    if as_of is None and prices is not None:
-        days = days.unionByName(prices.select(price_days.alias("d"), F.lit(False).alias("is_tx")))
-    b = days.agg(
-        F.min(F.when(F.col("is_tx"), F.col("d"))).alias("start"),
-        F.max("d").alias("end"),
+    none = F.lit(None)
+    flows = tx.select(
+        F.lower("symbol").alias("symbol"),
+        local_day("date_utc", tz).alias("date"),
+        F.lit(True).alias("traded"),
+        daily_buy(nz(F.col("qty")), nz(F.col("price_eur")), nz(F.col("fee_eur"))).cast("decimal(38,16)").alias("buy"),
+        nz(F.col("qty")).cast(MONEY).alias("qty"),
+        none.cast("timestamp_ntz").alias("ts"),
+        none.cast(MONEY).alias("quote"),
+    )
+    rows = flows
+    if prices is not None:
+        rows = flows.unionByName(
+            prices.select(
+                F.lower("symbol").alias("symbol"),
+                local_day("ts", tz).alias("date"),
+                F.lit(False).alias("traded"),
+                none.cast("decimal(38,16)").alias("buy"),
+                none.cast(MONEY).alias("qty"),
+                "ts",
+                F.col("price_eur").cast(MONEY).alias("quote"),
+            )
+        )
+    return rows.groupBy("symbol", "date").agg(
+        F.max("traded").alias("traded"),
+        F.sum("buy").alias("buy_day"),
+        F.sum("qty").alias("qty_day"),
+        # the day's last quote; rows without a price have no order key
+        last_quote("quote").alias("close"),
     )
-    if as_of is not None:
-        b = b.select("start", F.lit(str(as_of)).cast(T.DateType()).alias("end"))
-    return b.select(day_spine(F.col("start"), F.col("end")).alias("days")).scalar()
 
 
-def sheet_calendar(
-    tx: DataFrame, prices: DataFrame | None, as_of: _dt.date | str | None, tz: str = SHEET_TZ
-) -> Column:
-    """The sheet's calendar (H8): first local transaction day over all
-    symbols to ``as_of`` or the last local day seen (the data's "today")."""
-    return calendar(
-        local_day("date_utc", tz), tx, prices, None if prices is None else local_day("ts", tz), as_of
-    )
+def calendar(activity: DataFrame, as_of: _dt.date | str | None) -> Column:
+    """The sheet's calendar (H8): from the first transaction day to ``as_of``, or
+    else the last day seen, as ONE scalar subquery returning ``array<date>``.
+
+    The array's size is bounded by the calendar span (36,525 dates per
+    century), not by the data. Callers reference the returned column once
+    (``explode``), so the subquery runs once.
+    """
+    start = F.min(F.when(F.col("traded"), F.col("date"))).alias("start")
+    bounds = activity.agg(start, F.max("date").alias("end"))
+    if as_of is not None:
+        bounds = bounds.select("start", F.lit(str(as_of)).cast(T.DateType()).alias("end"))
+    return bounds.select(day_spine(F.col("start"), F.col("end")).alias("days")).scalar()
 
 
 def daily_facts(
     tx: DataFrame,
-    prices: DataFrame,
+    prices: DataFrame | None,
     coins: Sequence[str] | None = None,
     as_of: _dt.date | str | None = None,
     tz: str = SHEET_TZ,
 ) -> DataFrame:
-    """Dense (symbol, date) rows with the day's buy, qty and close (sparse).
+    """Dense (symbol, date) rows with the day's buy, qty and close (sparse),
+    and sparse rows off the calendar, told apart by ``on_spine``.
 
-    Columns: symbol, date, buy_day, qty_day, close (NULL without a quote).
+    Columns: symbol, date, on_spine, buy_day, qty_day, close. The activity (symbols x
+    days at most) is checkpointed in the shared folder; the calendar, the
+    symbol list and the facts all derive from it, so no input is read again.
     """
-    spark = tx.sparkSession
-    t = tx.select(
-        F.lower("symbol").alias("symbol"),
-        "date_utc",
-        nz(F.col("qty")).alias("qty"),
-        nz(F.col("price_eur")).alias("price_eur"),
-        nz(F.col("fee_eur")).alias("fee_eur"),
-    )
-    days = sheet_calendar(t, prices, as_of, tz)
+    ensure_checkpoint_dir(tx.sparkSession)
+    activity = daily_activity(tx, prices, tz).checkpoint()
     if coins:
-        symbols = _literal_symbols(spark, coins)
-        t = t.filter(F.col("symbol").isin(list(coins)))
+        symbols = _literal_symbols(tx.sparkSession, coins)
+        facts = activity.filter(F.col("symbol").isin(list(coins)))
     else:
-        symbols = spread_symbols(t.select("symbol").distinct())
-
-    null_dec = F.lit(None).cast(MONEY)
-    null_ts = F.lit(None).cast("timestamp_ntz")
-
-    spine = symbols.select(
-        "symbol",
-        F.explode(days).alias("date"),
-        F.lit(1).alias("on_spine"),
-        null_dec.cast("decimal(38,16)").alias("buy"),
-        null_dec.alias("qty"),
-        null_ts.alias("q_ts"),
-        null_dec.alias("q_price"),
-    )
-    flows = t.select(
-        "symbol",
-        local_day("date_utc", tz).alias("date"),
-        F.lit(0).alias("on_spine"),
-        daily_buy(F.col("qty"), F.col("price_eur"), F.col("fee_eur")).cast("decimal(38,16)").alias("buy"),
-        F.col("qty").cast(MONEY).alias("qty"),
-        null_ts.alias("q_ts"),
-        null_dec.alias("q_price"),
-    )
-    q = prices.filter(F.col("price_eur").isNotNull()).select(
-        F.lower("symbol").alias("symbol"), "ts", F.col("price_eur").cast(MONEY).alias("price_eur")
-    )
-    if coins:
-        q = q.filter(F.col("symbol").isin(list(coins)))
-    quotes = q.select(
-        "symbol",
-        local_day("ts", tz).alias("date"),
-        F.lit(0).alias("on_spine"),
-        null_dec.cast("decimal(38,16)").alias("buy"),
-        null_dec.alias("qty"),
-        F.col("ts").alias("q_ts"),
-        F.col("price_eur").alias("q_price"),
-    )
-    # Rows off the calendar (quotes before the first day — which must not be
-    # carried forward — and anything after the end) are dropped by the spine
-    # flag right after the aggregate, before the window sees them.
+        symbols = spread_symbols(activity.filter("traded").select("symbol").distinct())
+        facts = activity
+    spine = symbols.select("symbol", F.explode(calendar(activity, as_of)).alias("date"), F.lit(1).alias("on_spine"))
     return (
-        spine.unionByName(flows)
-        .unionByName(quotes)
+        spine.unionByName(facts.drop("traded").withColumn("on_spine", F.lit(0)), allowMissingColumns=True)
         .groupBy("symbol", "date")
         .agg(
             F.max("on_spine").alias("on_spine"),
-            F.sum("buy").alias("buy_day"),
-            F.sum("qty").alias("qty_day"),
-            # last quote of the day; max_by ignores the NULL-ts spine/flow rows
-            F.max_by("q_price", "q_ts").alias("close"),
+            *[F.max(c).alias(c) for c in ("buy_day", "qty_day", "close")],  # one row at most has them
         )
-        .filter(F.col("on_spine") == 1)
-        .drop("on_spine")
     )
 
 
@@ -196,7 +161,9 @@ def daily_valuation_long(
     value       qty_cum * price, a missing price counting 0 (C6)
     gain        value - bought_cum (C7)
     """
-    daily = daily_facts(tx, prices, coins, as_of, tz)
+    # Quotes before the first day must not be carried forward: rows off the
+    # calendar go before the window sees them.
+    daily = daily_facts(tx, prices, coins, as_of, tz).filter(F.col("on_spine") == 1)
     w = Window.partitionBy("symbol").orderBy("date")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)

@@ -170,7 +170,7 @@ _QUOTES_C = O.simple_quotes(TD.SYMBOL_SQL["coins"], COINS_MAP_DEFAULT)
 
 
 def _gaps(tx, pr):
-    return PX.price_gaps(PX.symbol_universe(tx), pr, PX.backfill_calendar(tx, pr))
+    return PX.price_gaps(tx, pr)[1]
 
 
 @register("daily_close_paris", O.daily_close_paris(PR_E), "F7 B14 D3")
@@ -201,8 +201,7 @@ def q_gap_ranges(spark, sf):
 
 @register("gap_report", O.gap_report(TX_L, _GAPS_L), "Q8")
 def q_gap_report(spark, sf):
-    tx = TD.tx_lineitem(spark, sf)
-    return PX.gap_report(PX.symbol_universe(tx), _gaps(tx, TD.prices_lineitem(spark, sf)))
+    return PX.gap_report(*PX.price_gaps(TD.tx_lineitem(spark, sf), TD.prices_lineitem(spark, sf)))
 
 
 @register("backfill_points_kept", O.backfill_kept(_POINTS_U, _GAPS_E), "E6 F8 A4")

@@ -253,8 +253,19 @@ def parse_dt(expr: str) -> str:
     return "coalesce(" + ", ".join(cands) + ")"
 
 
-def _fixed8(x: str) -> str:
-    return f"CASE WHEN NOT isnan({x}) AND abs({x}) < 9.2e10 THEN CAST(floor({x} * 1e8 + 0.5) AS BIGINT) END"
+def _double_text(x: str) -> str:
+    """Exact mantissa and exponent of a double (DuckDB scales by powers of two exactly)."""
+    def scaled(e: str) -> str:
+        low = f"CAST(floor((52 - ({e})) / 2.0) AS INTEGER)"
+        return f"(abs({x}) * pow(2.0, {low}) * pow(2.0, 52 - ({e}) - {low}))"
+
+    guess = f"CAST(floor(log2(abs({x}))) AS INTEGER)"
+    e = f"(CASE WHEN {scaled(guess)} >= pow(2.0, 53) THEN {guess} + 1 WHEN {scaled(guess)} < pow(2.0, 52) THEN {guess} - 1 ELSE {guess} END)"
+    return (
+        f"CASE WHEN isnan({x}) THEN 'nan' WHEN isinf({x}) THEN CASE WHEN {x} > 0 THEN 'inf' ELSE '-inf' END "
+        f"WHEN {x} = 0 THEN '0' ELSE (CASE WHEN {x} < 0 THEN '-' ELSE '' END) || CAST(CAST({scaled(e)} AS BIGINT) AS VARCHAR) "
+        f"|| 'p' || CAST({e} AS VARCHAR) END"
+    )
 
 
 def ledger_normalize(raw_sql: str, as_of: str) -> str:
@@ -288,9 +299,9 @@ SELECT _seq, date_trunc('second', dt) AS date_utc, symbol, qty, price_eur, fee_e
               THEN '.' || lpad(CAST(microsecond(dt) % 1000000 AS VARCHAR), 6, '0') ELSE '' END
       || '+00:00',
     symbol,
-    coalesce(CAST({_fixed8('qty')} AS VARCHAR), ''),
-    coalesce(CAST({_fixed8('price_eur')} AS VARCHAR), ''),
-    coalesce(CAST({_fixed8('fee_eur')} AS VARCHAR), ''),
+    coalesce({_double_text('qty')}, ''),
+    coalesce({_double_text('price_eur')}, ''),
+    coalesce({_double_text('fee_eur')}, ''),
     note)) AS dedup_hash,
   parsed IS NULL AS date_defaulted
 FROM e"""

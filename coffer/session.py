@@ -56,13 +56,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that one is
     always used. Only when it is unset (local tests) is a scratch folder
-    created and registered.
+    created and registered; elsewhere executors would each write to a disk
+    of their own, so a missing setting is an error.
     """
     current = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if current:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"{CHECKPOINT_CONF} must name a folder that driver and executors of {master} share")
     path = tempfile.mkdtemp(prefix="coffer-ckpt-")
     spark.conf.set(CHECKPOINT_CONF, path)
     spark.sparkContext.setCheckpointDir(path)

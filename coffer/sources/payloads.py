@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coffer.functions.parse import parse_float_text
-from coffer.schemas import COINS_MAP_DEFAULT, MARKET_CHART_JSON, MONEY, SIMPLE_PRICE_JSON
+from coffer.schemas import COINS_MAP_DEFAULT, MARKET_CHART_JSON, MONEY
 
 EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+#: Milliseconds of 0001-01-01 and 9999-12-31T23:59:59.999.
+MIN_MS, MAX_MS = -62_135_596_800_000.0, 253_402_300_799_999.0
 
 
 def parse_mapping(spark: SparkSession, mapping: str = COINS_MAP_DEFAULT) -> DataFrame:
@@ -50,7 +52,8 @@ def parse_market_chart(payloads: DataFrame, json_col: str = "json") -> DataFrame
     ``{"prices": [[epoch_ms, price], ...]}``. Keeps every other payload
     column, adds ``pos`` (position in the payload, the arrival order inside
     it), ``ts`` (UTC NTZ, microsecond precision) and ``price_eur``. Points
-    that are not a pair of numbers are skipped.
+    that are not a pair of numbers, or whose time or price does not fit its
+    type, are skipped; the payload's other points stay.
     """
     keep = [c for c in payloads.columns if c != json_col]
     parsed = payloads.select(*keep, F.from_json(F.col(json_col), MARKET_CHART_JSON).alias("__p"))
@@ -61,25 +64,28 @@ def parse_market_chart(payloads: DataFrame, json_col: str = "json") -> DataFrame
         parse_float_text(F.col("__pt")[0]).alias("__ms"),
         parse_float_text(F.col("__pt")[1]).alias("__px"),
     )
-    micros = F.round(F.col("__ms") * 1000).cast("long")
-    return pair.filter(F.col("__ms").isNotNull() & ~F.isnan("__ms")).select(
+    # times outside the years 1 to 9999, infinities and NaN become NULL
+    ms = F.when(F.col("__ms").between(MIN_MS, MAX_MS), F.col("__ms"))
+    micros = F.round(ms * 1000).cast("long")
+    return pair.select(
         *keep,
         "pos",
         F.timestamp_add("MICROSECOND", micros, F.expr(EPOCH)).alias("ts"),
         F.col("__px").try_cast(MONEY).alias("price_eur"),
-    ).filter(F.col("price_eur").isNotNull())
+    ).filter(F.col("ts").isNotNull() & F.col("price_eur").isNotNull())
 
 
 def parse_simple_price(payloads: DataFrame, json_col: str = "json") -> DataFrame:
     """A5 (+D6): current-price payloads -> ``coin_id, price_eur`` rows.
 
-    ``{"<id>": {"eur": price}, ...}``; ids without an ``eur`` price are
-    dropped. Other payload columns (fetch time, sequence) are kept.
+    ``{"<id>": {"eur": price}, ...}``; an entry that is no object or has no
+    numeric ``eur`` price is dropped, the payload's other entries stay. Other payload columns (fetch time, sequence) are kept.
     """
     keep = [c for c in payloads.columns if c != json_col]
-    parsed = payloads.select(*keep, F.from_json(F.col(json_col), SIMPLE_PRICE_JSON).alias("__m"))
+    parsed = payloads.select(*keep, F.from_json(F.col(json_col), "map<string,string>").alias("__m"))
     ex = parsed.select(*keep, F.explode("__m").alias("coin_id", "__q"))
-    return ex.select(*keep, "coin_id", F.col("__q")["eur"].try_cast(MONEY).alias("price_eur")).filter(
+    eur = F.from_json(F.col("__q"), "map<string,string>")["eur"]
+    return ex.select(*keep, "coin_id", parse_float_text(eur).try_cast(MONEY).alias("price_eur")).filter(
         F.col("price_eur").isNotNull()
     )
 

@@ -7,29 +7,96 @@ the scan.
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from coffer.functions.names import norm_key
 from coffer.functions.timecols import as_utc_ntz
 
 
-def read_ledger_csv(spark: SparkSession, path: str, seq: str = "_seq") -> DataFrame:
-    """A1: a ledger CSV export with a header row, UTF-8, quoted fields.
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The parquet table at ``path``, or None if there is no such path.
 
-    Every value stays a string (no schema inference); embedded newlines in
-    quoted fields are allowed. ``seq`` is the arrival order (increasing in
-    file order across splits), used by last-write-wins de-duplication.
+    Only a missing path counts as "not created yet". Any other failure
+    (permissions, unreadable or half-written files) is the caller's to see.
     """
-    df = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-        .option("inferSchema", False)
-        .option("mode", "PERMISSIVE")
-        .csv(path)
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _headers(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """(header line, files) for each different header line among the files of ``path``."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
     )
-    return df.withColumn(seq, F.monotonically_increasing_id())
+    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    rows = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    return [(r["header"], r["files"]) for r in rows]  # as many paths as the file listing has
+
+
+def _columns(header: str) -> list[tuple[int, str]]:
+    """(position, header) of the columns to keep: of equal keys the last one."""
+    names = next(csv.reader([header.lstrip("\ufeff")]), [])
+    last = {norm_key(n): (i, n) for i, n in enumerate(names)}
+    return sorted(last.values())
+
+
+def read_ledger_csv(spark: SparkSession, path: str, seq: str = "_seq") -> DataFrame:
+    """A1: ledger CSV exports with a header row each, UTF-8, quoted fields.
+
+    Every file is read by its own header: files are grouped by header line,
+    fields are named by position, and of columns whose headers have the same
+    key the last one counts. An empty header is the column ``" "`` (its key is
+    empty). Columns are named by their keys, so files whose headers differ in
+    order, case or blanks line up; a column that a file lacks is NULL there.
+    Every value stays a string; embedded newlines in quoted fields are
+    allowed, in header names they are not.
+
+    ``seq`` is the arrival order that last-write-wins needs: a struct of the
+    file's modification time, its path, and the row's place in it. A quoted
+    newline makes a file unsplittable, so one task reads one file; many files
+    read in parallel.
+    """
+    groups = _headers(spark, path)
+    if not groups:
+        raise ValueError(f"no ledger file with a header line in {path}")
+    frames = []
+    for header, files in groups:
+        n = len(next(csv.reader([header.lstrip("\ufeff")]), []))
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n)])
+        data = (
+            spark.read.option("header", True)  # skipped; fields go by position
+            .option("enforceSchema", True)
+            .option("multiLine", True)
+            .option("escape", '"')
+            .option("encoding", "UTF-8")
+            .option("mode", "PERMISSIVE")
+            .schema(schema)
+            .csv(files)
+        )
+        frames.append(
+            data.select(
+                *[F.col(f"c{i}").alias(norm_key(name) or " ") for i, name in _columns(header)],
+                F.struct(
+                    F.col("_metadata.file_modification_time").alias("time"),
+                    F.col("_metadata.file_path").alias("file"),
+                    F.monotonically_increasing_id().alias("line"),  # rises within a file
+                ).alias(seq),
+            )
+        )
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:

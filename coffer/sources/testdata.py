@@ -30,19 +30,8 @@ COIN_SYMBOLS = COINS_DEFAULT + ["matic", "link"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table. A scan with fewer splits than the default
-    parallelism (the test files are single-row-group parquet files, read by
-    one task) is spread round-robin over that many partitions; a table with
-    enough splits — any table at cluster scale — is returned as scanned.
-    Only the columns a query uses reach the exchange (pruning passes it).
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    try:
-        want = spark.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 — no RDD API (e.g. a Connect session): scan as is
-        return df
-    return df.repartition(want) if splits < want else df
+    """One driver table, as scanned."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _event_symbol(scheme: str) -> Column:

@@ -23,14 +23,17 @@ aligned on UTC days.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coffer.functions.timecols import instant_to_utc_ntz, utc_day, utc_ntz_to_instant
-from coffer.operators.upsert import write_upsert
+from coffer.operators.upsert import remove_folder, write_upsert
 from coffer.schemas import MONEY, PRICE_KEY, PRICE_UPDATE
 from coffer.session import ensure_checkpoint_dir
 from coffer.sources.payloads import parse_market_chart
+from coffer.sources.readers import stored
 
 
 def chart_point_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int = 1000) -> DataFrame:
@@ -89,10 +92,13 @@ def daily_close_stream(points: DataFrame, delay: str | None = "1 day") -> DataFr
 class BackfillSink:
     """K3 ``foreachBatch`` target: a parquet price table partitioned by UTC day.
 
-    For each micro-batch: one point per (symbol, UTC day) (the last by
-    arrival), kept when the table has no point for that day yet or when it
-    carries an existing ``(ts, symbol)`` key; then upserted on ``(ts,
-    symbol)``, rewriting only the touched day partitions.
+    For each micro-batch: points whose ``(ts, symbol)`` the table has already
+    overwrite its price (the last by arrival of each key); of the rest, one
+    point per (symbol, UTC day), the last by arrival, fills days that the
+    table lacks. What is left is upserted on ``(ts, symbol)``, rewriting only
+    the touched day partitions. The batch is parsed once, into the shared
+    folder. ``now`` is stored as ``created_at`` of new rows (by default the
+    arrival time of the row's file).
     """
 
     def __init__(self, table_path: str, now: str | None = None):
@@ -101,34 +107,35 @@ class BackfillSink:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch.isEmpty():  # watermark-only micro-batches carry no rows
-            return
-        best = F.max(F.struct("_seq", "pos", "ts", "price_eur"))
-        daily = batch.groupBy("symbol", utc_day("ts").alias("day")).agg(best.alias("b")).select(
-            "symbol", "day", F.col("b.ts").alias("ts"), F.col("b.price_eur").alias("price_eur")
-        )
-        days = [r[0] for r in daily.select("day").distinct().collect()]  # a batch's days: a short list
-        try:
-            existing = (
-                spark.read.parquet(self.table_path)
-                .filter(F.col("day").isin(days))  # partition pruning: only the batch's days are read
-                .select("symbol", "day", "ts")
+        stage = f"{ensure_checkpoint_dir(spark).rstrip('/')}/points-{uuid.uuid4().hex}"
+        points = batch.select("symbol", "_seq", "pos", "ts", "price_eur", utc_day("ts").alias("day"))
+        points.write.parquet(stage)
+        points = spark.read.schema(points.schema).parquet(stage)
+        days = [r[0] for r in points.select("day").distinct().collect()]  # a batch's days
+        if days:  # watermark-only micro-batches carry no rows
+            last = F.max(F.struct("_seq", "pos", "ts", "price_eur")).alias("b")
+            keyed = points.groupBy("ts", "symbol", "day").agg(last)
+            table = stored(spark, self.table_path)
+            fresh, known = keyed, None
+            if table is not None:
+                # partition pruning: only the batch's days are read
+                table = table.filter(F.col("day").isin(days)).select("symbol", "day", "ts")
+                known = keyed.join(table.select("symbol", "ts").distinct(), ["symbol", "ts"], "left_semi")
+                fresh = keyed.join(table.select("symbol", "day").distinct(), ["symbol", "day"], "left_anti")
+            rows = fresh.groupBy("symbol", "day").agg(F.max("b").alias("b"))
+            if known is not None:
+                rows = rows.unionByName(known.select("symbol", "day", "b"))
+            made = F.lit(self.now).cast("timestamp_ntz") if self.now else F.expr(
+                "timestampadd(MICROSECOND, b._seq, TIMESTAMP_NTZ '1970-01-01 00:00:00')"
             )
-        except Exception:  # noqa: BLE001 — first batch: no table yet
-            existing = None
-        if existing is not None:
-            covered = existing.select("symbol", "day").distinct()
-            fresh = daily.join(covered, ["symbol", "day"], "left_anti")
-            same_key = daily.join(existing.select("symbol", "ts"), ["symbol", "ts"], "left_semi")
-            daily = fresh.unionByName(same_key)
-        write_upsert(
-            daily.select("ts", "symbol", "price_eur", "day"),
-            self.table_path,
-            PRICE_KEY,
-            PRICE_UPDATE,
-            partition_col="day",
-            now=self.now,
-        )
+            write_upsert(
+                rows.select(F.col("b.ts").alias("ts"), "symbol", F.col("b.price_eur").alias("price_eur"), "day", made.alias("created_at")),
+                self.table_path,
+                PRICE_KEY,
+                PRICE_UPDATE,
+                partition_col="day",
+            )
+        remove_folder(spark, stage)
 
 
 def start_backfill(

@@ -91,13 +91,12 @@ def test_holdings_report(tx, pr):
 
 
 def test_missing_utc_price_days(spark, tx, pr):
-    days = PX.backfill_calendar(tx, pr, as_of=AS_OF)
-    gaps = PX.price_gaps(PX.symbol_universe(tx), pr, days)
+    symbols, gaps = PX.price_gaps(tx, pr, as_of=AS_OF)
     got = sorted((r.symbol, r.date.isoformat()) for r in gaps.collect())
     exp = [("btc", "2024-01-02"), ("btc", "2024-01-04"), ("btc", "2024-01-05")] + [
         ("eth", f"2024-01-0{i}") for i in range(1, 6)]
     assert got == exp
-    rep = {r.symbol: r for r in PX.gap_report(PX.symbol_universe(tx), gaps).collect()}
+    rep = {r.symbol: r for r in PX.gap_report(symbols, gaps).collect()}
     assert rep["btc"].n_missing == 3 and rep["btc"].from_day == d("2024-01-02")
     assert rep["btc"].to_day_excl == d("2024-01-06") and rep["eth"].n_missing == 5
 

@@ -19,7 +19,7 @@ def test_empty_transactions_give_empty_results(spark):
     assert V.daily_valuation_long(tx, pr, coins=["btc"], as_of="2024-01-05").count() == 0
     assert P.positions_asof(tx, pr).count() == 0
     assert H.holdings_report(tx, pr).count() == 0
-    assert PX.price_gaps(PX.symbol_universe(tx), pr, PX.backfill_calendar(tx, pr)).count() == 0
+    assert PX.price_gaps(tx, pr)[1].count() == 0
 
 
 def test_no_quotes_at_all(spark):
