@@ -6,15 +6,17 @@
    shares none of the 36 bands with probability (1 - 0.75**4)**36 = 1.2e-6.
 2. Documents with equal sets are one class from here on.
 3. Stars: of the smallest classes of its buckets, each class is paired with
-   the smallest, so that a bucket of any size gives a linear number of pairs;
-   a second round does so from the other end where buckets are still apart.
+   the smallest, so that a bucket of any size gives a linear number of pairs.
+   In further rounds, each class of a bucket that is still apart is paired
+   with the likeliest of a few members of other components, drawn anew.
 4. Estimate: bit counts of the planes' differences give the share of equal
    bits, corrected for chance collisions; pairs below 0.49 (six standard
    deviations under 0.75) go.
 5. Confirm: the full shingle sets of the remaining pairs are intersected.
 6. Components of the confirmed links. Then classes that share a bucket but are
-   in different components are compared with each other, by sizes and
-   estimate inside the join; what passes is confirmed and added.
+   in different components are compared with each other inside the join, by
+   sizes and by the estimate of a signature of 1024 minima, which has a limit
+   of 0.65; what passes is confirmed and added.
 
 The large groups of near copies collapse in step 3; step 6 sees what is left
 and drops nothing. Joins on hot buckets, centres and classes are plain
@@ -40,21 +42,37 @@ LONGS = -(-BANDS * ROWS // 64)
 #: Links have 100 * intersection >= LEAST * union.
 LEAST = 75
 MIN_ESTIMATE = 0.49
+#: Rounds of drawn centres, and centres drawn for a class in each.
+ROUNDS, CENTRES = 3, 8
 
-_SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype="u8"))
-_MUL = (_SEEDS[: BANDS * ROWS] >> np.uint64(32)).astype("u4") | np.uint32(1)
-_ADD = (_SEEDS[BANDS * ROWS :] >> np.uint64(32)).astype("u4")
+#: Minima of the finer signature, and its limit (six standard deviations under 0.75).
+FINE, MIN_FINE = 1024, 0.65
 
+_SEEDS = mix(np.arange(1, 2 * (BANDS * ROWS + FINE) + 1, dtype="u8"))
+_MUL = (_SEEDS[0::2] >> np.uint64(32)).astype("u4") | np.uint32(1)
+_ADD = (_SEEDS[1::2] >> np.uint64(32)).astype("u4")
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The minimum of each of the permutations over a non-empty set."""
+
+def minima(shingles: np.ndarray, first: int = 0, n: int = BANDS * ROWS) -> np.ndarray:
+    """The minimum of each of the ``n`` permutations from ``first`` on over a non-empty set."""
     h = (shingles >> np.uint64(32)).astype("u4")
-    out = np.full(BANDS * ROWS, 0xFFFFFFFF, "u4")
-    for at in range(0, len(h), 512):
-        np.minimum(out, (h[at : at + 512, None] * _MUL + _ADD).min(axis=0), out=out)
+    mul, add = _MUL[first : first + n], _ADD[first : first + n]
+    out = np.full(n, 0xFFFFFFFF, "u4")
+    for at in range(0, len(h), 256):
+        np.minimum(out, (h[at : at + 256, None] * mul + add).min(axis=0), out=out)
     return out
 
 
+def _packed(m: np.ndarray) -> np.ndarray:
+    """The low bits of mixed minima (rows x minima) as bit planes in 64-bit words."""
+    n, k = m.shape
+    low = mix(m.astype("u8") + np.uint64(0x51ED27)).astype("u1")
+    planes = np.zeros((n, BITS, 64 * -(-k // 64)), "u1")
+    for p in range(BITS):
+        planes[:, p, :k] = (low >> p) & 1
+    return np.packbits(planes, axis=2, bitorder="little").reshape(n, -1).view("<i8")
+
+
 def _sketch(batches):
     places = mix(np.arange(1, BANDS * ROWS + 1, dtype="u8") << np.uint64(20)).reshape(BANDS, ROWS)
     for b in batches:
@@ -68,11 +86,7 @@ def _sketch(batches):
         n = b.num_rows
         m = np.array(all_minima, "u4").reshape(n, BANDS * ROWS).astype("u8")
         bands = mix(((mix(m).reshape(n, BANDS, ROWS) ^ places) * np.uint64(0x9E3779B97F4A7C15)).sum(axis=2, dtype="u8"))
-        low = mix(m + np.uint64(0x51ED27)).astype("u1")  # the low bits of each mixed minimum
-        planes = np.zeros((n, BITS, 64 * LONGS), "u1")
-        for p in range(BITS):
-            planes[:, p, : BANDS * ROWS] = (low >> p) & 1
-        packed = np.packbits(planes, axis=2, bitorder="little").reshape(n, -1).view("<i8")
+        packed = _packed(m)
         offsets = lambda k: pa.array(np.arange(0, (n + 1) * k, k, dtype="i4"))
         yield pa.RecordBatch.from_arrays(
             [
@@ -92,6 +106,16 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
 
 
+def _fine(batches):
+    for b in batches:
+        n = b.num_rows
+        m = [minima(np.frombuffer(x, "u8"), BANDS * ROWS, FINE) for x in b.column("shingles").to_pylist()]
+        packed = _packed(np.array(m, "u4").reshape(n, FINE))
+        k = packed.shape[1]
+        planes = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * k, k, dtype="i4")), pa.array(packed.ravel()))
+        yield pa.RecordBatch.from_arrays([b.column("id"), planes], ["id", "planes"])
+
+
 def _confirm(batches):
     for b in batches:
         keep = []
@@ -105,23 +129,23 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _estimate(x: str, y: str) -> Column:
+def _estimate(x: str, y: str, minima: int = BANDS * ROWS) -> Column:
     """Collision-corrected similarity from the bit planes ``x`` and ``y``."""
-    wrong = []
-    for k in range(LONGS):
-        planes = [F.get(x, F.lit(p * LONGS + k)).bitwiseXOR(F.get(y, F.lit(p * LONGS + k))) for p in range(BITS)]
+    longs, wrong = -(-minima // 64), []
+    for k in range(longs):
+        planes = [F.get(x, F.lit(p * longs + k)).bitwiseXOR(F.get(y, F.lit(p * longs + k))) for p in range(BITS)]
         differ = planes[0]
         for p in planes[1:]:
             differ = differ.bitwiseOR(p)
         wrong.append(F.bit_count(differ))
     chance = 2.0**-BITS
-    equal = 1 - sum(wrong[1:], wrong[0]) / F.lit(float(BANDS * ROWS))
+    equal = 1 - sum(wrong[1:], wrong[0]) / F.lit(float(minima))
     return (equal - chance) / (1 - chance)
 
 
-def _plausible(x: str, y: str, nx: str, ny: str) -> Column:
+def _plausible(x: str, y: str, nx: str, ny: str, minima: int = BANDS * ROWS, least: float = MIN_ESTIMATE) -> Column:
     small, large = F.least(nx, ny), F.greatest(nx, ny)
-    return (small * 100 >= large * LEAST) & (_estimate(x, y) >= MIN_ESTIMATE)
+    return (small * 100 >= large * LEAST) & (_estimate(x, y, minima) >= least)
 
 
 def _labelled(buckets: DataFrame, found: DataFrame) -> DataFrame:
@@ -177,23 +201,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = confirmed(plausible(stars))
     found = components(links)
 
-    # buckets that are still apart: a star round from the other end
-    left = _labelled(buckets, found)
-    ends = left.groupBy("hash").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max_by("id", "label").alias("a"))
-    apart = left.join(ends.filter("_lo <> _hi"), "hash").filter("label <> _hi")
-    links = links.unionByName(confirmed(plausible(apart.groupBy(F.col("id").alias("b")).agg(F.max("a").alias("a")))))
-    found = components(links)
+    # classes of buckets that are still apart: the likeliest of a few centres, drawn anew each round
+    for k in range(ROUNDS):
+        left = _labelled(buckets, found)
+        draw = F.xxhash64("id", F.lit(k))
+        ends = left.groupBy("hash").agg(
+            F.min("label").alias("_lo"),
+            F.max("label").alias("_hi"),
+            *[f(c, draw).alias(c + e) for c in ("id", "label") for e, f in (("_1", F.min_by), ("_2", F.max_by))],
+        )
+        apart = left.join(ends.filter("_lo <> _hi"), "hash")
+        centre = F.when(F.col("label") != F.col("label_1"), F.col("id_1")).when(F.col("label") != F.col("label_2"), F.col("id_2"))
+        drawn = apart.select(F.col("id").alias("b"), centre.alias("a"), F.pmod("hash", F.lit(CENTRES)).alias("slot"))
+        drawn = drawn.filter("a is not null").groupBy("b", "slot").agg(F.min("a").alias("a")).select("a", "b").distinct()
+        best = plausible(drawn).groupBy("b").agg(F.max_by("a", _estimate("pa", "pb")).alias("a"))
+        more = confirmed(best)
+        if not more.head(1):
+            break
+        links = links.unionByName(more)
+        found = components(links)
 
     # classes of one bucket that are apart even now
     left = _labelled(buckets, found)
     ends = left.groupBy("hash").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi")
-    open_rows = saved(left.join(ends.select("hash"), "hash").join(sketch, "id"), "minhash-open")
+    left = saved(left.join(ends.select("hash"), "hash"), "minhash-open")
+    # a finer signature tells families of moderate similarity apart inside the join
+    finer = sets.join(left.select("id").distinct(), "id", "left_semi").mapInArrow(_fine, "id long, planes array<bigint>")
+    open_rows = left.join(saved(finer, "minhash-fine"), "id").join(sketch.select("id", "n_shingles"), "id")
 
     def half(k: str) -> DataFrame:
         return open_rows.select("hash", *[F.col(c).alias(c + k) for c in ("id", "label", "n_shingles", "planes")])
 
     rest = half("_x").join(half("_y"), "hash").filter(
-        (F.col("label_x") < F.col("label_y")) & _plausible("planes_x", "planes_y", "n_shingles_x", "n_shingles_y")
+        (F.col("label_x") < F.col("label_y"))
+        & _plausible("planes_x", "planes_y", "n_shingles_x", "n_shingles_y", FINE, MIN_FINE)
     )
     links = links.unionByName(confirmed(rest.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))))
     found = components(links)
