@@ -120,27 +120,25 @@ def iso_utc(ts: Column) -> Column:
     )
 
 
-def double_text(x: Column) -> Column:
-    """A text of its own for every double, the same in every engine.
+def _exponent_guess(x: Column) -> Column:
+    finite = ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))) & (x != 0)
+    return F.floor(F.log2(F.when(finite, F.abs(x)))).cast("int")
 
-    ``<53-bit mantissa>p<exponent>`` from exact scaling by powers of two (the
-    rounded logarithm is corrected by comparison, and the scaling is done in
-    two halves so that no factor overflows); ``0`` for both zeros, ``nan``,
-    ``inf`` and ``-inf``. NULL stays NULL.
-    """
-    mag = F.abs(x)
-    finite = ~F.isnan(x) & (mag < F.lit(float("inf"))) & (mag > 0)
-    guess = F.floor(F.log2(F.when(finite, mag))).cast("int")
-    two = F.lit(2.0)
 
-    def scaled(e: Column) -> Column:
-        h = F.lit(52) - e
-        low = F.floor(h / 2).cast("int")
-        return mag * F.pow(two, low) * F.pow(two, h - low)
+def _scaled(x: Column, e: Column) -> Column:
+    """``abs(x) * 2**(52 - e)``, exactly: in two halves, so that no factor overflows."""
+    low = F.floor((F.lit(52) - e) / 2).cast("int")
+    return F.abs(x) * F.pow(F.lit(2.0), low) * F.pow(F.lit(2.0), F.lit(52) - e - low)
+
 
-    e = F.when(scaled(guess) >= 2.0**53, guess + 1).when(scaled(guess) < 2.0**52, guess - 1).otherwise(guess)
+def _exponent(x: Column, guess: Column) -> Column:
+    """The rounded logarithm, corrected by comparison."""
+    return F.when(_scaled(x, guess) >= 2.0**53, guess + 1).when(_scaled(x, guess) < 2.0**52, guess - 1).otherwise(guess)
+
+
+def _exact_text(x: Column, e: Column) -> Column:
     digits = F.concat(
-        F.when(x < 0, F.lit("-")).otherwise(F.lit("")), scaled(e).cast("long").cast("string"), F.lit("p"), e.cast("string")
+        F.when(x < 0, F.lit("-")).otherwise(F.lit("")), _scaled(x, e).cast("long").cast("string"), F.lit("p"), e.cast("string")
     )
     return (
         F.when(F.isnan(x), F.lit("nan"))
@@ -151,15 +149,36 @@ def double_text(x: Column) -> Column:
     )
 
 
+def double_text(x: Column) -> Column:
+    """A text of its own for every double, the same in every engine.
+
+    ``<53-bit mantissa>p<exponent>`` from exact scaling by powers of two;
+    ``0`` for both zeros, ``nan``, ``inf`` and ``-inf``. NULL stays NULL. Wide
+    projections compute the steps in successive selects (``with_double_texts``).
+    """
+    return _exact_text(x, _exponent(x, _exponent_guess(x)))
+
+
+def with_double_texts(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``df`` with the ``double_text`` of each column under a new name, one step per projection."""
+    steps = (
+        {f"__g_{c}": _exponent_guess(F.col(c)) for c in names},
+        {f"__e_{c}": _exponent(F.col(c), F.col(f"__g_{c}")) for c in names},
+        {out: _exact_text(F.col(c), F.col(f"__e_{c}")) for c, out in names.items()},
+    )
+    for step in steps:
+        df = df.withColumns(step)
+    return df.drop(*steps[0], *steps[1])
+
+
 def dedup_hash(iso: Column, symbol: Column, qty: Column, price: Column, fee: Column, note: Column) -> Column:
     """SHA-1 hex over ``iso|symbol|qty|price|fee|note``.
 
-    Numbers enter as ``double_text``, so that different numbers never hash
-    alike and every engine hashes the same bytes (float-to-text rendering
+    Numbers enter as their ``double_text``, so that different numbers never
+    hash alike and every engine hashes the same bytes (float-to-text rendering
     differs between engines); a missing part is the empty string.
     """
-    parts = [iso, symbol, double_text(qty), double_text(price), double_text(fee), note]
-    return F.sha1(F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]))
+    return F.sha1(F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in (iso, symbol, qty, price, fee, note)]))
 
 
 def normalize_ledger(raw: DataFrame, as_of: _dt.datetime | str) -> DataFrame:
@@ -232,7 +251,8 @@ def normalize_ledger(raw: DataFrame, as_of: _dt.datetime | str) -> DataFrame:
         *seq, "__dt", "date_defaulted", "symbol", "qty", "price_eur",
         fee_eur(F.col("__fee"), F.col("price_eur")).alias("fee_eur"), "note",
     )
-    row = p4.select(
+    p5 = with_double_texts(p4, {"qty": "__qty", "price_eur": "__price", "fee_eur": "__fee"})
+    row = p5.select(
         *seq,
         to_second(F.col("__dt")).alias("date_utc"),
         "symbol",
@@ -242,8 +262,7 @@ def normalize_ledger(raw: DataFrame, as_of: _dt.datetime | str) -> DataFrame:
         F.lit(LEDGER_EXCHANGE).alias("exchange"),
         "note",
         dedup_hash(
-            iso_utc(F.col("__dt")), F.col("symbol"), F.col("qty"), F.col("price_eur"),
-            F.col("fee_eur"), F.col("note"),
+            iso_utc(F.col("__dt")), F.col("symbol"), F.col("__qty"), F.col("__price"), F.col("__fee"), F.col("note"),
         ).alias("dedup_hash"),
         "date_defaulted",
     )

@@ -72,7 +72,7 @@ def _long_c(spark, sf):
     )
 
 
-@register("daily_valuation_wide", O.daily_wide(_LONG_C, COINS), "F10 C8 J1 D7")
+@register("daily_valuation_wide", O.daily_wide(_LONG_C, COINS), "F10 C8 D7")
 def q_daily_valuation_wide(spark, sf):
     return V.daily_valuation_wide(_long_c(spark, sf), COINS)
 
@@ -107,12 +107,12 @@ def q_positions_wide(spark, sf):
 # --- holdings report ---------------------------------------------------------------
 
 
-@register("holdings_report", O.holdings(TX_L, PR_L), "E1 E2 F5 C1 C3 C4 C5 B13")
+@register("holdings_report", O.holdings(TX_L, PR_L), "E1 E2 F5 C1 C3 C4 C5")
 def q_holdings_report(spark, sf):
     return H.holdings_report(TD.tx_lineitem(spark, sf), TD.prices_lineitem(spark, sf))
 
 
-@register("holdings_report_e", O.holdings(TX_E, PR_E), "E1 E2 F5 C1 C3 C4 C5 B13")
+@register("holdings_report_e", O.holdings(TX_E, PR_E), "E1 E2 F5 C1 C3 C4 C5")
 def q_holdings_report_e(spark, sf):
     return H.holdings_report(TD.tx_events(spark, sf), TD.prices_events(spark, sf))
 
@@ -140,12 +140,12 @@ RAW_COLUMNS = [
 _NORM_SQL = O.ledger_normalize(TD.SQL_LEDGER_RAW, LEDGER_AS_OF)
 
 
-@register("ledger_normalize", _NORM_SQL, "A1 B1 B2 B3 B4 B5 B6 B7 B8 B9 B10 B11 B12 B16")
+@register("ledger_normalize", _NORM_SQL, "B1 B2 B4 B5 B6 B7 B8 B9 B10 B11 B12 B16")
 def q_ledger_normalize(spark, sf):
     return LG.normalize_ledger(TD.ledger_raw(spark, sf), LEDGER_AS_OF)
 
 
-@register("ledger_import_distinct", O.ledger_import_distinct(_NORM_SQL), "B11 I6")
+@register("ledger_import_distinct", O.ledger_import_distinct(_NORM_SQL), "B11")
 def q_ledger_import_distinct(spark, sf):
     norm = LG.normalize_ledger(TD.ledger_raw(spark, sf), LEDGER_AS_OF)
     d = LG.last_write_wins(norm.select("_seq", "dedup_hash", "date_utc", "symbol", "note"), ["dedup_hash"])
@@ -189,7 +189,7 @@ def q_market_chart_points(spark, sf):
     return PX.points_per_symbol(PL.parse_market_chart(TD.market_chart_payloads(spark, sf, "coins")))
 
 
-@register("price_gaps", _GAPS_L, "E5 H6 H7 F4 D4 F2 E9")
+@register("price_gaps", _GAPS_L, "E5 H6 H7 F4 F2 E9")
 def q_price_gaps(spark, sf):
     return _gaps(TD.tx_lineitem(spark, sf), TD.prices_lineitem(spark, sf))
 
@@ -391,7 +391,7 @@ def _ledger_rules():
     )
 
 
-def _domain_audit_sql() -> str:
+def _domain_rules_sql() -> list[tuple[str, str]]:
     parts = []
     for c in ["date_utc", "symbol", "dedup_hash"]:
         parts.append((f"null:{c}", f"{c} IS NULL"))
@@ -399,11 +399,15 @@ def _domain_audit_sql() -> str:
         parts.append((f"length:{c}>{n}", f"length({c}) > {n}"))
     for c in ["qty", "price_eur", "fee_eur"]:
         parts.append((f"decimal:{c}", f"{c} IS NOT NULL AND TRY_CAST({c} AS DECIMAL(18,8)) IS NULL"))
+    return parts
+
+
+def _domain_audit_sql(norm_sql: str = _NORM_SQL) -> str:
     sel = " UNION ALL ".join(
         f"SELECT '{r}' AS reason, count(*) FILTER (WHERE coalesce({p}, false)) AS n_rejected, count(*) AS n_rows FROM n"
-        for r, p in parts
+        for r, p in _domain_rules_sql()
     )
-    return f"WITH n AS ({_NORM_SQL}) {sel}"
+    return f"WITH n AS ({norm_sql}) {sel}"
 
 
 @register("domain_audit", _domain_audit_sql(), "Q3")
@@ -411,7 +415,7 @@ def q_domain_audit(spark, sf):
     return QA.domain_audit(LG.normalize_ledger(TD.ledger_raw(spark, sf), LEDGER_AS_OF), _ledger_rules())
 
 
-@register("null_audit", O.null_audit(O.positions_long(TX_L, PR_L), "qty"), "Q4 H4 D5")
+@register("null_audit", O.null_audit(O.positions_long(TX_L, PR_L), "qty"), "Q4 H4")
 def q_null_audit(spark, sf):
     return QA.null_audit(P.positions_asof(TD.tx_lineitem(spark, sf), TD.prices_lineitem(spark, sf)), "qty")
 
@@ -469,3 +473,6 @@ def q_normalized_names(spark, sf):
 def q_safe_names(spark, sf):
     part = TD.table(spark, sf, "part").select("p_partkey", "p_brand")
     return NM.safe_names_col(part, "p_brand", "p_partkey").select("p_partkey", "safe_name")
+
+
+from coffer.plans import cases  # noqa: E402, F401  (registers its queries)

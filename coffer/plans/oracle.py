@@ -245,7 +245,14 @@ def parse_dt(expr: str) -> str:
             f"CASE WHEN regexp_full_match({s}, '{pat}') AND {h} < 24 AND {mi} < 60 AND {sec} < 60 "
             f"THEN try(make_timestamp({y}, {mo}, {d}, {h}, {mi}, {sec})) END"
         )
-    # ISO fallback (no offset in the test data): DuckDB's own ISO cast.
+    # ISO fallback: DuckDB's own ISO cast of the extended form, then the offset.
+    iso = rf"regexp_replace({s}, '^(\d{{4}})(\d{{2}})(\d{{2}})[Tt](\d{{2}})(\d{{2}})(\d{{2}})', '\1-\2-\3T\4:\5:\6')"
+    off = r"([+-])(\d{2}):?(\d{2})$"
+    cands.append(
+        f"CASE WHEN regexp_full_match({iso}, '\\d{{4}}-\\d{{2}}-\\d{{2}}[Tt ]\\d{{2}}:\\d{{2}}:\\d{{2}}(?:[.,]\\d+)?[+-]\\d{{2}}:?\\d{{2}}') "
+        f"THEN TRY_CAST(regexp_replace({iso}, '{off}', '') AS TIMESTAMP) - to_minutes(CAST(regexp_extract({iso}, '{off}', 1) || '1' AS INTEGER) "
+        f"* (60 * CAST(regexp_extract({iso}, '{off}', 2) AS INTEGER) + CAST(regexp_extract({iso}, '{off}', 3) AS INTEGER))) END"
+    )
     cands.append(
         f"CASE WHEN regexp_full_match({s}, '\\d{{4}}-\\d{{2}}-\\d{{2}}(?:[Tt ]\\d{{2}}(?::\\d{{2}}(?::\\d{{2}}(?:[.,]\\d+)?)?)?)?') "
         f"THEN TRY_CAST({s} AS TIMESTAMP) END"
@@ -367,14 +374,18 @@ SELECT lower(symbol) AS symbol, count(*) AS n_points, min(ts) AS first_ts, max(t
 FROM ({points_sql}) GROUP BY lower(symbol)"""
 
 
-def gaps(tx_sql: str, pr_sql: str) -> str:
-    """Missing UTC price days per transaction symbol, first tx day .. last day seen."""
+def gaps(tx_sql: str, pr_sql: str, as_of: str | None = None) -> str:
+    """Missing UTC price days per transaction symbol, first tx day .. ``as_of`` or the last day seen."""
+    last = (
+        f"DATE '{as_of}'"
+        if as_of
+        else """greatest((SELECT max(date) FROM t),
+                           coalesce((SELECT max(CAST(ts AS DATE)) FROM q), (SELECT max(date) FROM t)))"""
+    )
     return f"""
 WITH t AS (SELECT lower(symbol) AS symbol, CAST(date_utc AS DATE) AS date FROM ({tx_sql})),
 q AS (SELECT lower(symbol) AS symbol, ts FROM ({pr_sql})),
-bounds AS (SELECT (SELECT min(date) FROM t) AS start_d,
-                  greatest((SELECT max(date) FROM t),
-                           coalesce((SELECT max(CAST(ts AS DATE)) FROM q), (SELECT max(date) FROM t))) AS end_d),
+bounds AS (SELECT (SELECT min(date) FROM t) AS start_d, {last} AS end_d),
 {spine_cte('(SELECT DISTINCT symbol FROM t)')},
 have AS (SELECT DISTINCT q.symbol, CAST(q.ts AS DATE) AS date FROM q, bounds b
          WHERE q.ts >= CAST(b.start_d AS TIMESTAMP) AND q.ts < CAST(b.end_d + 1 AS TIMESTAMP))

@@ -182,6 +182,74 @@ def simple_price_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("event_id").alias("_seq"), F.col("ts").alias("fetched_at"), js.alias("json"))
 
 
+#: What ``ledger_hard`` puts in place of dates, by order key modulo a prime.
+HARD_DATES = {
+    101: "",
+    103: "2024-02-30 10:00:00",
+    107: "2024-03-31T01:30:00.250+02:00",
+    109: "2024-03-31 01:30:00.5",
+    113: "31/12/2023 23:59:58",
+    127: "20240131T101500-0330",
+}
+HARD_AMOUNTS = {83: "nan", 89: "1e15", 97: " -1_0.5 "}
+
+
+def ledger_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw ledger with defaulted, invalid, offset and fractional dates, numbers that no
+    stored type holds, overlong notes, and a later re-export of a part of its lines."""
+    raw = ledger_raw(spark, sf_dir)
+    k = F.expr("_seq div 8")
+
+    def put(cases: dict[int, str], otherwise: str) -> Column:
+        out = F.col(f"`{otherwise}`")
+        for m, v in reversed(cases.items()):
+            out = F.when(k % m == 0, F.lit(v)).otherwise(out)
+        return out.alias(otherwise)
+
+    note = F.when(k % 79 == 0, F.repeat("Operation Hash", F.lit(100))).otherwise(F.col("Operation Hash"))
+    hard = raw.withColumns(
+        {
+            "Operation Date": put(HARD_DATES, "Operation Date"),
+            "Operation Amount": put(HARD_AMOUNTS, "Operation Amount"),
+            "Operation Hash": note,
+        }
+    )
+    again = hard.filter(k % 7 == 0).withColumn("_seq", F.col("_seq") + F.lit(1 << 40))
+    return hard.unionByName(again)
+
+
+def tx_lineitem_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adapter L transactions with numbers as texts: padded, and some no numbers."""
+    tx = tx_lineitem(spark, sf_dir)
+
+    def text(c: str) -> Column:
+        t = F.concat(F.lit(" "), F.col(c).cast("string"), F.lit(" "))
+        return F.when(F.col("price_eur") > 1900, F.lit("n/a")).when(F.col("price_eur") > 1800, F.lit(None)).otherwise(t).alias(c)
+
+    return tx.select("date_utc", "symbol", *[text(c) for c in ("qty", "price_eur", "fee_eur")])
+
+
+def order_date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey and its date as a text of one of several forms, some invalid."""
+    day = F.substring(F.col("o_orderdate").cast("string"), 1, 10)
+    form = F.col("o_orderkey") % 6
+    text = (
+        F.when(form == 0, day)
+        .when(form == 1, F.concat(day, F.lit(" 13:14:15")))
+        .when(form == 2, F.concat(F.substring(day, 1, 5), F.lit("02-30")))
+        .when(form == 3, F.lit("soon"))
+        .when(form == 4, F.lit(None).cast("string"))
+        .otherwise(F.concat(day, F.lit("T23:59:59.5")))
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+
+
+def tied_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adapter L quotes with times cut to the month, so several have the same."""
+    pr = prices_lineitem(spark, sf_dir)
+    return pr.select(F.date_trunc("month", "ts").cast("timestamp_ntz").alias("ts"), "symbol", "price_eur")
+
+
 # ---------------------------------------------------------------------------
 # DuckDB twins of the adapters (used inside ``oracle_sql`` strings).
 # ---------------------------------------------------------------------------
@@ -239,3 +307,25 @@ SQL_LEDGER_RAW = """
       CASE WHEN l_suppkey % 10 = 0 THEN 'USD' ELSE 'EUR' END AS "Countervalue Ticker",
       CAST(l_extendedprice AS VARCHAR) AS "Countervalue at Operation Date"
     FROM lineitem JOIN part ON l_partkey = p_partkey"""
+
+
+def _sql_cases(cases: dict[int, str], otherwise: str) -> str:
+    whens = " ".join(f"WHEN (_seq // 8) % {m} = 0 THEN '{v}'" for m, v in cases.items())
+    return f'CASE {whens} ELSE "{otherwise}" END AS "{otherwise}"'
+
+
+_HARD = f"""
+    SELECT * REPLACE (
+      {_sql_cases(HARD_DATES, "Operation Date")},
+      {_sql_cases(HARD_AMOUNTS, "Operation Amount")},
+      CASE WHEN (_seq // 8) % 79 = 0 THEN repeat("Operation Hash", 100) ELSE "Operation Hash" END AS "Operation Hash")
+    FROM ({SQL_LEDGER_RAW})"""
+SQL_LEDGER_HARD = f"""{_HARD}
+    UNION ALL SELECT * REPLACE (_seq + {1 << 40} AS _seq) FROM ({_HARD}) WHERE (_seq // 8) % 7 = 0"""
+
+_NO_NUMBER = "CASE WHEN price_eur > 1800 THEN 0 ELSE {c} END"
+SQL_TX_LINEITEM_TEXT = "SELECT date_utc, symbol, " + ", ".join(
+    f"CAST({_NO_NUMBER.format(c=c)} AS DECIMAL(18,8)) AS {c}" for c in ("qty", "price_eur", "fee_eur")
+) + f" FROM ({SQL_TX_LINEITEM})"
+
+SQL_TIED_PRICES = f"SELECT date_trunc('month', ts) AS ts, symbol, price_eur FROM ({SQL_PRICES_LINEITEM})"
