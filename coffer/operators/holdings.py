@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coffer.functions.money import gross_cost, nz, value
+from coffer.functions.money import gross_cost, nz, pnl_pct, value
 from coffer.functions.parse import scrub_number
 from coffer.functions.timecols import to_second
 from coffer.operators.prices import latest_price
@@ -56,11 +56,7 @@ def holdings_report(tx: DataFrame, prices: DataFrame) -> DataFrame:
     h = agg.join(last, "symbol", "left").withColumn("price_eur", nz(F.col("price_eur")))
     h = h.withColumn("valeur_actuelle", value(F.col("qty"), F.col("price_eur")))
     h = h.withColumn("pnl", (F.col("valeur_actuelle") - F.col("investi")).cast(MONEY_SUM))
-    inv = F.col("investi").cast("double")
-    h = h.withColumn(
-        "pnl_pct",
-        F.when(inv == 0, F.lit(0.0)).otherwise(F.col("pnl").cast("double") / inv * F.lit(100.0)),
-    )
+    h = h.withColumn("pnl_pct", pnl_pct(F.col("pnl"), F.col("investi")))
     return h.select(*REPORT_COLUMNS)
 
 

@@ -69,14 +69,6 @@ LEDGER_EXCHANGE = "ledger"
 # Countervalue ticker that allows deriving a unit price.
 EUR_TICKER = "EUR"
 
-# Date formats tried in order (strptime notation) before the ISO fallback.
-LEDGER_DATE_FORMATS = [
-    "%Y-%m-%dT%H:%M:%S",
-    "%Y-%m-%d %H:%M:%S",
-    "%d/%m/%Y %H:%M",
-    "%d/%m/%Y %H:%M:%S",
-]
-
 # Calendar time zone of the valuation sheet.
 SHEET_TZ = "Europe/Paris"
 
@@ -103,9 +95,6 @@ SHEET_COIN_LABELS = [
 SHEET_TAIL_LABELS = ["acheté {C}", "Valeur {C}"]
 SHEET_TOTAL_LABELS = ["total acheté", "total valeur", "total gain perte"]
 
-# Price of a symbol with no quote, in the holdings report and the sheet.
-MISSING_PRICE = 0
-
 # Default number of offending dates listed per symbol by the NULL audit.
 NULL_AUDIT_SAMPLE = 5
 
@@ -114,7 +103,6 @@ LEN_SYMBOL = 20
 LEN_EXCHANGE = 50
 LEN_NOTE = 500
 LEN_DEDUP_HASH = 40
-LEN_SHEET_TEXT = 255
 
 # ---------------------------------------------------------------------------
 # Declared types
@@ -171,8 +159,6 @@ PORTFOLIO_UPDATE = ["qty", "investi", "price_eur", "valeur_actuelle", "pnl_eur",
 # Market-chart payload: {"prices": [[epoch_ms, price], ...]}. Points are read
 # as text so that one malformed point does not null the whole array.
 MARKET_CHART_JSON = "prices array<array<string>>"
-# Current-price payload: {"<provider id>": {"eur": price}, ...}
-SIMPLE_PRICE_JSON = "map<string, map<string, double>>"
 
 
 def sheet_columns(coins: list[str]) -> list[str]:
