@@ -30,7 +30,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain, pairwise
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +42,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coffer.llm.common import saved, shared_path, shuffle_partitions
+from coffer.llm.shingles import mix
 
 DOC_MAGIC, SEEK_MAGIC, END_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FRAME_IDS = 1 << 16
 END_ID = 2
 #: Texts of these characters only are split before encoding; others are encoded whole.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]*")
-#: The byte-level pre-splitting rule, as it reads for such characters.
-BYTE_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-CACHED_PIECES = 200_000
+#: Slots of a worker's piece cache (16 + 5 bytes each) and token ids kept for them (4 bytes each).
+SLOTS, KEPT_IDS = 1 << 21, 1 << 23
 SEGMENT = 1 << 18
 
 
@@ -61,11 +61,11 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def segments(text: str) -> Iterator[str]:
-    """The text in parts of about SEGMENT characters, cut only where a piece starts:
+    """The text in parts of about half SEGMENT characters, cut only where a piece starts:
     at a space between two characters that are no white space."""
     at = 0
     while len(text) - at > SEGMENT:
-        end = at + SEGMENT
+        end = at + SEGMENT // 2
         while end < len(text) and not (
             text[end] == " " and not text[end - 1].isspace() and not text[end + 1 : end + 2].isspace()
         ):
@@ -75,22 +75,64 @@ def segments(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-class _Known(dict):
-    """Ids by piece; what isn't kept is looked up in those of the current group."""
+def _kinds() -> np.ndarray:
+    out = np.zeros(0x250, "u1")  # 0: other
+    for c in range(0x250):
+        x = chr(c)
+        out[c] = 1 if x.isspace() else 2 if x.isalpha() else 3 if x in "0123456789" else 0
+    return out
 
-    rest: dict[str, bytes]
 
-    def __missing__(self, piece: str) -> bytes:
-        return self.rest[piece]
+_KIND = _kinds()
+_BASES = (0x9E3779B97F4A7C15 | 3, 0xD1342543DE82EF95 | 3)
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(SEGMENT + 1, base, "u8")
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+def piece_starts(points: np.ndarray, joined: str, first: np.ndarray) -> np.ndarray:
+    """Where the byte-level pre-splitting rule starts a piece, in texts of ``PLAIN``
+    characters joined without separators; ``first`` are the texts' starts."""
+    n = len(points)
+    kind = _KIND[points]
+    fresh = np.zeros(n + 1, bool)
+    fresh[first] = True  # also at n, where the last texts may be empty
+    fresh[n] = True
+    run = fresh[:n].copy()
+    run[1:] |= kind[1:] != kind[:-1]
+    start = run.copy()
+    # the last white space before other characters of its text: a blank goes with them
+    last = np.flatnonzero((kind[:-1] == 1) & (kind[1:] != 1) & ~fresh[1:n]) if n > 1 else np.empty(0, "i8")
+    start[last] = True
+    start[last + 1] = points[last] != 32
+    # contractions: an apostrophe that starts a piece alone, with a letter after it
+    for i in np.flatnonzero((points == 39) & start):
+        if i + 1 < n and run[i + 1] and not fresh[i + 1] and kind[i + 1] == 2:
+            for tail in _CONTRACTIONS:
+                if joined.startswith(tail, i + 1) and not fresh[i + 2 : i + 1 + len(tail)].any():
+                    start[i + 1] = False
+                    if i + 1 + len(tail) < n:
+                        start[i + 1 + len(tail)] = True
+                    break
+    return np.flatnonzero(start)
 
 
 class Encoder:
     """The tokenizers library, with frequent pieces encoded once.
 
     No merge crosses the pieces of a byte-level tokenizer's pre-splitting
-    rule, so a text's ids are its pieces' ids joined. Only texts of ``PLAIN``
-    characters are split here; others, where Unicode tables of two regex
-    engines may differ, and texts for other tokenizers are encoded whole.
+    rule, so a text's ids are its pieces' ids joined. Groups of texts are
+    split and looked up in array operations; pieces are known by two 64-bit
+    hashes, in a cache of fixed size whose slots go to those seen first. Only
+    texts of ``PLAIN`` characters are split here; others, where Unicode tables
+    of two engines may differ, and texts for other tokenizers are encoded
+    whole.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -111,52 +153,97 @@ class Encoder:
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that start with a space
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("\u0120")
-        self.known = _Known()
+        if self.splits:
+            self.up = [_powers(b) for b in _BASES]
+            self.down = [_powers(pow(b, -1, 1 << 64)) for b in _BASES]
+            self.keys = np.zeros((2, SLOTS), "u8")
+            self.at, self.n = np.zeros(SLOTS, "i4"), np.zeros(SLOTS, "u1")
+            self.kept, self.used = np.zeros(KEPT_IDS, "<u4"), 0
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in got]
 
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of distinct pieces. Those of a space and letters are encoded as one
-        text: each starts a piece there too, and at a token that starts with a space."""
-        spaced = [x for x in pieces if x[0] == " " and x[1:].isalpha()]
-        rest = [x for x in pieces if not (x[0] == " " and x[1:].isalpha())]
-        out = dict(zip(rest, self._whole(rest), strict=True)) if rest else {}
-        for k in range(0, len(spaced), 5000):
-            part = spaced[k : k + 5000]
-            ids = np.frombuffer(self._whole(["".join(part)])[0], "<u4")
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, joined, and how many each has. Those of a space and
+        letters are encoded as one text: each starts a piece there too, and at a
+        token that starts with a space."""
+        spaced = np.array([x[0] == " " and x[1:].isalpha() for x in pieces], bool)
+        out = np.empty(len(pieces), object)
+        rest = [x for x, s in zip(pieces, spaced, strict=True) if not s]
+        if rest:
+            out[~spaced] = self._whole(rest)
+        if spaced.any():
+            ids = np.frombuffer(self._whole(["".join(x for x, s in zip(pieces, spaced, strict=True) if s)])[0], "<u4")
             data = ids.tobytes()
             cuts = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), len(data)]
-            out.update(zip(part, (data[s:e] for s, e in pairwise(cuts)), strict=True))
-        return out
+            out[spaced] = [data[s:e] for s, e in pairwise(cuts)]
+        return np.frombuffer(b"".join(out.tolist()), "<u4"), np.array([len(x) // 4 for x in out], "i8")
+
+    def _split(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of texts of PLAIN characters."""
+        joined = "".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le"), "u4")
+        first = np.cumsum([0, *map(len, texts)])
+        if not len(points):
+            yield from (np.empty(0, "<u4") for _ in texts)
+            return
+        starts = piece_starts(points, joined, first)
+        ends = np.append(starts[1:], len(points))
+        hashes = []
+        for up, down in zip(self.up, self.down, strict=True):
+            sums = np.zeros(len(points) + 1, "u8")
+            np.cumsum((points + np.uint64(1)) * up[: len(points)], out=sums[1:])
+            hashes.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype("u8")) | np.uint64(1))
+        slot = (hashes[0] >> np.uint64(64 - SLOTS.bit_length() + 1)).astype("i8")
+        hit = (self.keys[0, slot] == hashes[0]) & (self.keys[1, slot] == hashes[1])
+        at, n = self.at[slot].astype("i8"), self.n[slot].astype("i8")
+        pool = self.kept
+        miss = np.flatnonzero(~hit)
+        if len(miss):
+            order = miss[np.lexsort((hashes[1][miss], hashes[0][miss]))]
+            new = np.concatenate(([True], (np.diff(hashes[0][order]) != 0) | (np.diff(hashes[1][order]) != 0)))
+            which = order[new]
+            ids, size = self._pieces([joined[s:e] for s, e in zip(starts[which].tolist(), ends[which].tolist(), strict=True)])
+            place = np.cumsum(size) - size
+            if self.used + len(ids) <= KEPT_IDS:  # else the cache stays as it is
+                self.kept[self.used : self.used + len(ids)] = ids
+                place += self.used
+                self.used += len(ids)
+                free = np.flatnonzero((self.keys[0, slot[which]] == 0) & (size < 256))
+                free = free[np.unique(slot[which[free]], return_index=True)[1]]  # one per slot
+                taken = slot[which[free]]
+                for k in (0, 1):
+                    self.keys[k, taken] = hashes[k][which[free]]
+                self.at[taken], self.n[taken] = place[free], size[free]
+            else:
+                pool = np.concatenate((self.kept[: self.used], ids))
+                place += self.used
+            group = np.cumsum(new) - 1
+            at[order], n[order] = place[group], size[group]
+        total = np.cumsum(n)
+        out = pool[np.repeat(at - (total - n), n) + np.arange(total[-1])]
+        cuts = np.concatenate(([0], total))[np.searchsorted(starts, first)]
+        yield from (out[s:e] for s, e in pairwise(cuts.tolist()))
 
     def _group(self, group: list[tuple[int, str, bool]]) -> Iterator[tuple[int, bytes, bool]]:
-        split = [BYTE_LEVEL.findall(x) if self.splits and PLAIN.fullmatch(x) else None for _, x, _ in group]
-        new = set(chain.from_iterable(x for x in split if x)).difference(self.known)
-        ids = self._pieces(list(new))
-        if len(self.known) < CACHED_PIECES:  # full of early ones, the frequent among them
-            self.known.update(ids)
-        self.known.rest = ids
-        get = self.known.__getitem__
-        for (k, text, last), pieces in zip(group, split, strict=True):
-            yield k, b"".join(map(get, pieces)) if pieces is not None else self._whole([text])[0], last
+        # a part without a place to cut may be longer than the tables of powers
+        plain = [self.splits and len(x) <= SEGMENT and PLAIN.fullmatch(x) is not None for _, x, _ in group]
+        split = self._split([x for (_, x, _), p in zip(group, plain, strict=True) if p]) if any(plain) else iter(())
+        for (k, text, last), p in zip(group, plain, strict=True):
+            yield k, next(split).tobytes() if p else self._whole([text])[0], last
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, bytes, bool]]:
         """(place of the text, little-endian uint32 ids, whether they are its last) in order."""
         group, size = [], 0
         for k, text in enumerate(texts):
-            parts = segments(text) if self.splits and PLAIN.fullmatch(text) else [text]
-            parts = iter(parts)
-            part = next(parts)
-            while part is not None:
-                after = next(parts, None)
-                group.append((k, part, after is None))
-                size += len(part)
-                part = after
-                if size >= SEGMENT:
+            parts = list(segments(text)) if self.splits and len(text) > SEGMENT and PLAIN.fullmatch(text) else [text]
+            for j, part in enumerate(parts):
+                if size and size + len(part) > SEGMENT:
                     yield from self._group(group)
                     group, size = [], 0
+                group.append((k, part, j == len(parts) - 1))
+                size += len(part)
         yield from self._group(group)
 
 

@@ -1,4 +1,5 @@
 import io
+import random
 import zlib
 
 import numpy as np
@@ -24,8 +25,9 @@ def whole():
 
 
 def test_encoder_equals_whole_text_encoding(whole, monkeypatch):
-    monkeypatch.setattr(T, "SEGMENT", 50)
-    monkeypatch.setattr(T, "CACHED_PIECES", 20)
+    monkeypatch.setattr(T, "SEGMENT", 4000)
+    monkeypatch.setattr(T, "SLOTS", 1 << 6)
+    monkeypatch.setattr(T, "KEPT_IDS", 300)
     enc = T.Encoder(FILE)
     assert enc.splits
     texts = [t or "" for t in TEXTS] * 2 + ["a_b __c d'll x² ½ ªº µ×÷ \xa0 y\r\n z"]
@@ -83,3 +85,14 @@ def test_reader_decompresses_only_what_is_asked_and_checks_it():
     broken[10] ^= 1
     with pytest.raises(Exception):  # noqa: B017 - either the frame or its checksum
         list(T.Reader(_Sized(bytes(broken))).ids(0))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pieces_of_random_texts(whole, seed):
+    r = random.Random(seed)
+    letters = ["a", "s", "t", "re", "ve", "m", "ll", "d", "é", "Z", "'", "'", " ", " ", "  ", "\n", "\t", "1", "23", "!", "_", "-", "µ", "×"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 25))) for _ in range(1500)]
+    enc = T.Encoder(FILE)
+    for _ in range(2):  # the second time from the cache
+        for k, ids, last in enc.encode(texts):
+            assert last and np.frombuffer(ids, "<u4").tolist() == whole(texts[k]), texts[k]
