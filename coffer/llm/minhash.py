@@ -15,8 +15,8 @@
 5. Confirm: the full shingle sets of the remaining pairs are intersected.
 6. Components of the confirmed links. Then classes that share a bucket but are
    in different components are compared with each other inside the join, by
-   sizes and by the estimate of a signature of 1024 minima, which has a limit
-   of 0.65; what passes is confirmed and added.
+   sizes and by the estimate of a signature of 2048 minima, which has a limit
+   of 0.68; what passes is confirmed and added.
 
 The large groups of near copies collapse in step 3; step 6 sees what is left
 and drops nothing. Joins on hot buckets, centres and classes are plain
@@ -43,10 +43,10 @@ LONGS = -(-BANDS * ROWS // 64)
 LEAST = 75
 MIN_ESTIMATE = 0.49
 #: Rounds of drawn centres, and centres drawn for a class in each.
-ROUNDS, CENTRES = 3, 8
+ROUNDS, CENTRES = 3, 5
 
 #: Minima of the finer signature, and its limit (six standard deviations under 0.75).
-FINE, MIN_FINE = 1024, 0.65
+FINE, MIN_FINE = 2048, 0.68
 
 _SEEDS = mix(np.arange(1, 2 * (BANDS * ROWS + FINE) + 1, dtype="u8"))
 _MUL = (_SEEDS[0::2] >> np.uint64(32)).astype("u4") | np.uint32(1)
@@ -129,23 +129,38 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _estimate(x: str, y: str, minima: int = BANDS * ROWS) -> Column:
-    """Collision-corrected similarity from the bit planes ``x`` and ``y``."""
-    longs, wrong = -(-minima // 64), []
-    for k in range(longs):
-        planes = [F.get(x, F.lit(p * longs + k)).bitwiseXOR(F.get(y, F.lit(p * longs + k))) for p in range(BITS)]
+def _corrected(wrong: Column, minima: int) -> Column:
+    """Similarity from the number of unequal low bits, corrected for chance collisions."""
+    chance = 2.0**-BITS
+    return (1 - wrong / F.lit(float(minima)) - chance) / (1 - chance)
+
+
+def _estimate(x: str, y: str) -> Column:
+    """Estimate from the bit planes ``x`` and ``y`` of the sketches."""
+    wrong = []
+    for k in range(LONGS):
+        planes = [F.get(x, F.lit(p * LONGS + k)).bitwiseXOR(F.get(y, F.lit(p * LONGS + k))) for p in range(BITS)]
         differ = planes[0]
         for p in planes[1:]:
             differ = differ.bitwiseOR(p)
         wrong.append(F.bit_count(differ))
-    chance = 2.0**-BITS
-    equal = 1 - sum(wrong[1:], wrong[0]) / F.lit(float(minima))
-    return (equal - chance) / (1 - chance)
+    return _corrected(sum(wrong[1:], wrong[0]), BANDS * ROWS)
+
+
+def _fine_estimate(x: str, y: str) -> Column:
+    """Estimate from the finer signatures; too many words for an unrolled expression."""
+    half = FINE // 64
+
+    def plane(p: int) -> Column:
+        return F.zip_with(F.slice(x, p * half + 1, half), F.slice(y, p * half + 1, half), lambda a, b: a.bitwiseXOR(b))
+
+    wrong = F.zip_with(plane(0), plane(1), lambda a, b: F.bit_count(a.bitwiseOR(b)))
+    return _corrected(F.aggregate(wrong, F.lit(0), lambda total, n: total + n), FINE)
 
 
-def _plausible(x: str, y: str, nx: str, ny: str, minima: int = BANDS * ROWS, least: float = MIN_ESTIMATE) -> Column:
+def _plausible(x: str, y: str, nx: str, ny: str) -> Column:
     small, large = F.least(nx, ny), F.greatest(nx, ny)
-    return (small * 100 >= large * LEAST) & (_estimate(x, y, minima) >= least)
+    return (small * 100 >= large * LEAST) & (_estimate(x, y) >= MIN_ESTIMATE)
 
 
 def _labelled(buckets: DataFrame, found: DataFrame) -> DataFrame:
@@ -227,14 +242,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     left = saved(left.join(ends.select("hash"), "hash"), "minhash-open")
     # a finer signature tells families of moderate similarity apart inside the join
     finer = sets.join(left.select("id").distinct(), "id", "left_semi").mapInArrow(_fine, "id long, planes array<bigint>")
-    open_rows = left.join(saved(finer, "minhash-fine"), "id").join(sketch.select("id", "n_shingles"), "id")
+    finer = saved(finer.withColumnRenamed("planes", "fine"), "minhash-fine")
+    open_rows = left.join(finer, "id").join(sketch, "id")
 
     def half(k: str) -> DataFrame:
-        return open_rows.select("hash", *[F.col(c).alias(c + k) for c in ("id", "label", "n_shingles", "planes")])
+        return open_rows.select("hash", *[F.col(c).alias(c + k) for c in ("id", "label", "n_shingles", "planes", "fine")])
 
     rest = half("_x").join(half("_y"), "hash").filter(
         (F.col("label_x") < F.col("label_y"))
-        & _plausible("planes_x", "planes_y", "n_shingles_x", "n_shingles_y", FINE, MIN_FINE)
+        & _plausible("planes_x", "planes_y", "n_shingles_x", "n_shingles_y")
+        & (_fine_estimate("fine_x", "fine_y") >= MIN_FINE)
     )
     links = links.unionByName(confirmed(rest.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))))
     found = components(links)
