@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -91,12 +92,12 @@ class Pieces:
         for v, d in enumerate(nodes):
             for c, u in d.items():
                 self.next[v, self.classes[c]] = u
-        self.ends = np.array(ends, "i4")
+        self.ends = np.array(ends, "i2" if len(self.surface) < 1 << 15 else "i4")
 
     def edges(self, data: np.ndarray, unit_end: np.ndarray) -> np.ndarray:
-        """ids[i, l - 1]: the piece of the l bytes from i on, -1 if there is none."""
+        """ids[i, l - 1]: the piece of the l bytes from i on, -1 if there is none; as wide as the widest."""
         n = len(data)
-        out = np.full((n, MAX_PIECE), -1, "i4")
+        out = np.full((n, MAX_PIECE), -1, self.ends.dtype)
         classes = self.classes[data]
         active = np.arange(n)
         node = np.zeros(n, "i4")
@@ -116,7 +117,8 @@ class Pieces:
         alone = out[starts, width[starts] - 1] >= 0
         spelt = np.repeat(~alone, np.diff(np.concatenate((starts, [n]))))
         out[spelt, 0] = self.byte_ids[data[spelt]]
-        return out
+        widest = int(np.flatnonzero((out >= 0).any(axis=0))[-1]) + 1
+        return np.ascontiguousarray(out[:, :widest])
 
 
 class Sampler:
@@ -132,14 +134,15 @@ class Sampler:
         logs = np.append(self.pieces.logs, -np.inf)
         order = np.argsort(-sizes, kind="stable")
         longest = int(sizes.max())
-        count = np.searchsorted(-sizes[order], -np.arange(1, longest + 1), "right")  # units of at least j bytes
+        long_enough = np.searchsorted(-sizes[order], -np.arange(1, longest + 1), "right")  # units of at least j bytes
         sums = np.full(len(data) + len(units), -np.inf)  # by node: byte place + number of the unit
         node = base + np.arange(len(units))
         sums[node] = 0.0
-        shares = np.zeros((len(data), MAX_PIECE), "f4")  # of the node after each byte
+        most = ids.shape[1]
+        shares = np.zeros((len(data), most), "f4")  # of the node after each byte
         for j in range(1, longest + 1):
-            u = order[: count[j - 1]]
-            widths = np.arange(1, min(MAX_PIECE, j) + 1)
+            u = order[: long_enough[j - 1]]
+            widths = np.arange(1, min(most, j) + 1)
             edge = ids[(base[u] + j)[:, None] - widths, widths - 1]
             used = np.flatnonzero((edge >= 0).any(axis=0))  # most widths are rare
             if not len(used):
@@ -148,16 +151,16 @@ class Sampler:
             top = part.max(axis=1)
             reached = np.isfinite(top)
             top[~reached] = 0.0  # a place inside a character: no segmentation ends here
-            mass = np.exp(part - top[:, None])
+            mass = np.exp((part - top[:, None]).astype("f4"))
             total = mass.sum(axis=1)
             total[~reached] = 1.0
             sums[node[u] + j] = np.where(reached, top + np.log(total), -np.inf)
-            full = np.zeros((len(u), MAX_PIECE), "f4")
+            full = np.zeros((len(u), most), "f4")
             full[:, used] = mass / total[:, None]
             full = np.cumsum(full, axis=1)
             # the widest edge takes what rounding leaves
             widest = used[len(used) - 1 - (mass[:, ::-1] > 0).argmax(axis=1)]
-            full[np.arange(MAX_PIECE) >= widest[:, None]] = 1.0
+            full[np.arange(most) >= widest[:, None]] = 1.0
             shares[base[u] + j - 1] = full
         return sizes, base, ids, shares
 
@@ -191,9 +194,9 @@ class Sampler:
                 size += len(texts[stop])
                 stop += 1
             split = [_UNIT.findall(t) for t in texts[k:stop]]
-            number: dict[bytes, int] = {}
-            which = np.array([number.setdefault(u, len(number)) for x in split for u in x], "i8")
             counts = np.array([len(x) for x in split])
+            number = dict(zip(dict.fromkeys(chain.from_iterable(split)), count()))
+            which = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), "i8", int(counts.sum()))
             if len(which):
                 first = np.cumsum(counts) - counts
                 place = np.arange(len(which)) - np.repeat(first, counts)
