@@ -98,12 +98,12 @@ def q_price_gaps_asof(spark, sf):
 
 @register(
     "null_audit_asof",
-    O.null_audit(f"SELECT * FROM ({O.positions_long(TX_L, PR_L)}) WHERE date <= DATE '1992-06-30'", "qty"),
+    O.null_audit(f"SELECT * FROM ({O.positions_long(TX_L, PR_L)}) WHERE date <= DATE '{AS_OF_DAY}'", "qty"),
     "D5 Q4 H4",
 )
 def q_null_audit_asof(spark, sf):
     pos = P.positions_asof(TD.tx_lineitem(spark, sf), TD.prices_lineitem(spark, sf))
-    return QA.null_audit(pos, "qty", as_of=F.lit("1992-06-30").cast("date"))
+    return QA.null_audit(pos, "qty", as_of=F.lit(AS_OF_DAY).cast("date"))
 
 
 @register("main_view", O.daily_wide(_LONG_C, COINS), "J1 B17")
