@@ -243,15 +243,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a finer signature tells families of moderate similarity apart inside the join
     finer = sets.join(left.select("id").distinct(), "id", "left_semi").mapInArrow(_fine, "id long, planes array<bigint>")
     finer = saved(finer.withColumnRenamed("planes", "fine"), "minhash-fine")
-    open_rows = left.join(finer, "id").join(sketch, "id")
+    open_rows = left.join(finer, "id").join(classes.select("id", "n_shingles", "planes", "bands"), "id")
 
     def half(k: str) -> DataFrame:
-        return open_rows.select("hash", *[F.col(c).alias(c + k) for c in ("id", "label", "n_shingles", "planes", "fine")])
+        return open_rows.select("hash", *[F.col(c).alias(c + k) for c in ("id", "label", "n_shingles", "planes", "fine", "bands")])
 
     rest = half("_x").join(half("_y"), "hash").filter(
         (F.col("label_x") < F.col("label_y"))
         & _plausible("planes_x", "planes_y", "n_shingles_x", "n_shingles_y")
         & (_fine_estimate("fine_x", "fine_y") >= MIN_FINE)
+        # a pair comes from the first of the buckets that it shares
+        & (F.col("hash") == F.array_min(F.array_intersect("bands_x", "bands_y")))
     )
     links = links.unionByName(confirmed(rest.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))))
     found = components(links)
