@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from coffer.schemas import COINS_DEFAULT, MONEY
 

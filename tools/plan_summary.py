@@ -4,9 +4,9 @@
 
 For each query: exchanges by kind, aggregate and join strategies, windows,
 generators, subqueries, and per scan the columns read and the filters pushed
-to parquet. Exchanges named "round-robin (adapter)" come from spreading the
-single-row-group test files (sources/testdata.table) and do not exist on
-tables with enough splits.
+to parquet. Plans that start from "ExistingRDD" read the checkpoint of a small
+aggregate, whose own plan is that of ``valuation.daily_activity`` or of the
+distinct days in ``prices.price_gaps``.
 """
 
 from __future__ import annotations
@@ -40,19 +40,18 @@ def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     a = ap.parse_args()
-    from __spark_entry__ import queries
+    from coffer.plans.catalog import REGISTRY
     from coffer.session import build_session
 
     spark = build_session("plan-summary", shuffle_partitions=16)
     print("# Physical plans of the registered queries\n")
     print(f"Generated by `tools/plan_summary.py --sf {a.sf}` (final adaptive plans, 16 shuffle partitions).")
-    print("Round-robin exchanges over scans come from the test-data adapter (single-row-group files);")
-    print("a round-robin of `spark.sql.shuffle.partitions` before a `Generate` is the calendar spreading.\n")
+    print("A round-robin of `spark.sql.shuffle.partitions` before a `Generate` is the calendar spreading.\n")
     print("| query | exchanges | aggregates | joins | window / generate / subquery |")
     print("|---|---|---|---|---|")
     details = []
-    for name, fn in queries().items():
-        df = fn(spark, a.sf)
+    for name, query in REGISTRY.items():
+        df = query.build(spark, a.sf)
         df.write.format("noop").mode("overwrite").save()
         txt = df._jdf.queryExecution().executedPlan().toString()
         s = summarise(txt)
