@@ -39,8 +39,8 @@ _KNOWN = (
 MIN_CHARS = 16
 #: Characters per token at most; ordinary long words have more.
 MAX_RATIO = 1.9
-#: A random string mixes letters and digits.
-_MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
+#: Runs of joints alone are line art.
+_RULE = re.compile(r"[+/_=-]*")
 
 
 class Finder:
@@ -53,7 +53,7 @@ class Finder:
         self.max_ratio = max_ratio
 
     def is_random(self, run: str) -> bool:
-        if len(run) < MIN_CHARS or not _MIXED.match(run) or any(k.fullmatch(run) for k in _KNOWN):
+        if len(run) < MIN_CHARS or _RULE.fullmatch(run) or any(k.fullmatch(run) for k in _KNOWN):
             return False
         return len(run) <= self.max_ratio * len(self.tokens(run))
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import string
 
 import public_tokenizers
 import pytest
@@ -114,6 +115,17 @@ def test_random_strings_and_known_digests():
         assert kinds_of(f, f"id {known} end") == {}
 
 
+def test_random_strings_of_letters_only():
+    f = secret_scan.Finder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    r = random.Random(4)
+    for letters, least in ((string.ascii_letters, 0.99), (string.ascii_uppercase, 0.95), (string.ascii_lowercase, 0.8)):
+        for n in (16, 20, 32, 40):
+            keys = ["".join(r.choice(letters) for _ in range(n)) for _ in range(300)]
+            assert sum(kinds_of(f, f"key {k} end") == {k: "random"} for k in keys) >= least * 300, (letters, n)
+    for word in ("internationalization", "Bundesverfassungsgericht", "ANTICONSTITUTIONNELLEMENT", "getElementsByTagName", "+-" * 20, "_" * 30):
+        assert kinds_of(f, f"a {word} b") == {}
+
+
 def test_masking(spark):
     d = spark.createDataFrame([(1, "mail a@b.cd or +1 234 567 890.", 9), (2, None, 9), (3, "clean", 9)], "doc_id long, text string, n_email int")
     got = sorted(tuple(r) for r in pii.mask_pii(d).collect())
