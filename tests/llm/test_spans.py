@@ -126,6 +126,21 @@ def test_random_strings_of_letters_only():
         assert kinds_of(f, f"a {word} b") == {}
 
 
+def test_random_keys_among_words_of_a_run():
+    f = secret_scan.Finder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    r = random.Random(6)
+    for before, after in (("com/download/files/", ""), ("users/account/settings/session/", ""), ("some-long_words+here/", "/download/settings")):
+        for n in (20, 32):
+            keys = ["".join(r.choice(string.ascii_letters + string.digits) for _ in range(n)) for _ in range(300)]
+            found = [[s for s in kinds_of(f, f"see {before}{k}{after} end") if k in s] for k in keys]
+            assert sum(map(len, found)) >= 0.97 * 300, (before, n)
+    assert kinds_of(f, "at users/account/settings/session/Zx9Qw3Lk7Pv2Rt8Ny5Bm1/download end") == {"Zx9Qw3Lk7Pv2Rt8Ny5Bm1": "random"}
+    # a key that joints cut into short parts
+    assert kinds_of(f, "at users/account/settings/session/download/Zx9Qw3L+k7Pv2Rt/8Ny5Bm1 end") == {"Zx9Qw3L+k7Pv2Rt/8Ny5Bm1": "random"}
+    for known in ("550e8400-e29b-41d4-a716-446655440000", "D41D8CD98F00B204E9800998ECF8427E", "2024-01-02", "some-other-long-words"):
+        assert kinds_of(f, f"at users/account/settings/session/v1/{known}/download/settings end") == {}
+
+
 def test_masking(spark):
     d = spark.createDataFrame([(1, "mail a@b.cd or +1 234 567 890.", 9), (2, None, 9), (3, "clean", 9)], "doc_id long, text string, n_email int")
     got = sorted(tuple(r) for r in pii.mask_pii(d).collect())
