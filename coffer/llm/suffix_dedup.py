@@ -165,15 +165,15 @@ def _long(k: int, text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
         start += int(hi[-1]) + 1
 
 
-def _pack(at, lo, hi, tag):
-    """Gram position, distances to the first and last window start, and the text's tag."""
-    return (at << 32) | ((at - lo) << 24) | ((hi - lo) << 16) | tag
+def _pack(at, lo, hi):
+    """Gram position, its distance from the first window start, and that of the last from the first."""
+    return (at << 16) | ((at - lo) << 8) | (hi - lo)
 
 
 def _unpack(packed):
-    at = packed >> 32
-    lo = at - ((packed >> 24) & 255)
-    return at, lo, lo + ((packed >> 16) & 255)
+    at = packed >> 16
+    lo = at - ((packed >> 8) & 255)
+    return at, lo, lo + (packed & 255)
 
 
 def _counts(batches):
@@ -191,13 +191,13 @@ def _counts(batches):
 
 
 def _places(batches):
-    """(gram, region, doc, packed) of every anchor."""
+    """(gram, region, doc, tag, packed) of every anchor."""
     for b in batches:
         doc, tag = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag"))
         for k, at, lo, hi, gram, region in anchors(b.column("text").to_pylist()):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.view("i8")), pa.array(region.view("i8")), pa.array(doc[k]), pa.array(_pack(at, lo, hi, tag[k]))],
-                ["gram", "region", "doc", "packed"],
+                [pa.array(gram.view("i8")), pa.array(region.view("i8")), pa.array(doc[k]), pa.array(tag[k]), pa.array(_pack(at, lo, hi))],
+                ["gram", "region", "doc", "tag", "packed"],
             )
 
 
@@ -205,14 +205,18 @@ def _regions(batches):
     """The bytes of each representative's region."""
     for b in batches:
         rows = []
-        for doc, text, reps in zip(*(b.column(c).to_pylist() for c in ("doc", "text", "reps")), strict=True):
+        for doc, tag, text, reps in zip(*(b.column(c).to_pylist() for c in ("doc", "tag", "text", "reps")), strict=True):
             for r in reps:
                 _, lo, hi = _unpack(r["packed"])
-                rows.append({"gram": r["gram"], "doc": doc, "packed": r["packed"], "alone": r["alone"], "bytes": text[lo : hi + DEPTH]})
+                rows.append(
+                    {"gram": r["gram"], "doc": doc, "tag": tag, "packed": r["packed"], "alone": r["alone"], "bytes": text[lo : hi + DEPTH]}
+                )
         yield pa.RecordBatch.from_pylist(rows, _REGION)
 
 
-_REGION = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("packed", pa.int64()), ("alone", pa.bool_()), ("bytes", pa.binary())])
+_REGION = pa.schema(
+    [("gram", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("packed", pa.int64()), ("alone", pa.bool_()), ("bytes", pa.binary())]
+)
 BLOCK = 8
 
 
@@ -283,8 +287,8 @@ def _windows(batches):
                 [
                     pa.array(window.view("i8")),
                     b.column("doc").take(pa.array(which)),
-                    pa.array(packed & 0xFFFF),
-                    pa.array((packed >> 32) + rel, mask=~alone),
+                    b.column("tag").take(pa.array(which)),
+                    pa.array(_unpack(packed)[0] + rel, mask=~alone),
                 ],
                 ["window", "doc", "tag", "lo"],
             )
@@ -307,7 +311,7 @@ def _remove(text: bytes, spans: list) -> tuple[int, int, str, bytes]:
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """doc, tag, spans of all documents with a repeated window: spans are (lo, hi),
+    """doc, tag (as in ``_texts``), spans of all documents with a repeated window: spans are (lo, hi),
     the first and last start of a run of repeated windows; they may overlap."""
     texts = _texts(docs)
     anchored = texts.filter(F.length("text") >= DEPTH)
@@ -320,35 +324,33 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         regions.join(grams, "gram").select("gram", "region", (F.col("n") > 1).alias("again"), (F.col("regions") > 1).alias("open")),
         "suffix-regions",
     )
-    places = anchored.mapInArrow(_places, "gram long, region long, doc long, packed long")
+    places = anchored.mapInArrow(_places, "gram long, region long, doc long, tag long, packed long")
     hits = saved(
         places.join(known, ["gram", "region"]).select(
             F.when(F.col("open"), F.col("gram")).alias("gram"),
             F.when(F.col("open"), F.col("region")).alias("region"),
-            "doc", "packed", "again", "open",
+            "doc", "tag", "packed", "again", "open",
         ),
         "suffix-hits",
     )
 
     # digits 3 and 4, on one representative of each region of a gram with several
     reps = hits.filter("open").groupBy("gram", "region").agg(
-        F.min(F.struct("doc", "packed")).alias("at"), F.min(~F.col("again")).alias("alone")
+        F.min(F.struct("doc", "tag", "packed")).alias("at"), F.min(~F.col("again")).alias("alone")
     )
-    by_doc = reps.select("at.doc", F.col("at.packed").bitwiseAND(0xFFFF).alias("tag"), "gram", "at.packed", "alone").groupBy("doc", "tag").agg(
+    by_doc = reps.select("at.doc", "at.tag", "gram", "at.packed", "alone").groupBy("doc", "tag").agg(
         F.collect_list(F.struct("gram", "packed", "alone")).alias("reps")
     )
-    region_bytes = texts.join(by_doc, ["doc", "tag"]).select("doc", "text", "reps").mapInArrow(
-        _regions, "gram long, doc long, packed long, alone boolean, bytes binary"
+    region_bytes = texts.join(by_doc, ["doc", "tag"]).select("doc", "tag", "text", "reps").mapInArrow(
+        _regions, "gram long, doc long, tag long, packed long, alone boolean, bytes binary"
     )
     table = saved(region_bytes.withColumn("rep", F.monotonically_increasing_id()), "suffix-bytes")
     blocks = table.mapInArrow(_blocks, "core long, hull long, rep long, first long, last long")
     cores = blocks.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("hull").alias("h0"), F.max("hull").alias("h1")).filter("n > 1")
     met = saved(blocks.join(cores, "core").select("rep", "first", "last", (F.col("h0") == F.col("h1")).alias("same")), "suffix-blocks")
-    whole = met.filter("same").join(table.filter("alone").select("rep", "doc", "packed"), "rep")
-    at = F.shiftright("packed", 32)
-    whole = whole.select(
-        "doc", F.col("packed").bitwiseAND(0xFFFF).alias("tag"), (at + F.col("first")).alias("lo"), (at + F.col("last")).alias("hi")
-    )
+    whole = met.filter("same").join(table.filter("alone").select("rep", "doc", "tag", "packed"), "rep")
+    at = F.shiftright("packed", 16)
+    whole = whole.select("doc", "tag", (at + F.col("first")).alias("lo"), (at + F.col("last")).alias("hi"))
     mixed = met.filter(~F.col("same")).groupBy("rep").agg(
         F.collect_list(F.struct("first", "last")).alias("parts")
     ).select("rep", F.col("parts.first").alias("firsts"), F.col("parts.last").alias("lasts"))
@@ -358,20 +360,16 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
     single = windows.filter("lo is not null").join(twice, "window").select("doc", "tag", "lo", F.col("lo").alias("hi"))
 
-    lo = F.shiftright("packed", 32) - F.shiftright("packed", 24).bitwiseAND(255)
-    flagged = hits.filter("again").select(
-        "doc", F.col("packed").bitwiseAND(0xFFFF).alias("tag"), lo.alias("lo"), (lo + F.shiftright("packed", 16).bitwiseAND(255)).alias("hi")
-    )
-    # at most one span per anchor, block and window of a document
-    return flagged.unionByName(whole).unionByName(single).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    lo = F.shiftright("packed", 16) - F.shiftright("packed", 8).bitwiseAND(255)
+    flagged = hits.filter("again").select("doc", "tag", lo.alias("lo"), (lo + F.col("packed").bitwiseAND(255)).alias("hi"))
+    # at most one span per anchor, block and window of a document; rows of equal id and text have the same ones
+    return flagged.unionByName(whole).unionByName(single).groupBy("doc", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """Texts by doc_id and a 16-bit tag of the text, for rows that share a doc_id."""
-    none = F.lit(-(2**63))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("doc"), utf8().alias("text")).withColumn(
-        "tag", F.xxhash64("text").bitwiseAND(0xFFFF)
-    )
+    """doc_id and text, known by 128 bits of hashes (doc, tag) of both: rows may share a doc_id, null included."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
+    return rows.select("*", F.xxhash64("text", "doc_id").alias("doc"), F.xxhash64(F.lit(DEPTH), "text", "doc_id").alias("tag"))
 
 
 def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -395,9 +393,7 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
             arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
             n = 5 if with_text else 4
-            yield pa.RecordBatch.from_arrays([b.column("doc"), *arrays[:n]], ["doc", *names[:n]])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *arrays[:n]], ["doc_id", *names[:n]])
 
-    schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text binary" * with_text
-    out = _texts(docs).join(spans, ["doc", "tag"], "left").select("doc", "text", "spans").mapInArrow(run, schema)
-    doc_id = F.when(F.col("doc") != -(2**63), F.col("doc")).alias("doc_id")
-    return out.select(doc_id, *[c for c in out.columns if c != "doc"])
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text binary" * with_text
+    return _texts(docs).join(spans, ["doc", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(run, schema)

@@ -57,6 +57,19 @@ def test_against_brute_force(spark, seed, letters):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_many_texts_under_a_null_and_a_repeated_id(spark):
+    r = random.Random(8)
+    passage = ["".join(r.choice("abcdefgh ") for _ in range(230)) for _ in range(40)]
+    rows = []
+    for k in range(1500):
+        own = "".join(r.choice("abcdefgh ") for _ in range(r.randint(5, 60)))
+        rows.append((r.choice([None, 7, -(2**63)]), own + r.choice(passage) + own[::-1] if k % 2 else own * 5))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(x) for x in S.suffix_dedup(d).collect()]
+    want = [(x[0], *w) for x, w in zip(rows, brute([x[1].encode() for x in rows]), strict=True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_long_texts_go_through_in_parts(spark, monkeypatch):
     texts = [t.encode() for t in make(4, "abcd") if t]
     whole = sorted((k, *rest) for g in S.anchors(texts) for k, *rest in zip(*(x.tolist() for x in g)))
