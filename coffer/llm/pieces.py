@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from coffer.llm.shingles import mix
 
-#: Pieces of more bytes are left out of the lattice.
+#: Bytes of a piece that the table of edges has room for at first; longer pieces widen it where a text has some.
 MAX_PIECE = 16
 _UNIT = re.compile(rb" *[^ \n]+| +|\n")
 _GROUP = 1 << 21
@@ -62,14 +62,14 @@ class Pieces:
                 bytes_at[value] = i
             else:
                 self.surface[i] = piece.replace("▁", " ").encode()
-                if len(self.surface[i]) <= MAX_PIECE:
-                    words.setdefault(self.surface[i], i)
+                words.setdefault(self.surface[i], i)
         if (bytes_at < 0).any():
             raise ValueError("the vocabulary has no byte pieces")
         self.byte_ids = bytes_at
         self.lengths = np.array([len(s) for s in self.surface], "i8")
         self.pool = np.frombuffer(b"".join(self.surface), "u1")
         self.at = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
+        self.widest = max(map(len, words), default=1)
         self._trie(words)
 
     def _trie(self, words: dict[bytes, int]) -> None:
@@ -97,15 +97,18 @@ class Pieces:
     def edges(self, data: np.ndarray, unit_end: np.ndarray) -> np.ndarray:
         """ids[i, l - 1]: the piece of the l bytes from i on, -1 if there is none; as wide as the widest."""
         n = len(data)
-        out = np.full((n, MAX_PIECE), -1, self.ends.dtype)
+        out = np.full((n, min(MAX_PIECE, self.widest)), -1, self.ends.dtype)
         classes = self.classes[data]
         active = np.arange(n)
         node = np.zeros(n, "i4")
-        for k in range(MAX_PIECE):
+        for k in range(self.widest):
             node = self.next[node, classes[active + k]]
             inside = node > 0
             active, node = active[inside], node[inside]
-            out[active, k] = self.ends[node]
+            if k == out.shape[1] and len(active):
+                out = np.pad(out, ((0, 0), (0, self.widest - k)), constant_values=-1)
+            if len(active):
+                out[active, k] = self.ends[node]
             going = active + k + 1 < unit_end[active]
             active, node = active[going], node[going]
             if not len(active):

@@ -59,6 +59,26 @@ def test_samples_follow_the_lattice(vocabulary, text):
         assert abs(got[ids] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-4
 
 
+def test_pieces_of_any_length_are_in_the_lattice(vocabulary):
+    byte_ids = set(vocabulary.byte_ids.tolist())
+    words = {s: i for i, s in enumerate(vocabulary.surface) if s and np.isfinite(vocabulary.logs[i]) and i not in byte_ids}
+    long = [s for s in words if len(s) > 16]
+    assert len(long) == 20 and max(map(len, long)) == 25
+    for k, s in enumerate(long):
+        edges = vocabulary.edges(np.frombuffer(s, "u1"), np.full(len(s), len(s)))
+        every = {(a, n): words[s[a : a + n]] for a in range(len(s)) for n in range(1, len(s) - a + 1) if s[a : a + n] in words}
+        assert {(a, w + 1): int(edges[a, w]) for a, w in zip(*np.nonzero(edges >= 0)) if s[a : a + w + 1] in words} == every
+        if k % 5:
+            continue
+        # forward sums over all pieces: the share of the segmentation of one piece
+        sums = [1.0] + [0.0] * len(s)
+        for e in range(1, len(s) + 1):
+            sums[e] = sum(sums[a] * math.exp(vocabulary.logs[i]) for (a, n), i in every.items() if a + n == e)
+        n, share = 20_000, math.exp(vocabulary.logs[words[s]]) / sums[-1]
+        got = sum(x.tolist() == [words[s]] for x in P.Sampler(vocabulary, 5).encode([s] * n, np.arange(n).astype("u8")))
+        assert abs(got / n - share) < 5 * math.sqrt(share * (1 - share) / n) + 1e-4
+
+
 def test_round_trip_and_reproducibility(spark, vocabulary):
     rows = [(k, t, "clash") for k, t in enumerate(TEXTS)] + [(3, TEXTS[3], "again"), (None, "null id", "x")]
     d = spark.createDataFrame(rows, "doc_id long, text string, n_pieces string")
