@@ -131,24 +131,29 @@ class Encoder:
     split and looked up in array operations; pieces are known by two 64-bit
     hashes, in a cache of fixed size whose slots go to those seen first. Only
     texts of ``PLAIN`` characters are split here; others, where Unicode tables
-    of two engines may differ, and texts for other tokenizers are encoded
-    whole.
+    of two engines may differ, texts that hold an added token's content and
+    texts for other tokenizers are encoded whole.
+
+    With ``text_only``, special tokens in a text are spelt like any other text.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, text_only: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = text_only
         with open(tokenizer_file, encoding="utf-8") as f:
             spec = json.load(f)
+        self.added = [x["content"] for x in spec.get("added_tokens") or () if not (text_only and x["special"])]
         rule = spec.get("pre_tokenizer") or {}
         self.splits = (
             rule.get("type") == "ByteLevel"
             and rule.get("use_regex", True)
             and not rule.get("add_prefix_space", True)
             and not spec.get("normalizer")
+            # pieces of a space and letters are joined for encoding
+            and not any(x.replace(" ", "").isalpha() for x in self.added)
         )
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that start with a space
         for token, i in self.tokenizer.get_vocab().items():
@@ -226,9 +231,12 @@ class Encoder:
         cuts = np.concatenate(([0], total))[np.searchsorted(starts, first)]
         yield from (out[s:e] for s, e in pairwise(cuts.tolist()))
 
+    def _plain(self, text: str) -> bool:
+        return self.splits and PLAIN.fullmatch(text) is not None and not any(x in text for x in self.added)
+
     def _group(self, group: list[tuple[int, str, bool]]) -> Iterator[tuple[int, bytes, bool]]:
         # a part without a place to cut may be longer than the tables of powers
-        plain = [self.splits and len(x) <= SEGMENT and PLAIN.fullmatch(x) is not None for _, x, _ in group]
+        plain = [len(x) <= SEGMENT and self._plain(x) for _, x, _ in group]
         split = self._split([x for (_, x, _), p in zip(group, plain, strict=True) if p]) if any(plain) else iter(())
         for (k, text, last), p in zip(group, plain, strict=True):
             yield k, next(split).tobytes() if p else self._whole([text])[0], last
@@ -237,7 +245,7 @@ class Encoder:
         """(place of the text, little-endian uint32 ids, whether they are its last) in order."""
         group, size = [], 0
         for k, text in enumerate(texts):
-            parts = list(segments(text)) if self.splits and len(text) > SEGMENT and PLAIN.fullmatch(text) else [text]
+            parts = list(segments(text)) if len(text) > SEGMENT and self._plain(text) else [text]
             for j, part in enumerate(parts):
                 if size and size + len(part) > SEGMENT:
                     yield from self._group(group)
@@ -247,14 +255,15 @@ class Encoder:
         yield from self._group(group)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def _encoder(tokenizer_file: str) -> Encoder:
+def _encoder(tokenizer_file: str, text_only: bool) -> Encoder:
     """One encoder per Python worker, so that its pieces serve later tasks too."""
-    if tokenizer_file not in _ENCODERS:
-        _ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
-    return _ENCODERS[tokenizer_file]
+    key = (tokenizer_file, text_only)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(tokenizer_file, text_only)
+    return _ENCODERS[key]
 
 
 class Writer:
@@ -350,12 +359,13 @@ def write_tokens(
     tokenizer_file: str,
     end_id: int = END_ID,
     frame_ids: int = FRAME_IDS,
+    text_only: bool = True,
 ) -> DataFrame:
     """Writes all documents as token files; returns the manifest (part, path, n_docs, n_ids).
 
     Files follow each other in ascending doc_id order (null doc_ids first).
     A null text is encoded as an empty one: its end id only. An empty table
-    gives an empty manifest.
+    gives an empty manifest. ``text_only`` as for ``Encoder``.
     """
     spark = docs.sparkSession
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("_tie"))
@@ -364,7 +374,7 @@ def write_tokens(
 
     def write(batches):
         writer = stream = path = None
-        encoder = _encoder(tokenizer_file)
+        encoder = _encoder(tokenizer_file, text_only)
         part = TaskContext.get().partitionId()
         for b in batches:
             if writer is None and b.num_rows:
@@ -426,7 +436,11 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     return listed.repartition(max(1, len(files))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_output(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> DataFrame:
-    """Writes the documents' token files to the shared folder and reads them back."""
+def token_output(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, text_only: bool = False) -> DataFrame:
+    """Writes the documents' token files to the shared folder and reads them back.
+
+    The ids are those of the library's ``encode(text, add_special_tokens=False)``,
+    which takes a special token's content in a text for that token.
+    """
     folder = shared_path(docs.sparkSession, "tokens")
-    return read_tokens(write_tokens(docs, folder, tokenizer_file, end_id))
+    return read_tokens(write_tokens(docs, folder, tokenizer_file, end_id, text_only=text_only))

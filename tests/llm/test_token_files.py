@@ -56,6 +56,22 @@ def test_empty_table(spark):
     assert T.token_output(docs, FILE).collect() == []
 
 
+def test_output_has_the_ids_of_the_library_call(spark, monkeypatch):
+    t = Tokenizer.from_file(FILE)
+    texts = [*TEXTS, "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext| >", "word " * 200 + "<|endoftext|> é" * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    start = 0
+    for k, g in enumerate(sorted(tuple(r) for r in T.token_output(docs, FILE).collect())):
+        ids = np.array([*t.encode(texts[k] or "", add_special_tokens=False).ids, 2], "<u4")
+        assert g == (k, start, len(ids), zlib.crc32(ids.tobytes())), texts[k]
+        start += len(ids)
+    monkeypatch.setattr(T, "SEGMENT", 100)  # no token is cut where a text is
+    got = [b""] * len(texts)
+    for k, ids, _ in T.Encoder(FILE, text_only=False).encode([x or "" for x in texts]):
+        got[k] += ids
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
 class _Sized(io.BytesIO):
     def size(self):
         return len(self.getvalue())
