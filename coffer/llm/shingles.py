@@ -37,7 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
-    """The text in parts below _CHUNK bytes, cut at white space where there is any."""
+    """The text in parts below _CHUNK bytes, cut at white space where there is any and else inside a word."""
     at = 0
     while len(text) - at >= _CHUNK - 1:
         end = max(text.rfind(c, at, at + _CHUNK - 2) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
@@ -47,48 +47,65 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """One array of word hashes per text, in order; few large numpy calls.
+def _polynomials(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and polynomial hashes of the words of a text below _CHUNK bytes."""
+    data = _LOWER[np.frombuffer(text, "u1")]
+    solid = ~_SPACE[data]
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).view("i1")))
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(data) + 1, "u8")
+    np.cumsum((data + np.uint64(1)) * _UP[: len(data)], out=sums[1:])
+    return starts, ends, (sums[ends] - sums[starts]) * _DOWN[starts]
+
+
+def _long(pieces: list[bytes]) -> np.ndarray:
+    """Word hashes of a text in parts; the parts of a word that a cut goes through are joined."""
+    polys, sizes = [], []
+    poly = size = 0  # of the word that the latest part ends in
+    for p in pieces:
+        starts, ends, here = _polynomials(p)
+        n = ends - starts
+        if size and len(n) and starts[0] == 0:
+            here[0] = (poly + pow(_BASE, size, 1 << 64) * int(here[0])) % (1 << 64)
+            n[0] += size
+        elif size:
+            polys.append(np.array([poly], "u8"))
+            sizes.append(np.array([size]))
+        poly = size = 0
+        if len(n) and ends[-1] == len(p):
+            poly, size = int(here[-1]), int(n[-1])
+            here, n = here[:-1], n[:-1]
+        polys.append(here)
+        sizes.append(n)
+    if size:
+        polys.append(np.array([poly], "u8"))
+        sizes.append(np.array([size]))
+    return mix(np.concatenate(polys) + np.concatenate(sizes).astype("u8"))
+
 
-    A single word of a megabyte or more is hashed in several parts.
-    """
+def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """One array of word hashes per text, in order; few large numpy calls. A word is one hash at any size."""
     group: list[bytes] = []
     size = 0
-    whole: list[int] = []  # number of parts of each text in the group
-
-    def hashes() -> list[np.ndarray]:
-        data = _LOWER[np.frombuffer(b"\n".join(group), "u1")]
-        solid = ~_SPACE[data]
-        edges = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).view("i1")))
-        starts, ends = edges[::2], edges[1::2]
-        sums = np.zeros(len(data) + 1, "u8")
-        np.cumsum((data + np.uint64(1)) * _UP[: len(data)], out=sums[1:])
-        words = mix((sums[ends] - sums[starts]) * _DOWN[starts] + (ends - starts).astype("u8"))
-        at = np.cumsum([len(t) + 1 for t in group])[:-1]
-        return np.split(words, np.searchsorted(starts, at))
 
     def flush() -> Iterator[np.ndarray]:
-        parts = iter(hashes()) if group else iter(())
-        for n in whole:
-            yield next(parts) if n == 1 else np.concatenate([next(parts) for _ in range(n)])
+        if group:
+            starts, ends, polys = _polynomials(b"\n".join(group))
+            words = mix(polys + (ends - starts).astype("u8"))
+            at = np.cumsum([len(t) + 1 for t in group])[:-1]
+            yield from np.split(words, np.searchsorted(starts, at))
 
     for text in texts:
         pieces = list(_pieces(text))
         if len(pieces) > 1:
             yield from flush()
-            group, size, whole = [], 0, []
-            out = []
-            for p in pieces:
-                group = [p]
-                out += hashes()
-            group = []
-            yield np.concatenate(out)
+            group, size = [], 0
+            yield _long(pieces)
             continue
         if size + len(text) + 1 >= _CHUNK:
             yield from flush()
-            group, size, whole = [], 0, []
+            group, size = [], 0
         group.append(text)
-        whole.append(1)
         size += len(text) + 1
     yield from flush()
 

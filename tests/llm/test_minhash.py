@@ -92,6 +92,20 @@ def test_word_hashes_do_not_depend_on_grouping(monkeypatch):
     assert [h.tolist() for h in S.word_hashes(texts)] == whole
 
 
+def test_a_word_of_any_size_is_one_hash(monkeypatch):
+    r = random.Random(6)
+    for n in (S._CHUNK - 2, S._CHUNK - 1, S._CHUNK, 3 * S._CHUNK):
+        w = r.randbytes(n // 2).hex().encode() + b"z" * (n % 2)
+        (alone,), (around), (other,) = S.word_hashes([w, b"a " + w.upper() + b"\nb", w[:-1] + b"y"])
+        assert around.tolist() == [*next(S.word_hashes([b"a"])), alone, *next(S.word_hashes([b"b"]))]
+        assert alone != other and len(S.shingle_set(np.array([alone]))) == 1
+    texts = [b"".join(r.choice([b"a", b"b", b"B" * 7, b"x" * 300, b" ", b"\n"]) for _ in range(r.randint(0, 40))) for _ in range(300)]
+    whole = [h.tolist() for h in S.word_hashes(texts)]
+    assert [len(h) for h in whole] == [len(t.split()) for t in texts]
+    monkeypatch.setattr(S, "_CHUNK", 50)
+    assert [h.tolist() for h in S.word_hashes(texts)] == whole
+
+
 def test_estimate_follows_the_similarity(spark):
     r = np.random.default_rng(3)
     base = r.integers(0, 2**63, 1000).astype("u8")
