@@ -11,7 +11,8 @@ Kinds: email, ip, card, phone (the base), and url, iban, account.
   characters other than white space and ``<>"``, less closing punctuation;
   at least one character is left.
 * iban: two capital letters, two digits and 11 to 30 capitals or digits in
-  groups that single blanks may part, with ISO 7064 mod 97 remainder 1.
+  groups that single blanks may part, with ISO 7064 mod 97 remainder 1 and,
+  where the country is registered, its length.
 * account: a cue (account, acct, konto, cuenta, compte; any ASCII case) that no
   letter precedes, up to 12 characters of ``[ .:#]`` or ``number/no/nr``,
   then 6 to 20 digits that single blanks or hyphens may part.
@@ -37,10 +38,16 @@ SCHEMES = ("http://", "https://", "ftp://", "www.")
 CUES = ("account", "acct", "konto", "cuenta", "compte")
 URL_STOPS = frozenset(' \t\n\r\x0b\x0c<>"')
 CLOSING = ".,;:!?)]}'"
-#: IBAN country codes of the single euro payments area.
-IBAN_LANDS = frozenset(
-    "AD AT BE BG CH CY CZ DE DK EE ES FI FR GB GI GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM VA".split()
-)
+#: Characters of an IBAN by registered country; other countries' may have 15 to 34.
+IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 "
+        "FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 "
+        "LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 "
+        "SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 _AFTER_CUE = re.compile(r"(?:[ .:#]|number|no|nr){0,12}([0-9](?:[ -]?[0-9])+)", re.IGNORECASE | re.ASCII)
 
 
@@ -111,9 +118,9 @@ def _url(text: str, at: int, scheme: str) -> tuple[int, int] | None:
 def _iban(text: str, digit: int) -> tuple[int, int] | None:
     """The first of the two check digits is the anchor."""
     s = digit - 2
-    if s < 0 or text[s:digit] not in IBAN_LANDS or (s and text[s - 1].isalnum()):
+    if s < 0 or not ("A" <= text[s] <= "Z" and "A" <= text[s + 1] <= "Z") or (s and text[s - 1].isalnum()):
         return None
-    e, got = s, []
+    e, got, length = s, [], IBAN_LENGTHS.get(text[s:digit])
     while e < len(text) and len(got) < 35:
         c = text[e]
         if c in DIGITS or "A" <= c <= "Z":
@@ -122,7 +129,7 @@ def _iban(text: str, digit: int) -> tuple[int, int] | None:
             break
         e += 1
     while len(got) >= 15:  # a following word in capitals may have been taken in
-        if got[2] in DIGITS and got[3] in DIGITS and len(got) <= 34:
+        if got[2] in DIGITS and got[3] in DIGITS and len(got) <= 34 and length in (None, len(got)):
             value = int("".join(str(int(c, 36)) for c in got[4:] + got[:4]))
             if value % 97 == 1 and not (e < len(text) and text[e].isalnum()):
                 return s, e

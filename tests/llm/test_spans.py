@@ -108,6 +108,26 @@ def test_added_pii_kinds():
     assert kinds_of(f, "a plain sentence, with 42 words.") == {}
 
 
+IBANS = [
+    "TR330006100519786457841326", "UA213223130000026007233566001", "AE070331234567890123456", "SA0380000000608010167519", "IL620108000000099999999",
+    "BR1800360305000010009795493C1", "EG380019000500000000263180002", "PK36SCBL0000001123456702", "NO9386011117947", "MT84MALT011000012345MTLCAST001S",
+]
+
+
+def test_ibans_of_all_countries():
+    f = pii.Finder()
+    # a country without a registered length
+    rest = next(f"QQ{k:02}1234567890123" for k in range(100) if int(f"1234567890123{26}{26}{k:02}") % 97 == 1)
+    for iban in (*IBANS, rest):
+        for x in (iban, " ".join(iban[k : k + 4] for k in range(0, len(iban), 4))):
+            assert kinds_of(f, f"to {x}, then")[x] == "iban"
+            assert "iban" not in kinds_of(f, f"to q{x}, then").values()
+        wrong = iban[:2] + f"{(int(iban[2:4]) + 1) % 100:02}" + iban[4:]
+        assert "iban" not in kinds_of(f, f"to {wrong}, then").values()
+    text = "TR330006100519786457841326 and NO93 8601 1117 947."
+    assert [text[s:e] for k, s, e in f(text) if k == "iban"] == ["TR330006100519786457841326", "NO93 8601 1117 947"]
+
+
 def test_random_strings_and_known_digests():
     f = secret_scan.Finder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     assert kinds_of(f, "key Zx9Qw3Lk7Pv2Rt8Ny5Bm1 end") == {"Zx9Qw3Lk7Pv2Rt8Ny5Bm1": "random"}
