@@ -22,15 +22,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest doc_id.
+    """One row of each group of near duplicates stays: of those with the smallest doc_id (nulls last) one.
 
-    Of rows that share a doc_id one stays; rows without a doc_id all stay.
+    Rows are judged by their texts, whatever they share a doc_id with; rows
+    without words are in no group and all stay.
     """
     ship_package(spark)
-    gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    with_id = left.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return with_id.unionByName(left.filter("doc_id is null"))
+    rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+    groups = minhash.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "__row")
+    first = rows.select("__row", order.alias("__order")).join(
+        groups.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group")), "__row"
+    )
+    kept = first.groupBy("__group").agg(F.min("__order").alias("__order")).select("__order.__row")
+    return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,6 +76,25 @@ def test_run_against_plain_python(spark, folder):
     assert any("<EMAIL>" in r["text"] for r in got)
 
 
+def test_near_duplicates_are_rows_not_ids(spark, folder):
+    path, _, _ = folder
+    r = random.Random(3)
+
+    def text():
+        return " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+
+    own, copy, near_one = [text() for _ in range(8)], text(), text()
+    rows = [(5, own[0]), (5, own[1]), (5, own[2]), (None, own[3]), (None, own[4])]  # clean, under shared ids
+    rows += [(5, copy), (2, copy), (2, copy), (None, copy)]  # one copy stays: id 2
+    rows += [(7, near_one + " end"), (5, near_one), (9, own[5]), (9, near_one)]  # id 5
+    rows += [(None, own[6]), (None, own[6]), (None, own[6])]  # copies without an id
+    rows += [(8, None), (8, ""), (None, " ")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(x) for x in C.near_duplicate_stage(spark, d, path).collect()]
+    want = [*rows[:5], (2, copy), (5, near_one), (9, own[5]), (None, own[6]), *rows[-3:]]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_stages_keep_columns_and_take_empty_tables(spark, folder):
     path, _, _ = folder
     docs = C.documents(spark, path).selectExpr("*", "1 AS kept", "'x' AS n_words", "2 AS component_id")
