@@ -16,9 +16,10 @@ from coffer.llm import (
     sharding,
     suffix_dedup,
     token_files,
+    top_k,
     toxicity,
 )
-from coffer.llm.common import documents
+from coffer.llm.common import documents, ship_package
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return top_k.top_k_of_every_50th(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,9 +92,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_decontamination,
         op10_token_files,
+        op11_top_k,
     )
 }
 ORACLE: dict[str, str] = {
     "op2_quality_rules": quality.oracle_sql(),
     "op9_decontamination": decontamination.oracle_sql(),
+    "op11_top_k": top_k.oracle_sql(),
 }
