@@ -11,6 +11,7 @@ from coffer.llm import (
     minhash,
     pieces,
     pii,
+    prefix_trie,
     quality,
     secret_scan,
     sharding,
@@ -79,6 +80,11 @@ def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k_of_every_50th(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -93,10 +99,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_decontamination,
         op10_token_files,
         op11_top_k,
+        op12_prefix_trie,
     )
 }
 ORACLE: dict[str, str] = {
     "op2_quality_rules": quality.oracle_sql(),
     "op9_decontamination": decontamination.oracle_sql(),
     "op11_top_k": top_k.oracle_sql(),
+    "op12_prefix_trie": prefix_trie.oracle_sql(),
 }

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from coffer.llm.common import saved, shuffle_partitions
 
 SCALE = 256
+#: The largest long.
+TOP = 2**63 - 1
 #: Dimensions of a vertical block, vectors of a packed block.
 DIMS, BLOCK = 16, 2048
 #: Queries of a group, candidates of a stripe.
@@ -154,6 +156,8 @@ class _Cell:
             sums = sums + q.parts[j][:, tile].T @ c.parts[j][:, cols]
         if len(cols) == 0:
             return
+        if not self.exact:
+            sums = np.minimum(np.maximum(sums, -TOP - 1), TOP)
         sums[own] = -np.inf
         kth = np.sort(sums, axis=1)[:, -self.k] if len(cols) >= self.k else np.full(len(least), -np.inf)
         at, ci = np.nonzero((sums >= np.maximum(least, kth)[:, None]) & (sums > -np.inf))
@@ -193,8 +197,7 @@ class _Cell:
 
     def result(self) -> pa.RecordBatch:
         q, rank = np.nonzero(self.score > -np.inf)
-        top = 2**63 - 1
-        scores = [max(-top - 1, min(top, int(x))) for x in self.score[q, rank]]
+        scores = [int(x) for x in self.score[q, rank]]
         side = self.side
         return pa.RecordBatch.from_arrays(
             [
@@ -243,7 +246,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     query's own vec_id are never its candidates. Ties go to the smaller
     vec_id, null ids last; fewer than k candidates give fewer rows. Repeated
     candidate rows each take a rank; each repeated query row has ranks of its
-    own. Scores beyond a long are given as the nearest long. Empty tables give
+    own. Scores beyond a long count as the nearest long. Empty tables give
     an empty result.
     """
     spark = vectors.sparkSession
