@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from coffer.llm import (
     decontamination,
     minhash,
+    phrases,
     pieces,
     pii,
     prefix_trie,
@@ -85,6 +86,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_token_files,
         op11_top_k,
         op12_prefix_trie,
+        op13_collocations,
     )
 }
 ORACLE: dict[str, str] = {
@@ -107,4 +113,5 @@ ORACLE: dict[str, str] = {
     "op9_decontamination": decontamination.oracle_sql(),
     "op11_top_k": top_k.oracle_sql(),
     "op12_prefix_trie": prefix_trie.oracle_sql(),
+    "op13_collocations": phrases.oracle_sql(),
 }
