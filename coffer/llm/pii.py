@@ -196,9 +196,11 @@ class Finder:
                     number = "".join(text[s:e] for s, e in runs)
                     if 12 <= len(number) <= 19 and luhn(number):
                         out.append(("card", at, end))
-                put("iban", _iban(text, at))
+                if at - 2 >= ends["iban"]:
+                    put("iban", _iban(text, at))
             elif word in SCHEMES:
-                put("url", _url(text, at, word))
+                if at >= ends["url"]:  # anchors inside a span are not looked at again
+                    put("url", _url(text, at, word))
             else:
                 put("account", _account(text, at, word))
         return out

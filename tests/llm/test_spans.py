@@ -167,3 +167,14 @@ def test_masking(spark):
     assert got == [(1, "mail <EMAIL> or <PHONE>.", 9), (2, None, 9), (3, "clean", 9)]
     s = secret_scan.mask_secrets(d.replace("clean", "password=abcdefgh"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     assert (3, "<ASSIGN>", 9) in [tuple(r) for r in s.collect()]
+
+
+@pytest.mark.parametrize("unit", ["www.", "http://", "ftp://x ", "+1+1", "@a", "a@", "1", "1 ", "1.", "DE12", "account 1", "www.!"])
+def test_pii_time_follows_the_length(unit):
+    """A megabyte of anchors takes seconds; with a second look at each span it took hours."""
+    import time
+
+    find = pii.Finder()
+    began = time.process_time()
+    find(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - began < 12
