@@ -234,11 +234,12 @@ def fit_words(positive: list[str], weight: np.ndarray, negative: list[str], land
     return dense @ (nystroem @ beta[:-1])
 
 
+#: Letters of a training example: longer words give several.
 MAX_WORD = 40
 
 
 def _tokens(batches):
-    """(word, context, toxic) once per document; longer words by their first ``MAX_WORD``
+    """(word, context, toxic) once per document; longer words in stretches of ``MAX_WORD``
     letters, the context a hash of the words on either side."""
     for b in batches:
         words, contexts, toxic = [], [], []
@@ -246,7 +247,11 @@ def _tokens(batches):
             cls, starts, ends, _ = _split([text or ""])
             name = _name(cls)
             seq = [name[s + 1 : e - 1] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-            found = {(w[:MAX_WORD], crc32(f"{x} {y}".encode())) for x, w, y in zip(["", *seq], seq, [*seq[1:], ""], strict=False)}
+            found = {
+                (w[k : k + MAX_WORD], crc32(f"{x} {y}".encode()))
+                for x, w, y in zip(["", *seq], seq, [*seq[1:], ""], strict=False)
+                for k in range(0, len(w), MAX_WORD)
+            }
             words += [w for w, _ in found]
             contexts += [c for _, c in found]
             toxic += [label] * len(found)
@@ -293,7 +298,8 @@ def fit(
 ) -> Model:
     """Fits the model on at most ``max_rows`` labelled documents that are not held out.
 
-    The sample is the documents with the smallest hashed doc_ids. After the
+    The sample is the documents with the smallest hashed doc_ids, a row of each
+    (that with the smallest hashed text). After the
     first fit, the highest words of clean documents join the negative
     examples (``rounds`` times). What the driver gets is bounded by the
     parameters: words and, for the calibration, a number and a word per
@@ -302,7 +308,10 @@ def fit(
     free = labels.filter(F.col("toxic").isin(0, 1)).filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     free = free.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     chosen = free.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # of rows that share a doc_id one is taken, so the sample is bounded whatever is repeated
+    one = F.min_by("text", F.xxhash64("text"))
+    texts = rows.groupBy("doc_id").agg(one.alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
     sample = saved(texts.repartition(shuffle_partitions(docs.sparkSession)), "toxicity-sample")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     none = Model(np.zeros(CLASSES**3, "f4"), 0.0, -30.0)
@@ -335,7 +344,7 @@ def fit(
         weights = fit_words(positive, np.sqrt([r["p"] for r in marks]), negative, landmarks).astype("f4")
         found = sample.mapInArrow(_measure(weights), "margin double, word string, toxic long").collect()  # max_rows at most
         if k < rounds - 1:
-            hard = sorted({r["word"][:MAX_WORD] for r in found if not r["toxic"] and r["margin"] > -0.5} - taken)
+            hard = sorted({r["word"] for r in found if not r["toxic"] and r["margin"] > -0.5} - taken)
             negative += hard
             taken.update(hard)
     slope, intercept = _logistic(np.array([r["margin"] for r in found]), np.array([r["toxic"] for r in found], "f8"))
@@ -346,6 +355,10 @@ def _measure(weights: np.ndarray):
     def run(batches):
         for b in batches:
             margins, words = best_words([t or "" for t in b.column("text").to_pylist()], weights)
+            for k, w in enumerate(words):
+                if w and len(w) > MAX_WORD:  # its highest stretch stands for it
+                    parts = (w[i : i + MAX_WORD] for i in range(0, len(w), MAX_WORD))
+                    words[k] = best_words([" ".join(parts)], weights)[1][0]
             yield pa.RecordBatch.from_arrays([pa.array(margins), pa.array(words), b.column("toxic")], ["margin", "word", "toxic"])
 
     return run

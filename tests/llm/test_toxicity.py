@@ -80,3 +80,24 @@ def test_kernel_and_margins_against_the_definition():
     assert np.allclose(got[[len(words), len(words) + 1, len(words) + 4]], want[0, 0]) and best[len(words)] == "idiot"
     assert got[len(words) + 3] == -1.0 and got[len(words) + 2] > 0.6
     assert want[1, 0] > 0.7 and want[2, 0] > 0.5 > want[4, 0]
+
+
+def test_repeated_ids_and_long_words_stay_bounded(spark, monkeypatch):
+    docs, labels = corpus(300)
+    d = spark.createDataFrame(docs + [(docs[1][0], f"{docs[1][1]} {'lala' * 200} {k}") for k in range(5000)], "doc_id long, text string").repartition(4)
+    lab = spark.createDataFrame([(i, y) for i, y in labels], "doc_id long, toxic int")
+    sizes = {}
+    saved = X.saved
+
+    def counted(df, name):
+        out = saved(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(X, "saved", counted)
+    model = X.fit(d, lab, max_rows=100)
+    assert 50 <= sizes["toxicity-sample"] <= 100
+    assert model.weights.any()
+    batch = X.pa.RecordBatch.from_pydict({"text": ["x" * 95 + " ok", None], "toxic": [0, 1]})
+    words = next(iter(X._tokens([batch]))).column("word").to_pylist()
+    assert sorted(map(len, words)) == [2, 15, 40]  # equal stretches in one place count once
