@@ -48,6 +48,24 @@ def utf8(text: str = "text"):
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
+def sliced(batches, rows: int):
+    """Record batches of at most ``rows`` rows, so that a worker's arrays are as small on any input."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+_KEPT: dict = {}
+
+
+def kept_in_worker(key, make):
+    """``make()``, kept for further tasks of this Python worker; only the latest such value stays."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 _SHIPPED: set[str] = set()
 
 

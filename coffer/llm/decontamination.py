@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coffer.llm.common import saved, utf8
+from coffer.llm.common import kept_in_worker, saved, utf8
 
 #: Words: after lower-casing A-Z, runs of digits, letters a-z and non-ASCII bytes.
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -145,15 +145,9 @@ class SuffixAutomaton:
                 spans.append((start, i + 1))
 
 
-_AUTOMATA: dict[str, SuffixAutomaton] = {}
-
-
 def _automaton(key: str, items: list[tuple[str, bytes]], window: int) -> SuffixAutomaton:
-    """The block's automaton, built once per Python worker; only the latest stays."""
-    if key not in _AUTOMATA:
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = SuffixAutomaton([(name, text.split(b" ")) for name, text in items], window)
-    return _AUTOMATA[key]
+    """The block's automaton, built once per Python worker."""
+    return kept_in_worker(key, lambda: SuffixAutomaton([(name, text.split(b" ")) for name, text in items], window))
 
 
 def _pieces(window: int, most: int):

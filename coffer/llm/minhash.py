@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coffer.llm.common import saved, utf8
+from coffer.llm.common import saved, sliced, utf8
 from coffer.llm.components import components
 from coffer.llm.shingles import mix, shingle_set, word_hashes
 
@@ -75,7 +75,7 @@ def _packed(m: np.ndarray) -> np.ndarray:
 
 def _sketch(batches):
     places = mix(np.arange(1, BANDS * ROWS + 1, dtype="u8") << np.uint64(20)).reshape(BANDS, ROWS)
-    for b in batches:
+    for b in sliced(batches, 1000):
         keys, sizes, all_minima, some = [], [], [], []
         for words in word_hashes(b.column("text").to_pylist()):
             s = shingle_set(words, SHINGLE_WORDS)
@@ -101,13 +101,22 @@ def _sketch(batches):
 
 
 def _sets(batches):
-    for b in batches:
-        sets = [shingle_set(w, SHINGLE_WORDS).tobytes() for w in word_hashes(b.column("text").to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+    """Each distinct set that a task sees, with its key."""
+    seen: set[bytes] = set()
+    for b in sliced(batches, 1000):
+        sets, keys = [], []
+        for words in word_hashes(b.column("text").to_pylist()):
+            s = shingle_set(words, SHINGLE_WORDS).tobytes()
+            key = xxhash.xxh3_128_digest(s)
+            if s and key not in seen:
+                seen.add(key)
+                keys.append(key)
+                sets.append(s)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "shingles"])
 
 
 def _fine(batches):
-    for b in batches:
+    for b in sliced(batches, 200):  # 16 KB of minima a row
         n = b.num_rows
         m = [minima(np.frombuffer(x, "u8"), BANDS * ROWS, FINE) for x in b.column("shingles").to_pylist()]
         packed = _packed(np.array(m, "u4").reshape(n, FINE))
@@ -117,7 +126,7 @@ def _fine(batches):
 
 
 def _confirm(batches):
-    for b in batches:
+    for b in sliced(batches, 500):
         keep = []
         for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
             x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
@@ -169,6 +178,16 @@ def _labelled(buckets: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def _same_doc(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of different texts that share a doc_id: a star for each such id."""
+    rows = members.filter("doc_id is not null and key is not null").select("doc_id", "key", F.xxhash64("key").alias("hash"))
+    ends = rows.groupBy("doc_id").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).filter("lo <> hi")
+    texts = rows.join(ends.select("doc_id"), "doc_id", "left_semi").select("doc_id", "key").distinct()
+    texts = saved(texts.join(classes.select("key", "id"), "key").select("doc_id", "id"), "minhash-texts")
+    centres = texts.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return texts.join(centres, "doc_id").filter("id <> a").select("a", F.col("id").alias("b"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per input row.
 
@@ -185,18 +204,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = saved(sketched, "minhash-sketches")
     members = sketches.select("doc_id", "key", "n_shingles")
     linked = sketches.filter("doc_id is not null and key is not null")
-    ids = linked.groupBy("key").agg(F.min("doc_id").alias("id"))
-    # one row per set: that of its smallest doc_id
-    classes = saved(
-        linked.join(ids.withColumnRenamed("id", "doc_id"), ["key", "doc_id"]).dropDuplicates(["key"]).withColumnRenamed("doc_id", "id"),
-        "minhash-classes",
-    )
+    # one row per set, with a number of its own and its smallest doc_id
+    firsts = linked.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    classes = linked.join(firsts, ["key", "doc_id"]).dropDuplicates(["key"]).withColumnRenamed("doc_id", "first")
+    classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "minhash-classes")
     rows = classes.select("id", F.explode("bands").alias("hash"))
     shared = rows.groupBy("hash").agg(F.min("id").alias("a"), F.max("id").alias("_last")).filter("a <> _last")
     buckets = saved(rows.join(shared.select("hash", "a"), "hash"), "minhash-buckets")
-    ids = buckets.select("id").distinct()
-    texts = cols.select(F.col("doc_id").alias("id"), utf8().alias("text")).join(ids.hint("merge"), "id", "left_semi")
-    sets = saved(texts.mapInArrow(_sets, "id long, shingles binary"), "minhash-sets")
+    wanted = classes.select("key", "id", "first").join(buckets.select("id").distinct(), "id", "left_semi")
+    ids = wanted.select(F.col("first").alias("doc_id")).distinct()
+    texts = cols.select("doc_id", utf8().alias("text")).join(ids.hint("merge"), "doc_id", "left_semi")
+    # a set comes from each task that has a copy of it: one row per class stays
+    sets = texts.select("text").mapInArrow(_sets, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    sets = saved(sets.join(wanted.select("key", "id"), "key").select("id", "shingles"), "minhash-sets")
     sketch = classes.select("id", "n_shingles", "planes")
 
     def side(s: str) -> DataFrame:
@@ -213,7 +233,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return pairs.join(side("a"), "a").join(side("b"), "b").filter(_plausible("pa", "pb", "na", "nb"))
 
     stars = buckets.filter("id <> a").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a"))
-    links = confirmed(plausible(stars))
+    links = confirmed(plausible(stars)).unionByName(_same_doc(members, classes))
     found = components(links)
 
     # classes of buckets that are still apart: the likeliest of a few centres, drawn anew each round
@@ -258,9 +278,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = links.unionByName(confirmed(rest.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))))
     found = components(links)
 
-    by_key = classes.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", F.coalesce("component", "id").alias("component")
+    by_key = classes.select("key", "id", "first").join(found.withColumnRenamed("node", "id"), "id", "left").select(
+        "key", "first", F.coalesce("component", "id").alias("component")
     )
+    smallest = by_key.groupBy("component").agg(F.min("first").alias("smallest"))
+    by_key = by_key.join(smallest, "component").select("key", F.col("smallest").alias("component"))
     with_doc, without = members.filter("doc_id is not null"), members.filter("doc_id is null")
     out = with_doc.join(by_key, "key", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")

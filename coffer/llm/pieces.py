@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coffer.llm.common import kept_in_worker
 from coffer.llm.shingles import mix
 
 #: Bytes of a piece that the table of edges has room for at first; longer pieces widen it where a text has some.
 MAX_PIECE = 16
 _UNIT = re.compile(rb" *[^ \n]+| +|\n")
-_GROUP = 1 << 21
+_GROUP = 1 << 19
 
 
 class Pieces:
@@ -70,9 +71,11 @@ class Pieces:
         self.pool = np.frombuffer(b"".join(self.surface), "u1")
         self.at = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
         self.widest = max(map(len, words), default=1)
-        self._trie(words)
+        self.words, self.next = words, None
 
-    def _trie(self, words: dict[bytes, int]) -> None:
+    def _trie(self) -> None:
+        """The dense trie, made for the first text: decoding needs none."""
+        words = self.words
         used = sorted({c for w in words for c in w})
         self.classes = np.zeros(256, "i4")  # class 0: bytes of no piece
         for k, c in enumerate(used):
@@ -96,6 +99,8 @@ class Pieces:
 
     def edges(self, data: np.ndarray, unit_end: np.ndarray) -> np.ndarray:
         """ids[i, l - 1]: the piece of the l bytes from i on, -1 if there is none; as wide as the widest."""
+        if self.next is None:
+            self._trie()
         n = len(data)
         out = np.full((n, min(MAX_PIECE, self.widest)), -1, self.ends.dtype)
         classes = self.classes[data]
@@ -221,15 +226,9 @@ def decode_ids(pieces: Pieces, ids: np.ndarray) -> bytes:
     return pieces.pool[np.repeat(pieces.at[ids] - (ends - n), n) + np.arange(ends[-1])].tobytes()
 
 
-_LOADED: dict[tuple[str, float], Pieces] = {}
-
-
 def load(model_file: str, temperature: float = 1.0) -> Pieces:
     """One vocabulary per Python worker."""
-    key = (model_file, temperature)
-    if key not in _LOADED:
-        _LOADED[key] = Pieces(model_file, temperature)
-    return _LOADED[key]
+    return kept_in_worker((model_file, temperature), lambda: Pieces(model_file, temperature))
 
 
 def encode(

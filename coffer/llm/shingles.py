@@ -14,7 +14,7 @@ _SPACE[[32, *range(9, 14)]] = True
 
 #: Base of the word polynomial (its inverse modulo 2**64 exists, as it is odd).
 _BASE = 0x9E3779B97F4A7C15 | 3
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 #: Factors of a shingle's words by place, and of its word count.
 _PLACES = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], "u8")
 

@@ -114,3 +114,32 @@ def test_estimate_follows_the_similarity(spark):
         j = len(np.intersect1d(base, other)) / len(np.union1d(base, other))
         equal = (M.minima(base) == M.minima(other)).mean()
         assert abs(equal - j) < 0.15
+
+
+def test_repeated_rows_make_no_more_pairs(spark, monkeypatch):
+    """2,000 copies of each of two linked rows are two sets and one pair."""
+    made = {}
+    saved = M.saved
+
+    def counted(df, name):
+        out = saved(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(M, "saved", counted)
+    words = [f"w{k}" for k in range(60)]
+    a, b = " ".join(words), " ".join([*words, "more"])
+    d = spark.createDataFrame([(1, a), (2, b)] * 2000 + [(3, "else where"), (9, a)], "doc_id long, text string").repartition(8)
+    got = M.near_duplicates(d).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 2000), (2, 1, 2000), (3, 3, 1), (9, 1, 1)]
+    assert max(made[x] for x in ("minhash-sets", "minhash-pairs", "minhash-links")) <= 2
+
+
+def test_texts_that_share_a_doc_id_are_one_document(spark):
+    r = random.Random(8)
+    text = lambda: " ".join(r.choice("abcdefghijklmnop") * r.randint(1, 5) for _ in range(40))
+    x, y, z = text(), text(), text()
+    rows = [(5, x), (5, y), (5, text()), (8, x + " end"), (2, y + " end"), (9, z), (7, z)] + [(20, text()) for _ in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(q["doc_id"], q["component_id"]) for q in M.near_duplicates(d).collect()}
+    assert got == {(5, 2), (8, 2), (2, 2), (9, 7), (7, 7), (20, 20)}
