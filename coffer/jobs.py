@@ -57,18 +57,24 @@ def _prices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def import_ledger(
-    spark: SparkSession, csv_path: str, transactions_path: str, as_of: str, rejects_path: str | None = None
+    spark: SparkSession,
+    csv_path: str,
+    transactions_path: str,
+    as_of: str,
+    rejects_path: str | None = None,
+    hash_form: str = "python",
 ) -> DataFrame:
     """Ledger export -> ``transactions``.
 
     Rows violating the stored constraints are written to ``rejects_path`` with
     their values as read, a ``reason``, and partitioned by the file they came
     from: importing a file again replaces its rejects. Both outputs read one
-    staged copy of the normalised batch. Returns the rejected rows' DataFrame
+    staged copy of the normalised batch. ``hash_form`` is the one of the
+    stored table's hashes (``normalize_ledger``). Returns the rejected rows' DataFrame
     (lazy; its staged input stays in the shared folder until that is cleared).
     """
     raw = read_ledger_csv(spark, csv_path)
-    batch = LG.normalize_ledger(raw, as_of)
+    batch = LG.normalize_ledger(raw, as_of, hash_form)
     stage = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
     batch.write.parquet(stage)
     batch = spark.read.schema(batch.schema).parquet(stage)

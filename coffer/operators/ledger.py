@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coffer.functions.names import column_or_null, normalize_headers, resolve_like
+from coffer.functions.numtext import with_python_texts
 from coffer.functions.parse import (
     datetime_from_fields,
     ledger_date_text,
@@ -172,18 +173,25 @@ def with_double_texts(df: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def dedup_hash(iso: Column, symbol: Column, qty: Column, price: Column, fee: Column, note: Column) -> Column:
-    """SHA-1 hex over ``iso|symbol|qty|price|fee|note``.
+    """SHA-1 hex over ``iso|symbol|qty|price|fee|note``, all given as texts.
 
-    Numbers enter as their ``double_text``, so that different numbers never
-    hash alike and every engine hashes the same bytes (float-to-text rendering
-    differs between engines); a missing part is the empty string.
+    A missing part is the empty string.
     """
     return F.sha1(F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in (iso, symbol, qty, price, fee, note)]))
 
 
-def normalize_ledger(raw: DataFrame, as_of: _dt.datetime | str) -> DataFrame:
+HASH_FORMS = {"python": with_python_texts, "exact": with_double_texts}
+
+
+def normalize_ledger(raw: DataFrame, as_of: _dt.datetime | str, hash_form: str = "python") -> DataFrame:
     """B12 ``row_to_tx`` for a whole export: canonical transaction rows.
 
+    ``hash_form`` chooses the texts of the numbers in ``dedup_hash``:
+    ``python`` gives the hashes of tables filled by the original importer, so
+    an export imported again finds its rows there; ``exact`` uses
+    ``double_text``, which needs no float-to-text rules. Both tell different
+    numbers apart; only ``python`` tells ``-0.0`` from ``0.0``.
+
     ``as_of`` replaces the clock for empty/unparseable dates; those rows are
     flagged in ``date_defaulted``. Price and fee stay DOUBLE here (they come
     from a division); ``to_store`` casts to the stored decimals. A ``_seq``
@@ -195,6 +203,8 @@ def normalize_ledger(raw: DataFrame, as_of: _dt.datetime | str) -> DataFrame:
     above that generator, so it is never pushed down as a copy of the parsing
     expressions.
     """
+    if hash_form not in HASH_FORMS:
+        raise ValueError(f"hash_form {hash_form!r} is none of {', '.join(HASH_FORMS)}")
     df = normalize_headers(raw)
     f = resolve_fields(df.columns)
     col = {k: column_or_null(v) for k, v in f.items()}
@@ -235,23 +245,25 @@ def normalize_ledger(raw: DataFrame, as_of: _dt.datetime | str) -> DataFrame:
         *seq,
         parsed.alias("__parsed"),
         "symbol",
-        # + 0.0: a signed zero (-abs(0.0)) becomes 0.0, as in a stored decimal.
-        (signed_qty(F.col("__amount"), F.col("__op")) + F.lit(0.0)).alias("qty"),
+        signed_qty(F.col("__amount"), F.col("__op")).alias("__signed"),
         "__ticker", "__cv", "__px", "__fee", "note",
     )
     p3 = p2.select(
         *seq,
         F.coalesce(F.col("__parsed"), F.lit(str(as_of)).cast(T.TimestampNTZType())).alias("__dt"),
         F.col("__parsed").isNull().alias("date_defaulted"),
-        "symbol", "qty",
-        unit_price(F.col("qty"), F.col("__ticker"), F.col("__cv"), F.col("__px")).alias("price_eur"),
+        "symbol",
+        "__signed",
+        # + 0.0: a signed zero (-abs(0.0)) becomes 0.0, as in a stored decimal.
+        (F.col("__signed") + F.lit(0.0)).alias("qty"),
+        unit_price(F.col("__signed"), F.col("__ticker"), F.col("__cv"), F.col("__px")).alias("price_eur"),
         "__fee", "note",
     )
     p4 = p3.select(
-        *seq, "__dt", "date_defaulted", "symbol", "qty", "price_eur",
+        *seq, "__dt", "date_defaulted", "symbol", "__signed", "qty", "price_eur",
         fee_eur(F.col("__fee"), F.col("price_eur")).alias("fee_eur"), "note",
     )
-    p5 = with_double_texts(p4, {"qty": "__qty", "price_eur": "__price", "fee_eur": "__fee"})
+    p5 = HASH_FORMS[hash_form](p4, {"__signed": "__qty", "price_eur": "__price", "fee_eur": "__fee"})
     row = p5.select(
         *seq,
         to_second(F.col("__dt")).alias("date_utc"),

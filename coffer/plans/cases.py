@@ -35,7 +35,17 @@ HARD_SQL = O.ledger_normalize(TD.SQL_LEDGER_HARD, LEDGER_AS_OF)
 
 
 def _hard(spark, sf):
-    return LG.normalize_ledger(TD.ledger_hard(spark, sf), LEDGER_AS_OF)
+    return LG.normalize_ledger(TD.ledger_hard(spark, sf), LEDGER_AS_OF, "exact")
+
+
+@register(
+    "ledger_hash_compat",
+    f"SELECT _seq, dedup_hash FROM ({O.ledger_normalize(TD.SQL_LEDGER_HARD, LEDGER_AS_OF, 'python')})",
+    "B11",
+)
+def q_ledger_hash_compat(spark, sf):
+    """The hashes that tables filled by the original importer hold."""
+    return LG.normalize_ledger(TD.ledger_hard(spark, sf), LEDGER_AS_OF).select("_seq", "dedup_hash")
 
 
 @register("ledger_dates", f"SELECT _seq, date_utc, date_defaulted FROM ({HARD_SQL})", "B5 B12 B16")

@@ -142,12 +142,12 @@ _NORM_SQL = O.ledger_normalize(TD.SQL_LEDGER_RAW, LEDGER_AS_OF)
 
 @register("ledger_normalize", _NORM_SQL, "B1 B2 B4 B5 B6 B7 B8 B9 B10 B11 B12 B16")
 def q_ledger_normalize(spark, sf):
-    return LG.normalize_ledger(TD.ledger_raw(spark, sf), LEDGER_AS_OF)
+    return LG.normalize_ledger(TD.ledger_raw(spark, sf), LEDGER_AS_OF, "exact")
 
 
 @register("ledger_import_distinct", O.ledger_import_distinct(_NORM_SQL), "B11")
 def q_ledger_import_distinct(spark, sf):
-    norm = LG.normalize_ledger(TD.ledger_raw(spark, sf), LEDGER_AS_OF)
+    norm = LG.normalize_ledger(TD.ledger_raw(spark, sf), LEDGER_AS_OF, "exact")
     d = LG.last_write_wins(norm.select("_seq", "dedup_hash", "date_utc", "symbol", "note"), ["dedup_hash"])
     return d.select("dedup_hash", "date_utc", "symbol", "note", "_seq", "n_rows")
 
@@ -294,7 +294,7 @@ _TX_SOURCE_SQL = f"SELECT * FROM ({_NORM_SQL}) WHERE date_utc >= TIMESTAMP '{_L_
     "I1 I2 I6 I10",
 )
 def q_upsert_transactions(spark, sf):
-    norm = LG.normalize_ledger(TD.ledger_raw(spark, sf), LEDGER_AS_OF)
+    norm = LG.normalize_ledger(TD.ledger_raw(spark, sf), LEDGER_AS_OF, "exact")
     target = norm.filter(F.col("date_utc") < F.lit(_L_OLD).cast("timestamp_ntz")).select(
         *_TX_COLS[:-1], F.col("date_utc").alias("created_at")
     )
@@ -412,7 +412,7 @@ def _domain_audit_sql(norm_sql: str = _NORM_SQL) -> str:
 
 @register("domain_audit", _domain_audit_sql(), "Q3")
 def q_domain_audit(spark, sf):
-    return QA.domain_audit(LG.normalize_ledger(TD.ledger_raw(spark, sf), LEDGER_AS_OF), _ledger_rules())
+    return QA.domain_audit(LG.normalize_ledger(TD.ledger_raw(spark, sf), LEDGER_AS_OF, "exact"), _ledger_rules())
 
 
 @register("null_audit", O.null_audit(O.positions_long(TX_L, PR_L), "qty"), "Q4 H4")

@@ -275,8 +275,11 @@ def _double_text(x: str) -> str:
     )
 
 
-def ledger_normalize(raw_sql: str, as_of: str) -> str:
-    """Hard-wired to the raw adapter's headers (the Spark side resolves them)."""
+def ledger_normalize(raw_sql: str, as_of: str, hash_form: str = "exact") -> str:
+    """Hard-wired to the raw adapter's headers (the Spark side resolves them).
+
+    DuckDB writes a double in Python's form (but for the sign of a NaN), so ``python`` is a cast."""
+    text = _double_text if hash_form == "exact" else lambda x: f"CASE WHEN isnan({x}) THEN 'nan' ELSE CAST({x} AS VARCHAR) END"
     return f"""
 WITH r AS ({raw_sql}),
 a AS (
@@ -292,7 +295,7 @@ a AS (
 b AS (
   SELECT *, coalesce(parsed, TIMESTAMP '{as_of}') AS dt,
     CASE WHEN op IN ('out', 'send', 'withdrawal', 'withdraw', 'sell') THEN -abs(q0)
-         WHEN op IN ('in', 'receive', 'deposit', 'buy') THEN abs(q0) ELSE q0 END + 0.0 AS qty
+         WHEN op IN ('in', 'receive', 'deposit', 'buy') THEN abs(q0) ELSE q0 END AS signed, signed + 0.0 AS qty
   FROM a),
 c AS (
   SELECT *, CASE WHEN ticker = 'EUR' AND qty <> 0 THEN abs(cv) / abs(qty) ELSE 0.0 END AS p0 FROM b),
@@ -306,9 +309,9 @@ SELECT _seq, date_trunc('second', dt) AS date_utc, symbol, qty, price_eur, fee_e
               THEN '.' || lpad(CAST(microsecond(dt) % 1000000 AS VARCHAR), 6, '0') ELSE '' END
       || '+00:00',
     symbol,
-    coalesce({_double_text('qty')}, ''),
-    coalesce({_double_text('price_eur')}, ''),
-    coalesce({_double_text('fee_eur')}, ''),
+    coalesce({text('signed')}, ''),
+    coalesce({text('price_eur')}, ''),
+    coalesce({text('fee_eur')}, ''),
     note)) AS dedup_hash,
   parsed IS NULL AS date_defaulted
 FROM e"""

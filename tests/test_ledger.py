@@ -1,6 +1,7 @@
 """Ledger normalisation: header resolution, parsing, signs, prices, hashes."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +190,30 @@ def test_readers_stored_tables(spark, tmp_path):
         assert (p.symbol, p.ts) == ("eth", dt.datetime(2024, 1, 1, 10, 0))
     finally:
         spark.conf.set("spark.sql.session.timeZone", prev)
+
+
+def test_hash_equals_that_of_the_original_importer(spark):
+    """Hashes over Python's own float texts, as stored tables hold them."""
+    header = ["date", "currency", "operation type", "amount", "fees", "hash", "countervalue ticker", "countervalue"]
+    rows = [
+        ("2021-03-02T11:25:33.000Z", "BTC", "out", "0.00001", "0.0005", "h1", "EUR", "0.3"),
+        ("2021-03-02T11:25:33.250Z", "eth", "in", "1e16", "2", "h2", "EUR", "3"),
+        ("2021-03-02 11:25:33", "sol", "out", "0", "1", "h3", "EUR", "10"),
+        ("2021-03-02 11:25:33", "ada", "fees", "3", "0.1", "", "usd", "10"),
+        ("2021-03-02T11:25:33+02:00", "dot", "in", "7", "0.1", "h5", "EUR", "1"),
+    ]
+    want = []
+    for _, sym, op, amount, fees, note, ticker, cv in rows:
+        qty = float(amount)
+        qty = -abs(qty) if op == "out" else abs(qty) if op == "in" else qty
+        price = abs(float(cv)) / abs(qty) if ticker == "EUR" and qty else 0.0
+        fee = float(fees) * price if price else 0.0
+        iso = {"btc": "11:25:33", "eth": "11:25:33.250000", "dot": "09:25:33"}.get(sym.lower(), "11:25:33")
+        want.append(hashlib.sha1(f"2021-03-02T{iso}+00:00|{sym.lower()}|{qty}|{price}|{fee}|{note}".encode()).hexdigest())
+    df = spark.createDataFrame(rows, ", ".join(f"`{h}` string" for h in header))
+    got = {r.symbol: r.dedup_hash for r in LG.normalize_ledger(df, AS_OF).collect()}
+    assert [got[r[1].lower()] for r in rows] == want
+    exact = {r.symbol: r.dedup_hash for r in LG.normalize_ledger(df, AS_OF, "exact").collect()}
+    assert not set(exact.values()) & set(want)
+    with pytest.raises(ValueError, match="hash_form"):
+        LG.normalize_ledger(df, AS_OF, "hex")
