@@ -115,8 +115,8 @@ _FORMAT_RES = [
     (rf"^{_N2}/{_N2}/{_Y}{_WS}{_N2}:{_N2}:{_N2}$", "$3 $2 $1 $4 $5 $6    "),
 ]
 
-# ISO-8601 fallback: extended or basic date, optional time with fraction,
-# optional UTC offset (only after a time).
+# ISO-8601 fallback: extended or basic date (week dates have become calendar
+# dates before), optional time with fraction, optional UTC offset (only after a time).
 _ISO_RE = (
     r"^(\d{4})-?(\d{2})-?(\d{2})"
     r"(?:[Tt ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?"
@@ -125,6 +125,27 @@ _ISO_RE = (
 _ISO_OUT = "$1 $2 $3 $4 $5 $6 $7 $8 $9 $10"
 
 
+# Week dates (extended or basic, day optional), before an optional time.
+_WEEK_RE = r"^(\d{4})(-?)W(\d{2})(?:\2(\d))?(|[Tt ].*)$"
+
+
+def week_to_calendar(s: Column) -> Column:
+    """A text that starts with an ISO week date (``2025-W38-7``, ``2025W387``,
+    ``2025-W38``) with the calendar date in its place; NULL if it is none.
+
+    Week 1 is the one with 4 January; a missing day is Monday; week 53 only in
+    years that have it.
+    """
+    parts = F.split(F.when(s.rlike(_WEEK_RE), F.regexp_replace(s, _WEEK_RE, "$1|$3|$4|$5")), "[|]", 4)
+    field = lambda i: F.element_at(parts, i)
+    year, week = field(1).cast("int"), field(2).cast("int")
+    day = F.when(field(3) == "", F.lit(1)).otherwise(field(3).cast("int"))
+    fourth = F.try_make_timestamp_ntz(year, F.lit(1), F.lit(4), F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)")).cast("date")
+    monday = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (week - 1) * 7)
+    ok = (year >= 1) & (week >= 1) & (day >= 1) & (day <= 7) & (F.weekofyear(F.date_add(monday, 3)) == week)
+    return F.when(ok, F.concat(F.date_add(monday, day - 1).cast("string"), field(4)))
+
+
 def ledger_datetime_fields(c: Column) -> Column:
     """The canonical field array of a ledger date text (NULL if no format
     matches). Every ``Z`` is removed first (upper case only).
@@ -136,8 +157,9 @@ def ledger_datetime_fields(c: Column) -> Column:
 
 
 def ledger_date_text(c: Column) -> Column:
-    """Stripped date text with every upper-case ``Z`` removed."""
-    return F.replace(strip_ws(c.cast(T.StringType())), F.lit("Z"), F.lit(""))
+    """Stripped date text with every upper-case ``Z`` removed, week dates as calendar dates."""
+    s = F.replace(strip_ws(c.cast(T.StringType())), F.lit("Z"), F.lit(""))
+    return F.when(F.substring(s, 5, 2).isin("W0", "W1", "W2", "W3", "W4", "W5", "-W"), week_to_calendar(s)).otherwise(s)
 
 
 def ledger_datetime_fields_text(s: Column) -> Column:
@@ -179,7 +201,7 @@ def datetime_from_fields(parts: Column) -> Column:
         F.rpad(F.substring(frac_txt, 1, 6), 6, "0").cast(T.IntegerType())
     )
     oh, om = num(9), num(10)
-    ok = (h < 24) & (mi < 60) & (sec < 60) & (oh < 24) & (om < 60)
+    ok = (y > 0) & (h < 24) & (mi < 60) & (sec < 60) & (oh < 24) & (om < 60)
     local = F.try_make_timestamp_ntz(y, mo, d, h, mi, sec.cast("decimal(8,6)"))
     sign = F.when(F.element_at(parts, 8) == "-", F.lit(-60000000)).otherwise(F.lit(60000000))
     shift = micros.cast("long") - sign.cast("long") * (oh * 60 + om).cast("long")

@@ -19,7 +19,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +63,7 @@ def import_ledger(
     as_of: str,
     rejects_path: str | None = None,
     hash_form: str = "python",
+    counts: dict[str, int] | None = None,
 ) -> DataFrame:
     """Ledger export -> ``transactions``.
 
@@ -70,23 +71,29 @@ def import_ledger(
     their values as read, a ``reason``, and partitioned by the file they came
     from: importing a file again replaces its rejects. Both outputs read one
     staged copy of the normalised batch. ``hash_form`` is the one of the
-    stored table's hashes (``normalize_ledger``). Returns the rejected rows' DataFrame
+    stored table's hashes (``normalize_ledger``). ``counts``, if given, gets
+    what the run did: ``read``, ``rejected``, ``inserted``, ``updated`` and
+    ``kept`` rows, observed by the jobs that write them. Returns the rejected rows' DataFrame
     (lazy; its staged input stays in the shared folder until that is cleared).
     """
     raw = read_ledger_csv(spark, csv_path)
     batch = LG.normalize_ledger(raw, as_of, hash_form)
     stage = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
-    batch.write.parquet(stage)
-    batch = spark.read.schema(batch.schema).parquet(stage)
     money = T.DecimalType(18, 8)
     rules = QA.domain_rules(
         not_null=["date_utc", "symbol", "qty", "price_eur", "fee_eur", "dedup_hash"],
         max_len={"symbol": LEN_SYMBOL, "exchange": LEN_EXCHANGE, "note": LEN_NOTE, "dedup_hash": LEN_DEDUP_HASH},
         decimals={"qty": money, "price_eur": money, "fee_eur": money},
     )
+    seen = Observation()
+    broken = F.greatest(*[F.coalesce(bad, F.lit(False)) for _, bad in rules])
+    batch.observe(seen, F.count(F.lit(1)).alias("read"), F.count_if(broken).alias("rejected")).write.parquet(stage)
+    batch = spark.read.schema(batch.schema).parquet(stage)
     valid, rejected = QA.domain_split(batch, rules)
     src = LG.to_store(valid).withColumn("month", F.trunc(F.to_date("date_utc"), "month"))
-    UP.write_upsert(src, transactions_path, TRANSACTIONS_KEY, TRANSACTIONS_UPDATE, "month", seq="_seq", now=as_of)
+    done = UP.write_upsert(src, transactions_path, TRANSACTIONS_KEY, TRANSACTIONS_UPDATE, "month", seq="_seq", now=as_of)
+    if counts is not None:
+        counts.update(seen.get | done)
     if rejects_path:
         out = rejected.withColumn("source", F.md5(F.col("_seq.file").cast("binary")))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(rejects_path)

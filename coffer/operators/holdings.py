@@ -70,6 +70,35 @@ def portfolio_totals(report: DataFrame) -> DataFrame:
     )
 
 
+def holdings_rollup(report: DataFrame) -> DataFrame:
+    """F9 in one pass: the report's rows and the grand total from one aggregate.
+
+    ``rollup`` gives each row its two grouping sets; ``level`` is their
+    ``grouping_id``: 0 for a symbol, 1 for the total (symbol NULL, no price).
+    A symbol that is NULL itself keeps level 0.
+    """
+    sums = [F.sum(c).cast(MONEY_SUM).alias(c) for c in ("investi", "valeur_actuelle", "pnl")]
+    rolled = report.rollup("symbol").agg(
+        F.grouping_id().cast("int").alias("level"),
+        F.max("qty").alias("qty"),
+        F.max("price_eur").alias("price_eur"),
+        F.count(F.lit(1)).alias("n_symbols"),
+        *sums,
+    )
+    row = F.col("level") == 0  # quantities of different symbols do not add up
+    return rolled.select(
+        "level",
+        "symbol",
+        F.when(row, F.col("qty")).alias("qty"),
+        "investi",
+        F.when(row, F.col("price_eur")).alias("price_eur"),
+        "valeur_actuelle",
+        "pnl",
+        pnl_pct(F.col("pnl"), F.col("investi")).alias("pnl_pct"),
+        "n_symbols",
+    )
+
+
 def portfolio_snapshot(report: DataFrame, ts) -> DataFrame:
     """I4 source rows: the report stamped with one run timestamp (cut to the
     second) in the stored types; ``pnl_pct`` as ``DECIMAL(10,4)``.

@@ -100,13 +100,18 @@ def days_present(prices: DataFrame, start: Column | None = None, end: Column | N
     """F4 (+D4): distinct UTC days with at least one quote, per symbol.
 
     The optional half-open range ``ts >= start_day and ts < end_day + 1`` is
-    written on ``ts`` itself so it reaches the parquet scan.
+    written on ``ts`` itself so it reaches the parquet scan; on a table stored
+    by UTC ``day`` it is put on that column too, so that other days' folders
+    are not opened.
     """
     p = prices
+    stored_days = "day" in prices.columns
     if start is not None:
         p = p.filter(F.col("ts") >= start.cast("timestamp_ntz"))
+        p = p.filter(F.col("day") >= start) if stored_days else p
     if end is not None:
         p = p.filter(F.col("ts") < F.date_add(end, 1).cast("timestamp_ntz"))
+        p = p.filter(F.col("day") <= end) if stored_days else p
     return p.select(_lower_symbol(p), utc_day("ts").alias("date")).distinct()
 
 

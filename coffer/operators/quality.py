@@ -113,3 +113,91 @@ def evolve_schema(target: DataFrame, incoming: DataFrame, stray: Sequence[str] =
     out = target.unionByName(incoming, allowMissingColumns=True)
     drop = [c for c in stray if c in out.columns and c not in incoming.columns]
     return out.drop(*drop)
+
+
+_INTS = (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType())
+_INT_DIGITS = {"byte": 3, "short": 5, "integer": 10, "long": 20}
+_DOUBLE_DIGITS = {"byte", "short", "integer"}  # whole numbers that a double holds exactly
+
+
+def _rank(dtype: T.DataType) -> str:
+    """The chain a type stands on: void, int, decimal, double, date, text, or other."""
+    if isinstance(dtype, T.NullType):
+        return "void"
+    if dtype in _INTS:
+        return "int"
+    if isinstance(dtype, T.DecimalType):
+        return "decimal"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return "double"
+    if isinstance(dtype, (T.DateType, T.TimestampNTZType)):
+        return "date"
+    return "text" if isinstance(dtype, T.StringType) else "other"
+
+
+def least_upper_type(a: T.DataType, b: T.DataType) -> tuple[T.DataType, bool]:
+    """The narrowest type above both, and whether it keeps every value of both.
+
+    void below all; whole numbers by width, below decimals, below double;
+    dates below UTC timestamps; text above everything. Decimals that need more
+    than 38 digits, and numbers that a double cannot hold exactly, become the
+    next type up and are told as not kept (double) or kept (text).
+    """
+    if a == b:
+        return a, True
+    ra, rb = _rank(a), _rank(b)
+    if "void" in (ra, rb):
+        return (b, True) if ra == "void" else (a, True)
+    ranks = {ra, rb}
+    if ranks == {"int"}:
+        return max(a, b, key=_INTS.index), True
+    if ranks <= {"int", "decimal"}:
+        wide = [t if isinstance(t, T.DecimalType) else T.DecimalType(_INT_DIGITS[t.typeName()], 0) for t in (a, b)]
+        scale, whole = max(t.scale for t in wide), max(t.precision - t.scale for t in wide)
+        return (T.DecimalType(scale + whole, scale), True) if scale + whole <= 38 else (T.StringType(), True)
+    if ranks <= {"int", "decimal", "double"}:
+        rest = [t for t in (a, b) if _rank(t) != "double"]
+        return T.DoubleType(), all(t.typeName() in _DOUBLE_DIGITS for t in rest)
+    if ranks == {"date"}:
+        return T.TimestampNTZType(), True
+    return T.StringType(), "other" not in ranks
+
+
+def reconcile_schemas(stored: T.StructType, incoming: T.StructType) -> list[tuple[str, str | None, str | None, T.DataType, str]]:
+    """Q7/Q1: (column, stored type, incoming type, common type, verdict) for each column of either side.
+
+    Verdicts: ``same``, ``added`` (incoming only), ``absent`` (stored only),
+    ``widened`` (values kept), ``lossy`` (a double cannot hold all values),
+    ``text`` (only text holds both). Names are matched as they are.
+    """
+    old, new = ({f.name: f.dataType for f in s.fields} for s in (stored, incoming))
+    out = []
+    for name in [*old, *(n for n in new if n not in old)]:
+        a, b = old.get(name), new.get(name)
+        if a is None or b is None:
+            common, verdict = (b, "added") if a is None else (a, "absent")
+        else:
+            common, kept = least_upper_type(a, b)
+            verdict = "same" if a == b else "text" if isinstance(common, T.StringType) else "widened" if kept else "lossy"
+        out.append((name, a and a.simpleString(), b and b.simpleString(), common, verdict))
+    return out
+
+
+def reconciled_union(stored: DataFrame, incoming: DataFrame, stray: Sequence[str] = ("index",)) -> tuple[DataFrame, DataFrame]:
+    """Q7: both sides' rows under one schema, and a report of what was done to each column.
+
+    Columns that one side lacks are NULL there; columns of different types
+    meet at their least upper type (``reconcile_schemas``). Stray columns as
+    in ``evolve_schema``. The report has column_name, stored_type,
+    incoming_type, common_type and verdict; nothing is read for it.
+    """
+    plan = [p for p in reconcile_schemas(stored.schema, incoming.schema) if p[0] not in stray or p[0] in incoming.columns]
+
+    def side(df: DataFrame, at: int) -> DataFrame:
+        return df.select(*[(F.col(f"`{p[0]}`") if p[at] is not None else F.lit(None)).cast(p[3]).alias(p[0]) for p in plan])
+
+    report = stored.sparkSession.createDataFrame(
+        [(name, a, b, common.simpleString(), verdict) for name, a, b, common, verdict in plan],
+        "column_name string, stored_type string, incoming_type string, common_type string, verdict string",
+    )
+    return side(stored, 1).unionByName(side(incoming, 2)), report

@@ -60,26 +60,32 @@ def running(
     sums: Mapping[str, str] | None = None,
     lasts: Mapping[str, str] | None = None,
     firsts: Mapping[str, str] | None = None,
+    before: Mapping[str, str] | None = None,
+    highs: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """``rows`` with running values within ``key`` by ``order``, a segment at a time.
 
     ``segment`` is a column that never falls along ``order`` within a key; no
-    task gets more than a (key, segment) together. ``sums``, ``lasts`` and
-    ``firsts`` map new columns to input columns: the sum so far (NULL as long
-    as all values are), the latest value that is not NULL up to the row, the
-    next one from the row on. ``rows`` is read twice: hand in something
+    task gets more than a (key, segment) together. ``sums``, ``lasts``,
+    ``firsts``, ``before`` and ``highs`` map new columns to input columns: the
+    sum so far (NULL as long as all values are), the latest value that is not
+    NULL up to the row, the next one from the row on, the latest one above the
+    row, the greatest one up to the row. ``rows`` is read twice: hand in something
     written or checkpointed where it is dear.
     """
     key, order = list(key), list(order)
-    sums, lasts, firsts = dict(sums or {}), dict(lasts or {}), dict(firsts or {})
+    sums, lasts, firsts, before = dict(sums or {}), dict(lasts or {}), dict(firsts or {}), dict(before or {})
+    highs = dict(highs or {})
     cell = Window.partitionBy(*key, segment).orderBy(*order)
     upto, after = cell.rowsBetween(Window.unboundedPreceding, 0), cell.rowsBetween(0, Window.unboundedFollowing)
+    above = cell.rowsBetween(Window.unboundedPreceding, -1)
     place = F.struct(*order)
     have = lambda c: F.when(F.col(c).isNotNull(), place)  # noqa: E731  max_by and min_by skip null places
     totals = rows.groupBy(*key, segment).agg(
         F.count(F.lit(1)).alias("__seg_n"),
         *[F.sum(c).alias(f"__seg_{to}") for to, c in sums.items()],
-        *[F.max_by(c, have(c)).alias(f"__seg_{to}") for to, c in lasts.items()],
+        *[F.max(c).alias(f"__seg_{to}") for to, c in highs.items()],
+        *[F.max_by(c, have(c)).alias(f"__seg_{to}") for to, c in (lasts | before).items()],
         *[F.min_by(c, have(c)).alias(f"__seg_{to}") for to, c in firsts.items()],
     )
     by_segment = Window.partitionBy(*key).orderBy(segment)
@@ -88,18 +94,22 @@ def running(
         *key,
         segment,
         *[F.sum(f"__seg_{to}").over(earlier).alias(f"__seg_{to}") for to in sums],
-        *[F.last(f"__seg_{to}", ignorenulls=True).over(earlier).alias(f"__seg_{to}") for to in lasts],
+        *[F.max(f"__seg_{to}").over(earlier).alias(f"__seg_{to}") for to in highs],
+        *[F.last(f"__seg_{to}", ignorenulls=True).over(earlier).alias(f"__seg_{to}") for to in lasts | before],
         *[F.first(f"__seg_{to}", ignorenulls=True).over(later).alias(f"__seg_{to}") for to in firsts],
     )
     local = rows.select(
         "*",
         *[F.sum(c).over(upto).alias(f"__loc_{to}") for to, c in sums.items()],
+        *[F.max(c).over(upto).alias(f"__loc_{to}") for to, c in highs.items()],
         *[F.last(c, ignorenulls=True).over(upto).alias(f"__loc_{to}") for to, c in lasts.items()],
         *[F.first(c, ignorenulls=True).over(after).alias(f"__loc_{to}") for to, c in firsts.items()],
+        *[F.last(c, ignorenulls=True).over(above).alias(f"__loc_{to}") for to, c in before.items()],
     )
     both = lambda to: F.coalesce(F.col(f"__loc_{to}") + F.col(f"__seg_{to}"), f"__loc_{to}", f"__seg_{to}")
     return local.join(carry, [*key, segment]).select(
         *[F.col(f"`{c}`") for c in rows.columns],
         *[both(to).alias(to) for to in sums],
-        *[F.coalesce(f"__loc_{to}", f"__seg_{to}").alias(to) for to in [*lasts, *firsts]],
+        *[F.greatest(f"__loc_{to}", f"__seg_{to}").alias(to) for to in highs],  # skips NULLs
+        *[F.coalesce(f"__loc_{to}", f"__seg_{to}").alias(to) for to in [*lasts, *firsts, *before]],
     )

@@ -18,7 +18,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from coffer.operators.ledger import last_write_wins
@@ -26,6 +26,7 @@ from coffer.session import ensure_checkpoint_dir
 from coffer.sources.readers import stored
 
 ACTION = "_action"
+ACTIONS = ("inserted", "updated", "kept")
 
 
 def upsert(
@@ -101,9 +102,12 @@ def write_upsert(
     partition_col: str,
     seq: str | None = None,
     now: Column | str | None = None,
-) -> None:
+) -> dict[str, int]:
     """Apply an upsert to a parquet table partitioned by ``partition_col``.
 
+    Returns how many rows were ``inserted``, ``updated`` and ``kept`` (in the
+    partitions that the batch touches), counted by the job that writes them.
+
     The source must carry ``partition_col`` (derived from a key, so a key
     never moves between partitions). The batch is written once to a staging
     folder under ``spark.checkpoint.dir`` and read from there, so its plan
@@ -123,14 +127,17 @@ def write_upsert(
     source.write.parquet(f"{stage}/batch")
     batch = spark.read.schema(source.schema).parquet(f"{stage}/batch")
     values = [r[0] for r in batch.select(partition_col).distinct().collect()]
+    counts = dict.fromkeys(ACTIONS, 0)
     if values:
         target = stored(spark, target_path)
         if target is None:
             merged = batch
             if now is not None and "created_at" not in merged.columns:
                 merged = merged.withColumn("created_at", F.lit(str(now)).cast("timestamp_ntz"))
+            merged = merged.withColumn(ACTION, F.lit("inserted"))
         else:
-            merged = upsert(target.filter(F.col(partition_col).isin(values)), batch, keys, update_cols, now=now).drop(ACTION)
+            merged = upsert(target.filter(F.col(partition_col).isin(values)), batch, keys, update_cols, now=now)
+        merged, seen = counted(merged)
         merged.write.partitionBy(partition_col).parquet(f"{stage}/merged")
         # Per-write option (not the session conf): only the staged partitions are
         # replaced, and concurrent jobs on the session are unaffected.
@@ -142,7 +149,80 @@ def write_upsert(
             .partitionBy(partition_col)
             .parquet(target_path)
         )
+        counts = seen.get
     remove_folder(spark, stage)
+    return counts
+
+
+def counted(merged: DataFrame) -> tuple[DataFrame, Observation]:
+    """``merged`` without its action column, and the actions' counts that the job that runs it observes."""
+    seen = Observation()
+    counts = [F.count_if(F.col(ACTION) == a).alias(a) for a in ACTIONS]
+    return merged.observe(seen, *counts).drop(ACTION), seen
+
+
+def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int, path: str | None = None) -> None:
+    """``df`` as catalog table ``table``, bucketed and sorted by its keys; ``path`` makes it external.
+
+    One shuffle by the keys puts each bucket in one file. A table that has
+    the same keys and bucket count is joined on them without being moved.
+    """
+    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def bucketed_upsert(
+    source: DataFrame,
+    table: str,
+    keys: Sequence[str],
+    update_cols: Sequence[str],
+    seq: str | None = None,
+    now: Column | str | None = None,
+) -> DataFrame:
+    """``upsert`` into a table of ``write_bucketed``: only the batch is exchanged.
+
+    The stored side of the join comes bucket by bucket from its files, however
+    large it is; the batch is shuffled to the same number of buckets. Returns
+    the new table with ``_action``; ``write_bucketed_upsert`` stores it.
+    """
+    return upsert(source.sparkSession.table(table), source, keys, update_cols, seq=seq, now=now)
+
+
+def write_bucketed_upsert(
+    source: DataFrame,
+    table: str,
+    keys: Sequence[str],
+    update_cols: Sequence[str],
+    buckets: int,
+    seq: str | None = None,
+    now: Column | str | None = None,
+    path: str | None = None,
+) -> dict[str, int]:
+    """Applies a batch to a bucketed table (made by the first batch); returns the counts of ``write_upsert``.
+
+    The new table is written whole beside the old one, takes its name last,
+    and then the old one goes. A run that was cut off between the two is
+    finished by the next one; running a batch again changes nothing.
+    ``path`` is a folder for the versions of an external table.
+    """
+    spark = source.sparkSession
+    exists = spark.catalog.tableExists
+    fresh = f"{table}__next"
+    if not exists(table) and exists(fresh):
+        spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
+    spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+    if exists(table):
+        merged = bucketed_upsert(source, table, keys, update_cols, seq, now)
+    else:
+        merged = last_write_wins(source, list(keys), seq).drop("n_rows", seq) if seq is not None else source
+        if now is not None and "created_at" not in merged.columns:
+            merged = merged.withColumn("created_at", F.lit(str(now)).cast("timestamp_ntz"))
+        merged = merged.withColumn(ACTION, F.lit("inserted"))
+    merged, seen = counted(merged)
+    write_bucketed(merged, fresh, keys, buckets, path and f"{path.rstrip('/')}/{uuid.uuid4().hex}")
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
+    return seen.get
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:

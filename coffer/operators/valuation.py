@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from coffer.functions.money import daily_buy, nz, value
 from coffer.functions.timecols import day_spine, local_day
 from coffer.operators.prices import last_quote
+from coffer.operators.segments import running
 from coffer.schemas import (
     MONEY,
     MONEY_SUM,
@@ -144,12 +145,19 @@ def daily_facts(
     )
 
 
+def date_segments(daily: DataFrame, days: int) -> DataFrame:
+    """``daily`` checkpointed, with ``__segment``: the number of its date range of ``days`` days."""
+    ranges = F.floor(F.datediff("date", F.lit("1970-01-01").cast("date")) / F.lit(days))
+    return daily.withColumn("__segment", ranges).checkpoint()
+
+
 def daily_valuation_long(
     tx: DataFrame,
     prices: DataFrame,
     coins: Sequence[str] | None = None,
     as_of: _dt.date | str | None = None,
     tz: str = SHEET_TZ,
+    segment_days: int | None = None,
 ) -> DataFrame:
     """Long daily valuation: one row per (date, symbol) of the dense calendar.
 
@@ -160,24 +168,40 @@ def daily_valuation_long(
                 quote back-filled (G4, G5); NULL if the symbol has no quote
     value       qty_cum * price, a missing price counting 0 (C6)
     gain        value - bought_cum (C7)
+
+    A symbol's window is one task. With ``segment_days`` it is cut into date
+    ranges of so many days, each a task of its own; sums and the nearest
+    quotes carry over (``segments.running``).
     """
     # Quotes before the first day must not be carried forward: rows off the
     # calendar go before the window sees them.
     daily = daily_facts(tx, prices, coins, as_of, tz).filter(F.col("on_spine") == 1)
-    w = Window.partitionBy("symbol").orderBy("date")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     bought = F.coalesce(F.col("buy_day"), F.lit(0).cast("decimal(38,16)"))
+    daily = daily.withColumns({"__bought": bought, "__qty": nz(F.col("qty_day"))})
+    if segment_days is None:
+        w = Window.partitionBy("symbol").orderBy("date")
+        run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        daily = daily.withColumns(
+            {
+                "__bought_cum": F.sum("__bought").over(run),
+                "__qty_cum": F.sum("__qty").over(run),
+                "__past": F.last("close", ignorenulls=True).over(run),
+                "__next": F.first("close", ignorenulls=True).over(ahead),
+            }
+        )
+    else:
+        daily = running(
+            date_segments(daily, segment_days), ["symbol"], "__segment", ["date"],
+            sums={"__bought_cum": "__bought", "__qty_cum": "__qty"}, lasts={"__past": "close"}, firsts={"__next": "close"},
+        )
     out = daily.select(
         "date",
         "symbol",
-        bought.cast(MONEY_SUM).alias("bought"),
-        F.sum(bought).over(run).cast(MONEY_SUM).alias("bought_cum"),
-        F.sum(nz(F.col("qty_day"))).over(run).cast(MONEY_SUM).alias("qty_cum"),
-        F.coalesce(
-            F.last("close", ignorenulls=True).over(run),
-            F.first("close", ignorenulls=True).over(ahead),
-        ).cast(MONEY).alias("price_eur"),
+        F.col("__bought").cast(MONEY_SUM).alias("bought"),
+        F.col("__bought_cum").cast(MONEY_SUM).alias("bought_cum"),
+        F.col("__qty_cum").cast(MONEY_SUM).alias("qty_cum"),
+        F.coalesce("__past", "__next").cast(MONEY).alias("price_eur"),
     )
     out = out.withColumn("value", value(F.col("qty_cum"), F.col("price_eur")))
     out = out.withColumn("gain", (F.col("value") - F.col("bought_cum")).cast(MONEY_SUM))

@@ -2,31 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from coffer.functions.parse import try_date
+from coffer.functions import names as NM
+from coffer.functions.parse import parse_ledger_datetime, try_date
 from coffer.operators import holdings as H
 from coffer.operators import ledger as LG
 from coffer.operators import positions as P
 from coffer.operators import prices as PX
 from coffer.operators import quality as QA
+from coffer.operators import upsert as UP
 from coffer.operators import valuation as V
 from coffer.plans import oracle as O
 from coffer.plans.catalog import (
     COINS,
     LEDGER_AS_OF,
     PR_L,
+    REGISTRY,
     TX_C,
     TX_L,
-    _QUOTES_C,
+    _L_NEW,
+    _L_OLD,
     _LONG_C,
+    _QUOTES_C,
+    _TX_COLS,
     _domain_audit_sql,
     _domain_rules_sql,
     _ledger_rules,
     q_daily_valuation_wide,
     register,
 )
-from coffer.schemas import COINS_MAP_DEFAULT, sheet_columns
+from coffer.schemas import COINS_MAP_DEFAULT, TRANSACTIONS_KEY, TRANSACTIONS_UPDATE, sheet_columns
+from coffer.session import ensure_checkpoint_dir
 from coffer.sources import payloads as PL
 from coffer.sources import testdata as TD
 
@@ -154,3 +163,109 @@ def q_ids_without_some_quotes(spark, sf):
     broken = F.regexp_replace(F.regexp_replace("json", "bitcoin.*", 'bitcoin":5}'), "ethereum.*", 'ethereum":{"eur":"no"}}')
     quotes = PL.parse_simple_price(landed.withColumn("json", broken))
     return PL.ids_without_quote(symbols, PL.parse_mapping(spark), quotes)
+
+
+@register("positions_segmented", O.positions_long(TX_L, PR_L), "E4 G3 G6")
+def q_positions_segmented(spark, sf):
+    """``positions_asof`` without a task per symbol."""
+    return P.positions_asof(TD.tx_lineitem(spark, sf), TD.prices_lineitem(spark, sf), segment_days=200)
+
+
+@register("valuation_segmented", O.daily_long(TX_L, PR_L), "F6 F7 G1 G2 G4 G5 E3")
+def q_valuation_segmented(spark, sf):
+    return V.daily_valuation_long(TD.tx_lineitem(spark, sf), TD.prices_lineitem(spark, sf), segment_days=200)
+
+
+@register(
+    "positions_at_quotes",
+    f"""WITH t AS (
+      SELECT lower(symbol) AS symbol, date_utc, sum(coalesce(qty, 0)) AS q FROM ({TX_L}) GROUP BY ALL),
+    c AS (SELECT symbol, date_utc, sum(q) OVER (PARTITION BY symbol ORDER BY date_utc) AS cum FROM t)
+    SELECT p.ts, p.symbol, p.price_eur, CAST(c.cum AS DECIMAL(28,8)) AS qty
+    FROM ({PR_L}) p ASOF LEFT JOIN c ON p.symbol = c.symbol AND p.ts >= c.date_utc""",
+    "E4",
+)
+def q_positions_at_quotes(spark, sf):
+    """The quantity held at the instant of each quote."""
+    return P.positions_at(TD.tx_lineitem(spark, sf), TD.prices_lineitem(spark, sf))
+
+
+@register(
+    "holdings_rollup",
+    f"""WITH h AS ({O.holdings(TX_L, PR_L)}),
+    t AS (
+      SELECT CAST(sum(investi) AS DECIMAL(28,8)) AS investi, CAST(sum(valeur_actuelle) AS DECIMAL(28,8)) AS valeur_actuelle,
+        CAST(sum(pnl) AS DECIMAL(28,8)) AS pnl, count(*) AS n_symbols FROM h)
+    SELECT 0 AS level, symbol, qty, investi, price_eur, valeur_actuelle, pnl, pnl_pct, CAST(1 AS BIGINT) AS n_symbols FROM h
+    UNION ALL
+    SELECT 1, NULL, NULL, investi, NULL, valeur_actuelle, pnl,
+      CASE WHEN CAST(investi AS DOUBLE) = 0 THEN 0.0 ELSE CAST(pnl AS DOUBLE) / CAST(investi AS DOUBLE) * 100.0 END, n_symbols
+    FROM t""",
+    "F5 F9",
+)
+def q_holdings_rollup(spark, sf):
+    return H.holdings_rollup(H.holdings_report(TD.tx_lineitem(spark, sf), TD.prices_lineitem(spark, sf)))
+
+
+@register(
+    "schema_reconcile",
+    """SELECT CAST(o_orderkey % 1000 AS BIGINT) AS k, CAST(o_totalprice AS DECIMAL(14,4)) AS price,
+         CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS day, CAST(o_custkey AS VARCHAR) AS ref, o_orderstatus AS status, NULL AS priority
+       FROM orders
+       UNION ALL SELECT CAST(o_orderkey AS BIGINT), CAST(o_totalprice AS DECIMAL(14,4)), CAST(o_orderdate AS TIMESTAMP),
+         o_orderpriority, NULL, o_orderpriority FROM orders""",
+    "Q7 Q1",
+)
+def q_schema_reconcile(spark, sf):
+    """Two loads of a table whose column types conflict."""
+    orders = TD.table(spark, sf, "orders")
+    stored = orders.select(
+        (F.col("o_orderkey") % 1000).cast("int").alias("k"),
+        F.col("o_totalprice").cast("decimal(12,2)").alias("price"),
+        F.col("o_orderdate").cast("date").alias("day"),
+        F.col("o_custkey").cast("long").alias("ref"),
+        F.col("o_orderstatus").alias("status"),
+    )
+    incoming = orders.select(
+        F.col("o_orderkey").cast("long").alias("k"),
+        F.col("o_totalprice").cast("decimal(14,4)").alias("price"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("day"),
+        F.col("o_orderpriority").alias("ref"),
+        F.col("o_orderpriority").alias("priority"),
+    )
+    return QA.reconciled_union(stored, incoming)[0]
+
+
+@register(
+    "safe_names_chained",
+    f"""WITH b AS (SELECT list(s_suppkey ORDER BY s_suppkey) AS ks, list({O.safe_base('name')} ORDER BY s_suppkey) AS bs FROM ({TD.SQL_CHAINED_NAMES})),
+    r AS (
+      SELECT ks, list_reduce(list_concat([[]::VARCHAR[]], list_transform(bs, lambda x: [x])), lambda acc, x: acc || [
+        list_filter(list_transform(range(1, len(acc) + 2), lambda i: CASE WHEN i = 1 THEN x[1] ELSE x[1] || '_' || CAST(i AS VARCHAR) END),
+                    lambda n: NOT list_contains(acc, n))[1]]) AS names FROM b)
+    SELECT unnest(ks) AS s_suppkey, unnest(names) AS safe_name FROM r""",
+    "B18",
+)
+def q_safe_names_chained(spark, sf):
+    """Names of which some look like the numbered copy of another."""
+    return NM.safe_names_col(TD.chained_names(spark, sf), "name", "s_suppkey").select("s_suppkey", "safe_name")
+
+
+@register("ledger_week_dates", TD.SQL_WEEK_DATES, "B5")
+def q_ledger_week_dates(spark, sf):
+    return TD.week_texts(spark, sf).select("o_orderkey", parse_ledger_datetime(F.col("text")).alias("date_utc"))
+
+
+@register("upsert_bucketed", REGISTRY["upsert_transactions"].oracle, "I1 I2 I6 I10")
+def q_upsert_bucketed(spark, sf):
+    """``upsert_transactions`` into a table stored in buckets of its key; both sides come from one staged parse."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bucketed-{uuid.uuid4().hex}"
+    norm = LG.normalize_ledger(TD.ledger_raw(spark, sf), LEDGER_AS_OF, "exact")
+    norm.write.parquet(f"{root}/parsed")
+    norm = spark.read.schema(norm.schema).parquet(f"{root}/parsed")
+    target = norm.filter(F.col("date_utc") < F.lit(_L_OLD).cast("timestamp_ntz"))
+    target = target.select(*_TX_COLS[:-1], F.col("date_utc").alias("created_at"))
+    name = f"transactions_{uuid.uuid4().hex}"
+    UP.write_bucketed(target, name, TRANSACTIONS_KEY, 8, f"{root}/table")
+    source = norm.filter(F.col("date_utc") >= F.lit(_L_NEW).cast("timestamp_ntz"))
+    return UP.bucketed_upsert(source, name, TRANSACTIONS_KEY, TRANSACTIONS_UPDATE, seq="_seq", now=LEDGER_AS_OF)

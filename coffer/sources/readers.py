@@ -8,7 +8,9 @@ the scan.
 from __future__ import annotations
 
 import csv
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ from pyspark.sql import types as T
 
 from coffer.functions.names import norm_key
 from coffer.functions.timecols import as_utc_ntz
+from coffer.sources.records import csv_records
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -34,16 +37,23 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def _headers(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
-    """(header line, files) for each different header line among the files of ``path``."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-        "value",
-    )
-    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
-    rows = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
-    return [(r["header"], r["files"]) for r in rows]  # as many paths as the file listing has
+    """(header line, files) for each different header line among the files of ``path``.
+
+    The files are those of the listing that Spark makes anyway; of each, the
+    first row is asked for, so only its first bytes are read.
+    """
+
+    def head(file: str) -> tuple[str, str | None]:
+        row = spark.read.option("lineSep", "\n").text(file).head()
+        return file, row and row["value"].rstrip("\r")
+
+    files = sorted(unquote(f) for f in spark.read.text(path).inputFiles())
+    by_header: dict[str, list[str]] = {}
+    with ThreadPoolExecutor(8) as pool:
+        for file, header in pool.map(head, files):
+            if header is not None:
+                by_header.setdefault(header, []).append(file)
+    return sorted(by_header.items())
 
 
 def _columns(header: str) -> list[tuple[int, str]]:
@@ -65,9 +75,10 @@ def read_ledger_csv(spark: SparkSession, path: str, seq: str = "_seq") -> DataFr
     allowed, in header names they are not.
 
     ``seq`` is the arrival order that last-write-wins needs: a struct of the
-    file's modification time, its path, and the row's place in it. A quoted
-    newline makes a file unsplittable, so one task reads one file; many files
-    read in parallel.
+    file's modification time, its path, and the row's place in it (split and
+    line). One file is read by as many tasks as it has splits, quoted newlines
+    or not (``records.csv_records``); its lines are staged once in the shared
+    folder. An opening quote that nothing closes is a character of its field.
     """
     groups = _headers(spark, path)
     if not groups:
@@ -76,24 +87,12 @@ def read_ledger_csv(spark: SparkSession, path: str, seq: str = "_seq") -> DataFr
     for header, files in groups:
         n = len(next(csv.reader([header.lstrip("\ufeff")]), []))
         schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n)])
-        data = (
-            spark.read.option("header", True)  # skipped; fields go by position
-            .option("enforceSchema", True)
-            .option("multiLine", True)
-            .option("escape", '"')
-            .option("encoding", "UTF-8")
-            .option("mode", "PERMISSIVE")
-            .schema(schema)
-            .csv(files)
-        )
+        options = {"multiLine": "true", "escape": '"', "mode": "PERMISSIVE"}
+        data = csv_records(spark, files).withColumn("fields", F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), options))
         frames.append(
             data.select(
-                *[F.col(f"c{i}").alias(norm_key(name) or " ") for i, name in _columns(header)],
-                F.struct(
-                    F.col("_metadata.file_modification_time").alias("time"),
-                    F.col("_metadata.file_path").alias("file"),
-                    F.monotonically_increasing_id().alias("line"),  # rises within a file
-                ).alias(seq),
+                *[F.col(f"fields.c{i}").alias(norm_key(name) or " ") for i, name in _columns(header)],
+                F.struct("time", "file", "block", "line").alias(seq),
             )
         )
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
@@ -112,6 +111,8 @@ def read_transactions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    """A3: ``symbol (lower), ts, price_eur`` from a stored price table."""
+    """A3: ``symbol (lower), ts, price_eur`` from a stored price table, and its
+    partition column ``day`` where it has one (bounds on it skip whole folders)."""
     df = spark.read.parquet(path)
-    return df.select(F.lower("symbol").alias("symbol"), as_utc_ntz(df, "ts").alias("ts"), "price_eur")
+    day = ["day"] if "day" in df.columns else []
+    return df.select(F.lower("symbol").alias("symbol"), as_utc_ntz(df, "ts").alias("ts"), "price_eur", *day)

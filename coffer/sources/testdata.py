@@ -328,3 +328,37 @@ SQL_TX_LINEITEM_TEXT = "SELECT date_utc, symbol, " + ", ".join(
 ) + f" FROM ({SQL_TX_LINEITEM})"
 
 SQL_TIED_PRICES = f"SELECT date_trunc('month', ts) AS ts, symbol, price_eur FROM ({SQL_PRICES_LINEITEM})"
+
+
+def week_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey and o_orderdate as an ISO week date, in the four forms there are."""
+    d = F.col("o_orderdate").cast("date")
+    year, week = F.extract(F.lit("YEAROFWEEK"), d).cast("string"), F.lpad(F.weekofyear(d).cast("string"), 2, "0")
+    day = (F.weekday(d) + 1).cast("string")
+    form = F.col("o_orderkey") % 4
+    text = (
+        F.when(form == 0, F.concat(year, F.lit("-W"), week, F.lit("-"), day))
+        .when(form == 1, F.concat(year, F.lit("W"), week, day, F.lit("T10:30:00Z")))
+        .when(form == 2, F.concat(year, F.lit("-W"), week))
+        .otherwise(F.concat(F.lit(" "), year, F.lit("W"), week, F.lit("T0930+0100")))
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+
+
+SQL_WEEK_DATES = """SELECT o_orderkey, CASE o_orderkey % 4
+      WHEN 0 THEN date_trunc('day', o_orderdate)
+      WHEN 1 THEN date_trunc('day', o_orderdate) + INTERVAL '10 hours 30 minutes'
+      WHEN 2 THEN date_trunc('week', o_orderdate)
+      ELSE date_trunc('week', o_orderdate) + INTERVAL '8 hours 30 minutes' END::TIMESTAMP AS date_utc
+    FROM orders"""
+
+
+def chained_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """s_suppkey and a name from its keys, some of which end like a numbered copy."""
+    n, k = F.col("s_nationkey").cast("string"), F.col("s_suppkey")
+    own = F.when(k % 4 == 0, F.concat(F.lit("_"), (k % 9 + 2).cast("string"))).otherwise(F.lit(""))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("n"), F.substring(n, 1, 1), own).alias("name"))
+
+
+SQL_CHAINED_NAMES = """SELECT s_suppkey, 'n' || CAST(s_nationkey AS VARCHAR)[1]
+      || CASE WHEN s_suppkey % 4 = 0 THEN '_' || CAST(s_suppkey % 9 + 2 AS VARCHAR) ELSE '' END AS name FROM supplier"""

@@ -25,10 +25,13 @@ def test_running_values_across_segments(spark):
     data = [(k, t, r.choice([None, r.randrange(100)])) for k in "ab" for t in range(200)]
     data += [("none", t, None) for t in range(30)]
     d = spark.createDataFrame(data, "k string, t int, v int").withColumn("seg", F.expr("t div 7"))
-    got = running(d, ["k"], "seg", ["t"], sums={"total": "v"}, lasts={"past": "v"}, firsts={"next": "v"}).collect()
+    got = running(d, ["k"], "seg", ["t"], sums={"total": "v"}, lasts={"past": "v"}, firsts={"next": "v"}, before={"above": "v"}, highs={"top": "v"}).collect()
     assert len(got) == len(data)
     for g in got:
         mine = [(t, v) for k, t, v in data if k == g["k"] and v is not None]
         past, rest = [v for t, v in mine if t <= g["t"]], [v for t, v in mine if t >= g["t"]]
         assert g["total"] == (sum(past) if past else None)
+        assert g["top"] == max((v for t, v in mine if t <= g["t"]), default=None)
+        over = [v for t, v in mine if t < g["t"]]
+        assert g["above"] == (over[-1] if over else None)
         assert g["past"] == (past[-1] if past else None) and g["next"] == (rest[0] if rest else None)
