@@ -137,13 +137,17 @@ def week_to_calendar(s: Column) -> Column:
     years that have it.
     """
     parts = F.split(F.when(s.rlike(_WEEK_RE), F.regexp_replace(s, _WEEK_RE, "$1|$3|$4|$5")), "[|]", 4)
-    field = lambda i: F.element_at(parts, i)
-    year, week = field(1).cast("int"), field(2).cast("int")
-    day = F.when(field(3) == "", F.lit(1)).otherwise(field(3).cast("int"))
-    fourth = F.try_make_timestamp_ntz(year, F.lit(1), F.lit(4), F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)")).cast("date")
-    monday = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (week - 1) * 7)
-    ok = (year >= 1) & (week >= 1) & (day >= 1) & (day <= 7) & (F.weekofyear(F.date_add(monday, 3)) == week)
-    return F.when(ok, F.concat(F.date_add(monday, day - 1).cast("string"), field(4)))
+
+    def calendar(p: Column) -> Column:
+        year, week = p[0].cast("int"), p[1].cast("int")
+        day = F.when(p[2] == "", F.lit(1)).otherwise(p[2].cast("int"))
+        fourth = F.try_make_timestamp_ntz(year, F.lit(1), F.lit(4), F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)")).cast("date")
+        monday = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (week - 1) * 7)
+        ok = (year >= 1) & (week >= 1) & (day >= 1) & (day <= 7) & (F.weekofyear(F.date_add(monday, 3)) == week)
+        return F.when(ok, F.concat(F.date_add(monday, day - 1).cast("string"), p[3]))
+
+    # as a lambda of the split fields, so that they are named once in the generated code
+    return F.get(F.transform(F.array(parts), calendar), 0)
 
 
 def ledger_datetime_fields(c: Column) -> Column:

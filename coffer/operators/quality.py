@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coffer.schemas import NULL_AUDIT_SAMPLE
+from coffer.session import ensure_checkpoint_dir
 
 
 def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -81,12 +82,14 @@ def null_audit(
     The count is an aggregate; the dates are the first ``sample`` NULL rows of
     each group (a window whose rank limit Spark applies before its shuffle),
     so no list grows with the data. Groups without NULLs have an empty text.
+    ``df`` is computed once, to its groups, dates and what is NULL.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     d = df if as_of is None else df.filter(F.col("date") <= as_of)
-    is_null = F.col(value_col).isNull()
-    counts = d.groupBy(group_col).agg(F.count_if(is_null).alias("n_null"))
+    d = d.select(group_col, "date", F.col(value_col).isNull().alias("__null")).checkpoint()
+    counts = d.groupBy(group_col).agg(F.count_if("__null").alias("n_null"))
     by_date = Window.partitionBy(group_col).orderBy("date")
-    first = d.filter(is_null).select(group_col, "date").withColumn("__k", F.row_number().over(by_date)).filter(F.col("__k") <= sample)
+    first = d.filter("__null").select(group_col, "date").withColumn("__k", F.row_number().over(by_date)).filter(F.col("__k") <= sample)
     texts = first.groupBy(group_col).agg(F.array_sort(F.collect_list("date")).alias("__dates"))  # ``sample`` dates at most
     return counts.join(texts, group_col, "left").select(
         group_col,

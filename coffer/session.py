@@ -42,6 +42,8 @@ def build_session(
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
         .config("spark.driver.memory", os.environ.get("COFFER_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # the JVM compiles no method above 8,000 bytes: longer generated ones run in its interpreter
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
