@@ -9,7 +9,8 @@ name its coin). The jobs:
   (the first copy) while it is inside the watermark, for consumers that want
   each point once;
 * ``daily_close_stream`` (K2) — last point per (symbol, UTC day) by arrival,
-  emitted in append mode once the watermark passes the day's end;
+  emitted in append mode once the watermark passes the day's end, or
+  (``start_daily_closes``) kept as a running table that late points correct;
 * ``BackfillSink`` (K1, K3) — ``foreachBatch`` sink: a point for a day that
   the table already covers is dropped (only missing days are filled), except
   that a point with an existing ``(ts, symbol)`` key overwrites its price (a
@@ -89,6 +90,42 @@ def daily_close_stream(points: DataFrame, delay: str | None = "1 day") -> DataFr
     )
 
 
+class ClosesSink:
+    """K2 ``foreachBatch`` target of the running closes: a parquet table keyed on
+    (symbol, date), partitioned by month. Each batch brings the closes that
+    changed, at most one per key; a replayed batch leaves the same table."""
+
+    def __init__(self, table_path: str):
+        self.table_path = table_path
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("month", F.trunc("date", "month"))
+        write_upsert(rows, self.table_path, ["symbol", "date"], ["ts", "price_eur"], "month")
+
+
+def start_daily_closes(
+    spark: SparkSession,
+    landing_dir: str,
+    table_path: str,
+    checkpoint: str | None = None,
+    delay: str = "7 days",
+    available_now: bool = True,
+):
+    """K2 as a running table: the close of each (symbol, UTC day) so far, corrected by late points.
+
+    Update mode with state per open day: a point that arrives after its day's
+    close was written, but inside the watermark ``delay``, changes the stored
+    row; the state of a day goes when the watermark passes its end, and points
+    that late are dropped. Started again on the same checkpoint, it goes on
+    where it stopped. Returns the ``StreamingQuery``.
+    """
+    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/closes-stream"
+    closes = daily_close_stream(chart_point_stream(spark, landing_dir), delay)
+    writer = closes.writeStream.outputMode("update").foreachBatch(ClosesSink(table_path)).option("checkpointLocation", ckpt)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()
+
+
 class BackfillSink:
     """K3 ``foreachBatch`` target: a parquet price table partitioned by UTC day.
 

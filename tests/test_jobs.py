@@ -57,7 +57,9 @@ def test_full_run(spark, tmp_path):
 
     before = {n: sorted(map(tuple, spark.read.parquet(p).drop("created_at").collect())) for n, p in
               [("tx", tx), ("px", px), ("snap", snap), ("sheet", sheet)]}
-    jobs.import_ledger(spark, str(csv), tx, AS_OF)
+    counts: dict[str, int] = {}
+    jobs.import_ledger(spark, str(csv), tx, AS_OF, counts=counts)
+    assert counts == {"read": 5, "rejected": 1, "inserted": 0, "updated": 3, "kept": 0}
     jobs.backfill_prices(spark, tx, px, landing, AS_OF)
     jobs.snapshot_report(spark, tx, px, snap, "2024-01-05 12:00:00")
     jobs.build_sheet(spark, tx, px, sheet, AS_OF, coins=["btc", "eth"])

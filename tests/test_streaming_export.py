@@ -54,6 +54,36 @@ def test_daily_close_stream(spark, tmp_path):
     assert ("btc", "2024-01-01", 11.0) in got
 
 
+def test_running_closes_equal_the_batch(spark, tmp_path):
+    """Stopped and started again between files, with late points; the table is that of one batch."""
+    from pyspark.sql import functions as F
+
+    from coffer.operators.prices import daily_close_utc
+    from coffer.sources.payloads import parse_market_chart
+
+    landing, table, ckpt = (str(tmp_path / n) for n in ("landing", "closes", "ckpt"))
+    files = [
+        ("btc", [[MS + H, 10.0], [MS + 5 * H, 11.0], [MS + D + H, 20.0]]),
+        ("btc", [[MS + 7 * H, 12.0]]),  # corrects a close that is written already
+        ("eth", [[MS + 3 * D, 1.0]]),
+        ("btc", [[MS + 3 * D, 40.0], [MS + D + 2 * H, 21.0]]),  # late by two days, inside the watermark
+    ]
+    for k, (symbol, points) in enumerate(files):
+        _land(landing, symbol, f"{k}.json", points)
+        ST.start_daily_closes(spark, landing, table, checkpoint=ckpt).awaitTermination()
+        if k == 0:
+            first = {str(r.date): float(r.price_eur) for r in spark.read.parquet(table).collect()}
+            assert first == {"2024-01-01": 11.0, "2024-01-02": 20.0}
+    raw = spark.read.option("wholetext", True).text(landing).select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"symbol=([^/]+)/", 1).alias("symbol"),
+        F.unix_micros(F.col("_metadata.file_modification_time")).alias("_seq"),
+        F.col("value").alias("json"),
+    )
+    want = daily_close_utc(parse_market_chart(raw), ["_seq", "pos"]).select("symbol", "date", "ts", "price_eur").collect()
+    got = spark.read.parquet(table).select("symbol", "date", "ts", "price_eur").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 4
+
+
 def test_exports(spark, tmp_path):
     a = spark.createDataFrame([(1, "x")], "k int, v string")
     tables = {"Sheet 1": a, "sheet-1": a, "Other": a}
