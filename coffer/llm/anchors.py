@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coffer.llm.common import tidied
+
 Span = tuple[str, int, int]
 
 
@@ -25,6 +27,7 @@ def span_report(docs: DataFrame, find: Callable, base: Sequence[str], kinds: Seq
     """
     extra = [k for k in kinds if k not in base]
 
+    @tidied
     def run(batches):
         spans_of = find()
         for b in batches:
@@ -61,6 +64,7 @@ def masked(docs: DataFrame, find: Callable) -> DataFrame:
     Overlapping spans become one, named after the first.
     """
 
+    @tidied
     def run(batches):
         spans_of = find()
         for b in batches:

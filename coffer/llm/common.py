@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
+from functools import wraps
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ from coffer.session import ensure_checkpoint_dir
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+#: Bytes of a batch between Spark and a Python worker; a session's own setting stays.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +61,27 @@ def sliced(batches, rows: int):
             yield b.slice(at, rows)
 
 
+def tidied(task):
+    """A mapInArrow function whose worker hands freed memory back to the system at the end of each task.
+
+    Workers live on, idle or in later stages, beside the executor's heap; what
+    their allocators keep would count against the executor all the time.
+    """
+
+    @wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 _KEPT: dict = {}
 
 
@@ -70,12 +97,14 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers, once per application.
+    """Makes this package importable in Python workers, once per application, and bounds Arrow batches.
 
     ``spark-submit --py-files`` does the same; sessions that were made without
     it get a zip of the package through Spark's own file server.
     """
     sc = spark.sparkContext
+    if spark.conf.get(ARROW_BYTES) == "67108864b":  # the default: 64 MB a batch, on both sides of each worker
+        spark.conf.set(ARROW_BYTES, "8m")
     if sc.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parents[1]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coffer.llm.common import kept_in_worker, saved, utf8
+from coffer.llm.common import kept_in_worker, saved, tidied, utf8
 
 #: Words: after lower-casing A-Z, runs of digits, letters a-z and non-ASCII bytes.
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -219,6 +219,7 @@ def _matched(docs: DataFrame, benchmark: DataFrame, window: int, max_block_words
     if len(blocks) == 1:
         key, items = uuid.uuid4().hex, blocks[0]()
 
+        @tidied
         def run(batches):
             sam = _automaton(key, items, window)
             for b in batches:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coffer.llm.common import saved, sliced, utf8
+from coffer.llm.common import saved, sliced, tidied, utf8
 from coffer.llm.components import components
 from coffer.llm.shingles import mix, shingle_set, word_hashes
 
@@ -73,6 +73,7 @@ def _packed(m: np.ndarray) -> np.ndarray:
     return np.packbits(planes, axis=2, bitorder="little").reshape(n, -1).view("<i8")
 
 
+@tidied
 def _sketch(batches):
     places = mix(np.arange(1, BANDS * ROWS + 1, dtype="u8") << np.uint64(20)).reshape(BANDS, ROWS)
     for b in sliced(batches, 1000):
@@ -100,6 +101,7 @@ def _sketch(batches):
         )
 
 
+@tidied
 def _sets(batches):
     """Each distinct set that a task sees, with its key."""
     seen: set[bytes] = set()
@@ -115,6 +117,7 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "shingles"])
 
 
+@tidied
 def _fine(batches):
     for b in sliced(batches, 200):  # 16 KB of minima a row
         n = b.num_rows
@@ -125,6 +128,7 @@ def _fine(batches):
         yield pa.RecordBatch.from_arrays([b.column("id"), planes], ["id", "planes"])
 
 
+@tidied
 def _confirm(batches):
     for b in sliced(batches, 500):
         keep = []
@@ -214,18 +218,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = classes.select("key", "id", "first").join(buckets.select("id").distinct(), "id", "left_semi")
     ids = wanted.select(F.col("first").alias("doc_id")).distinct()
     texts = cols.select("doc_id", utf8().alias("text")).join(ids.hint("merge"), "doc_id", "left_semi")
-    # a set comes from each task that has a copy of it: one row per class stays
-    sets = texts.select("text").mapInArrow(_sets, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
-    sets = saved(sets.join(wanted.select("key", "id"), "key").select("id", "shingles"), "minhash-sets")
+    sets = saved(texts.select("text").mapInArrow(_sets, "key binary, shingles binary"), "minhash-sets")
+    # copies of a row meet in one task, unless their partition was split: then a set is there more than once
+    if sets.groupBy("key").count().filter("count > 1").head(1):
+        sets = saved(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "minhash-sets")
+    keys = saved(wanted.select("key", "id"), "minhash-keys")
     sketch = classes.select("id", "n_shingles", "planes")
 
     def side(s: str) -> DataFrame:
         return sketch.select(F.col("id").alias(s), F.col("n_shingles").alias("n" + s), F.col("planes").alias("p" + s))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = saved(pairs.select("a", "b").distinct(), "minhash-pairs")
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(
-            sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b"
+        pairs = pairs.select("a", "b").distinct()
+        for s, k in (("a", "ka"), ("b", "kb")):
+            pairs = pairs.join(keys.select(F.col("id").alias(s), F.col("key").alias(k)), s)
+        pairs = saved(pairs, "minhash-pairs")
+        both = pairs.join(sets.select(F.col("key").alias("ka"), F.col("shingles").alias("x")), "ka").join(
+            sets.select(F.col("key").alias("kb"), F.col("shingles").alias("y")), "kb"
         )
         return saved(both.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long"), "minhash-links")
 
@@ -261,7 +270,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ends = left.groupBy("hash").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi")
     left = saved(left.join(ends.select("hash"), "hash"), "minhash-open")
     # a finer signature tells families of moderate similarity apart inside the join
-    finer = sets.join(left.select("id").distinct(), "id", "left_semi").mapInArrow(_fine, "id long, planes array<bigint>")
+    some = keys.join(left.select("id").distinct(), "id", "left_semi")
+    finer = sets.join(some, "key").select("id", "shingles").mapInArrow(_fine, "id long, planes array<bigint>")
     finer = saved(finer.withColumnRenamed("planes", "fine"), "minhash-fine")
     open_rows = left.join(finer, "id").join(classes.select("id", "n_shingles", "planes", "bands"), "id")
 

@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import chain, count, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coffer.llm.common import kept_in_worker
+from coffer.llm.common import kept_in_worker, tidied
 from coffer.llm.shingles import mix
 
 #: Bytes of a piece that the table of edges has room for at first; longer pieces widen it where a text has some.
 MAX_PIECE = 16
 _UNIT = re.compile(rb" *[^ \n]+| +|\n")
 _GROUP = 1 << 19
+#: Units of more bytes (base64, scripts without blanks) are filtered one by one, in windows of so many bytes.
+_LONG, _WINDOW = 1 << 12, 1 << 16
 
 
 class Pieces:
@@ -91,11 +94,15 @@ class Pieces:
                     ends.append(-1)
                 v = nodes[v][c]
             ends[v] = i
-        self.next = np.zeros((len(nodes), len(used) + 1), "i4")  # 0: none, as nothing leads to the root
+        # nodes that go on come first, so that the others share one empty row
+        order = sorted(range(len(nodes)), key=lambda v: (not nodes[v], v))
+        place = {v: k for k, v in enumerate(order)}
+        self.inner = sum(map(bool, nodes))
+        self.next = np.zeros((self.inner + 1, len(used) + 1), "i4")  # 0: none, as nothing leads to the root
         for v, d in enumerate(nodes):
             for c, u in d.items():
-                self.next[v, self.classes[c]] = u
-        self.ends = np.array(ends, "i2" if len(self.surface) < 1 << 15 else "i4")
+                self.next[place[v], self.classes[c]] = place[u]
+        self.ends = np.array([ends[v] for v in order], "i2" if len(self.surface) < 1 << 15 else "i4")
 
     def edges(self, data: np.ndarray, unit_end: np.ndarray) -> np.ndarray:
         """ids[i, l - 1]: the piece of the l bytes from i on, -1 if there is none; as wide as the widest."""
@@ -107,7 +114,7 @@ class Pieces:
         active = np.arange(n)
         node = np.zeros(n, "i4")
         for k in range(self.widest):
-            node = self.next[node, classes[active + k]]
+            node = self.next[np.minimum(node, self.inner), classes[active + k]]
             inside = node > 0
             active, node = active[inside], node[inside]
             if k == out.shape[1] and len(active):
@@ -129,6 +136,9 @@ class Pieces:
         return np.ascontiguousarray(out[:, :widest])
 
 
+_UP, _SMALL = 2.0**600, 2.0**-500
+
+
 class Sampler:
     def __init__(self, pieces: Pieces, seed: int):
         self.pieces, self.seed = pieces, np.uint64(seed & 0xFFFFFFFFFFFFFFFF)
@@ -193,6 +203,104 @@ class Sampler:
             out[ends[a] - 1 - k] = piece
         return out, n
 
+    def _edges_of(self, data: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, width and piece of the edges that start at lo (a character's first byte) up to hi, by start."""
+        part = data[lo : min(len(data), hi + self.pieces.widest)]
+        ids = self.pieces.edges(part, np.full(len(part), len(part)))[: hi - lo]
+        start, width = np.nonzero(ids >= 0)
+        return start + lo, width + 1, ids[start, width]
+
+    def _long(self, unit: bytes, keys: list[int]) -> list[np.ndarray]:
+        """Piece ids of a long unit for each random key.
+
+        As ``_filter`` and ``_draw``, but byte by byte in windows: only the
+        sum at each byte is kept. Sums are scaled up by _UP whenever they get
+        small; ``scale`` counts how often, so that shares are exact.
+        """
+        data = np.frombuffer(unit, "u1")
+        n, widest = len(data), self.pieces.widest
+        weights = np.exp(self.pieces.logs)
+        cuts = [0]
+        while cuts[-1] < n:  # windows end before a character
+            end = min(n, cuts[-1] + _WINDOW)
+            while end < n and data[end] & 0xC0 == 0x80:
+                end += 1
+            cuts.append(end)
+        sums, scale, ups = array("d", bytes(8 * (n + 1))), array("i", bytes(4 * (n + 1))), 0
+        sums[0] = 1.0
+        for lo, hi in pairwise(cuts):
+            start, width, piece = self._edges_of(data, lo, hi)
+            first = np.searchsorted(start, np.arange(lo, hi + 1)).tolist()
+            width, weight = width.tolist(), weights[piece].tolist()
+            for i in range(lo, hi):
+                here = sums[i]
+                if 0 < here < _SMALL:
+                    ups += 1
+                    for j in range(i, min(n, i + widest) + 1):
+                        sums[j] *= _UP
+                    here = sums[i]
+                scale[i] = ups
+                if here:
+                    for k in range(first[i - lo], first[i - lo + 1]):
+                        sums[i + width[k]] += here * weight[k]
+        scale[n] = ups
+        drawn: list[list[int]] = [[] for _ in keys]
+        left = [n] * len(keys)
+        for lo, hi in reversed(list(pairwise(cuts))):
+            near = max(0, lo - widest)
+            while near and data[near] & 0xC0 == 0x80:
+                near -= 1
+            start, width, piece = self._edges_of(data, near, hi)
+            end = start + width
+            by_end = np.lexsort((width, end))
+            by_end = by_end[(end[by_end] > lo) & (end[by_end] <= hi)]
+            first = np.searchsorted(end[by_end], np.arange(lo + 1, hi + 2)).tolist()
+            width, piece = width[by_end], piece[by_end]
+            width, weight, piece = width.tolist(), weights[piece].tolist(), piece.tolist()
+            for d, key in enumerate(keys):
+                places = np.arange(lo + 1, hi + 1, dtype="u8")
+                r = ((mix(np.uint64(key) + places) >> np.uint64(40)).astype("f8") / (1 << 24)).tolist()
+                j, out = left[d], drawn[d]
+                while j > lo:
+                    want, seen, chosen = r[j - lo - 1] * sums[j], 0.0, -1
+                    for k in range(first[j - lo - 1], first[j - lo]):
+                        i = j - width[k]
+                        if sums[i]:
+                            chosen = k  # the widest edge takes what rounding leaves
+                            seen += sums[i] * weight[k] * _UP ** (scale[j] - scale[i])
+                            if seen > want:
+                                break
+                    out.append(piece[chosen])
+                    j -= width[chosen]
+                left[d] = j
+        return [np.array(x[::-1], "i4") for x in drawn]
+
+    def _units(self, units: list[bytes], which: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all unit occurrences in order, and how many each has."""
+        long = np.array([len(u) > _LONG for u in units])
+        if not long.any():
+            return self._draw(which, keys, self._filter(units))
+        n = np.zeros(len(which), "i8")
+        short = ~long[which]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        if short.any():
+            number = np.cumsum(~long) - 1
+            out, n[short] = self._draw(
+                number[which[short]], keys[short], self._filter([u for u, x in zip(units, long, strict=True) if not x])
+            )
+            found.append((np.flatnonzero(short), out))
+        for u in np.flatnonzero(long):
+            at = np.flatnonzero(which == u)
+            drawn = self._long(units[u], keys[at].tolist())
+            n[at] = [len(x) for x in drawn]
+            found.append((at, np.concatenate(drawn)))
+        begin = np.cumsum(n) - n
+        whole = np.empty(int(n.sum()), "i4")
+        for at, out in found:
+            here = n[at]
+            whole[np.repeat(begin[at] - (np.cumsum(here) - here), here) + np.arange(len(out))] = out
+        return whole, n
+
     def encode(self, texts: list[bytes], keys: np.ndarray) -> Iterator[np.ndarray]:
         """Piece ids of each text; ``keys`` are the rows' 64-bit keys."""
         k = 0
@@ -210,7 +318,7 @@ class Sampler:
                 place = np.arange(len(which)) - np.repeat(first, counts)
                 row = mix(keys[k:stop].astype("u8") ^ self.seed)
                 key = mix(np.repeat(row, counts) + place.astype("u8") * np.uint64(0x9E3779B97F4A7C15))
-                out, n = self._draw(which, key, self._filter(list(number)))
+                out, n = self._units(list(number), which, key)
                 ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum(counts)]
             else:
                 out, ends = np.empty(0, "i4"), np.zeros(stop - k, "i8")
@@ -245,6 +353,7 @@ def encode(
     names = [c for c in docs.columns if c.lower() not in added]
     keyed = docs.select(*cols, F.xxhash64(F.col(key)).alias("__key"))
 
+    @tidied
     def run(batches):
         sampler = Sampler(load(model_file, temperature), seed)
         for big in batches:
@@ -277,6 +386,7 @@ def decode(encoded: DataFrame, model_file: str, out: str = "decoded") -> DataFra
     """
     names = [c for c in encoded.columns if c != out]
 
+    @tidied
     def run(batches):
         pieces = load(model_file)
         for b in batches:

@@ -33,6 +33,8 @@ TOP = 2**63 - 1
 DIMS, BLOCK = 16, 2048
 #: Queries of a group, candidates of a stripe.
 GROUP, STRIPE = 1 << 14, 1 << 20
+#: Bytes of a block's and a group's components as doubles: wide vectors make smaller ones.
+_BLOCK_BYTES, _GROUP_BYTES = 1 << 21, 1 << 25
 #: Queries that meet a candidate block at once.
 _TILE = 512
 #: Below this share of live pairs they are followed one by one.
@@ -66,13 +68,14 @@ def _pack(batches):
         with np.errstate(over="ignore"):
             flat = np.floor(vectors.values.to_numpy(zero_copy_only=False).astype("f8") * SCALE)
         ids = b.column("vec_id").to_pylist()
-        for at in range(0, b.num_rows, BLOCK):
-            e = ends[at : at + BLOCK + 1].astype("i8")
+        step = max(1, min(BLOCK, _BLOCK_BYTES // (8 * max(1, int(np.diff(ends).max(initial=0))))))
+        for at in range(0, b.num_rows, step):
+            e = ends[at : at + step + 1].astype("i8")
             sizes = np.diff(e)
             dim = int(sizes.max(initial=0))
             matrix = np.zeros((len(sizes), dim))
             matrix[np.arange(dim) < sizes[:, None]] = flat[e[0] : e[-1]]
-            row = _block(ids[at : at + BLOCK], matrix)
+            row = _block(ids[at : at + step], matrix)
             types = (pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.binary()), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x], t) for x, t in zip(row, types, strict=True)], ["ids", "n", "dim", "peak", "parts", "masses"]
@@ -256,7 +259,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     ).first()
     (n_c, blocks, peak_c, dim), (n_q, _, peak_q, _) = size(cand), size(asked)
     exact = peak_c * peak_q * max(dim, 1) < 2**53
-    groups = max(1, -(-n_q // GROUP))
+    groups = max(1, -(-n_q // GROUP), -(-8 * n_q * dim // _GROUP_BYTES))
     stripes = max(1, -(-n_c // STRIPE), min(blocks, shuffle_partitions(spark)))
     of = lambda n: F.pmod(F.xxhash64("block"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))

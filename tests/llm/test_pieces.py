@@ -104,3 +104,30 @@ def test_groups_do_not_change_samples(vocabulary, monkeypatch):
     whole = [x.tolist() for x in P.Sampler(vocabulary, 1).encode(texts, keys)]
     monkeypatch.setattr(P, "_GROUP", 100)
     assert [x.tolist() for x in P.Sampler(vocabulary, 1).encode(texts, keys)] == whole
+
+
+@pytest.mark.parametrize("window", [40, 1 << 16])
+def test_long_units_are_drawn_as_short_ones(vocabulary, monkeypatch, window):
+    """The windowed filter gives the segmentations of the array form, but for ties within rounding."""
+    r = random.Random(3)
+    alphabet = "abcdefghijklmnopqrstuvwxyzéñ中😀0123456789"
+    texts = ["".join(r.choice(alphabet) for _ in range(600)).encode() for _ in range(5)] + [("ab" * 300).encode(), b"short one " + b"y" * 200]
+    texts.append(b"two " + texts[0] + b" and " + texts[0] + b" end")
+    keys = np.arange(len(texts)).astype("u8")
+    want = [x.tolist() for x in P.Sampler(vocabulary, 9).encode(texts, keys)]
+    monkeypatch.setattr(P, "_LONG", 100)
+    monkeypatch.setattr(P, "_WINDOW", window)
+    got = [x.tolist() for x in P.Sampler(vocabulary, 9).encode(texts, keys)]
+    assert all(P.decode_ids(vocabulary, np.array(x)) == t for x, t in zip(got, texts))
+    same = sum(a == b for a, b in zip(got, want))
+    assert same >= len(texts) - 1
+
+
+def test_a_long_unit_takes_time_and_memory_by_its_length(vocabulary):
+    import time
+
+    data = random.Random(4).randbytes(750_000)
+    text = __import__("base64").b64encode(data)  # a megabyte without a blank
+    began = time.process_time()
+    (ids,) = P.Sampler(vocabulary, 1).encode([text], np.array([7], "u8"))
+    assert P.decode_ids(vocabulary, ids) == text and time.process_time() - began < 30

@@ -27,7 +27,7 @@ def got(spark, rows, k=5, kind="array<float>"):
 @pytest.mark.parametrize("small", [True, False])
 def test_equal_to_brute_force(spark, monkeypatch, small):
     if small:  # several groups, stripes and tiles
-        for name, n in (("BLOCK", 16), ("GROUP", 8), ("STRIPE", 64), ("_TILE", 3)):
+        for name, n in (("BLOCK", 16), ("_BLOCK_BYTES", 4000), ("GROUP", 8), ("STRIPE", 64), ("_TILE", 3)):
             monkeypatch.setattr(T, name, n)
     r = random.Random(5)
     unit = lambda: [round(x / 4) * 4 / 256 for x in (r.gauss(0, 40) for _ in range(48))]
