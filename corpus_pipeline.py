@@ -7,7 +7,6 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +54,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled piece ids of each text, and whether they decode to it."""
+    import public_tokenizers  # only this stage needs a vocabulary
+
     ship_package(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
     out = pieces.decode(pieces.encode(docs, model), model)
