@@ -103,18 +103,31 @@ def _sketch(batches):
 
 @tidied
 def _sets(batches):
-    """Each distinct set that a task sees, with its key."""
-    seen: set[bytes] = set()
+    """(id, shingles) of the rows whose set has the key that is asked for; a task gives each id once."""
+    seen: set[int] = set()
     for b in sliced(batches, 1000):
-        sets, keys = [], []
-        for words in word_hashes(b.column("text").to_pylist()):
+        sets, ids = [], []
+        asked = zip(b.column("id").to_pylist(), b.column("key").to_pylist(), strict=True)
+        for words, (i, key) in zip(word_hashes(b.column("text").to_pylist()), asked, strict=True):
             s = shingle_set(words, SHINGLE_WORDS).tobytes()
-            key = xxhash.xxh3_128_digest(s)
-            if s and key not in seen:
-                seen.add(key)
-                keys.append(key)
+            if i not in seen and xxhash.xxh3_128_digest(s) == key:
+                seen.add(i)
+                ids.append(i)
                 sets.append(s)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+
+@tidied
+def _keys(batches):
+    """(key, text) of each distinct set that a task sees."""
+    seen: set[bytes] = set()
+    for b in sliced(batches, 1000):
+        texts = b.column("text").to_pylist()
+        keys = [xxhash.xxh3_128_digest(shingle_set(w, SHINGLE_WORDS).tobytes()) for w in word_hashes(texts)]
+        new = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([keys[k] for k in new], pa.binary()), pa.array([texts[k] for k in new], pa.binary())], ["key", "text"]
+        )
 
 
 @tidied
@@ -182,11 +195,38 @@ def _labelled(buckets: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def _same_doc(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) between the classes of different texts that share a doc_id: a star for each such id."""
+def _class_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id and shingles of the classes ``wanted`` (id, key, first), each once, from the texts of their first doc_ids.
+
+    A text meets the one class that starts at its doc_id. Where several do
+    (different texts under one doc_id), texts are told apart by their keys.
+    """
+    several = wanted.groupBy("first").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("first")
+    asked = wanted.withColumnRenamed("first", "doc_id")
+    mixed = several.head(1)
+    if mixed:
+        several = saved(several.withColumnRenamed("first", "doc_id"), "minhash-several")
+        keyed = texts.join(several, "doc_id", "left_semi").select("text").mapInArrow(_keys, "key binary, text binary")
+        keyed = keyed.join(asked.join(several, "doc_id", "left_semi").select("key", "id"), "key").select("id", "key", "text")
+        asked = asked.join(several, "doc_id", "left_anti")
+    rows = texts.join(asked.hint("merge"), "doc_id").select("id", "key", "text")
+    if mixed:
+        rows = rows.unionByName(keyed)
+    sets = saved(rows.mapInArrow(_sets, "id long, shingles binary"), "minhash-sets")
+    # copies of a row meet in one task, unless their partition was split: then a set is there more than once
+    if sets.groupBy("id").count().filter("count > 1").head(1):
+        sets = saved(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), "minhash-sets")
+    return sets
+
+
+def _same_doc(members: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the classes of different texts that share a doc_id: a star for each such id, if there is any."""
     rows = members.filter("doc_id is not null and key is not null").select("doc_id", "key", F.xxhash64("key").alias("hash"))
     ends = rows.groupBy("doc_id").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).filter("lo <> hi")
-    texts = rows.join(ends.select("doc_id"), "doc_id", "left_semi").select("doc_id", "key").distinct()
+    ends = saved(ends.select("doc_id"), "minhash-shared-ids")
+    if not ends.head(1):
+        return None
+    texts = rows.join(ends, "doc_id", "left_semi").select("doc_id", "key").distinct()
     texts = saved(texts.join(classes.select("key", "id"), "key").select("doc_id", "id"), "minhash-texts")
     centres = texts.groupBy("doc_id").agg(F.min("id").alias("a"))
     return texts.join(centres, "doc_id").filter("id <> a").select("a", F.col("id").alias("b"))
@@ -216,25 +256,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = rows.groupBy("hash").agg(F.min("id").alias("a"), F.max("id").alias("_last")).filter("a <> _last")
     buckets = saved(rows.join(shared.select("hash", "a"), "hash"), "minhash-buckets")
     wanted = classes.select("key", "id", "first").join(buckets.select("id").distinct(), "id", "left_semi")
-    ids = wanted.select(F.col("first").alias("doc_id")).distinct()
-    texts = cols.select("doc_id", utf8().alias("text")).join(ids.hint("merge"), "doc_id", "left_semi")
-    sets = saved(texts.select("text").mapInArrow(_sets, "key binary, shingles binary"), "minhash-sets")
-    # copies of a row meet in one task, unless their partition was split: then a set is there more than once
-    if sets.groupBy("key").count().filter("count > 1").head(1):
-        sets = saved(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "minhash-sets")
-    keys = saved(wanted.select("key", "id"), "minhash-keys")
+    sets = _class_sets(cols.select("doc_id", utf8().alias("text")), wanted)
     sketch = classes.select("id", "n_shingles", "planes")
 
     def side(s: str) -> DataFrame:
         return sketch.select(F.col("id").alias(s), F.col("n_shingles").alias("n" + s), F.col("planes").alias("p" + s))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select("a", "b").distinct()
-        for s, k in (("a", "ka"), ("b", "kb")):
-            pairs = pairs.join(keys.select(F.col("id").alias(s), F.col("key").alias(k)), s)
-        pairs = saved(pairs, "minhash-pairs")
-        both = pairs.join(sets.select(F.col("key").alias("ka"), F.col("shingles").alias("x")), "ka").join(
-            sets.select(F.col("key").alias("kb"), F.col("shingles").alias("y")), "kb"
+        pairs = saved(pairs.select("a", "b").distinct(), "minhash-pairs")
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(
+            sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b"
         )
         return saved(both.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long"), "minhash-links")
 
@@ -242,7 +273,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return pairs.join(side("a"), "a").join(side("b"), "b").filter(_plausible("pa", "pb", "na", "nb"))
 
     stars = buckets.filter("id <> a").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a"))
-    links = confirmed(plausible(stars)).unionByName(_same_doc(members, classes))
+    links = confirmed(plausible(stars))
+    same = _same_doc(members, classes)
+    if same is not None:
+        links = links.unionByName(same)
     found = components(links)
 
     # classes of buckets that are still apart: the likeliest of a few centres, drawn anew each round
@@ -270,8 +304,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ends = left.groupBy("hash").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi")
     left = saved(left.join(ends.select("hash"), "hash"), "minhash-open")
     # a finer signature tells families of moderate similarity apart inside the join
-    some = keys.join(left.select("id").distinct(), "id", "left_semi")
-    finer = sets.join(some, "key").select("id", "shingles").mapInArrow(_fine, "id long, planes array<bigint>")
+    finer = sets.join(left.select("id").distinct(), "id", "left_semi").mapInArrow(_fine, "id long, planes array<bigint>")
     finer = saved(finer.withColumnRenamed("planes", "fine"), "minhash-fine")
     open_rows = left.join(finer, "id").join(classes.select("id", "n_shingles", "planes", "bands"), "id")
 
