@@ -16,7 +16,6 @@ Tables (parquet directories):
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -44,7 +43,7 @@ from coffer.schemas import (
     TRANSACTIONS_KEY,
     TRANSACTIONS_UPDATE,
 )
-from coffer.session import ensure_checkpoint_dir
+from coffer.session import scratch_folder
 from coffer.sources.payloads import parse_market_chart
 from coffer.sources.readers import read_ledger_csv, read_prices, read_transactions, stored
 
@@ -78,7 +77,7 @@ def import_ledger(
     """
     raw = read_ledger_csv(spark, csv_path)
     batch = LG.normalize_ledger(raw, as_of, hash_form)
-    stage = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    stage = scratch_folder(spark, "ledger")
     money = T.DecimalType(18, 8)
     rules = QA.domain_rules(
         not_null=["date_utc", "symbol", "qty", "price_eur", "fee_eur", "dedup_hash"],

@@ -18,11 +18,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from coffer.operators.ledger import last_write_wins
-from coffer.session import ensure_checkpoint_dir
+from coffer.session import remove_folder, scratch_folder
 from coffer.sources.readers import stored
 
 ACTION = "_action"
@@ -115,15 +117,17 @@ def write_upsert(
     values, one per directory the batch touches, prune the file listing). The
     merged partitions are staged too, which cuts the lineage to the target's
     files, then swapped in with dynamic partition overwrite; the staging
-    folder is removed at the end.
+    folder is removed at the end. A note in the table names it meanwhile: a
+    run that was cut off during the swap is finished by the next one.
 
     Only a missing target path means a first write. Any failure to read the
     target raises before anything in it is replaced.
     """
     spark = source.sparkSession
+    finish_upsert(spark, target_path, partition_col)
     if seq is not None:  # last write wins inside the batch, on every path
         source = last_write_wins(source, list(keys), seq).drop("n_rows", seq)
-    stage = f"{ensure_checkpoint_dir(spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
+    stage = scratch_folder(spark, "upsert")
     source.write.parquet(f"{stage}/batch")
     batch = spark.read.schema(source.schema).parquet(f"{stage}/batch")
     values = [r[0] for r in batch.select(partition_col).distinct().collect()]
@@ -139,21 +143,51 @@ def write_upsert(
             merged = upsert(target.filter(F.col(partition_col).isin(values)), batch, keys, update_cols, now=now)
         merged, seen = counted(merged)
         merged.write.partitionBy(partition_col).parquet(f"{stage}/merged")
-        # Per-write option (not the session conf): only the staged partitions are
-        # replaced, and concurrent jobs on the session are unaffected.
-        (
-            spark.read.schema(merged.schema)
-            .parquet(f"{stage}/merged")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(partition_col)
-            .parquet(target_path)
-        )
+        _note(spark, target_path, stage)
+        _swap_in(spark, target_path, stage, partition_col, merged.schema)
         counts = seen.get
     remove_folder(spark, stage)
     return counts
 
 
+PENDING = "_upsert_pending"  # Spark reads no folder of a table that starts with an underscore
+
+
+def _note(spark: SparkSession, target_path: str, stage: str) -> None:
+    """Leaves the staging folder's name in the table, for a run that is cut off while it swaps."""
+    spark.createDataFrame([(stage,)], "stage string").coalesce(1).write.mode("overwrite").text(f"{target_path}/{PENDING}")
+
+
+def _swap_in(spark: SparkSession, target_path: str, stage: str, partition_col: str, schema: T.StructType | None = None) -> None:
+    """Replaces the staged partitions of the table and takes the note away.
+
+    Per-write option (not the session conf): only the staged partitions are
+    replaced, and concurrent jobs on the session are unaffected.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    merged = reader.parquet(f"{stage}/merged")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(target_path)
+    remove_folder(spark, f"{target_path}/{PENDING}")
+
+
+def finish_upsert(spark: SparkSession, target_path: str, partition_col: str) -> bool:
+    """Finishes an upsert that was cut off while it swapped its partitions in; whether there was one.
+
+    The note in the table names the folder where the merged partitions lie
+    whole; putting them in again gives the table that the cut-off run meant.
+    """
+    try:
+        notes = spark.read.text(f"{target_path}/{PENDING}").collect()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    for note in notes:
+        _swap_in(spark, target_path, note["value"], partition_col)
+        remove_folder(spark, note["value"])
+    return bool(notes)
+
+
 def counted(merged: DataFrame) -> tuple[DataFrame, Observation]:
     """``merged`` without its action column, and the actions' counts that the job that runs it observes."""
     seen = Observation()
@@ -223,9 +257,3 @@ def write_bucketed_upsert(
     spark.sql(f"DROP TABLE IF EXISTS {table}")
     spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
     return seen.get
-
-
-def remove_folder(spark: SparkSession, path: str) -> None:
-    """Removes a folder that this library made, on whatever file system it is."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

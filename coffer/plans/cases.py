@@ -35,7 +35,7 @@ from coffer.plans.catalog import (
     register,
 )
 from coffer.schemas import COINS_MAP_DEFAULT, TRANSACTIONS_KEY, TRANSACTIONS_UPDATE, sheet_columns
-from coffer.session import ensure_checkpoint_dir
+from coffer.session import scratch_folder
 from coffer.sources import payloads as PL
 from coffer.sources import testdata as TD
 
@@ -259,7 +259,7 @@ def q_ledger_week_dates(spark, sf):
 @register("upsert_bucketed", REGISTRY["upsert_transactions"].oracle, "I1 I2 I6 I10")
 def q_upsert_bucketed(spark, sf):
     """``upsert_transactions`` into a table stored in buckets of its key; both sides come from one staged parse."""
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bucketed-{uuid.uuid4().hex}"
+    root = scratch_folder(spark, "bucketed")
     norm = LG.normalize_ledger(TD.ledger_raw(spark, sf), LEDGER_AS_OF, "exact")
     norm.write.parquet(f"{root}/parsed")
     norm = spark.read.schema(norm.schema).parquet(f"{root}/parsed")

@@ -9,7 +9,6 @@ not expressible in SQL; those are tested against brute force in tests/).
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from coffer.plans import oracle as O
 from coffer.schemas import COINS_DEFAULT
-from coffer.session import ensure_checkpoint_dir
+from coffer.session import scratch_folder
 from coffer.sources import testdata as TD
 
 
@@ -298,7 +297,7 @@ _TX_SOURCE_SQL = f"SELECT * FROM ({_NORM_SQL}) WHERE date_utc >= TIMESTAMP '{_L_
 def q_upsert_transactions(spark, sf):
     # parsed once, for the stored table as for the batch
     norm = LG.normalize_ledger(TD.ledger_raw(spark, sf), LEDGER_AS_OF, "exact")
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/parsed-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "parsed")
     norm.write.parquet(path)
     norm = spark.read.schema(norm.schema).parquet(path)
     target = norm.filter(F.col("date_utc") < F.lit(_L_OLD).cast("timestamp_ntz")).select(

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,6 +54,34 @@ def build_session(
     return spark
 
 
+_SCRATCH: dict[str, list[str]] = {}
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the checkpoint directory, remembered for ``cleanup``."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this library made, on whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Removes the folders that this application's operators staged data in; returns how many.
+
+    DataFrames that read from them (results that were not written elsewhere)
+    cannot be used afterwards. Call it between runs of a long application.
+    """
+    made = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        remove_folder(spark, path)
+    return len(made)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory named by the session.
 

@@ -61,8 +61,8 @@ def parse_market_chart(payloads: DataFrame, json_col: str = "json") -> DataFrame
     pair = pts.filter(F.size("__pt") == 2).select(
         *keep,
         "pos",
-        parse_float_text(F.col("__pt")[0]).alias("__ms"),
-        parse_float_text(F.col("__pt")[1]).alias("__px"),
+        parse_float_text(F.get("__pt", F.lit(0))).alias("__ms"),
+        parse_float_text(F.get("__pt", F.lit(1))).alias("__px"),
     )
     # times outside the years 1 to 9999, infinities and NaN become NULL
     ms = F.when(F.col("__ms").between(MIN_MS, MAX_MS), F.col("__ms"))

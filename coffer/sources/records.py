@@ -10,13 +10,11 @@ the bit everywhere; lines that a quoted field joins are then put together.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coffer.operators.segments import running
-from coffer.session import ensure_checkpoint_dir
+from coffer.session import ensure_checkpoint_dir, scratch_folder
 
 #: States inside a line: at the start of a field, in a bare one, in quotes, behind a closing quote.
 _START, _BARE, _QUOTED, _CLOSED = range(4)
@@ -47,7 +45,7 @@ def staged_lines(spark: SparkSession, files: list[str]) -> DataFrame:
     ``block`` is the byte where the line's split begins, ``line`` rises within
     it; both are data from here on, whatever happens to executors.
     """
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-lines-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "csv-lines")
     lines = spark.read.option("lineSep", "\n").text(files).select(
         F.col("_metadata.file_modification_time").alias("time"),
         F.col("_metadata.file_path").alias("file"),

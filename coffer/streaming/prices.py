@@ -24,15 +24,13 @@ aligned on UTC days.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coffer.functions.timecols import instant_to_utc_ntz, utc_day, utc_ntz_to_instant
-from coffer.operators.upsert import remove_folder, write_upsert
+from coffer.operators.upsert import write_upsert
 from coffer.schemas import MONEY, PRICE_KEY, PRICE_UPDATE
-from coffer.session import ensure_checkpoint_dir
+from coffer.session import ensure_checkpoint_dir, remove_folder, scratch_folder
 from coffer.sources.payloads import parse_market_chart
 from coffer.sources.readers import stored
 
@@ -144,7 +142,7 @@ class BackfillSink:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stage = f"{ensure_checkpoint_dir(spark).rstrip('/')}/points-{uuid.uuid4().hex}"
+        stage = scratch_folder(spark, "points")
         points = batch.select("symbol", "_seq", "pos", "ts", "price_eur", utc_day("ts").alias("day"))
         points.write.parquet(stage)
         points = spark.read.schema(points.schema).parquet(stage)

@@ -136,3 +136,31 @@ def test_stored_price_days_are_pruned(spark, tmp_path):
     filters = re.search(r"PartitionFilters: \[(.*?)\]", exchanges(days)).group(1)
     assert "day" in filters and ">=" in filters and "<=" in filters
     assert sorted(q.date for q in days.collect()) == [dt.date(2020, 1, 30) + dt.timedelta(days=k) for k in range(4)]
+
+
+def test_an_upsert_cut_off_while_it_swaps_is_finished(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    d = spark.createDataFrame([(1, "a", "p"), (2, "b", "q"), (3, "c", "r")], "key long, value string, part string")
+    UP.write_upsert(d, path, ["key"], ["value"], "part")
+    swap = UP._swap_in
+    monkeypatch.setattr(UP, "_swap_in", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("driver lost")))
+    batch = spark.createDataFrame([(1, "A", "p"), (4, "d", "s")], "key long, value string, part string")
+    with pytest.raises(RuntimeError):
+        UP.write_upsert(batch, path, ["key"], ["value"], "part")
+    monkeypatch.setattr(UP, "_swap_in", swap)
+    assert spark.read.parquet(path).count() == 3  # the note is no data
+    more = spark.createDataFrame([(2, "B", "q")], "key long, value string, part string")
+    assert UP.write_upsert(more, path, ["key"], ["value"], "part") == {"inserted": 0, "updated": 1, "kept": 0}
+    assert {(r.key, r.value) for r in spark.read.parquet(path).collect()} == {(1, "A"), (2, "B"), (3, "c"), (4, "d")}
+    assert not UP.finish_upsert(spark, path, "part")
+
+
+def test_cleanup_removes_what_operators_staged(spark):
+    from coffer.session import cleanup, scratch_folder
+
+    path = scratch_folder(spark, "trial")
+    spark.range(3).write.parquet(path)
+    assert cleanup(spark) >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    assert cleanup(spark) == 0
