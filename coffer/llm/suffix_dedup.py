@@ -9,6 +9,8 @@ each pass handles only what is still ambiguous:
    the smallest hash (ties: the leftmost). Equal windows have the same gram at
    the same offset, and neighbouring windows share theirs, so one row (an
    *anchor*) stands for some 70 suffixes. Grams that occur once drop out.
+   In periodic texts an anchor may stand for one suffix only; runs of equal
+   neighbouring anchors are one row there.
 2. Second digit: the whole region that the anchor's windows cover. Equal
    regions are equal windows throughout: all of them are repeated.
 3. Third digit, only for grams with several different regions, and for one
@@ -191,14 +193,23 @@ def _counts(batches):
 
 
 def _places(batches):
-    """(gram, region, doc, tag, packed) of every anchor."""
+    """(gram, region, doc, tag, packed, more) of the anchors.
+
+    In periodic texts equal anchors follow each other without a gap. Such a run
+    is one row, that of its first anchor; ``more`` is the distance from that
+    anchor's last window start to the last one of the run.
+    """
     for b in batches:
         doc, tag = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag"))
         for k, at, lo, hi, gram, region in anchors(b.column("text").to_pylist()):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.view("i8")), pa.array(region.view("i8")), pa.array(doc[k]), pa.array(tag[k]), pa.array(_pack(at, lo, hi))],
-                ["gram", "region", "doc", "tag", "packed"],
-            )
+            if not len(k):
+                continue
+            goes_on = (k[1:] == k[:-1]) & (gram[1:] == gram[:-1]) & (region[1:] == region[:-1]) & (lo[1:] == hi[:-1] + 1)
+            first = np.flatnonzero(np.concatenate(([True], ~goes_on)))
+            last = np.append(first[1:], len(k)) - 1
+            packed = _pack(at, lo, hi)[first]
+            columns = [gram[first].view("i8"), region[first].view("i8"), doc[k[first]], tag[k[first]], packed, hi[last] - hi[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "region", "doc", "tag", "packed", "more"])
 
 
 def _regions(batches):
@@ -324,12 +335,12 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         regions.join(grams, "gram").select("gram", "region", (F.col("n") > 1).alias("again"), (F.col("regions") > 1).alias("open")),
         "suffix-regions",
     )
-    places = anchored.mapInArrow(_places, "gram long, region long, doc long, tag long, packed long")
+    places = anchored.mapInArrow(_places, "gram long, region long, doc long, tag long, packed long, more long")
     hits = saved(
         places.join(known, ["gram", "region"]).select(
             F.when(F.col("open"), F.col("gram")).alias("gram"),
             F.when(F.col("open"), F.col("region")).alias("region"),
-            "doc", "tag", "packed", "again", "open",
+            "doc", "tag", "packed", "more", "again", "open",
         ),
         "suffix-hits",
     )
@@ -361,8 +372,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     single = windows.filter("lo is not null").join(twice, "window").select("doc", "tag", "lo", F.col("lo").alias("hi"))
 
     lo = F.shiftright("packed", 16) - F.shiftright("packed", 8).bitwiseAND(255)
-    flagged = hits.filter("again").select("doc", "tag", lo.alias("lo"), (lo + F.col("packed").bitwiseAND(255)).alias("hi"))
-    # at most one span per anchor, block and window of a document; rows of equal id and text have the same ones
+    flagged = hits.filter("again").select("doc", "tag", lo.alias("lo"), (lo + F.col("packed").bitwiseAND(255) + F.col("more")).alias("hi"))
+    # at most one span per run of equal anchors, block and window of a document; rows of equal id and text have the same ones
     return flagged.unionByName(whole).unionByName(single).groupBy("doc", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 

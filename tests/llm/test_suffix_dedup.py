@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from coffer.llm import suffix_dedup as S
@@ -78,6 +79,17 @@ def test_long_texts_go_through_in_parts(spark, monkeypatch):
     assert whole == parts
 
 
+@pytest.mark.parametrize("period", ["a", "ab", "abcdefghijklmnop" * 3, "0123456789" * 17])
+def test_periodic_texts_are_few_rows(spark, period):
+    long = (period * (3_000_000 // len(period) + 1))[:3_000_000]
+    d = spark.createDataFrame([(1, long), (2, "x" + long[:700] + "y"), (3, period * 2)], "doc_id long, text string")
+    got = sorted(tuple(r)[:3] for r in S.suffix_dedup(d).collect())
+    assert got == [(1, 3_000_000, 3_000_000), (2, 702, 700), (3, 2 * len(period), 2 * len(period) if len(period) >= 100 else 0)]
+    batch = pa.RecordBatch.from_pydict({"doc": [1], "tag": [1], "text": [long.encode()]})
+    # in each part of the text: a run, and the anchors at its two ends
+    assert sum(b.num_rows for b in S._places([batch])) <= 30
+
+
 def test_text_that_stays_and_empty_table(spark):
     d = spark.createDataFrame([(1, "x" + "0123456789" * 25), (2, "0123456789" * 25 + "y")], "doc_id long, text string")
     got = {r["doc_id"]: bytes(r["kept_text"]) for r in S.suffix_dedup(d, with_text=True).collect()}
