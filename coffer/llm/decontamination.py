@@ -5,11 +5,19 @@ items; document words stream through it while the longest matching length is
 tracked. A match of ``WINDOW`` words ends a window; an item of fewer words is
 one window as a whole.
 
-Blocks bound what a Python worker holds: items are dealt by hash into as many
-blocks as their words need (``max_block_words`` each on average, longer items
-in overlapping pieces), so a benchmark of any size is matched block by block
-and nothing of unbounded size is broadcast. The usual benchmark is one block,
-and then the whole job is a single pass over the documents without a shuffle.
+A benchmark of up to ``max_block_words`` words is one block: a single pass over
+the documents without a shuffle. A larger one is dealt into blocks, so that a
+Python worker holds one block whatever the benchmark's size, and the documents
+are not read once a block:
+
+* The *anchor* of a window is the smallest hash of its grams of 3 words, so
+  equal windows have equal anchors, and a window's block follows from its
+  anchor. Successive windows of one anchor are a *stretch*.
+* Items are dealt to blocks as stretches. One pass over the documents writes
+  the stretches whose anchor may be one of the benchmark's (a bitmap of fixed
+  size tells), dealt likewise.
+* Each block's automaton reads the stretches of its block only; the hits join
+  the documents by text.
 """
 
 from __future__ import annotations
@@ -18,18 +26,24 @@ import hashlib
 import itertools
 import re
 import uuid
+from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coffer.llm.common import kept_in_worker, saved, tidied, utf8
+from coffer.llm.common import kept_in_worker, saved, shared_path, tidied, utf8
+from coffer.llm.shingles import mix
 
 #: Words: after lower-casing A-Z, runs of digits, letters a-z and non-ASCII bytes.
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 13
 MAX_BLOCK_WORDS = 100_000
+#: Words of a gram, and bits of the map of the benchmark's anchors (1 MB).
+GRAM = 3
+BITS = 1 << 23
 #: A document is contaminated from this share of its words on: n_hit * 20 >= n_words.
 COVERAGE = 20
 
@@ -150,42 +164,147 @@ def _automaton(key: str, items: list[tuple[str, bytes]], window: int) -> SuffixA
     return kept_in_worker(key, lambda: SuffixAutomaton([(name, text.split(b" ")) for name, text in items], window))
 
 
-def _pieces(window: int, most: int):
-    """Items as (item_id, piece, words joined by spaces, n_words); long ones in pieces
-    that overlap by ``window - 1`` words, so each window is whole in one piece."""
+def _items(batches):
+    """Items with words as (item_id, words joined by spaces, n_words)."""
+    for b in batches:
+        rows = [(i, words_of(t)) for i, t in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True)]
+        rows = [(i, b" ".join(w), len(w)) for i, w in rows if w]
+        yield _batch(rows, (pa.string(), pa.binary(), pa.int64()), ["item_id", "words", "n_words"])
 
+
+def _batch(rows: list[tuple], types: tuple, names: list[str]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+
+def _hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(crc32, words), "u8", len(words))
+
+
+def anchors(hashed: np.ndarray, length: int) -> np.ndarray:
+    """The anchor of each window of ``length`` words, from the words' hashes."""
+    gram = min(GRAM, length)
+    n = len(hashed) - length + 1
+    if n < 1:
+        return np.empty(0, "u8")
+    grams = np.zeros(len(hashed) - gram + 1, "u8")
+    for j in range(gram):
+        grams = mix(grams + hashed[j : j + len(grams)] + np.uint64(j + 1))
+    least = grams[:n].copy()
+    for j in range(1, length - gram + 1):
+        np.minimum(least, grams[j : j + n], out=least)
+    return least
+
+
+def stretches(hashed: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
+    """(anchor, start, end) in words of each run of successive windows of one anchor."""
+    least = anchors(hashed, length)
+    if not len(least):
+        return
+    first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    last = np.append(first[1:], len(least)) - 1
+    yield from zip(least[first].view("i8").tolist(), first.tolist(), (last + length).tolist(), strict=True)
+
+
+def _item_stretches(window: int):
     def run(batches):
+        for b in batches:
+            for item, text in zip(b.column("item_id").to_pylist(), b.column("words").to_pylist(), strict=True):
+                words = text.split(b" ")
+                rows = [
+                    (a, item, b" ".join(words[s:e]), e - s) for a, s, e in stretches(_hashed(words), min(window, len(words)))
+                ]
+                yield _batch(rows, (pa.int64(), pa.string(), pa.binary(), pa.int64()), ["anchor", "item_id", "words", "n_words"])
+
+    return run
+
+
+def _text_stretches(lengths: list[int], bits: np.ndarray):
+    """Stretches of texts, for each length of the benchmark's windows, whose anchor's bit is set."""
+
+    def run(batches):
+        types = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+        names = ["hash", "start", "anchor", "words"]
         for b in batches:
             rows = []
-            for item, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for h, text in zip(b.column("hash").to_pylist(), _bytes(b), strict=True):
                 words = words_of(text)
-                for k, lo in enumerate(range(0, max(1, len(words) - window + 1), most)):
-                    part = words[lo : lo + most + window - 1]
-                    if part:
-                        rows.append((item, k, b" ".join(part), len(part)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 4, (pa.string(), pa.int64(), pa.binary(), pa.int64()), strict=True)],
-                ["item_id", "piece", "words", "n_words"],
-            )
+                hashed = _hashed(words)
+                for length in lengths:
+                    for a, s, e in stretches(hashed, length):
+                        if int(bits[(a & (BITS - 1)) >> 6]) >> (a & 63) & 1:
+                            rows.append((h, s, a, b" ".join(words[s:e])))
+                    if len(rows) > 10_000:
+                        yield _batch(rows, types, names)
+                        rows = []
+            yield _batch(rows, types, names)
 
     return run
 
 
-def _blocks(benchmark: DataFrame, window: int, max_block_words: int) -> list:
-    """Functions that fetch one block of (item_id, words) each."""
-    cols = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), utf8().alias("text"))
-    pieces = cols.mapInArrow(
-        _pieces(window, max(1, max_block_words // 4)), "item_id string, piece long, words binary, n_words long"
+def _bitmap(dealt: DataFrame) -> np.ndarray:
+    """BITS bits, those of the benchmark's anchors set; the driver gets BITS / 64 rows at most."""
+    bit = F.col("anchor").bitwiseAND(F.lit(BITS - 1))
+    one = F.expr("shiftleft(1L, CAST(anchor & 63 AS INT))")
+    rows = dealt.groupBy(F.shiftright(bit, 6).alias("place")).agg(F.bit_or(one).alias("bits")).collect()
+    out = np.zeros(BITS // 64, "i8")
+    for r in rows:
+        out[r["place"]] = r["bits"]
+    return out.view("u8")
+
+
+def _dealt(df: DataFrame, n: int, name: str) -> DataFrame:
+    """``df`` with the block of each row's anchor, written in a folder per block."""
+    path = shared_path(df.sparkSession, name)
+    out = df.withColumn("block", F.pmod("anchor", F.lit(n)))
+    out.hint("rebalance", F.col("block")).write.partitionBy("block").parquet(path)  # AQE splits what is large
+    return df.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def _routed(texts: DataFrame, items: DataFrame, window: int, max_block_words: int) -> DataFrame:
+    """hash, spans (flat, in words) and names of each text (``hash``, ``text``) that has a window of the benchmark."""
+    lengths = [r["n"] for r in items.select(F.least("n_words", F.lit(window)).alias("n")).distinct().collect()]  # window at most
+    dealt = saved(
+        items.mapInArrow(_item_stretches(window), "anchor long, item_id string, words binary, n_words long").distinct(),
+        "benchmark-stretches",
+    )
+    n = max(1, -(-dealt.agg(F.sum("n_words")).first()[0] // max_block_words))
+    dealt = dealt.withColumn("block", F.pmod("anchor", F.lit(n)))
+    bits = _bitmap(dealt)
+    candidates = _dealt(
+        texts.mapInArrow(_text_stretches(sorted(lengths), bits), "hash string, start long, anchor long, words binary"),
+        n, "document-stretches",
+    )
+    found = None
+    for r in dealt.groupBy("block").agg(F.sum("n_words").alias("words")).orderBy("block").collect():
+        parts = -(-r["words"] // max_block_words)  # a block beyond the average goes in parts
+        for part in range(parts):
+            mine = dealt.filter((F.col("block") == r["block"]) & (F.pmod(F.xxhash64("words"), F.lit(parts)) == part))
+            block = sorted((x["item_id"], bytes(x["words"])) for x in mine.select("item_id", "words").collect())
+            hits = candidates.filter(F.col("block") == r["block"]).select("hash", "start", "words")
+            hits = hits.mapInArrow(_block_hits(uuid.uuid4().hex, block, window), "hash string, start long, spans array<long>, names array<string>")
+            one = saved(hits.dropDuplicates(["hash", "start"]), "block-hits")
+            found = one if found is None else found.unionByName(one)
+    # a row per stretch of a text at most
+    return found.groupBy("hash").agg(
+        F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names")
     )
-    total = pieces.agg(F.sum("n_words")).first()[0] or 0
-    n = max(1, -(-total // max_block_words))
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("item_id", "piece"), F.lit(n)))
 
-    def fetch(k: int):
-        rows = dealt.filter(F.col("block") == k).select("item_id", "words").collect()  # one block
-        return sorted((r["item_id"], bytes(r["words"])) for r in rows)
 
-    return [lambda k=k: fetch(k) for k in range(n)]
+def _block_hits(key: str, block: list, window: int):
+    @tidied
+    def run(batches):
+        sam = _automaton(key, block, window)
+        for b in batches:
+            rows = []
+            for h, start, text in zip(*(b.column(c).to_pylist() for c in ("hash", "start", "words")), strict=True):
+                spans, names = sam.hits(text.split(b" "))
+                if spans:
+                    rows.append((h, start, [start + x for s in spans for x in s], sorted(names)))
+            types = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
+            yield _batch(rows, types, ["hash", "start", "spans", "names"])
+
+    return run
 
 
 def _verdict(n_words: int, spans: list, names: set) -> tuple:
@@ -212,57 +331,37 @@ def _merged(lists) -> list[tuple[int, int]]:
 def _matched(docs: DataFrame, benchmark: DataFrame, window: int, max_block_words: int, finish, schema) -> DataFrame:
     """``finish(batch, texts, hits)`` over all documents; hits are (spans, items) by row.
 
-    One block: a single pass. More: the hits of each block are written by text
-    (as its SHA-256), and joined to the documents; AQE splits hot texts.
+    One block: a single pass. More: texts are known by their SHA-256 and their
+    hits joined to the documents; AQE splits hot texts.
     """
-    blocks = _blocks(benchmark, window, max_block_words)
-    if len(blocks) == 1:
-        key, items = uuid.uuid4().hex, blocks[0]()
+    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), utf8().alias("text"))
+    items = named.mapInArrow(_items, "item_id string, words binary, n_words long")
+    if (items.agg(F.sum("n_words")).first()[0] or 0) <= max_block_words:
+        key = uuid.uuid4().hex
+        block = sorted((r["item_id"], bytes(r["words"])) for r in items.select("item_id", "words").collect())  # max_block_words at most
 
         @tidied
         def run(batches):
-            sam = _automaton(key, items, window)
+            sam = _automaton(key, block, window)
             for b in batches:
                 words = [words_of(t) for t in _bytes(b)]
                 yield finish(b, words, [sam.hits(w) for w in words])
 
         return docs.mapInArrow(run, schema)
 
-    cols = docs.withColumn("__h", F.sha2(utf8(), 256))
-    found = None
-    for fetch in blocks:
-        key, items = uuid.uuid4().hex, fetch()
-
-        def run(batches, key=key, items=items):
-            sam = _automaton(key, items, window)
-            for b in batches:
-                rows = []
-                for h, text in zip(b.column("__h").to_pylist(), _bytes(b), strict=True):
-                    spans, names = sam.hits(words_of(text))
-                    if spans:
-                        rows.append({"__h": h, "spans": [x for s in spans for x in s], "names": sorted(names)})
-                yield pa.RecordBatch.from_pylist(
-                    rows, pa.schema([("__h", pa.string()), ("spans", pa.list_(pa.int64())), ("names", pa.list_(pa.string()))])
-                )
-
-        one = cols.select("__h", "text").mapInArrow(run, "__h string, spans array<bigint>, names array<string>")
-        one = saved(one.dropDuplicates(["__h"]), "block-hits")
-        found = one if found is None else found.unionByName(one)
-    # a row per text and block at most
-    by_text = found.groupBy("__h").agg(
-        F.collect_list("spans").alias("__spans"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("__names")
-    )
+    text_hash = F.sha2(utf8(), 256)
+    by_text = _routed(docs.select(text_hash.alias("hash"), "text"), items, window, max_block_words)
+    # the documents' columns go as one struct, so that no name clashes
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_hash.alias("hash"))
 
     def run(batches):
         for b in batches:
-            hits = [
-                (_merged(s), set(n or ()))
-                for s, n in zip(b.column("__spans").to_pylist(), b.column("__names").to_pylist(), strict=True)
-            ]
-            yield finish(b.select(b.schema.names[:-2]), [words_of(t) for t in _bytes(b)], hits)
-
-    joined = cols.join(by_text, "__h", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__spans", "__names")
-    return joined.mapInArrow(run, schema)
+            hits = [(_merged(s), set(n or ())) for s, n in zip(b.column("spans").to_pylist(), b.column("names").to_pylist(), strict=True)]
+            row = b.column("row")
+            whole = pa.RecordBatch.from_arrays(row.flatten(), [f.name for f in row.type])
+            yield finish(whole, [words_of(t) for t in _bytes(whole)], hits)
+
+    return rows.join(by_text, "hash", "left").select("row", "spans", "names").mapInArrow(run, schema)
 
 
 def _bytes(b: pa.RecordBatch) -> list[bytes]:

@@ -63,6 +63,44 @@ def test_against_brute_force(spark, seed, letters, block):
     )
 
 
+def test_blocks_get_the_stretches_of_their_anchors_only(spark, monkeypatch):
+    r = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(r.choices(vocabulary, k=r.choice([2, 8, 40, 90])))) for k in range(60)]
+    clean = [(k, " ".join(r.choices([f"c{j}" for j in range(400)], k=300))) for k in range(40)]
+    dirty = [(100 + k, f"{clean[k][1]} {items[k][1]} {clean[k][1]}") for k in range(30)] + [(100, f"x {items[3][1]}")] * 50
+    d = spark.createDataFrame(clean + dirty, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    written = {}
+    dealt = D._dealt
+
+    def spy(df, n, name):
+        out = dealt(df, n, name)
+        written[name] = (n, out.count())
+        return out
+
+    monkeypatch.setattr(D, "_dealt", spy)
+    got = [tuple(x) for x in D.contamination(d, b, max_block_words=300).collect()]
+    assert sorted(got) == sorted(brute(clean + dirty, items))
+    blocks, rows = written["document-stretches"]
+    # stretches of hit places and of hash collisions, not of all the texts' words
+    assert blocks > 10 and rows < 80 * 40
+
+
+def test_anchors_are_those_of_equal_windows():
+    r = random.Random(6)
+    words = [bytes([97 + r.randrange(3)]) for _ in range(3000)]
+    hashed = D._hashed(words)
+    for length in (1, 2, 3, 5, 13):
+        seen = {}
+        for p, a in enumerate(D.anchors(hashed, length).tolist()):
+            assert seen.setdefault(tuple(words[p : p + length]), a) == a
+        covered = [(s, e - length) for _, s, e in D.stretches(hashed, length)]
+        assert covered[0][0] == 0 and covered[-1][1] == len(words) - length
+        assert all(y[0] == x[1] + 1 for x, y in zip(covered, covered[1:]))
+    assert len(D.anchors(hashed[:4], 5)) == 0
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
