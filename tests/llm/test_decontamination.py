@@ -87,6 +87,17 @@ def test_blocks_get_the_stretches_of_their_anchors_only(spark, monkeypatch):
     assert blocks > 10 and rows < 80 * 40
 
 
+def test_clashing_columns_stay_with_large_benchmarks(spark):
+    docs, items = case(7, "abc")
+    columns = "doc_id long, text string, hash string, spans int, names string, row long, block int, anchor string"
+    rows = [(i, t, "h", 1, None, 2, 3, "a") for i, t in docs]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    left = D.remove_contaminated(spark.createDataFrame(rows, columns), b, max_block_words=20)
+    want = [x for x, w in zip(rows, brute(docs, items)) if not w[-1]]
+    assert left.columns == ["doc_id", "text", "hash", "spans", "names", "row", "block", "anchor"]
+    assert sorted(map(tuple, left.collect()), key=key) == sorted(want, key=key)
+
+
 def test_anchors_are_those_of_equal_windows():
     r = random.Random(6)
     words = [bytes([97 + r.randrange(3)]) for _ in range(3000)]
