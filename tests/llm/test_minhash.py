@@ -143,3 +143,43 @@ def test_texts_that_share_a_doc_id_are_one_document(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(q["doc_id"], q["component_id"]) for q in M.near_duplicates(d).collect()}
     assert got == {(5, 2), (8, 2), (2, 2), (9, 7), (7, 7), (20, 20)}
+
+
+def test_parity_sketches_bound_the_unshared_shingles(spark):
+    r = np.random.default_rng(4)
+    rows = []
+    for n, other in ((300, 40), (300, 300), (5000, 100), (1, 0), (9000, 9000)):
+        x = np.unique(r.integers(0, 2**63, n).astype("u8"))
+        y = np.unique(np.concatenate((x[other // 2 :], r.integers(0, 2**63, other // 2).astype("u8"))))
+        common = len(np.intersect1d(x, y))
+        link = 100 * common >= M.LEAST * (len(x) + len(y) - common)
+        odd = int(np.bitwise_count((M.parities(x) ^ M.parities(y)).view("u8")).sum())
+        assert odd <= len(x) + len(y) - 2 * common
+        rows.append((M.parities(x).tolist(), M.parities(y).tolist(), len(x), len(y), link))
+    d = spark.createDataFrame(rows, "x array<bigint>, y array<bigint>, nx long, ny long, link boolean")
+    got = [(q.link, q.may) for q in d.select("link", M._may_link("x", "y", "nx", "ny").alias("may")).collect()]
+    assert all(may for link, may in got if link) and (False, False) in got
+
+
+def test_families_just_below_the_limit_make_no_pairs(spark, monkeypatch):
+    """Of 60 texts with mutual similarities of some 0.7, no pair is a link, and few become rows."""
+    made = {}
+    saved = M.saved
+
+    def counted(df, name):
+        out = saved(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "saved", counted)
+    base = [f"w{k}" for k in range(400)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        for k in range(7):  # no two texts differ from the base at one place
+            w[(k * 57 + (i % 19) * 3 + i // 19) % 400] = f"x{i}y{k}"
+        texts.append(" ".join(w))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {q["doc_id"]: (q["n_shingles"], q["component_id"]) for q in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert made["minhash-pairs"][-1] <= 60
