@@ -217,3 +217,39 @@ def test_hash_equals_that_of_the_original_importer(spark):
     assert not set(exact.values()) & set(want)
     with pytest.raises(ValueError, match="hash_form"):
         LG.normalize_ledger(df, AS_OF, "hex")
+
+
+DATE_TEXTS = [
+    "2024-01-31", "2024-01-31 10:15:00", "2024-01-31T10:15:59.250", "2024-01-31T10:15:59.2500001", "2024-02-30 10:00:00",
+    "0000-01-01", "0000-01-01 00:00:00", "2024-01-31 24:00:00", "2024-01-31 23:59:60", "2024-01-31 23:60:00", "31/12/2023 23:59",
+    "31/12/2023 23:59:58", "30/02/2023 10:00", "01/01/0000 10:00", "31/12/2023 24:00", "31/12/2023  23:59", "2024-01-31 10:15:00",
+    "2024-01-31 10:15:5\x01", "2024-01-31 10:15:00\n", "2024-01-31T10:15:00Z", "2024-01-31T10:15:00.5+02:00", "20240131T101500",
+    "2024-1-3 1:2:3", "2024-W05-3", "-024-01-31 10:15:00", "٢٠٢٤-01-31", "2024-01-31 10:15", "soon", "",
+]
+
+
+def test_cast_dates_equal_the_ladder(spark):
+    from coffer.functions.parse import ledger_date_text, plain_datetime_text
+
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(DATE_TEXTS)], "i long, t string")
+    plain = plain_datetime_text(ledger_date_text(F.col("t")))
+    rows = d.select("t", plain.isNotNull().alias("plain"), plain.try_cast("timestamp_ntz").alias("cast"), parse_ledger_datetime(F.col("t")).alias("ladder"))
+    rows = rows.collect()
+    assert [r for r in rows if r.plain and r["cast"] != r.ladder] == []
+    assert {r.t for r in rows if r.plain} >= {"2024-01-31", "2024-01-31 10:15:00", "31/12/2023 23:59", "2024-01-31T10:15:00Z"}
+    raw = d.select(F.col("i").alias("_seq"), F.col("t").alias("Operation Date"))
+    got = LG.normalize_ledger(raw, "2001-02-03 04:05:06").select("_seq", "date_utc", "date_defaulted").collect()
+    as_of = dt.datetime(2001, 2, 3, 4, 5, 6)
+    want = {i: r.ladder.replace(microsecond=0) if r.ladder else as_of for i, r in enumerate(rows)}
+    assert {r["_seq"]: r.date_utc for r in got} == want
+    assert {r["_seq"] for r in got if r.date_defaulted} == {i for i, r in enumerate(rows) if r.ladder is None}
+
+
+def test_generated_methods_stay_compilable(spark):
+    """Spark's default limit would let the projections run in the JVM's interpreter; a session's own setting stays."""
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    for before, after in (("65535", "8000"), ("20000", "20000")):
+        s = spark.newSession()
+        s.conf.set(limit, before)
+        LG.normalize_ledger(s.createDataFrame([("2024-01-31",)], "`Operation Date` string"), "2001-02-03 04:05:06")
+        assert s.conf.get(limit) == after
