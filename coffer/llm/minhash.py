@@ -15,9 +15,9 @@
 5. Confirm: the full shingle sets of the remaining pairs are intersected.
 6. Components of the confirmed links. Then classes that share a bucket but are
    in different components are compared with each other inside the join, by
-   sizes, by a bound on the similarity from parity sketches, which no link
-   fails, and by the estimate of a signature of 2048 minima, which has a limit
-   of 0.68; what passes is confirmed and added. For sets of up to a thousand
+   sizes, by the estimate of a signature of 2048 minima, which has a limit of
+   0.68, and by a bound on the similarity from parity sketches, which no link
+   fails; what passes is confirmed and added. For sets of up to a thousand
    shingles or so the bound is close: hardly any pairs but links become rows.
 
 The large groups of near copies collapse in step 3; step 6 sees what is left
@@ -342,10 +342,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = half("_x").join(half("_y"), "hash").filter(
         (F.col("label_x") < F.col("label_y"))
         & _plausible("planes_x", "planes_y", "n_shingles_x", "n_shingles_y")
-        & _may_link("parity_x", "parity_y", "n_shingles_x", "n_shingles_y")
         & (_fine_estimate("fine_x", "fine_y") >= MIN_FINE)
         # a pair comes from the first of the buckets that it shares
         & (F.col("hash") == F.array_min(F.array_intersect("bands_x", "bands_y")))
+        & _may_link("parity_x", "parity_y", "n_shingles_x", "n_shingles_y")
     )
     links = links.unionByName(confirmed(rest.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))))
     found = components(links)
