@@ -253,3 +253,34 @@ def test_generated_methods_stay_compilable(spark):
         s.conf.set(limit, before)
         LG.normalize_ledger(s.createDataFrame([("2024-01-31",)], "`Operation Date` string"), "2001-02-03 04:05:06")
         assert s.conf.get(limit) == after
+
+
+def test_unused_columns_are_not_computed(spark):
+    """Dates alone need neither the hash nor the numbers; a filter on them is not pushed into the parsing."""
+    raw = spark.createDataFrame([("2024-01-31", "1", "b")], "`Operation Date` string, `Operation Amount` string, `Operation Hash` string")
+    dates = LG.normalize_ledger(raw, AS_OF, "exact").select("date_utc").filter("date_utc > timestamp_ntz '2024-01-01'")
+    plan = dates._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha" not in plan and "as double" not in plan.lower()
+    assert [r.date_utc for r in dates.collect()] == [dt.datetime(2024, 1, 31)]
+
+
+def test_number_texts_at_the_edge_of_the_cast(spark):
+    texts = ["1.", ".5", "+1e5", "-0", "1d", "1f", "0x1p3", "0X1P3", "1_0", "1e", ".", "\x011", "1\x01", " 1 ", "\t-2.5\n", "1 2", "", None, "NaN", "-Infinity"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {texts[r.i]: r.x for r in d.select("i", parse_float(F.col("t")).alias("x")).collect()}
+    want = {"1.": 1.0, ".5": 0.5, "+1e5": 1e5, "-0": 0.0, "1_0": 10.0, " 1 ": 1.0, "\t-2.5\n": -2.5, "-Infinity": float("-inf")}
+    assert {t: x for t, x in got.items() if x is not None and x == x} == want
+    assert [t for t, x in got.items() if x is not None and x != x] == ["NaN"]
+
+
+def test_doubles_inside_a_decimal_need_no_cast(spark):
+    from pyspark.sql import types as T
+
+    from coffer.operators.quality import domain_rules
+
+    xs = [0.0, 5e-324, -1e-300, 4.9e9, -4.9e9, 9999999999.0, 9999999999.999999, 1e10, -1e10, float("nan"), float("inf"), None]
+    d = spark.createDataFrame([(x, None if x is None else str(x)) for x in xs], "x double, t string")
+    rules = domain_rules(decimals={"x": T.DecimalType(18, 8), "t": T.DecimalType(18, 8)})
+    rows = d.select("x", rules[0][1].alias("bad"), rules[1][1].alias("text_bad"), F.col("x").try_cast("decimal(18,8)").isNull().alias("none")).collect()
+    assert [r.bad for r in rows] == [r.none and r.x is not None for r in rows]
+    assert [r.text_bad for r in rows if r.x is not None and abs(r.x) > 1e-9] == [r.bad for r in rows if r.x is not None and abs(r.x) > 1e-9]
