@@ -195,6 +195,17 @@ def counted(merged: DataFrame) -> tuple[DataFrame, Observation]:
     return merged.observe(seen, *counts).drop(ACTION), seen
 
 
+def bucket_count(spark: SparkSession, rows: int, per_bucket: int = 1_000_000) -> int:
+    """How many buckets a new table of ``rows`` rows gets.
+
+    A bucket is one task of the writing and of the join, so their number
+    follows the table: with a fixed one each task's sort grows with it. Not
+    below the session's shuffle partitions: Spark exchanges the stored side of
+    a join too where it has fewer buckets than the batch has partitions.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_bucket))
+
+
 def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int, path: str | None = None) -> None:
     """``df`` as catalog table ``table``, bucketed and sorted by its keys; ``path`` makes it external.
 

@@ -14,6 +14,7 @@ from coffer.operators import positions as P
 from coffer.operators import prices as PX
 from coffer.operators import quality as QA
 from coffer.operators import upsert as UP
+from coffer.plans.catalog import REGISTRY
 from coffer.sources.readers import read_prices
 
 
@@ -61,6 +62,41 @@ def test_bucketed_upsert_moves_only_the_batch(spark, tmp_path):
     spark.sql(f"DROP TABLE {name}")
 
 
+def test_new_bucketed_table_follows_rows_and_is_not_moved_by_the_join(spark, tmp_path):
+    assert [UP.bucket_count(spark, n, per_bucket=100) for n in (0, 400, 401, 5000)] == [4, 4, 5, 50]
+    first = spark.range(500).selectExpr("id AS key", "concat('v', id) AS value", "timestamp_ntz '2020-01-01' AS created_at")
+    batch = spark.range(490, 510).selectExpr("id AS key", "'new' AS value", "id AS _seq")
+    spark.sql("DROP TABLE IF EXISTS buckets_by_rows")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        UP.write_bucketed(first, "buckets_by_rows", ["key"], UP.bucket_count(spark, 500), str(tmp_path / "t"))
+        merged = UP.bucketed_upsert(batch, "buckets_by_rows", ["key"], ["value"], seq="_seq", now="2021-01-01")
+        plan = exchanges(merged)
+        assert "Bucketed: true" in plan
+        assert "Exchange" not in plan[: plan.index("Bucketed: true")].rsplit("FullOuter", 1)[1]
+        assert {r[UP.ACTION]: r["count"] for r in merged.groupBy(UP.ACTION).count().collect()} == {"kept": 490, "updated": 10, "inserted": 10}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        spark.sql("DROP TABLE IF EXISTS buckets_by_rows")
+
+
+def test_bucketed_query_counts_its_buckets_from_the_stored_rows(spark, tmp_path, monkeypatch):
+    spark.sql("SELECT 1L AS p_partkey, 'Brand#1' AS p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(1, 41).selectExpr(
+        "id AS l_orderkey", "1L AS l_partkey", "id AS l_suppkey", "1 AS l_linenumber", "2.0D AS l_quantity", "30.0D AS l_extendedprice",
+        "0.01D AS l_tax", "'A' AS l_returnflag", "timestamp_ntz '1996-01-01' + make_interval(CAST(id % 3 AS INT)) AS l_shipdate",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    asked, made, real = [], [], UP.write_bucketed
+    monkeypatch.setattr(UP, "bucket_count", lambda _, rows: asked.append(rows) or 11)
+    monkeypatch.setattr(UP, "write_bucketed", lambda df, name, keys, n, path=None: made.append(n) or real(df, name, keys, n, path))
+    out = {r["_action"]: r["count"] for r in REGISTRY["upsert_bucketed"].build(spark, str(tmp_path)).groupBy("_action").count().collect()}
+    assert (asked, made) == ([27], [11])
+    assert out == {"kept": 13, "updated": 14, "inserted": 13}
+
+
 def test_write_upsert_counts(spark, tmp_path):
     d = spark.createDataFrame([(1, "a", "p"), (2, "b", "q")], "key long, value string, part string")
     path = str(tmp_path / "t")
