@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coffer.llm.common import saved, shuffle_partitions, utf8
+from coffer.llm.common import saved, shuffle_partitions, sliced, tidied, utf8
 from coffer.llm.shingles import mix
 from coffer.operators.segments import numbered
 
@@ -35,6 +35,8 @@ from coffer.operators.segments import numbered
 LONGEST, LEAST, TOP, SHARE, SCALE = 4, 30, 2000, 80, 2_000_000
 #: Text bytes of a chunk (one text at least), pairs that one group of the sieve counts.
 _CHUNK, _PAIRS = 1 << 22, 1 << 21
+#: Rows of a batch that a worker hands back.
+_ROWS = 1 << 14
 #: One node in so many ends a path.
 _ANCHOR = 16
 _BREAKS, _GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -98,108 +100,139 @@ def _chunks(batches):
         yield flush()
 
 
+def _rows(batches):
+    """Chunks as dicts, one at a time."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
 class _Chunk:
-    """A chunk's words and its distinct pairs of neighbours with their hashes."""
+    """A chunk's words and its distinct pairs of neighbours, dealt to the groups of the sieve.
+
+    ``groups`` has the numbers of the groups that this chunk asks; the i-th of
+    them is asked for the pairs ``order[ends[i]:ends[i + 1]]``. Within a group
+    a pair goes by 32 bits of its hash.
+    """
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, groups: int):
         raw = np.frombuffer(row["codes"], "<i4")
-        self.code, self.first = (raw >> 1).astype("i8"), (raw & 1).astype(bool)
+        self.code, first = raw >> 1, (raw & 1).astype(bool)
         self.words = row["words"].split(b"\n") if len(raw) else []
         self.langs, self.lang_of = row["langs"], np.frombuffer(row["lang_of"], "<i4")
         self.v = max(1, len(self.words))
+        self.at = np.flatnonzero(~first[1:]).astype("i4")  # words with a neighbour in their piece
+        pairs, self.n = np.unique(self._pair(), return_counts=True)
         seeds = [xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs]
-        hashes = np.fromiter(
-            (xxhash.xxh3_64_intdigest(w, seeds[at]) for w, at in zip(self.words, self.lang_of.tolist(), strict=True)), "u8", len(self.words)
-        )
-        self.at = np.flatnonzero(~self.first[1:])  # words with a neighbour in their piece
-        pairs, self.pair, self.n = np.unique(
-            self.code[self.at] * self.v + self.code[self.at + 1], return_inverse=True, return_counts=True
-        )
-        self.hash = mix(mix(hashes[pairs // self.v]) + hashes[pairs % self.v])
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seeds[at]) for w, at in zip(self.words, self.lang_of, strict=True)), "u8", len(self.words))
+        hashes = mix(mix(hashes[pairs // self.v]) + hashes[pairs % self.v])
+        self.hash = hashes.astype("<u4")
+        to = ((hashes >> np.uint64(32)) % np.uint64(groups)).astype("i4")
+        self.order = np.argsort(to, kind="stable").astype("i4")
+        self.groups, starts = np.unique(to[self.order], return_index=True)
+        self.ends = [*starts.tolist(), len(pairs)]
+
+    def _pair(self) -> np.ndarray:
+        out = self.code[self.at].astype("i8")
+        out *= self.v
+        out += self.code[self.at + 1]
+        return out
+
+    def linked(self, hit: np.ndarray) -> np.ndarray:
+        """Of each word whether the next one is its neighbour in a pair that ``hit`` marks."""
+        place = np.argsort(self._pair(), kind="stable").astype("i4")  # a pair's places are neighbours here
+        out = np.zeros(len(self.code) + LONGEST - 1, bool)
+        out[self.at[place]] = np.repeat(hit, self.n)
+        return out
 
 
 def _ask(groups: int):
     """mapInArrow function: of each chunk and group of hashes, one row of hashes and counts."""
 
+    def asked(row: dict) -> pa.RecordBatch:
+        c = _Chunk(row, groups)
+        n = len(c.groups)
+        hashes, counts = c.hash[c.order].tobytes(), c.n[c.order].astype("<i4").tobytes()
+        ends = pa.py_buffer(4 * np.array(c.ends, "<i4"))  # four bytes a pair, both
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(c.groups.astype("i8")),
+                pa.array(np.full(n, row["chunk"], "i8")),
+                *(pa.BinaryArray.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(x)]) for x in (hashes, counts)),
+            ],
+            ["group", "chunk", "hashes", "counts"],
+        )
+
+    @tidied
     def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                c = _Chunk(b.slice(i, 1).to_pylist()[0])
-                to = (c.hash >> np.uint64(24)) % np.uint64(groups)
-                order = np.argsort(to, kind="stable")
-                asked, cuts = np.unique(to[order], return_index=True)
-                chunk = b.column("chunk")[i].as_py()
-                hashes = np.split(c.hash[order], cuts[1:]) if len(asked) else []
-                counts = np.split(c.n[order].astype("<i8"), cuts[1:]) if len(asked) else []
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(asked.astype("i8")),
-                        pa.array(np.full(len(asked), chunk, "i8")),
-                        pa.array([h.tobytes() for h in hashes], pa.binary()),
-                        pa.array([n.tobytes() for n in counts], pa.binary()),
-                    ],
-                    ["group", "chunk", "hashes", "counts"],
-                )
+        for row in _rows(batches):
+            yield from sliced([asked(row)], _ROWS)
 
     return run
 
 
 def _answer(least: int):
-    """applyInArrow function over a group: to each chunk, those of its hashes that are found often enough."""
+    """applyInArrow function over a group: to each chunk, one bit for each of its hashes: whether it is found often enough."""
 
     def run(table: pa.Table) -> pa.Table:
-        asked = [np.frombuffer(x, "u8") for x in table.column("hashes").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("counts").to_pylist()])
-        distinct, of = np.unique(np.concatenate(asked), return_inverse=True)
+        joined = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        distinct, of = np.unique(joined("hashes", "<u4"), return_inverse=True)
         total = np.zeros(len(distinct), "i8")
-        np.add.at(total, of, counts)
-        often = total[of] >= least
-        parts = np.split(often, np.cumsum([len(a) for a in asked])[:-1])
-        kept = [a[k].tobytes() for a, k in zip(asked, parts, strict=True)]
-        out = pa.table({"chunk": table.column("chunk"), "often": pa.array(kept, pa.binary())})
-        return out.filter(pc.greater(pc.binary_length(out.column("often")), 0))
+        np.add.at(total, of, joined("counts", "<i4"))
+        often = (total >= least)[of]
+        ends = np.cumsum(pc.binary_length(table.column("hashes")).to_numpy() // 4)
+        parts = np.split(often, ends[:-1])
+        bits = [np.packbits(x).tobytes() if x.any() else None for x in parts]
+        out = pa.table({"chunk": table.column("chunk"), "group": table.column("group"), "often": pa.array(bits, pa.binary())})
+        return out.filter(pc.is_valid(out.column("often")))
 
     return run
 
 
-def _grams(batches):
-    """Chunks with their frequent pairs to counted edges (k = 4) and ends of cut pieces (k = 1 to 3)."""
-    for b in batches:
-        for i in range(b.num_rows):
-            row = b.slice(i, 1).to_pylist()[0]
-            c = _Chunk(row)
-            often = np.sort(np.frombuffer(b"".join(row["often"] or []), "u8"))
-            at = np.minimum(np.searchsorted(often, c.hash), max(0, len(often) - 1))
-            hit = (often[at] == c.hash) if len(often) else np.zeros(len(c.hash), bool)
-            n = len(c.code)
-            linked = np.zeros(n + 3, bool)  # to the next word
-            linked[c.at] = hit[c.pair]
-            words = pa.array(c.words, pa.binary())
-            langs = pa.array(c.langs, pa.string())
-            #: Phrases that start at each word, by number, as long as the words are linked.
-            name, start = c.code, np.arange(n)
-            for k in range(1, LONGEST + 1):
-                goes_on = linked[start + k - 1]
-                here = start if k == LONGEST else start[~goes_on]
-                if len(here):
-                    ids = name if k == LONGEST else name[~goes_on]
-                    _, one, counts = np.unique(ids, return_index=True, return_counts=True)
-                    places = here[one]
-                    cols = [words.take(pa.array(c.code[places + j])) for j in range(k)]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            langs.take(pa.array(c.lang_of[c.code[places]])),
-                            pa.array(np.full(len(places), k, "i4")),
-                            cols[0] if k == 1 else pc.binary_join_element_wise(*cols, b" "),
-                            pa.array(counts.astype("i8")),
-                        ],
-                        ["lang", "k", "phrase", "n"],
-                    )
-                if k < LONGEST:
-                    start, name = start[goes_on], name[goes_on]
-                    if len(start):
-                        _, dense = np.unique(name, return_inverse=True)
-                        name = dense.astype("i8") * c.v + c.code[start + k]
+def _chunk_grams(row: dict, groups: int):
+    """A chunk with the answers to it as batches of counted edges (k = 4) and ends of cut pieces (k = 1 to 3).
+
+    The key is language, line feed, phrase: a phrase has no line feed, and one short column is hashed, sent and kept faster than three.
+    """
+    c = _Chunk(row, groups)
+    hit = np.zeros(len(c.hash), bool)
+    answers = {x["group"]: x["often"] for x in row["often"] or []}
+    for i, g in enumerate(c.groups.tolist()):
+        if g in answers:
+            here = c.order[c.ends[i] : c.ends[i + 1]]
+            hit[here] = np.unpackbits(np.frombuffer(answers[g], "u1"), count=len(here)).view(bool)
+    linked = c.linked(hit)
+    code, words, langs, lang_of, v = c.code, pa.array(c.words, pa.binary()), pa.array([x.encode() for x in c.langs], pa.binary()), c.lang_of, c.v
+    del c, hit, answers, row
+    #: Phrases that start at each word, by number, as long as the words are linked.
+    name, start = code.astype("i8"), np.arange(len(code), dtype="i4")
+    for k in range(1, LONGEST + 1):
+        goes_on = linked[start + (k - 1)]
+        ends = slice(None) if k == LONGEST else ~goes_on
+        _, one, counts = np.unique(name[ends], return_index=True, return_counts=True)
+        places = start[ends][one]
+        for i in range(0, len(places), _ROWS):
+            here = places[i : i + _ROWS]
+            cols = [words.take(pa.array(code[here + j])) for j in range(k)]
+            phrase = cols[0] if k == 1 else pc.binary_join_element_wise(*cols, b" ")
+            key = pc.binary_join_element_wise(langs.take(pa.array(lang_of[code[here]])), phrase, b"\n")
+            yield pa.RecordBatch.from_arrays([key, pa.array(counts[i : i + _ROWS].astype("i8"))], ["key", "n"])
+        if k < LONGEST:
+            start, name = start[goes_on], name[goes_on]
+            if len(start):
+                _, name = np.unique(name, return_inverse=True)
+                name = name * np.int64(v) + code[start + k]
+
+
+def _grams(groups: int):
+    """mapInArrow function: ``_chunk_grams`` of each chunk."""
+
+    @tidied
+    def run(batches):
+        for row in _rows(batches):
+            yield from _chunk_grams(row, groups)
+
+    return run
 
 
 def _first(k: int) -> Column:
@@ -214,18 +247,24 @@ def gram_counts(docs: DataFrame, least: int = LEAST) -> dict[int, DataFrame]:
     """By length 1 to 4: lang, phrase, f. Phrases found ``least`` times are all there, with exact counts; of single words, all are."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), utf8().alias("text"))
-    chunks = saved(texts.mapInArrow(_chunks, _CHUNK_TYPE), "phrase-chunks")
+    chunks = saved(texts.mapInArrow(tidied(_chunks), _CHUNK_TYPE), "phrase-chunks")
     n_words = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     groups = max(shuffle_partitions(spark), -(-n_words // _PAIRS))
     asked = chunks.mapInArrow(_ask(groups), "group long, chunk long, hashes binary, counts binary")
-    often = asked.groupBy("group").applyInArrow(_answer(least), "chunk long, often binary")
-    often = often.groupBy("chunk").agg(F.collect_list("often").alias("often"))  # no more than the chunk asked for
+    often = asked.groupBy("group").applyInArrow(_answer(least), "chunk long, group long, often binary")
+    often = often.groupBy("chunk").agg(F.collect_list(F.struct("group", "often")).alias("often"))  # a bit for each pair asked for, at most
     grams = (
         chunks.join(often, "chunk", "left")
-        .mapInArrow(_grams, "lang string, k int, phrase binary, n long")
-        .groupBy("lang", "k", "phrase")
+        .mapInArrow(_grams(groups), "key binary, n long")
+        .groupBy("key")
         .agg(F.sum("n").alias("f"))
-        .withColumn("phrase", F.col("phrase").cast("string"))
+        .select("key", "f", F.substring_index(F.col("key").cast("string"), "\n", -1).alias("phrase"))
+        .select(
+            F.expr("cast(substr(key, 1, octet_length(key) - octet_length(phrase) - 1) AS string)").alias("lang"),
+            F.expr("octet_length(phrase) - octet_length(replace(phrase, ' ', '')) + 1").alias("k"),
+            "phrase",
+            "f",
+        )
     )
     grams = saved(grams, "phrase-grams")
     counts = {LONGEST: grams.where(F.col("k") == LONGEST).select("lang", "phrase", "f")}
