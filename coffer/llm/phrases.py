@@ -3,7 +3,8 @@
 1. Texts become chunks of word codes with piece starts, written once.
 2. Sieve: a phrase found LEAST times has only pairs of neighbours found LEAST
    times. Each chunk asks the owners of its pairs' hashes which of them reach
-   that over all chunks, and cuts its pieces where they do not. Hash
+   that over all chunks, and cuts its pieces where they do not. A pair is
+   asked for by 32 bits within its owner, and the answer is one bit. Hash
    collisions can only leave a cut out, so every count below stays exact.
 3. Edges: a 4-gram is an edge from the node of its first three words to that
    of its last three. Edges are counted in each chunk, then over all, as text.
